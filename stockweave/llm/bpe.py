@@ -11,8 +11,11 @@ import heapq
 import json
 import tempfile
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -22,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import saved, slices
 
 #: White space of str.split() that the vocabulary's pattern takes for ordinary characters.
 _ODD = regex.compile("[\x1c-\x1f]")
@@ -66,14 +69,18 @@ class Vocabulary:
         """Ids of a word by exact merging: always the pair of lowest rank, leftmost first."""
         parts = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
         parts[-1] += self.end
-        ranks, none = self.ranks, len(self.ranks)
+        rank, none = self.ranks.get, len(self.ranks)
         if len(parts) > 64:
             parts = self._merge_long(parts)
-        while len(parts) > 1:
-            best, at = min((ranks.get(pair, none), i) for i, pair in enumerate(zip(parts, parts[1:])))
-            if best == none:
-                break
+        ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) != none:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank((parts[at], parts[at + 1]), none)
+            if at:
+                ranks[at - 1] = rank((parts[at - 1], parts[at]), none)
         return [self.ids[p] for p in parts if p in self.ids]
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -159,35 +166,47 @@ class Lexicon:
         state, number = self.root, 0
         first, label = self.first, self.label
         for byte in word.encode("utf-8", "surrogatepass"):
-            for arc in range(first[state], first[state + 1]):
-                if label[arc] == byte:
-                    number += self.before[arc]
-                    state = self.target[arc]
-                    break
-            else:
+            end = first[state + 1]
+            arc = bisect_left(label, byte, first[state], end)
+            if arc == end or label[arc] != byte:
                 return None
+            number += self.before[arc]
+            state = self.target[arc]
         return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist() if self.final[state] else None
 
 
 class _Chunks(dict):
-    """Ids of chunks (as bytes), kept while they fit."""
+    """Ids of chunks (as bytes): the latest `most`, and as many before them."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, most: int = 600_000):
-        self.vocabulary, self.lexicon, self.most = vocabulary, lexicon, most
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, most: int = 450_000):
+        self.vocabulary, self.lexicon, self.most, self.older = vocabulary, lexicon, most, {}
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids: list[int] = []
-        for word in self.vocabulary.words(chunk):
-            found = self.lexicon.find(word)
-            ids += self.vocabulary.merge(word) if found is None else found
-        self[chunk] = out = np.asarray(ids, dtype="<i4").tobytes()
+        out = self.older.get(chunk)
+        if out is None:
+            ids: list[int] = []
+            for word in [chunk] if chunk.isalpha() else self.vocabulary.words(chunk):
+                found = self.lexicon.find(word)
+                ids += self.vocabulary.merge(word) if found is None else found
+            out = array("i", ids).tobytes()
+        self[chunk] = out
         return out
 
 
+@lru_cache(maxsize=1)
+def _worker_chunks(vocabulary_path: str, lexicon_name: str) -> _Chunks:
+    """Kept by a worker process from task to task."""
+    return _Chunks(Vocabulary(vocabulary_path), Lexicon(SparkFiles.get(lexicon_name)))
+
+
 def frequent_words(docs: DataFrame, vocabulary_path: str, most: int, text_col: str = "text") -> list[str]:
-    """The `most` most frequent words over all documents (ties: by word); counted before the shuffle."""
+    """The most frequent words over all documents, `most` at the most; counted before the shuffle.
+
+    Words are taken by classes of frequency (eighths of a doubling), whole classes only.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, chunks = Vocabulary(vocabulary_path), Counter()
@@ -208,7 +227,13 @@ def frequent_words(docs: DataFrame, vocabulary_path: str, most: int, text_col: s
         yield out()
 
     counts = docs.selectExpr(f"cast(`{text_col}` as string) as text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = saved(counts.where("n > 1").withColumn("level", F.floor(F.log2("n") * 8)))
+    least, total = None, 0
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        if (total := total + r["count"]) > most:
+            break
+        least = r.level
+    return [] if least is None else [r.word for r in counts.where(F.col("level") >= least).select("word").collect()]
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 50_000) -> DataFrame:
@@ -228,8 +253,8 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, *, id_col: str = "do
     name = Path(f.name).name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = Vocabulary(vocabulary_path)
-        chunks = _Chunks(voc, Lexicon(SparkFiles.get(name)))
+        chunks = _worker_chunks(vocabulary_path, name)
+        voc = chunks.vocabulary
         token = [voc.tokens.get(i, "") for i in range(max(voc.tokens) + 1)]
 
         def plain(text: str) -> bytes:
