@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard, packing, secrets, substrings
+from . import bpe, chat, fingerprints, jaccard, packing, secrets, substrings, toxicity
 from .batches import read, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,20 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
 
 
+def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of the labelled documents that aren't held out."""
+    known = labels.select("doc_id", "toxic").where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("toxic").isNotNull())
+    return documents.select("doc_id", "text").join(known, "doc_id")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = toxicity.fit(training_rows(documents, read(spark, sf_dir, "labels")))
+    scored = toxicity.score_documents(documents, model)
+    return scored.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
