@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard, packing, secrets, substrings, toxicity
+from . import bpe, chat, fingerprints, jaccard, licenses, neighbours, packing, secrets, substrings, toxicity
 from .batches import read, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,29 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+ORACLE_SQL["op1_license_scan"] = f"""
+WITH t(license_id, text) AS (VALUES {_TEMPLATES}
+), a AS (SELECT NULL::BIGINT AS doc_id, license_id, text FROM t UNION ALL SELECT doc_id, NULL, text FROM documents
+), w AS (SELECT doc_id, license_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM a
+), s AS (SELECT DISTINCT doc_id, license_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) AS g FROM w
+), n AS (SELECT license_id, count(*) AS n_shingles FROM s WHERE license_id IS NOT NULL GROUP BY 1
+), m AS (SELECT d.doc_id, l.license_id, count(*) AS matched FROM s l JOIN s d ON l.g = d.g AND l.license_id IS NOT NULL AND d.license_id IS NULL GROUP BY 1, 2)
+SELECT doc_id, license_id, matched, n_shingles, matched / n_shingles AS containment FROM m JOIN n USING (license_id) WHERE matched / n_shingles >= 0.8
+"""
+
+
+@query
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = read(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(embeddings, embeddings.where("vec_id % 50 = 0"))
+
+
 @query
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -5,6 +5,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,23 +95,26 @@ def _random(word: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(F.coalesce(window_entropy(word) >= least, F.lit(False)))
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Every document's secrets: doc_id, text, spans array<struct<start, rank, kind, stop>> by start, then kind.
 
+    The columns named in `keep` come along (a null text as an empty one).
+
     Starts and stops are code points, stop exclusive. The base kinds follow their
     patterns, leftmost matches first; kind `entropy` adds candidates of high windowed
     entropy that no base span covers and no allow-list clears. Null texts are empty
     and have no spans; repeated rows come back each; an empty table gives none;
     columns other than the two named are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    others = [c for c in keep if c not in (id_col, text_col, "doc_id", "text")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *others)
     text = F.col("text")
     for kind, (pattern, group, least) in BASE.items():
         rows = rows.withColumn(f"_{kind}", _spans(text, kind, pattern, HINTS[kind], _long_enough(pattern, group, least)))
     rows = rows.withColumn("_base", F.concat(*(F.col(f"_{k}") for k in BASE)))
     covered = lambda s: F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
     rows = rows.withColumn("_more", _spans(text, "entropy", CANDIDATE, CANDIDATE, lambda s: ~covered(s) & _random(s["text"])))
-    return rows.select("doc_id", "text", F.array_sort(F.concat("_base", "_more")).alias("spans"))
+    return rows.select("doc_id", "text", *others, F.array_sort(F.concat("_base", "_more")).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
