@@ -67,13 +67,11 @@ def shingles(tokens: Column) -> Column:
 def signatures(hashes: Column) -> Column:
     """Band keys of all windows over an array of shingle hashes."""
 
-    def least_of_bins(window: Column) -> Column:
-        ordered = F.sort_array(window)
-        place = lambda x: F.shiftright(x, 64 - BIN_BITS)
-        return F.filter(ordered, lambda x, i: (i == 0) | (place(x) != place(F.get(ordered, i - 1))))
-
+    place = lambda x: F.shiftright(x, 64 - BIN_BITS)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(hashes) - WINDOW) / (WINDOW // 2)).cast("int")))
-    return F.flatten(F.transform(starts, lambda j: least_of_bins(F.slice(hashes, j * (WINDOW // 2) + 1, WINDOW))))
+    # Sorted windows are bound as arguments: what a lambda computes, it computes for every element.
+    ordered = F.transform(starts, lambda j: F.sort_array(F.slice(hashes, j * (WINDOW // 2) + 1, WINDOW)))
+    return F.flatten(F.transform(ordered, lambda w: F.filter(w, lambda x, i: (i == 0) | (place(x) != place(F.get(w, i - 1))))))
 
 
 def _library(spark: SparkSession, templates: dict[str, str]) -> list[tuple[str, list[str], list[int]]]:

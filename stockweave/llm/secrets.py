@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds in the order in which spans of one start are listed, each with its pattern, the group whose length counts, and its least length.
+#: Runs of one class match whole or not at all, so theirs may state the least length themselves.
+_FOUND = "array<struct<start:int,stop:int,text:string>>"
 BASE = {
     "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
-    "access": (r"AKIA[A-Z0-9]+", 0, 20),
-    "hex": (r"[0-9a-f]+", 0, 24),
+    "access": (r"AKIA[A-Z0-9]{16,}", 0, 20),
+    "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 #: A cheap test that every text with a span of the kind passes.
 HINTS = {"assign": r"(?i:pass|secret|token|api_?key)", "access": "AKIA", "hex": r"[0-9a-f]{24}"}
@@ -27,19 +29,25 @@ ALLOWED = (r"^[A-Za-z]+$", r"^[A-Za-z]+([-_/][A-Za-z]+)+$", r"^[-_=+/]+$", r"^[0
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, text>> of a pattern's matches: starts from the lengths of what lies between them."""
+    """array<struct<start, stop, text>> of a pattern's matches: starts from the lengths of what lies between them.
+
+    What a lambda would name more than once is bound as its argument: an expression
+    inside it is evaluated for every element.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    ends = F.transform(F.sequence(F.lit(1), F.size(hits)), lambda i: F.struct((F.length(F.element_at(gaps, i))).alias("gap"), F.element_at(hits, i).alias("hit")))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
     walked = F.aggregate(
-        ends,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,text:string>>").alias("spans")),
+        F.filter(pairs, lambda e: e["hit"].isNotNull()),
+        F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("spans")),
         lambda s, e: F.struct(
-            (s["at"] + e["gap"] + F.length(e["hit"])).alias("at"),
-            F.concat(s["spans"], F.array(F.struct((s["at"] + e["gap"]).alias("start"), (s["at"] + e["gap"] + F.length(e["hit"])).alias("stop"), e["hit"].alias("text")))).alias("spans"),
+            (s["at"] + F.length(e["gap"]) + F.length(e["hit"])).alias("at"),
+            F.concat(
+                s["spans"],
+                F.array(F.struct((s["at"] + F.length(e["gap"])).alias("start"), (s["at"] + F.length(e["gap"]) + F.length(e["hit"])).alias("stop"), e["hit"].alias("text"))),
+            ).alias("spans"),
         ),
     )
-    return F.when(F.size(hits) > 0, walked["spans"]).otherwise(F.array().cast("array<struct<start:int,stop:int,text:string>>"))
+    return walked["spans"]
 
 
 def _spans(text: Column, kind: str, pattern: str, hint: str, keep) -> Column:
@@ -55,33 +63,33 @@ def _long_enough(pattern: str, group: int, least: int):
 
 
 def window_entropy(word: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits, of the word's windows (of the word, if shorter).
+    """Largest Shannon entropy, in bits, of the word's windows (of the word, if shorter); ASCII words.
 
     One pass: a character entering or leaving a window changes its count c, and with
-    it the sum of c log2 c, from which the window's entropy follows.
+    it the sum of c log2 c, from which the window's entropy follows. Counts are a map
+    from character to count that holds the window's characters only.
     """
-    weight = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    weight = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
     letters = F.split(word, "")
-    count = lambda counts, x: F.coalesce(F.try_element_at(counts, F.ascii(x)), F.lit(0))
-
-    def change(counts: Column, x: Column, by: int) -> Column:
-        return F.transform(counts, lambda c, i: F.when(i == F.ascii(x) - 1, c + by).otherwise(c))
-
-    def step(s: Column, i: Column) -> Column:
-        new = F.element_at(letters, i)
-        old = F.element_at(letters, F.greatest(i - window, F.lit(1)))
-        leaves = i > window
-        c_old = count(s["counts"], old)
-        sum1 = s["sum"] + F.when(leaves, weight(c_old - 1) - weight(c_old)).otherwise(F.lit(0.0))
-        counts1 = F.when(leaves, change(s["counts"], old, -1)).otherwise(s["counts"])
-        c_new = count(counts1, new)
-        total = sum1 + weight(c_new + 1) - weight(c_new)
-        size = F.least(i, F.lit(window)).cast("double")
-        entropy = F.log2(size) - total / size
-        return F.struct(change(counts1, new, 1).alias("counts"), total.alias("sum"), F.when(i >= F.least(F.length(word), F.lit(window)), F.greatest(s["most"], entropy)).otherwise(s["most"]).alias("most"))
-
-    start = F.struct(F.array_repeat(F.lit(0), 127).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("most"))
-    return F.when(F.length(word) > 0, F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda s: s["most"])).otherwise(F.lit(0.0))
+    left = F.concat(F.array_repeat(F.lit(""), window), letters)  # what leaves the window as each letter enters
+    steps = F.filter(F.arrays_zip(letters.alias("new"), left.alias("old")), lambda e: e["new"] != "")
+
+    def step(s: Column, e: Column) -> Column:
+        text = F.concat(F.when(e["old"] != "", F.substring(s["text"], F.lit(2), F.lit(window))).otherwise(s["text"]), e["new"])
+        count = lambda t, x: (F.length(t) - F.length(F.replace(t, x, F.lit("")))).cast("double")
+        # Of the text before: the old letter's count falls by one, then the new one's rises by one.
+        old, new = count(s["text"], e["old"]), count(s["text"], e["new"])
+        leaves = e["old"] != ""
+        fall = F.when(leaves, weight(old - 1) - weight(old)).otherwise(F.lit(0.0))
+        new = new - F.when(leaves & (e["old"] == e["new"]), 1.0).otherwise(0.0)
+        total = s["sum"] + fall + weight(new + 1) - weight(new)
+        least = F.when(F.length(text) == window, F.least(s["least"], total)).otherwise(s["least"])
+        return F.struct(text.alias("text"), total.alias("sum"), least.alias("least"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("least"))
+    size = F.least(F.length(word), F.lit(window)).cast("double")
+    # The least sum of a full window has the largest entropy; a shorter word is one window.
+    return F.when(F.length(word) > 0, F.log2(size) - F.aggregate(steps, start, step, lambda s: F.coalesce(s["least"], s["sum"])) / size).otherwise(F.lit(0.0))
 
 
 def _random(word: Column) -> Column:
