@@ -63,7 +63,8 @@ def format_conversations(turns: DataFrame, *, budget: int = 512, history: int =
     # The first span has the system turn among its own turns, and no history.
     first = F.when(F.col("system") == 1, F.element_at("cost", 1)).otherwise(0) + history
     talks = talks.withColumn("room", room).withColumn("first", first).withColumn("starts", starts)
-    spans = talks.select("conv_id", "turns", "sums", "system", "starts", F.posexplode("starts").alias("window", "lo"))
+    # Outer, though no list of starts is empty: for an inner one the optimiser infers a filter, and pushing that down puts the sums into the lambda above.
+    spans = talks.select("conv_id", "turns", "sums", "system", "starts", F.posexplode_outer("starts").alias("window", "lo"))
     spans = spans.withColumn("hi", F.coalesce(F.try_element_at("starts", F.col("window") + 2) - 1, F.size("turns")))
     # History: from the first turn after the system turn from which the tokens up to the span fit.
     fits = F.filter(F.sequence(F.lit(1), F.col("lo")), lambda k: (k > F.col("system")) & (at(F.col("lo") - 1) - at(k - 1) <= history))
