@@ -99,7 +99,7 @@ def jaccard_groups(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: st
     def items_of(ids: DataFrame) -> DataFrame:
         wanted = chosen.join(ids, "id", "left_semi").select(F.col("least").alias("doc_id")).distinct()
         texts = rows.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-        return texts.mapInArrow(items, "id long, items array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return texts.mapInArrow(items, "id long, items array<long>").dropDuplicates(["id"])
 
     groups = link_lists(lists, items_of, percent)
     least = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))

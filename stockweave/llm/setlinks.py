@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +46,31 @@ def _possible(percent: int, n1: Column, left1: Column, n2: Column, left2: Column
     return sizes & ((F.least(left1, left2) + 1) * (100 + percent) >= (n1 + n2) * percent)
 
 
-def _tested(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """(a, b, same, total, linked): exact Jaccard of each pair."""
+def repeated_keys(lists: DataFrame, bits: int = 27) -> DataFrame:
+    """The entries whose key may occur more than once; nearly all others are left out before the shuffle.
+
+    Of each key `bits` bits are counted; those that occur twice form a bitmap of fixed
+    size (2^bits / 8 bytes), which goes to all tasks. It is exact where it leaves out; once
+    the input fills it, it only leaves out less.
+    """
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    twice = lists.groupBy(slot.alias("slot")).count().where("count > 1")
+    words = twice.groupBy(F.shiftright("slot", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("word")).toPandas()
+    table = np.zeros(1 << bits - 6, np.uint64)
+    table[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64).view(np.uint64)
+    shared = lists.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        at = keys.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)
+        return pd.Series((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return lists.where(maybe("key"))
+
+
+def _tested(pairs: DataFrame, items_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(a, b, distance, linked): exact Jaccard of each pair."""
+    items = saved(items_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     one = items.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
     two = items.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     same = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("same"), (F.size("items_a") + F.size("items_b")).alias("sizes"))
@@ -65,12 +90,12 @@ def link_lists(lists: DataFrame, items_of: Callable[[DataFrame], DataFrame], per
     that sizes, positions or the distances to a common head exclude (Jaccard distance is
     a metric), so no connection is lost and no pairs are made within a component.
     """
+    lists = repeated_keys(lists)
     heads = lists.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("n", "id", "left")).alias("h")).where("m > 1")
     entries = saved(lists.join(heads, "key").select("key", "id", "n", "left", F.col("h.id").alias("head"), F.col("h.n").alias("head_n"), F.col("h.left").alias("head_left")))
     c = F.col
     first = entries.where((c("id") != c("head")) & _possible(percent, c("n"), c("left"), c("head_n"), c("head_left"))).select(c("head").alias("a"), c("id").alias("b")).distinct()
-    items = saved(items_of(entries.select("id").distinct()))
-    tested = saved(_tested(first, items, percent))
+    tested = saved(_tested(saved(first), items_of, percent))
     found = saved(components(tested.where("linked").select("a", "b")))
 
     of_id = found.select("id", c("component").alias("of_id"))
@@ -88,5 +113,5 @@ def link_lists(lists: DataFrame, items_of: Callable[[DataFrame], DataFrame], per
     )
     rest = rest.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _tested(rest.join(seen, ["a", "b"], "left_anti"), items, percent).where("linked").select("a", "b")
+    more = _tested(saved(rest.join(seen, ["a", "b"], "left_anti")), items_of, percent).where("linked").select("a", "b")
     return components(more.unionByName(found.select(c("id").alias("a"), c("component").alias("b"))))
