@@ -11,24 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import saved, slices
-from .setlinks import link_lists
+from .setlinks import levels_of, link_lists, prefix
 from .words import Words
 
-#: Bits of a shingle's place in the table of frequent shingles: its size doesn't grow with the input.
-TABLE_BITS = 20
-
-
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """For each place of a fixed table, the binary logarithm of the highest document count of its shingles.
-
-    Counted over all documents; each task drops what it has met only once. It only
-    orders the shingles, rare ones first, so any error costs time and not links.
-    """
+    """How frequent shingles are, as levels_of() has it, counted over all documents; each task drops what it has met only once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts: list[np.ndarray]) -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["key", "n"])
 
         parts, total = [], 0
         for part in slices(batches, "text"):
@@ -40,12 +32,7 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
                 parts, total = [], 0
         yield out(parts)
 
-    counts = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    place = F.shiftrightunsigned("shingle", 64 - TABLE_BITS).cast("int").alias("place")
-    levels = counts.select(place, F.floor(F.log2("n")).cast("int").alias("level")).groupBy("place").agg(F.max("level").alias("level")).toPandas()
-    table = np.zeros(1 << TABLE_BITS, np.uint8)
-    table[levels["place"].to_numpy(np.int64)] = levels["level"].to_numpy(np.int64)
-    return table
+    return levels_of(docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
 
 
 def jaccard_groups(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,7 +51,7 @@ def jaccard_groups(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: st
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = spark.sparkContext.broadcast(_frequent(rows, k))  # TABLE_BITS bound its size
+    table = spark.sparkContext.broadcast(_frequent(rows, k))  # of a fixed size
 
     def name(s: np.ndarray) -> int:
         return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -74,15 +61,13 @@ def jaccard_groups(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: st
         for part in slices(batches, "text"):
             n, names, prefixes, sizes = [], [], [], [0]
             for s in Words(part.column(1)).sets(k):
-                keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                order = np.lexsort((s, levels[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]))[:keep]
                 n.append(len(s))
                 names.append(name(s) if len(s) else None)
-                prefixes.append(s[order])
-                sizes.append(keep)
+                prefixes.append(prefix(s, levels, percent))
+                sizes.append(len(prefixes[-1]))
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
-            prefix = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array(n, pa.int32()), prefix], ["doc_id", "id", "n", "prefix"])
+            rarest = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array(n, pa.int32()), rarest], ["doc_id", "id", "n", "prefix"])
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -99,7 +84,7 @@ def jaccard_groups(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: st
     def items_of(ids: DataFrame) -> DataFrame:
         wanted = chosen.join(ids, "id", "left_semi").select(F.col("least").alias("doc_id")).distinct()
         texts = rows.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-        return texts.mapInArrow(items, "id long, items array<long>").dropDuplicates(["id"])
+        return saved(texts.mapInArrow(items, "id long, items array<long>").dropDuplicates(["id"]))
 
     groups = link_lists(lists, items_of, percent)
     least = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))

@@ -9,15 +9,20 @@ blocks of set sizes that can match.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import saved
 
+#: Bits of a key's place in the table of frequent keys.
+TABLE_BITS = 20
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of the edges (a, b); component: the least id reachable.
@@ -40,6 +45,48 @@ def components(edges: DataFrame) -> DataFrame:
         edges = saved(small.unionByName(down.select("hi", F.col("m").alias("lo"))).distinct())
 
 
+def levels_of(counts: DataFrame) -> np.ndarray:
+    """A table of 2^TABLE_BITS places from (key, n): each has the binary logarithm of the highest count of its keys.
+
+    It orders keys, rare ones first; its size doesn't grow with the input, and keys that share
+    a place cost time and no links.
+    """
+    place = F.shiftrightunsigned("key", 64 - TABLE_BITS).cast("int").alias("place")
+    levels = counts.select(place, F.floor(F.log2("n")).cast("int").alias("level")).groupBy("place").agg(F.max("level").alias("level")).toPandas()
+    table = np.zeros(1 << TABLE_BITS, np.uint8)
+    table[levels["place"].to_numpy(np.int64)] = levels["level"].to_numpy(np.int64)
+    return table
+
+
+def prefix(items: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest items of a set, as many as any set of `percent` per cent similarity must share one of; rarest first."""
+    if not len(items):
+        return items
+    keep = len(items) - -(-percent * len(items) // 100) + 1
+    return items[np.lexsort((items, levels[(items >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]))[:keep]]
+
+
+def index_lists(items: DataFrame, percent: int) -> DataFrame:
+    """The index (key, id, n, left) of sets (id, items): each under its rarest items."""
+    counts = items.select(F.explode("items").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    table = items.sparkSession.sparkContext.broadcast(levels_of(counts))  # TABLE_BITS bound its size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column(1).flatten().to_numpy().view(np.uint64)
+            ends = np.cumsum(pc.list_value_length(b.column(1)).to_numpy())
+            sets = np.split(flat, ends[:-1]) if len(ends) else []
+            own = [prefix(x, table.value, percent) for x in sets]
+            kept, sizes = np.array([len(x) for x in own], np.int64), np.array([len(x) for x in sets], np.int64)
+            at = np.concatenate([np.arange(n) for n in kept]) if own else np.zeros(0, np.int64)
+            n = np.repeat(sizes, kept)
+            keys = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
+            ids = np.repeat(b.column(0).to_numpy(), kept)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(n, pa.int32()), pa.array(n - at - 1, pa.int32())], ["key", "id", "n", "left"])
+
+    return items.select("id", "items").mapInArrow(run, "key long, id long, n int, left int")
+
+
 def _possible(percent: int, n1: Column, left1: Column, n2: Column, left2: Column) -> Column:
     """Whether two sets may be similar, from their sizes and how many of their items come after the shared one."""
     sizes = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
@@ -70,7 +117,7 @@ def repeated_keys(lists: DataFrame, bits: int = 27) -> DataFrame:
 
 def _tested(pairs: DataFrame, items_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(a, b, distance, linked): exact Jaccard of each pair."""
-    items = saved(items_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    items = items_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     one = items.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
     two = items.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     same = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("same"), (F.size("items_a") + F.size("items_b")).alias("sizes"))
@@ -82,7 +129,7 @@ def link_lists(lists: DataFrame, items_of: Callable[[DataFrame], DataFrame], per
 
     `lists` (key, id, n, left) is the index: set `id` of n items stands in the list of
     `key`, with `left` of its items after it. Each pair to be found shares a list.
-    `items_of` gives (id, items array<long>) for a table of ids.
+    `items_of` gives (id, items array<long>) for a table of ids, written if it is costly.
 
     First every set is compared with the head (the smallest) of each of its lists, which
     takes as many comparisons as there are entries. Then, for what isn't connected with
@@ -103,8 +150,8 @@ def link_lists(lists: DataFrame, items_of: Callable[[DataFrame], DataFrame], per
     known = tested.select(c("a").alias("head"), c("b").alias("id"), "distance")
     block = F.floor(F.log(c("n").cast("double")) / -math.log(percent / 100)).cast("int")
     placed = entries.join(of_id, "id", "left").join(of_head, "head", "left").join(known, ["head", "id"], "left")
-    placed = saved(placed.select("key", "id", "n", "left", "distance", F.coalesce("of_id", "id").alias("of"), F.coalesce("of_head", "head").alias("of_head"), block.alias("block")))
-    apart = placed.where("of <> of_head")
+    placed = placed.select("key", "id", "n", "left", "distance", F.coalesce("of_id", "id").alias("of"), F.coalesce("of_head", "head").alias("of_head"), block.alias("block"))
+    apart = saved(placed.where("of <> of_head"))
     if apart.isEmpty():
         return found
     probes = apart.select("key", c("id").alias("id2"), c("n").alias("n2"), c("left").alias("left2"), c("distance").alias("distance2"), c("of").alias("of2"), F.explode(F.sequence(c("block") - 1, c("block") + 1)).alias("block"))

@@ -11,11 +11,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import saved, slices
-from .setlinks import link_lists
+from .setlinks import index_lists, link_lists
 from .words import Words, mixed
 
 #: Bands of one row each: similarity 0.8 collides in some band with probability 1 - 0.2^3 = 0.992.
@@ -52,25 +53,44 @@ class Paragraphs:
             mins = np.minimum.reduceat(np.append(mixed(self.shingle ^ seed), np.uint64(0)), pairs)[::2] if len(pairs) else np.zeros(0, np.uint64)
             self.keys.append(mixed(mins + seed).view(np.int64))
 
-    def items(self, i: int) -> np.ndarray:
-        """Distinct shingles of paragraph i."""
-        return np.unique(self.shingle[self.lo[i] : self.hi[i] - self.k + 1])
+    def items(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of the chosen paragraphs, one after another, and where each one's begin (and the end)."""
+        sizes = self.hi[chosen] - self.k + 1 - self.lo[chosen]
+        owner = np.repeat(np.arange(len(chosen)), sizes)
+        starts = np.cumsum(sizes) - sizes
+        flat = self.shingle[np.arange(sizes.sum()) - np.repeat(starts - self.lo[chosen], sizes)]
+        order = np.lexsort((flat, owner))
+        flat, owner = flat[order], owner[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+        return flat[new], np.searchsorted(owner[new], np.arange(len(chosen) + 1))
 
-    def chars(self, i: int) -> tuple[int, int]:
-        """The paragraph's code points in its text, stop exclusive."""
-        base = self.words.offsets[self.owner[i]]
-        a, b = self.words.start[self.lo[i]], self.words.stop[self.hi[i] - 1]
-        points = lambda x, y: int(np.count_nonzero((self.words.data[x:y] & 0xC0) != 0x80))
-        before = points(base, a)
-        return before, before + points(a, b)
+    def chars(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The paragraphs' code points in their texts, stops exclusive."""
+        points = np.concatenate([[0], np.cumsum((self.words.data & 0xC0) != 0x80)])
+        base = points[self.words.offsets[self.owner[chosen]]]
+        return points[self.words.start[self.lo[chosen]]] - base, points[self.words.stop[self.hi[chosen] - 1]] - base
+
+
+def _signs(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set of shingles (none is empty)."""
+    sizes = np.diff(bounds).astype(np.uint64)
+    marked = mixed(flat + np.repeat(sizes, np.diff(bounds)))
+    return np.bitwise_xor.reduceat(marked, bounds[:-1]).view(np.int64) if len(sizes) else np.zeros(0, np.int64)
+
+
+def _pairs(values: pa.Array, owner: np.ndarray) -> np.ndarray:
+    """Values of a list column, or given values, bound to their row by a hash."""
+    return mixed(values.view(np.uint64) ^ mixed(owner.astype(np.uint64)))
 
 
 def repeated_paragraphs(docs: DataFrame, *, k: int = 5, percent: int = 80, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Paragraphs that recur in another document: doc_id, paragraph, start, stop, n_words, keeper_doc_id, removed.
 
     A paragraph recurs when it shares a band key with one of another document and their
-    k-word shingles have a Jaccard similarity of `percent` per cent or more. The
-    components of these links keep the paragraph of their least doc_id and remove those
+    k-word shingles have a Jaccard similarity of `percent` per cent or more. What has
+    collided is compared exactly, in lists of its rarest shingles, so that paragraphs that
+    only overlap a common passage don't meet. The components of these links keep the paragraph of their least doc_id and remove those
     of all other documents; keepers are listed with removed = false. Starts and stops
     are code points. Texts of fewer than `min_words` words have no paragraphs, and
     repeats within one document are left. Rows with a null id or null text take no
@@ -96,34 +116,38 @@ def repeated_paragraphs(docs: DataFrame, *, k: int = 5, percent: int = 80, min_w
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             p = Paragraphs(part.column(1), k, min_words)
-            sought = part.column(2).to_pylist()
-            ids = part.column(0).to_pylist()
-            out: list[dict] = []
-            sets: list[set] = [set(s) for s in sought]
-            for i, owner in enumerate(p.owner.tolist()):
-                own = [int(x[i]) for x in p.keys if int(x[i]) in sets[owner]]
-                if own:
-                    items = p.items(i)
-                    start, stop = p.chars(i)
-                    sign = int(np.bitwise_xor.reduce(mixed(items + np.uint64(len(items)))).view(np.int64)) if len(items) else 0
-                    out.append({"doc_id": ids[owner], "paragraph": int(p.number[i]), "start": start, "stop": stop, "n_words": int(p.hi[i] - p.lo[i]), "id": sign, "keys": own, "items": items.view(np.int64)})
-            yield pa.RecordBatch.from_pylist(out, schema=_PICKED)
-
-    picked = saved(texts.select("doc_id", "text", "keys").mapInArrow(pick, "doc_id long, paragraph int, start int, stop int, n_words int, id long, keys array<long>, items array<long>"))
-    # Equal paragraphs collapse; their id is a 64-bit hash of their shingles.
-    classes = picked.groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.first("keys").alias("keys"), F.first("items").alias("items"))
-    classes = saved(classes)
-    lists = classes.select(F.explode("keys").alias("key"), "id", F.size("items").alias("n")).select("key", "id", "n", F.col("n").alias("left"))
-    groups = link_lists(lists, lambda ids: classes.join(ids, "id", "left_semi").select("id", "items"), percent)
-    placed = classes.select("id", "first_doc", "last_doc").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    keepers = placed.groupBy("component").agg(F.min("first_doc").alias("keeper_doc_id"), F.max("last_doc").alias("last_doc")).where("keeper_doc_id < last_doc")
+            lists = part.column(2)
+            sought = _pairs(lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()))
+            hit = np.zeros(len(p.lo), bool)
+            for key in p.keys:
+                hit |= np.isin(_pairs(key, p.owner), sought)
+            chosen = np.flatnonzero(hit)
+            start, stop = p.chars(chosen)
+            columns = [part.column(0).to_numpy()[p.owner[chosen]], p.number[chosen], start, stop, p.hi[chosen] - p.lo[chosen], _signs(*p.items(chosen))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.int32()] * 4, pa.int64()], strict=True)], ["doc_id", "paragraph", "start", "stop", "n_words", "id"])
+
+    picked = saved(texts.select("doc_id", "text", "keys").mapInArrow(pick, "doc_id long, paragraph int, start int, stop int, n_words int, id long"))
+    # Equal paragraphs collapse: their id is a 64-bit hash of their shingles. The shingles of one of each are read again.
+    classes = saved(picked.groupBy("id").agg(F.min(F.struct("doc_id", "paragraph")).alias("one"), F.max("doc_id").alias("last_doc")))
+    ones = classes.groupBy("one.doc_id").agg(F.collect_list("one.paragraph").alias("numbers"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            p = Paragraphs(part.column(1), k, min_words)
+            lists = part.column(2)
+            sought = _pairs(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()))
+            flat, bounds = p.items(np.flatnonzero(np.isin(_pairs(p.number.astype(np.int64), p.owner), sought)))
+            yield pa.RecordBatch.from_arrays([pa.array(_signs(flat, bounds)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))], ["id", "items"])
+
+    chosen = rows.join(ones.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "numbers").mapInArrow(gather, "id long, items array<long>")
+    items = saved(chosen.dropDuplicates(["id"]))
+    groups = link_lists(index_lists(items, percent), lambda ids: items.join(ids, "id", "left_semi"), percent)
+    placed = classes.select("id", "one.doc_id", "last_doc").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    keepers = placed.groupBy("component").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("last_doc").alias("last_doc")).where("keeper_doc_id < last_doc")
     named = placed.select("id", "component").join(keepers.select("component", "keeper_doc_id"), "component").select("id", "keeper_doc_id")
     return picked.join(named, "id").select("doc_id", "paragraph", "start", "stop", "n_words", "keeper_doc_id", (F.col("doc_id") != F.col("keeper_doc_id")).alias("removed")).distinct()
 
 
-_PICKED = pa.schema([("doc_id", pa.int64()), ("paragraph", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("n_words", pa.int32()), ("id", pa.int64()), ("keys", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
-
-
 def without_repeats(docs: DataFrame, repeats: DataFrame, text_col: str = "text") -> DataFrame:
     """Documents with their removed paragraphs cut out (the union of their ranges); all columns stay."""
     cuts = repeats.where("removed").groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_cuts"))
