@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,14 +37,23 @@ def tokenizer_path(name: str) -> str:
     return str(Path(public_tokenizers.path(name)))
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's folder if it names one, else (tests) one beside the warehouse."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').removesuffix('/')}/_checkpoints")
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the cluster's checkpoint folder if it names one, else (tests) one beside the warehouse."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').removesuffix('/')}/_checkpoints").removesuffix("/")
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder; its lineage is cut."""
-    with_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and written as Parquet to the shared folder; its lineage is cut, and lost executors lose nothing of it."""
+    place = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what saved() has written for tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for place in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import saved, slices
-from .setlinks import levels_of, link_lists, prefix
+from .setlinks import levels_of, link_lists, maybe_in, prefix
 from .words import Words
 
+
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     """How frequent shingles are, as levels_of() has it, counted over all documents; each task drops what it has met only once."""
 
@@ -78,16 +79,17 @@ def jaccard_groups(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: st
 
     sets = saved(rows.mapInArrow(describe, "doc_id long, id long, n int, prefix array<long>"))
     # Copies collapse to one set: its id is a 64-bit hash of its shingles.
-    chosen = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    chosen = saved(sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     lists = chosen.select(F.posexplode("prefix").alias("at", "key"), "id", "n").select("key", "id", "n", (F.col("n") - F.col("at") - 1).alias("left"))
 
     def items_of(ids: DataFrame) -> DataFrame:
-        wanted = chosen.join(ids, "id", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-        texts = rows.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+        wanted = saved(chosen.join(ids, "id", "left_semi").select(F.col("least").alias("doc_id")).distinct())
+        # Only the wanted documents are shuffled, and they alone.
+        texts = rows.where(maybe_in(wanted)(F.col("doc_id"))).join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
         return saved(texts.mapInArrow(items, "id long, items array<long>").dropDuplicates(["id"]))
 
     groups = link_lists(lists, items_of, percent)
-    least = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
+    least = chosen.select("id", "least")
     grouped = least.join(groups, "id")
     heads = grouped.groupBy("component").agg(F.min("least").alias("of"))
     named = grouped.join(heads, "component").select("id", "of")

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import saved
+from .batches import dropped, saved
 
 #: Bits of a key's place in the table of frequent keys.
 TABLE_BITS = 20
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of the edges (a, b); component: the least id reachable.
 
     Alternating large-star and small-star steps; each writes its edges to the shared
-    checkpoint folder, so lost executors cost one step.
+    folder, so lost executors cost one step.
     """
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     before = None
@@ -42,7 +42,24 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = saved(small.unionByName(down.select("hi", F.col("m").alias("lo"))).distinct())
+        shorter = saved(small.unionByName(down.select("hi", F.col("m").alias("lo"))).distinct())
+        dropped(edges)
+        edges = shorter
+
+
+def _table(places: DataFrame, bits: int, kind: type, piece_bits: int = 16) -> np.ndarray:
+    """An array of 2^bits numbers from (place, value), zero where no row is; tasks make it in pieces, which the driver joins."""
+
+    def make(part: pd.DataFrame) -> pd.DataFrame:
+        places, piece = part["place"].to_numpy(np.int64), np.zeros(1 << piece_bits, kind)
+        piece[places & (1 << piece_bits) - 1] = part["value"].to_numpy(np.int64).astype(kind)
+        return pd.DataFrame({"piece": places[:1] >> piece_bits, "data": [piece.tobytes()]})
+
+    table = np.zeros(1 << bits, kind)
+    pieces = places.groupBy(F.shiftright("place", piece_bits)).applyInPandas(make, "piece int, data binary")
+    for r in pieces.toLocalIterator():
+        table[r.piece << piece_bits : r.piece + 1 << piece_bits] = np.frombuffer(r.data, kind)
+    return table
 
 
 def levels_of(counts: DataFrame) -> np.ndarray:
@@ -52,10 +69,28 @@ def levels_of(counts: DataFrame) -> np.ndarray:
     a place cost time and no links.
     """
     place = F.shiftrightunsigned("key", 64 - TABLE_BITS).cast("int").alias("place")
-    levels = counts.select(place, F.floor(F.log2("n")).cast("int").alias("level")).groupBy("place").agg(F.max("level").alias("level")).toPandas()
-    table = np.zeros(1 << TABLE_BITS, np.uint8)
-    table[levels["place"].to_numpy(np.int64)] = levels["level"].to_numpy(np.int64)
-    return table
+    return _table(counts.select(place, F.floor(F.log2("n")).cast("int").alias("level")).groupBy("place").agg(F.max("level").alias("value")), TABLE_BITS, np.uint8)
+
+
+def maybe_in(keys: DataFrame, *, times: int = 1, bits: int = 24) -> Callable[[Column], Column]:
+    """A test on a column of 64-bit keys: whether its value may occur in `keys` (one long column), `times` times or more.
+
+    Of each key's hash `bits` bits are kept; those that occur form a bitmap of fixed size
+    (2^bits / 8 bytes), which goes to all tasks. It is exact where it says no; once the
+    input fills it, it only says no less often. What it leaves, a join decides.
+    """
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits).cast("int")
+    slots = keys.select(slot(F.col(keys.columns[0])).alias("slot"))
+    slots = slots.distinct() if times == 1 else slots.groupBy("slot").count().where(F.col("count") >= times)
+    words = slots.groupBy(F.shiftright("slot", 6).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("value"))
+    shared = keys.sparkSession.sparkContext.broadcast(_table(words, bits - 6, np.uint64, min(16, bits - 6)))
+
+    @F.pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        slots = at.to_numpy(np.int64)
+        return pd.Series((shared.value[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return lambda c: test(slot(c))
 
 
 def prefix(items: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
@@ -93,34 +128,12 @@ def _possible(percent: int, n1: Column, left1: Column, n2: Column, left2: Column
     return sizes & ((F.least(left1, left2) + 1) * (100 + percent) >= (n1 + n2) * percent)
 
 
-def repeated_keys(lists: DataFrame, bits: int = 27) -> DataFrame:
-    """The entries whose key may occur more than once; nearly all others are left out before the shuffle.
-
-    Of each key `bits` bits are counted; those that occur twice form a bitmap of fixed
-    size (2^bits / 8 bytes), which goes to all tasks. It is exact where it leaves out; once
-    the input fills it, it only leaves out less.
-    """
-    slot = F.shiftrightunsigned("key", 64 - bits)
-    twice = lists.groupBy(slot.alias("slot")).count().where("count > 1")
-    words = twice.groupBy(F.shiftright("slot", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("word")).toPandas()
-    table = np.zeros(1 << bits - 6, np.uint64)
-    table[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64).view(np.uint64)
-    shared = lists.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def maybe(keys: pd.Series) -> pd.Series:
-        at = keys.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)
-        return pd.Series((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
-
-    return lists.where(maybe("key"))
-
-
 def _tested(pairs: DataFrame, items_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(a, b, distance, linked): exact Jaccard of each pair."""
     items = items_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    one = items.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
+    one = items.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("items").alias("items_a"))
     two = items.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-    same = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("same"), (F.size("items_a") + F.size("items_b")).alias("sizes"))
+    same = pairs.join(two, "b").join(one, "a").select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("same"), (F.size("items_a") + F.size("items_b")).alias("sizes"))
     return same.select("a", "b", (1 - F.col("same") / (F.col("sizes") - F.col("same"))).alias("distance"), (F.col("same") * 100 >= (F.col("sizes") - F.col("same")) * percent).alias("linked"))
 
 
@@ -137,25 +150,31 @@ def link_lists(lists: DataFrame, items_of: Callable[[DataFrame], DataFrame], per
     that sizes, positions or the distances to a common head exclude (Jaccard distance is
     a metric), so no connection is lost and no pairs are made within a component.
     """
-    lists = repeated_keys(lists)
+    # Keys that occur once, which are most, are left out before the shuffle.
+    lists = saved(lists.where(maybe_in(lists.select("key"), times=2, bits=27)(F.col("key"))))
     heads = lists.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("n", "id", "left")).alias("h")).where("m > 1")
     entries = saved(lists.join(heads, "key").select("key", "id", "n", "left", F.col("h.id").alias("head"), F.col("h.n").alias("head_n"), F.col("h.left").alias("head_left")))
+    dropped(lists)
     c = F.col
-    first = entries.where((c("id") != c("head")) & _possible(percent, c("n"), c("left"), c("head_n"), c("head_left"))).select(c("head").alias("a"), c("id").alias("b")).distinct()
-    tested = saved(_tested(saved(first), items_of, percent))
+    first = saved(entries.where((c("id") != c("head")) & _possible(percent, c("n"), c("left"), c("head_n"), c("head_left"))).select(c("head").alias("a"), c("id").alias("b")).distinct())
+    tested = saved(_tested(first, items_of, percent))
     found = saved(components(tested.where("linked").select("a", "b")))
 
     of_id = found.select("id", c("component").alias("of_id"))
     of_head = found.select(c("id").alias("head"), c("component").alias("of_head"))
     known = tested.select(c("a").alias("head"), c("b").alias("id"), "distance")
     block = F.floor(F.log(c("n").cast("double")) / -math.log(percent / 100)).cast("int")
-    placed = entries.join(of_id, "id", "left").join(of_head, "head", "left").join(known, ["head", "id"], "left")
-    placed = placed.select("key", "id", "n", "left", "distance", F.coalesce("of_id", "id").alias("of"), F.coalesce("of_head", "head").alias("of_head"), block.alias("block"))
-    apart = saved(placed.where("of <> of_head"))
+    # Heads have been compared with all of their lists, or can't match; they are named by no row of their own.
+    placed = entries.where("id <> head").join(of_id, "id", "left").join(of_head, "head", "left")
+    placed = placed.select("key", "id", "n", "left", "head", F.coalesce("of_id", "id").alias("of"), F.coalesce("of_head", "head").alias("of_head"), block.alias("block"))
+    apart = saved(placed.where("of <> of_head").join(known, ["head", "id"], "left"))
     if apart.isEmpty():
         return found
+    # Lists in which a set is apart from the head are few; of the others nothing is read on.
+    some = apart.select("key").distinct()
+    listed = placed.join(some, "key", "left_semi").join(known, ["head", "id"], "left")
     probes = apart.select("key", c("id").alias("id2"), c("n").alias("n2"), c("left").alias("left2"), c("distance").alias("distance2"), c("of").alias("of2"), F.explode(F.sequence(c("block") - 1, c("block") + 1)).alias("block"))
-    rest = placed.join(probes, ["key", "block"]).where(
+    rest = listed.join(probes, ["key", "block"]).where(
         (c("of") != c("of2")) & _possible(percent, c("n"), c("left"), c("n2"), c("left2")) & (F.coalesce(F.abs(c("distance") - c("distance2")), F.lit(0.0)) <= 1 - percent / 100 + 1e-9)
     )
     rest = rest.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
