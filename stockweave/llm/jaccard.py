@@ -85,8 +85,8 @@ def jaccard_groups(docs: DataFrame, *, k: int = 4, percent: int = 85, id_col: st
     def items_of(ids: DataFrame) -> DataFrame:
         wanted = saved(chosen.join(ids, "id", "left_semi").select(F.col("least").alias("doc_id")).distinct())
         # Only the wanted documents are shuffled, and they alone.
-        texts = rows.where(maybe_in(wanted)(F.col("doc_id"))).join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-        return saved(texts.mapInArrow(items, "id long, items array<long>").dropDuplicates(["id"]))
+        texts = rows.where(maybe_in(wanted)(F.col("doc_id"))).join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        return saved(texts.mapInArrow(items, "id long, items array<long>"))
 
     groups = link_lists(lists, items_of, percent)
     least = chosen.select("id", "least")

@@ -65,8 +65,8 @@ def _table(places: DataFrame, bits: int, kind: type, piece_bits: int = 16) -> np
 def levels_of(counts: DataFrame) -> np.ndarray:
     """A table of 2^TABLE_BITS places from (key, n): each has the binary logarithm of the highest count of its keys.
 
-    It orders keys, rare ones first; its size doesn't grow with the input, and keys that share
-    a place cost time and no links.
+    It orders keys, rare ones first, so that sets which share frequent keys only don't meet. Its
+    size doesn't grow with the input, and keys that share a place cost time and no links.
     """
     place = F.shiftrightunsigned("key", 64 - TABLE_BITS).cast("int").alias("place")
     return _table(counts.select(place, F.floor(F.log2("n")).cast("int").alias("level")).groupBy("place").agg(F.max("level").alias("value")), TABLE_BITS, np.uint8)
@@ -167,14 +167,18 @@ def link_lists(lists: DataFrame, items_of: Callable[[DataFrame], DataFrame], per
     # Heads have been compared with all of their lists, or can't match; they are named by no row of their own.
     placed = entries.where("id <> head").join(of_id, "id", "left").join(of_head, "head", "left")
     placed = placed.select("key", "id", "n", "left", "head", F.coalesce("of_id", "id").alias("of"), F.coalesce("of_head", "head").alias("of_head"), block.alias("block"))
-    apart = saved(placed.where("of <> of_head").join(known, ["head", "id"], "left"))
+    some = placed.where("of <> of_head").select("key").distinct()
+    # Lists without a set apart from the head are read no further. Those with the same members become one, in which a set's largest `left` is that of the first key shared.
+    listed = saved(placed.join(some, "key", "left_semi"))
+    signs = listed.groupBy("key").agg(F.xxhash64(F.first("head"), F.count("*"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1)))).alias("list"))
+    rows = listed.join(signs, "key").groupBy("list", "id").agg(*(F.first(x).alias(x) for x in ("n", "head", "of", "of_head", "block")), F.max("left").alias("left"))
+    joined = saved(rows.join(known, ["head", "id"], "left"))
+    dropped(entries, listed)
+    apart = joined.where("of <> of_head")
     if apart.isEmpty():
         return found
-    # Lists in which a set is apart from the head are few; of the others nothing is read on.
-    some = apart.select("key").distinct()
-    listed = placed.join(some, "key", "left_semi").join(known, ["head", "id"], "left")
-    probes = apart.select("key", c("id").alias("id2"), c("n").alias("n2"), c("left").alias("left2"), c("distance").alias("distance2"), c("of").alias("of2"), F.explode(F.sequence(c("block") - 1, c("block") + 1)).alias("block"))
-    rest = listed.join(probes, ["key", "block"]).where(
+    probes = apart.select("list", c("id").alias("id2"), c("n").alias("n2"), c("left").alias("left2"), c("distance").alias("distance2"), c("of").alias("of2"), F.explode(F.sequence(c("block") - 1, c("block") + 1)).alias("block"))
+    rest = joined.join(probes, ["list", "block"]).where(
         (c("of") != c("of2")) & _possible(percent, c("n"), c("left"), c("n2"), c("left2")) & (F.coalesce(F.abs(c("distance") - c("distance2")), F.lit(0.0)) <= 1 - percent / 100 + 1e-9)
     )
     rest = rest.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
