@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import saved, slices
-from .setlinks import index_lists, link_lists
+from .batches import dropped, saved, slices
+from .setlinks import index_lists, link_lists, maybe_in
 from .words import Words, mixed
 
 #: Bands of one row each: similarity 0.8 collides in some band with probability 1 - 0.2^3 = 0.992.
@@ -107,11 +107,15 @@ def repeated_paragraphs(docs: DataFrame, *, k: int = 5, percent: int = 80, min_w
             both = pd.concat(pairs).drop_duplicates()
             yield pa.RecordBatch.from_arrays([pa.array(both["key"].to_numpy()), pa.array(both["doc_id"].to_numpy())], ["key", "doc_id"])
 
-    found = rows.mapInArrow(keys, "key long, doc_id long")
+    all_keys = saved(rows.mapInArrow(keys, "key long, doc_id long"))
+    # Keys that occur once, which are most, are left out before the shuffle.
+    found = saved(all_keys.where(maybe_in(all_keys.select("key"), times=2, bits=27)(F.col("key"))))
+    dropped(all_keys)
     shared = found.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    wanted = found.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    # Only documents with a shared key are read again, and only their paragraphs with one are kept.
-    texts = rows.join(wanted.hint("shuffle_hash"), "doc_id")
+    wanted = saved(found.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
+    dropped(found)
+    # Only documents with a shared key are shuffled, and only their paragraphs with one are kept.
+    texts = rows.where(maybe_in(wanted.select("doc_id"))(F.col("doc_id"))).join(wanted.hint("shuffle_hash"), "doc_id")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -129,7 +133,7 @@ def repeated_paragraphs(docs: DataFrame, *, k: int = 5, percent: int = 80, min_w
     picked = saved(texts.select("doc_id", "text", "keys").mapInArrow(pick, "doc_id long, paragraph int, start int, stop int, n_words int, id long"))
     # Equal paragraphs collapse: their id is a 64-bit hash of their shingles. The shingles of one of each are read again.
     classes = saved(picked.groupBy("id").agg(F.min(F.struct("doc_id", "paragraph")).alias("one"), F.max("doc_id").alias("last_doc")))
-    ones = classes.groupBy("one.doc_id").agg(F.collect_list("one.paragraph").alias("numbers"))
+    ones = saved(classes.groupBy("one.doc_id").agg(F.collect_list("one.paragraph").alias("numbers")))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -139,8 +143,8 @@ def repeated_paragraphs(docs: DataFrame, *, k: int = 5, percent: int = 80, min_w
             flat, bounds = p.items(np.flatnonzero(np.isin(_pairs(p.number.astype(np.int64), p.owner), sought)))
             yield pa.RecordBatch.from_arrays([pa.array(_signs(flat, bounds)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))], ["id", "items"])
 
-    chosen = rows.join(ones.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "numbers").mapInArrow(gather, "id long, items array<long>")
-    items = saved(chosen.dropDuplicates(["id"]))
+    chosen = rows.where(maybe_in(ones.select("doc_id"))(F.col("doc_id"))).join(ones.hint("shuffle_hash"), "doc_id")
+    items = saved(chosen.select("doc_id", "text", "numbers").mapInArrow(gather, "id long, items array<long>"))
     groups = link_lists(index_lists(items, percent), lambda ids: items.join(ids, "id", "left_semi"), percent)
     placed = classes.select("id", "one.doc_id", "last_doc").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     keepers = placed.groupBy("component").agg(F.min("doc_id").alias("keeper_doc_id"), F.max("last_doc").alias("last_doc")).where("keeper_doc_id < last_doc")
