@@ -68,50 +68,99 @@ def _bit(c: str) -> int:
     return 1 << ord(c) % 61
 
 
+def _letters(words: list[str]) -> np.ndarray:
+    """The words' code points, a row each, filled up with zeros."""
+    width = max(map(len, words))
+    return np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), width)
+
+
+def _kernels(s: np.ndarray, t: np.ndarray, decay: float = DECAY) -> np.ndarray:
+    """subsequence_kernel() of many pairs of words at once: row i of s with row i of t, as _letters() has them.
+
+    Both running sums of the recursion are products with triangles of powers of the decay.
+    """
+
+    def triangle(n: int) -> np.ndarray:
+        gap = np.arange(n)[None, :] - np.arange(n)[:, None]
+        return np.where(gap >= 0, decay ** np.maximum(gap, 0), 0.0)
+
+    n, m = s.shape[1], t.shape[1]
+    down, right = triangle(n).T, triangle(m)
+    letters = np.ascontiguousarray(s.T)
+    match = ((letters[:, :, None] == t[None, :, :]) & (letters != 0)[:, :, None]) * decay**2  # n x pairs x m
+    now = match
+    for _ in range(LENGTH - 1):
+        sums = (down @ now.reshape(n, -1)).reshape(-1, m) @ right
+        now = np.zeros_like(match)
+        now[1:, :, 1:] = match[1:, :, 1:] * sums.reshape(match.shape)[:-1, :, :-1]
+    return now.sum((0, 2))
+
+
 class Landmarks(dict):
-    """Landmark strings; maps a word to its kernel values with them, as (positions, values) or None; keeps the latest."""
+    """Landmark strings, and the kernel values of the words met so far with them, as pairs (place, value) or None; keeps the latest."""
 
     def __init__(self, strings: list[str], most: int = 300_000):
         self.strings, self.most, self.older = strings, most, {}
-        self.norms = [math.sqrt(subsequence_kernel(s, s)) for s in strings]
-        self.masks = np.array([sum({_bit(c) for c in s}) for s in strings], np.int64)
+        self.norms = np.array([math.sqrt(subsequence_kernel(s, s)) for s in strings])
+        self.letters = _letters(strings) if strings else np.zeros((0, 1), "<u4")
+        self.masks = self._masks(self.letters)
         sizes = np.bitwise_count(self.masks).astype(np.int64)
         self.need = np.maximum(sizes - np.where(sizes > 4, 1, 0), 3)
-        gram = np.array([[self._value(a, j) for j in range(len(strings))] for a in strings]).reshape(len(strings), len(strings))
+        gram = np.array([[subsequence_kernel(a, b) for b in strings] for a in strings]).reshape(len(strings), len(strings)) / np.outer(self.norms, self.norms)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         self.map = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T  # gram^(-1/2)
 
-    def _value(self, word: str, j: int) -> float:
-        k = subsequence_kernel(word, self.strings[j])
-        return k / (self.norms[j] * math.sqrt(subsequence_kernel(word, word))) if k else 0.0
+    @staticmethod
+    def _masks(letters: np.ndarray) -> np.ndarray:
+        """A set of letters (modulo 61) as bits of a number, for each word."""
+        bits = np.where(letters > 0, np.int64(1) << (letters % 61).astype(np.int64), 0)
+        return np.bitwise_or.reduce(bits, axis=1)
 
-    def __missing__(self, word: str):
+    def learn(self, words: set[str]) -> None:
+        """Add the kernel values of the words that are new."""
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        out = self.older.get(word, False)
-        if out is False:
-            out, plain = None, word if word.isalnum() else _MARKS.sub("", word)
-            if 3 <= len(plain) <= 40:
-                mask = 0
-                for c in plain:
-                    mask |= 1 << ord(c) % 61
-                near = np.flatnonzero(np.bitwise_count(self.masks & mask) >= self.need).tolist()
-                pairs = [(j, v) for j in near if (v := self._value(plain, j)) >= FLOOR]
-                out = tuple(pairs) or None
-        self[word] = out
-        return out
-
-    def features(self, text: str) -> np.ndarray:
-        """Nyström features of the sum kernel of the text's words: of the sum and of the mean, logarithms of both."""
-        sums, total = np.zeros(len(self.strings)), 0
-        for word, n in words_of(text).items():
-            total += n
-            pairs = self[word]
-            if pairs:
-                for j, v in pairs:
-                    sums[j] += n * v
-        return np.concatenate([np.log1p(sums) @ self.map, np.log1p(sums * (100 / max(total, 1))) @ self.map])
+        plain: dict[str, str] = {}
+        for word in words:
+            if word in self:
+                continue
+            if word in self.older:
+                self[word] = self.older[word]
+            else:
+                self[word] = None
+                p = word if word.isalnum() else _MARKS.sub("", word)
+                if 3 <= len(p) <= 40:
+                    plain[word] = p
+        by_size = sorted(plain, key=lambda w: len(plain[w]))
+        for i in range(0, len(by_size), 4096):
+            some = by_size[i : i + 4096]
+            letters = _letters([plain[w] for w in some])
+            at, mark = np.nonzero(np.bitwise_count(self._masks(letters)[:, None] & self.masks[None, :]) >= self.need[None, :])
+            for k in range(0, len(at), 4096):
+                a, m = at[k : k + 4096], mark[k : k + 4096]
+                values = _kernels(letters[a], self.letters[m])
+                hit = values > 0
+                a, m, values = a[hit], m[hit], values[hit]
+                own, back = np.unique(a, return_inverse=True)
+                values = values / (self.norms[m] * np.sqrt(_kernels(letters[own], letters[own]))[back])
+                for w, j, v in zip(a.tolist(), m.tolist(), values.tolist(), strict=True):
+                    if v >= FLOOR:
+                        self[some[w]] = (*(self[some[w]] or ()), (j, v))
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Nyström features of the sum kernel of each text's words: of the sum and of the mean, logarithms of both."""
+        sums, means = np.zeros((len(texts), len(self.strings))), np.zeros((len(texts), len(self.strings)))
+        counted = [words_of(t) for t in texts]
+        self.learn(set().union(*counted))
+        for row, words in enumerate(counted):
+            total = 0
+            for word, n in words.items():
+                total += n
+                for j, v in self[word] or ():
+                    sums[row, j] += n * v
+            means[row] = sums[row] * (100 / max(total, 1))
+        return np.concatenate([np.log1p(sums) @ self.map, np.log1p(means) @ self.map], axis=1)
 
 
 @dataclass(frozen=True)
@@ -124,10 +173,13 @@ class Model:
     slope: float
     shift: float
 
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Probabilities that the texts are toxic; an empty text's is that of one without any landmark."""
+        margins = _landmarks(self.strings).features(texts) @ np.asarray(self.weights) + self.bias
+        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -30, 30)))
+
     def score(self, text: str) -> float:
-        """Probability that the text is toxic; an empty text's is that of one without any landmark."""
-        margin = float(np.dot(self.weights, _landmarks(self.strings).features(text))) + self.bias
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * margin + self.shift))))
+        return float(self.scores([text])[0])
 
 
 @lru_cache(maxsize=1)
@@ -225,7 +277,7 @@ def fit(texts: DataFrame, *, max_rows: int = 10_000, landmarks: int = 64, candid
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = _landmarks(strings)
         for part in slices(batches, "text"):
-            rows = [marks.features(t or "").tolist() for t in part.column(1).to_pylist()]
+            rows = marks.features([t or "" for t in part.column(1).to_pylist()]).tolist()
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
     rows = sample.mapInArrow(describe, "doc_id long, toxic int, x array<double>").toPandas().sort_values("doc_id")
@@ -246,13 +298,14 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
 
     @F.pandas_udf("double")
     def toxicity(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: model.score(t or "")).astype(float)
+        plain = ["" if t is None else t for t in texts.tolist()]
+        return pd.Series(np.concatenate([np.zeros(0), *(model.scores(plain[i : i + 500]) for i in range(0, len(plain), 500))]))
 
     if keep:
         return docs.withColumn("toxicity", toxicity(F.col(text_col).cast("string")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.score(t or "") for t in part.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores([t or "" for t in part.column(1).to_pylist()]), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, "doc_id long, score double")
