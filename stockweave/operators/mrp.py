@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,19 +50,21 @@ def cascade(params: DataFrame, gross: DataFrame, receipts: DataFrame, bom: DataF
 
     `params` has item_id, llc, is_make, on_hand, safety, lead_days, lot_rule, periods, eoq,
     top, moq, multiple, most. `gross` and `receipts` (item_id, bucket, qty) are independent
-    demand and firm supply. Items of a level don't depend on each other: each is one group
-    of at most 2 x `weeks` rows. Made orders become their components' demand at release.
+    demand and firm supply. Items of a level don't depend on each other: each is one row
+    with at most 2 x `weeks` entries. Made orders become their components' demand at release.
     """
 
-    def plan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        need, supply = [0.0] * weeks, [0.0] * weeks
-        for bucket, qty, kind in zip(rows["bucket"], rows["qty"], rows["entry"], strict=True):
-            if 0 <= bucket < weeks:
-                (need if kind == "gross" else supply)[int(bucket)] += qty
-        p = rows.iloc[0].to_dict()
-        kind = "WO" if p["is_make"] else "PO"
-        orders = [(int(key[0]), q, r, n, kind, late) for q, r, n, late in plan_item(need, supply, p["on_hand"], p)]
-        return pd.DataFrame(orders, columns=[c.split()[0] for c in PLANNED.split(", ")])
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for items in batches:
+            orders = []
+            for p in items.to_dict("records"):
+                need, supply = [0.0] * weeks, [0.0] * weeks
+                for e in p["entries"] if p["entries"] is not None else ():
+                    if 0 <= e["bucket"] < weeks:
+                        (need if e["entry"] == "gross" else supply)[e["bucket"]] += e["qty"]
+                kind = "WO" if p["is_make"] else "PO"
+                orders += [(int(p["item_id"]), q, r, n, kind, late) for q, r, n, late in plan_item(need, supply, p["on_hand"], p)]
+            yield pd.DataFrame(orders, columns=[c.split()[0] for c in PLANNED.split(", ")])
 
     spark = params.sparkSession
     entries = gross.select("item_id", "bucket", "qty", F.lit("gross").alias("entry")).unionByName(receipts.select("item_id", "bucket", "qty", F.lit("receipt").alias("entry")))
@@ -71,9 +74,10 @@ def cascade(params: DataFrame, gross: DataFrame, receipts: DataFrame, bom: DataF
     for level in range(int(params.agg(F.max("llc")).first()[0] or 0) + 1):
         here = params.where(F.col("llc") == level)
         own = entries.where(F.col("llc") == level).select("item_id", "bucket", "qty", "entry").unionByName(dependent)
-        # An item without any entry still has its safety stock to meet.
-        rows = here.join(own, "item_id", "left").withColumn("bucket", F.coalesce("bucket", F.lit(-1))).withColumn("qty", F.coalesce("qty", F.lit(0.0))).withColumn("entry", F.coalesce("entry", F.lit("gross")))
-        orders = _cut(rows.groupBy("item_id").applyInPandas(plan, PLANNED))
+        # Entries are summed before they are gathered, so an item has 2 x `weeks` at most; one without any still has its safety stock to meet.
+        sums = own.groupBy("item_id", "bucket", "entry").agg(F.sum("qty").alias("qty"))
+        lists = sums.groupBy("item_id").agg(F.collect_list(F.struct("bucket", "qty", "entry")).alias("entries"))
+        orders = _cut(here.join(lists, "item_id", "left").mapInPandas(plan, PLANNED))
         planned = planned.unionByName(orders)
         made = orders.where("kind = 'WO'").join(bom, F.col("item_id") == F.col("parent"))
         needs = made.select(F.col("component").alias("item_id"), F.col("release_bucket").alias("bucket"), (F.col("qty") * F.col("qty_per") * (1 + F.col("scrap"))).alias("qty"), F.lit("gross").alias("entry"))
