@@ -1,7 +1,8 @@
 """Substring deduplication: repeated paragraphs, by MinHash bands and exact Jaccard.
 
 A paragraph starts at each sentence and takes whole sentences until it has enough
-words, so that a passage is found wherever in a line or text it was placed.
+words, so that a passage is found wherever in a line or text it was placed. Windows
+start at words chosen by content, so that a passage is found wherever sentences end.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .batches import dropped, saved, slices
 from .setlinks import index_lists, link_lists, maybe_in
-from .words import Words, mixed
+from .words import _STEP, Words, mixed
 
 #: Bands of one row each: similarity 0.8 collides in some band with probability 1 - 0.2^3 = 0.992.
 BANDS = 3
@@ -25,7 +26,11 @@ _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093
 
 
 class Paragraphs:
-    """The paragraphs of a column's texts: word ranges, byte ranges, band keys, shingles."""
+    """The paragraphs and, after them, the windows of a column's texts: word ranges, byte ranges, keys, shingles.
+
+    `keys` are pairs of 64-bit keys and the places of what has them: three bands of the
+    paragraphs, and one key of the windows, which is a hash of all their words.
+    """
 
     def __init__(self, texts: pa.Array, k: int, min_words: int):
         w = self.words = Words(texts)
@@ -51,7 +56,42 @@ class Paragraphs:
         self.keys = []
         for seed in _SEEDS:
             mins = np.minimum.reduceat(np.append(mixed(self.shingle ^ seed), np.uint64(0)), pairs)[::2] if len(pairs) else np.zeros(0, np.uint64)
-            self.keys.append(mixed(mins + seed).view(np.int64))
+            self.keys.append((mixed(mins + seed).view(np.int64), np.arange(len(self.lo))))
+        self.paragraphs = len(self.lo)
+        lo, owner = self._windows(min_words)
+        self.window_key = np.full(len(lo), min_words, np.uint64)
+        for i in range(min_words):
+            self.window_key = mixed(self.window_key * _STEP + w.hash[lo + i])
+        self.window_key = self.window_key.view(np.int64)
+        self.keys.append((self.window_key, self.paragraphs + np.arange(len(lo))))
+        self.lo, self.hi = np.concatenate([self.lo, lo]), np.concatenate([self.hi, lo + min_words])
+        self.owner = np.concatenate([self.owner, owner])
+        self.number = np.concatenate([self.number, np.searchsorted(owner, owner) - np.arange(len(lo)) - 1])  # -1, -2, ... in each text
+
+    def _windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the windows of `size` words, and their texts.
+
+        A window starts at the least shingle (the last of equal ones) of each `size` in a row
+        in a text. So a run of 2 size - 1 words holds the same whole windows wherever it
+        occurs: its first `size` shingles choose one that ends in it.
+        """
+        n = len(self.shingle)
+        if n < size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        low = np.uint64(0xFFFFFFFF)
+        least = (self.shingle & ~low) | (low - np.arange(n, dtype=np.uint64))
+        done = 1
+        while done < size:
+            step = min(done, size - done)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            done += step
+        at = np.arange(len(least))
+        owner = np.searchsorted(self.words.first, at, side="right") - 1
+        fits = at + size + self.k - 1 <= self.words.first[owner + 1]
+        lo = np.unique((low - (least[fits] & low)).astype(np.int64))
+        owner = np.searchsorted(self.words.first, lo, side="right") - 1
+        fits = lo + size <= self.words.first[owner + 1]
+        return lo[fits], owner[fits]
 
     def items(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles of the chosen paragraphs, one after another, and where each one's begin (and the end)."""
@@ -92,7 +132,15 @@ def repeated_paragraphs(docs: DataFrame, *, k: int = 5, percent: int = 80, min_w
     collided is compared exactly, in lists of its rarest shingles, so that paragraphs that
     only overlap a common passage don't meet. The components of these links keep the paragraph of their least doc_id and remove those
     of all other documents; keepers are listed with removed = false. Starts and stops
-    are code points. Texts of fewer than `min_words` words have no paragraphs, and
+    are code points.
+
+    Windows of `min_words` words at places chosen by content recur when they are equal
+    to one of another document; their `paragraph` is negative. Each run of 2 min_words - 1
+    words that two documents share holds one or more, wherever sentences end, and those of
+    a longer run overlap or touch. What may be left of a run are fewer than min_words words
+    before its first window and fewer than min_words after its last one.
+
+    Texts of fewer than `min_words` words have no paragraphs, and
     repeats within one document are left. Rows with a null id or null text take no
     part; repeated rows count as one document; an empty table gives no rows; columns
     other than the two named are not read.
@@ -103,7 +151,7 @@ def repeated_paragraphs(docs: DataFrame, *, k: int = 5, percent: int = 80, min_w
         for part in slices(batches, "text"):
             p = Paragraphs(part.column(1), k, min_words)
             ids = part.column(0).to_numpy()[p.owner]
-            pairs = [pd.DataFrame({"key": x, "doc_id": ids}) for x in p.keys]
+            pairs = [pd.DataFrame({"key": x, "doc_id": ids[at]}) for x, at in p.keys]
             both = pd.concat(pairs).drop_duplicates()
             yield pa.RecordBatch.from_arrays([pa.array(both["key"].to_numpy()), pa.array(both["doc_id"].to_numpy())], ["key", "doc_id"])
 
@@ -123,17 +171,20 @@ def repeated_paragraphs(docs: DataFrame, *, k: int = 5, percent: int = 80, min_w
             lists = part.column(2)
             sought = _pairs(lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy()))
             hit = np.zeros(len(p.lo), bool)
-            for key in p.keys:
-                hit |= np.isin(_pairs(key, p.owner), sought)
+            for key, at in p.keys:
+                hit[at] |= np.isin(_pairs(key, p.owner[at]), sought)
             chosen = np.flatnonzero(hit)
             start, stop = p.chars(chosen)
-            columns = [part.column(0).to_numpy()[p.owner[chosen]], p.number[chosen], start, stop, p.hi[chosen] - p.lo[chosen], _signs(*p.items(chosen))]
+            signs = _signs(*p.items(chosen[chosen < p.paragraphs]))
+            names = np.concatenate([signs, p.window_key[hit[p.paragraphs :]]])
+            columns = [part.column(0).to_numpy()[p.owner[chosen]], p.number[chosen], start, stop, p.hi[chosen] - p.lo[chosen], names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.int32()] * 4, pa.int64()], strict=True)], ["doc_id", "paragraph", "start", "stop", "n_words", "id"])
 
     picked = saved(texts.select("doc_id", "text", "keys").mapInArrow(pick, "doc_id long, paragraph int, start int, stop int, n_words int, id long"))
     # Equal paragraphs collapse: their id is a 64-bit hash of their shingles. The shingles of one of each are read again.
     classes = saved(picked.groupBy("id").agg(F.min(F.struct("doc_id", "paragraph")).alias("one"), F.max("doc_id").alias("last_doc")))
-    ones = saved(classes.groupBy("one.doc_id").agg(F.collect_list("one.paragraph").alias("numbers")))
+    # Windows recur by being equal, so only paragraphs are compared further.
+    ones = saved(classes.where("one.paragraph >= 0").groupBy("one.doc_id").agg(F.collect_list("one.paragraph").alias("numbers")))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):

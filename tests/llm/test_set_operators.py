@@ -101,6 +101,29 @@ def test_substring_dedup(spark):
     assert substrings.repeated_paragraphs(docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_finds_repeats_wherever_sentences_end(spark):
+    passages = [prose(50) for _ in range(30)]
+    texts = [[prose(rng.randint(60, 150)), p, prose(rng.randint(60, 150))] for p in passages * 2]
+    texts[7][0], texts[8][2] = "", ""  # at a text's start and end
+    texts += [["word " * 500], ["word " * 300], [prose(300)], [prose(24)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = substrings.repeated_paragraphs(docs)
+    for r in found.collect():
+        assert r.doc_id < 62
+        own = " ".join(texts[r.doc_id])[r.start : r.stop]
+        assert r.n_words == len(own.split()) and (r.doc_id >= 60 or own in passages[r.doc_id % 30])
+        assert r.keeper_doc_id == (60 if r.doc_id >= 60 else r.doc_id % 30) and r.removed == (r.doc_id != r.keeper_doc_id)
+    cut = {r.doc_id: r.text for r in substrings.without_repeats(docs, found).collect()}
+    for i, t in enumerate(texts):
+        words, left = " ".join(t).split(), cut[i].split()
+        if 30 <= i < 60:
+            assert len(words) - 50 <= len(left) <= len(words) - 25
+            assert " ".join(left).startswith(" ".join(t[0].split())) and " ".join(left).endswith(" ".join(t[2].split()))
+        elif i != 61:
+            assert cut[i] == " ".join(t)
+    assert len(cut[61].split()) < 50
+
+
 def test_nearest_neighbours(spark):
     gen = np.random.default_rng(3)
     x = gen.normal(size=(1500, 24)).astype("<f4")
