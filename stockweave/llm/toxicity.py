@@ -24,8 +24,10 @@ from .batches import saved, slices
 
 #: Subsequences of this length count, each with DECAY to the power of the span it covers.
 LENGTH, DECAY = 3, 0.6
-#: Kernel values below this are taken for no match.
-FLOOR = 0.4
+#: Kernel values from this on are also summed apart: such words are close to a landmark.
+CLOSE = 0.4
+#: Those of all words are summed to this power: weak ones count little, as many clean words have them, but none is cut.
+POWER = 2
 #: Single characters written apart: `a b c d`.
 _APART = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 _MARKS = re.compile(r"[\W_]+")
@@ -145,12 +147,14 @@ class Landmarks(dict):
                 own, back = np.unique(a, return_inverse=True)
                 values = values / (self.norms[m] * np.sqrt(_kernels(letters[own], letters[own]))[back])
                 for w, j, v in zip(a.tolist(), m.tolist(), values.tolist(), strict=True):
-                    if v >= FLOOR:
-                        self[some[w]] = (*(self[some[w]] or ()), (j, v))
+                    self[some[w]] = (*(self[some[w]] or ()), (j, v))
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Nyström features of the sum kernel of each text's words: of the sum and of the mean, logarithms of both."""
-        sums, means = np.zeros((len(texts), len(self.strings))), np.zeros((len(texts), len(self.strings)))
+        """Nyström features of the sum kernel of each text's words: of the sum and of the mean, logarithms of both.
+
+        Those of the close words come first, then those of all words, however weak their values are.
+        """
+        close, close_means, sums, means = np.zeros((4, len(texts), len(self.strings)))
         counted = [words_of(t) for t in texts]
         self.learn(set().union(*counted))
         for row, words in enumerate(counted):
@@ -158,9 +162,11 @@ class Landmarks(dict):
             for word, n in words.items():
                 total += n
                 for j, v in self[word] or ():
-                    sums[row, j] += n * v
-            means[row] = sums[row] * (100 / max(total, 1))
-        return np.concatenate([np.log1p(sums) @ self.map, np.log1p(means) @ self.map], axis=1)
+                    sums[row, j] += n * v**POWER
+                    if v >= CLOSE:
+                        close[row, j] += n * v
+            means[row], close_means[row] = sums[row] * (100 / max(total, 1)), close[row] * (100 / max(total, 1))
+        return np.concatenate([np.log1p(x) @ self.map for x in (close, close_means, sums, means)], axis=1)
 
 
 @dataclass(frozen=True)
@@ -236,7 +242,7 @@ def fit(texts: DataFrame, *, max_rows: int = 10_000, landmarks: int = 64, candid
     """Fit on (doc_id, text, toxic) rows, or on about `max_rows` of them chosen by a hash of their ids.
 
     The bound holds what the driver receives: `candidates` strings, and a row of
-    2 x `landmarks` features for each row of the sample. Rows with a null label take no
+    4 x `landmarks` features for each row of the sample. Rows with a null label take no
     part; without rows of both labels every score is the share of toxic rows.
     """
     labelled = texts.where("toxic is not null")

@@ -166,6 +166,18 @@ def test_subsequence_kernel():
         assert toxicity.subsequence_kernel(s, t) == pytest.approx(slow(s, t))
 
 
+def test_weak_kernel_values_reach_the_features():
+    insults = ["trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "loser", "scum", "moron"]
+    marks = toxicity.Landmarks(insults)
+    for j, word in enumerate(insults):
+        for gaps in (1, 2, len(word) - 1):
+            text = "x".join(word[:gaps]) + "x" + word[gaps:]
+            marks.learn({text})
+            want = toxicity.subsequence_kernel(text, word) / (marks.norms[j] * toxicity.subsequence_kernel(text, text) ** 0.5)
+            assert want > 0 and dict(marks[text])[j] == pytest.approx(want)
+            assert np.abs(marks.features([text]) - marks.features([""])).max() > 0.01
+
+
 def test_toxicity_on_held_out_texts(spark):
     insults = ["blockhead", "nitwit", "scoundrel"]
     rows = []
