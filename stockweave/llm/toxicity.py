@@ -28,6 +28,8 @@ LENGTH, DECAY = 3, 0.6
 CLOSE = 0.4
 #: Those of all words are summed to this power: weak ones count little, as many clean words have them, but none is cut.
 POWER = 2
+#: Longer words and joined runs are compared in overlapping pieces of this length.
+PIECE = 20
 #: Single characters written apart: `a b c d`.
 _APART = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 _MARKS = re.compile(r"[\W_]+")
@@ -104,6 +106,7 @@ class Landmarks(dict):
     def __init__(self, strings: list[str], most: int = 300_000):
         self.strings, self.most, self.older = strings, most, {}
         self.norms = np.array([math.sqrt(subsequence_kernel(s, s)) for s in strings])
+        self.longest = max(map(len, strings), default=0)
         self.letters = _letters(strings) if strings else np.zeros((0, 1), "<u4")
         self.masks = self._masks(self.letters)
         sizes = np.bitwise_count(self.masks).astype(np.int64)
@@ -118,12 +121,20 @@ class Landmarks(dict):
         bits = np.where(letters > 0, np.int64(1) << (letters % 61).astype(np.int64), 0)
         return np.bitwise_or.reduce(bits, axis=1)
 
+    def _pieces(self, word: str) -> set[str]:
+        """The word, or overlapping pieces of a long one: each run as long as the longest landmark lies whole in one."""
+        size = max(PIECE, self.longest + 4)
+        if len(word) <= size:
+            return {word}
+        step = size - self.longest
+        return {word[i : i + size] for i in range(0, len(word) - self.longest + 1, step)}
+
     def learn(self, words: set[str]) -> None:
-        """Add the kernel values of the words that are new."""
+        """Add the kernel values of the words that are new: of a long word the largest of its pieces."""
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        plain: dict[str, str] = {}
+        plain: list[tuple[str, str]] = []
         for word in words:
             if word in self:
                 continue
@@ -132,12 +143,13 @@ class Landmarks(dict):
             else:
                 self[word] = None
                 p = word if word.isalnum() else _MARKS.sub("", word)
-                if 3 <= len(p) <= 40:
-                    plain[word] = p
-        by_size = sorted(plain, key=lambda w: len(plain[w]))
+                if len(p) >= 3:
+                    plain += [(piece, word) for piece in self._pieces(p)]
+        by_size = sorted(plain, key=lambda x: len(x[0]))
+        best: dict[tuple[str, int], float] = {}
         for i in range(0, len(by_size), 4096):
             some = by_size[i : i + 4096]
-            letters = _letters([plain[w] for w in some])
+            letters = _letters([piece for piece, _ in some])
             at, mark = np.nonzero(np.bitwise_count(self._masks(letters)[:, None] & self.masks[None, :]) >= self.need[None, :])
             for k in range(0, len(at), 4096):
                 a, m = at[k : k + 4096], mark[k : k + 4096]
@@ -147,7 +159,10 @@ class Landmarks(dict):
                 own, back = np.unique(a, return_inverse=True)
                 values = values / (self.norms[m] * np.sqrt(_kernels(letters[own], letters[own]))[back])
                 for w, j, v in zip(a.tolist(), m.tolist(), values.tolist(), strict=True):
-                    self[some[w]] = (*(self[some[w]] or ()), (j, v))
+                    at_word = some[w][1], j
+                    best[at_word] = max(v, best.get(at_word, 0.0))
+        for (word, j), v in best.items():
+            self[word] = (*(self[word] or ()), (j, v))
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Nyström features of the sum kernel of each text's words: of the sum and of the mean, logarithms of both.

@@ -178,6 +178,22 @@ def test_weak_kernel_values_reach_the_features():
             assert np.abs(marks.features([text]) - marks.features([""])).max() > 0.01
 
 
+def test_long_words_and_runs_are_compared_in_pieces():
+    marks = toxicity.Landmarks(["idiot", "stupid", "disgusting"])
+    run = "everybodyknowsthatyouareanidiotandthatisallthereistosayhere"
+    filler = "".join(chr(0x4E00 + i) for i in range(3000))
+    for text in (run, " ".join(run), run[:26] + "idiot", "idiot" + run[31:], filler + "idiot" + filler):
+        (word,) = [w for w in toxicity.words_of(text) if len(w) > 4]
+        marks.learn({word})
+        assert dict(marks[word])[0] > 0.25
+    marks.learn({"youarestupidandatrashmoron"})
+    assert dict(marks["youarestupidandatrashmoron"])[1] > 0.36  # the whole has 0.345
+    assert marks._pieces("a" * 20) == {"a" * 20}
+    for n in (21, 40, 41, 97):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        assert all(any(word[i : i + 10] in p for p in marks._pieces(word)) for i in range(n - 9))
+
+
 def test_toxicity_on_held_out_texts(spark):
     insults = ["blockhead", "nitwit", "scoundrel"]
     rows = []
