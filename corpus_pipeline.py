@@ -20,14 +20,12 @@ from stockweave.llm.queries import training_rows
 #: Neither the model nor the hash partitions can be stated in SQL.
 ORACLE_SQL: str | None = None
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents scored as high as this are rejected.
-TOXIC = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC, by a model fitted on the labelled rows that aren't held out."""
+    """Documents whose toxicity score is below toxicity.TOXIC (the decision of op8), by a model fitted on the labelled rows that aren't held out."""
     model = toxicity.fit(training_rows(docs, read(spark, sf_dir, "labels")))
-    return toxicity.score_documents(docs, model, keep=True).where(F.col("toxicity") < TOXIC).select(*COLUMNS)
+    return toxicity.score_documents(docs, model, keep=True).where(F.col("toxicity") < toxicity.TOXIC).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

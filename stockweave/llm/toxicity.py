@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .batches import saved, slices
 
+#: Texts scored as high as this are taken for toxic.
+TOXIC = 0.3
 #: Subsequences of this length count, each with DECAY to the power of the span it covers.
 LENGTH, DECAY = 3, 0.6
 #: Kernel values from this on are also summed apart: such words are close to a landmark.

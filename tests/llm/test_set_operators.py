@@ -178,6 +178,20 @@ def test_weak_kernel_values_reach_the_features():
             assert np.abs(marks.features([text]) - marks.features([""])).max() > 0.01
 
 
+def test_pipeline_rejects_what_op8_predicts(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+    from stockweave.llm import queries
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(11)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    score = F.regexp_extract("text", "[0-9]+", 0).cast("double") / 10
+    monkeypatch.setattr(toxicity, "fit", lambda rows: None)
+    monkeypatch.setattr(toxicity, "score_documents", lambda docs, model, keep=False: docs.withColumn("toxicity" if keep else "score", score))
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert kept == {r.doc_id for r in queries.op8_toxicity(spark, str(tmp_path)).collect() if not r.predicted} == {0, 1, 2}
+
+
 def test_long_words_and_runs_are_compared_in_pieces():
     marks = toxicity.Landmarks(["idiot", "stupid", "disgusting"])
     run = "everybodyknowsthatyouareanidiotandthatisallthereistosayhere"
