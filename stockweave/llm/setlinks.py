@@ -1,27 +1,31 @@
 """Links between similar sets, and the components that they form.
 
-Sets meet in the lists of an inverted index. Linking skips by set relations: sets
-already known to be connected through a similar set aren't compared again, a
-similar set's measured distances rule out others, and lists are read only in the
-blocks of set sizes that can match.
+Sets meet in the lists of an inverted index. The first set of a list by position is
+its head, and all others are compared with it. What the head's answers already connect
+is not compared again; for the rest, lists are read only in the blocks of sizes that
+an entry's position allows, and a pair is answered from the two sets' differences to
+their common head.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .batches import dropped, saved
 
-#: Bits of a key's place in the table of frequent keys.
-TABLE_BITS = 20
+#: As many 64-bit ids at most are broadcast (some 16 bytes each); beyond, tables are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Blocks of sizes in the range of sizes that may match.
+BLOCKS = 8
+
+
+def restrict(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose `column` is in `ids` (distinct and written, one column of that name)."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash"), column, "left_semi")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,158 +34,102 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each writes its edges to the shared
     folder, so lost executors cost one step.
     """
-    edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+
+    def step(edges: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        written = saved(edges.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")))
+        return written, seen.get
+
+    edges, now = step(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     before = None
-    while True:
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
-        if now == before or not now.n:
-            return edges.selectExpr("hi as id", "lo as component").unionByName(edges.selectExpr("lo as id", "lo as component").distinct())
-        before = now
+    while now != before and now.get("n"):
         both = edges.selectExpr("hi as u", "lo as v").unionByName(edges.selectExpr("lo as u", "hi as v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        shorter = saved(small.unionByName(down.select("hi", F.col("m").alias("lo"))).distinct())
+        before = now
+        shorter, now = step(small.unionByName(down.select("hi", F.col("m").alias("lo"))).distinct())
         dropped(edges)
         edges = shorter
+    return edges.selectExpr("hi as id", "lo as component").unionByName(edges.selectExpr("lo as id", "lo as component").distinct())
 
 
-def _table(places: DataFrame, bits: int, kind: type, piece_bits: int = 16) -> np.ndarray:
-    """An array of 2^bits numbers from (place, value), zero where no row is; tasks make it in pieces, which the driver joins."""
-
-    def make(part: pd.DataFrame) -> pd.DataFrame:
-        places, piece = part["place"].to_numpy(np.int64), np.zeros(1 << piece_bits, kind)
-        piece[places & (1 << piece_bits) - 1] = part["value"].to_numpy(np.int64).astype(kind)
-        return pd.DataFrame({"piece": places[:1] >> piece_bits, "data": [piece.tobytes()]})
-
-    table = np.zeros(1 << bits, kind)
-    pieces = places.groupBy(F.shiftright("place", piece_bits)).applyInPandas(make, "piece int, data binary")
-    for r in pieces.toLocalIterator():
-        table[r.piece << piece_bits : r.piece + 1 << piece_bits] = np.frombuffer(r.data, kind)
-    return table
-
+def least_shared(n: Column, percent: int) -> Column:
+    """How many items a set of n shares at least with any of `percent` per cent similarity."""
+    return F.ceil(n * percent / 100)
 
-def levels_of(counts: DataFrame) -> np.ndarray:
-    """A table of 2^TABLE_BITS places from (key, n): each has the binary logarithm of the highest count of its keys.
 
-    It orders keys, rare ones first, so that sets which share frequent keys only don't meet. Its
-    size doesn't grow with the input, and keys that share a place cost time and no links.
-    """
-    place = F.shiftrightunsigned("key", 64 - TABLE_BITS).cast("int").alias("place")
-    return _table(counts.select(place, F.floor(F.log2("n")).cast("int").alias("level")).groupBy("place").agg(F.max("level").alias("value")), TABLE_BITS, np.uint8)
-
-
-def maybe_in(keys: DataFrame, *, times: int = 1, bits: int = 24) -> Callable[[Column], Column]:
-    """A test on a column of 64-bit keys: whether its value may occur in `keys` (one long column), `times` times or more.
+def index_lists(items: DataFrame, percent: int) -> DataFrame:
+    """The index (key, id, n, left) of sets (id, items): each under its rarest items.
 
-    Of each key's hash `bits` bits are kept; those that occur form a bitmap of fixed size
-    (2^bits / 8 bytes), which goes to all tasks. It is exact where it says no; once the
-    input fills it, it only says no less often. What it leaves, a join decides.
+    Items are ordered from rare to frequent, by the binary logarithm of their exact counts
+    and then by value. A set stands in the lists of its first items, as many as any
+    similar set must share one of; `left` of its items come after. Items that no other
+    set has make no list.
     """
-    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits).cast("int")
-    slots = keys.select(slot(F.col(keys.columns[0])).alias("slot"))
-    slots = slots.distinct() if times == 1 else slots.groupBy("slot").count().where(F.col("count") >= times)
-    words = slots.groupBy(F.shiftright("slot", 6).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("value"))
-    shared = keys.sparkSession.sparkContext.broadcast(_table(words, bits - 6, np.uint64, min(16, bits - 6)))
+    items = items.select("id", F.size("items").alias("n"), F.explode("items").alias("key"))
+    counts = saved(items.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.floor(F.log2("m")).cast("int").alias("level")))
+    placed = items.join(counts, "key").withColumn("left", F.expr("row_number() over (partition by id order by level desc, key desc) - 1"))
+    return placed.where(F.col("left") + 1 >= least_shared(F.col("n"), percent)).select("key", "id", "n", "left")
 
-    @F.pandas_udf("boolean")
-    def test(at: pd.Series) -> pd.Series:
-        slots = at.to_numpy(np.int64)
-        return pd.Series((shared.value[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
 
-    return lambda c: test(slot(c))
+def _most(n: Column, left: Column, percent: int) -> Column:
+    """How large a set may be that shares at most left + 1 items with one of n and is similar to it."""
+    return F.floor((left + 1) * (100 + percent) / percent) - n
 
 
-def prefix(items: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest items of a set, as many as any set of `percent` per cent similarity must share one of; rarest first."""
-    if not len(items):
-        return items
-    keep = len(items) - -(-percent * len(items) // 100) + 1
-    return items[np.lexsort((items, levels[(items >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]))[:keep]]
-
-
-def index_lists(items: DataFrame, percent: int) -> DataFrame:
-    """The index (key, id, n, left) of sets (id, items): each under its rarest items."""
-    counts = items.select(F.explode("items").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    table = items.sparkSession.sparkContext.broadcast(levels_of(counts))  # TABLE_BITS bound its size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = b.column(1).flatten().to_numpy().view(np.uint64)
-            ends = np.cumsum(pc.list_value_length(b.column(1)).to_numpy())
-            sets = np.split(flat, ends[:-1]) if len(ends) else []
-            own = [prefix(x, table.value, percent) for x in sets]
-            kept, sizes = np.array([len(x) for x in own], np.int64), np.array([len(x) for x in sets], np.int64)
-            at = np.concatenate([np.arange(n) for n in kept]) if own else np.zeros(0, np.int64)
-            n = np.repeat(sizes, kept)
-            keys = np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)
-            ids = np.repeat(b.column(0).to_numpy(), kept)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(n, pa.int32()), pa.array(n - at - 1, pa.int32())], ["key", "id", "n", "left"])
-
-    return items.select("id", "items").mapInArrow(run, "key long, id long, n int, left int")
-
-
-def _possible(percent: int, n1: Column, left1: Column, n2: Column, left2: Column) -> Column:
-    """Whether two sets may be similar, from their sizes and how many of their items come after the shared one."""
-    sizes = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
-    return sizes & ((F.least(left1, left2) + 1) * (100 + percent) >= (n1 + n2) * percent)
-
-
-def _tested(pairs: DataFrame, items_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(a, b, distance, linked): exact Jaccard of each pair."""
-    items = items_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    one = items.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("items").alias("items_a"))
-    two = items.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-    same = pairs.join(two, "b").join(one, "a").select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("same"), (F.size("items_a") + F.size("items_b")).alias("sizes"))
-    return same.select("a", "b", (1 - F.col("same") / (F.col("sizes") - F.col("same"))).alias("distance"), (F.col("same") * 100 >= (F.col("sizes") - F.col("same")) * percent).alias("linked"))
-
-
-def link_lists(lists: DataFrame, items_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def link_lists(lists: DataFrame, items: DataFrame, percent: int, groups: DataFrame | None = None) -> DataFrame:
     """Components (id, component) of sets whose Jaccard similarity is `percent` or more; sets without a link don't come back.
 
     `lists` (key, id, n, left) is the index: set `id` of n items stands in the list of
-    `key`, with `left` of its items after it. Each pair to be found shares a list.
-    `items_of` gives (id, items array<long>) for a table of ids, written if it is costly.
-
-    First every set is compared with the head (the smallest) of each of its lists, which
-    takes as many comparisons as there are entries. Then, for what isn't connected with
-    its list's head, all pairs of the list across components are compared, but for those
-    that sizes, positions or the distances to a common head exclude (Jaccard distance is
-    a metric), so no connection is lost and no pairs are made within a component.
+    `key` and shares at most left + 1 items with any set that it meets there. Each pair to
+    be found shares a list. `items` (id, items array<long>) has the sets, each once. `groups`
+    (key, id, n, left) are further lists, in which sets are only compared with the head.
+
+    Lists are divided by size, so that sets that meet have similar sizes. First every set is
+    compared with the head of each of its lists: the one with the fewest items before its
+    place, which other sets of the list differ from least. That takes as many comparisons
+    as there are entries. Then, for what isn't connected with its list's head, pairs of
+    the list across components are answered, if sizes and positions allow them, from the
+    differences to the head: |a & b| = |h| - |h-a| - |h-b| + |(h-a) & (h-b)| + |(a-h) & (b-h)|.
+    No link between components is lost, and no pairs are made within a component.
     """
-    # Keys that occur once, which are most, are left out before the shuffle.
-    lists = saved(lists.where(maybe_in(lists.select("key"), times=2, bits=27)(F.col("key"))))
-    heads = lists.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("n", "id", "left")).alias("h")).where("m > 1")
-    entries = saved(lists.join(heads, "key").select("key", "id", "n", "left", F.col("h.id").alias("head"), F.col("h.n").alias("head_n"), F.col("h.left").alias("head_left")))
-    dropped(lists)
     c = F.col
-    first = saved(entries.where((c("id") != c("head")) & _possible(percent, c("n"), c("left"), c("head_n"), c("head_left"))).select(c("head").alias("a"), c("id").alias("b")).distinct())
-    tested = saved(_tested(first, items_of, percent))
-    found = saved(components(tested.where("linked").select("a", "b")))
-
-    of_id = found.select("id", c("component").alias("of_id"))
-    of_head = found.select(c("id").alias("head"), c("component").alias("of_head"))
-    known = tested.select(c("a").alias("head"), c("b").alias("id"), "distance")
     block = F.floor(F.log(c("n").cast("double")) / -math.log(percent / 100)).cast("int")
-    # Heads have been compared with all of their lists, or can't match; they are named by no row of their own.
-    placed = entries.where("id <> head").join(of_id, "id", "left").join(of_head, "head", "left")
-    placed = placed.select("key", "id", "n", "left", "head", F.coalesce("of_id", "id").alias("of"), F.coalesce("of_head", "head").alias("of_head"), block.alias("block"))
-    some = placed.where("of <> of_head").select("key").distinct()
-    # Lists without a set apart from the head are read no further. Those with the same members become one, in which a set's largest `left` is that of the first key shared.
-    listed = saved(placed.join(some, "key", "left_semi"))
-    signs = listed.groupBy("key").agg(F.xxhash64(F.first("head"), F.count("*"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1)))).alias("list"))
-    rows = listed.join(signs, "key").groupBy("list", "id").agg(*(F.first(x).alias(x) for x in ("n", "head", "of", "of_head", "block")), F.max("left").alias("left"))
-    joined = saved(rows.join(known, ["head", "id"], "left"))
-    dropped(entries, listed)
-    apart = joined.where("of <> of_head")
-    if apart.isEmpty():
+    # A set stands in its block's list and as a guest in the next one: sets that match are in one block or in neighbours.
+    lists = lists.withColumn("paired", F.lit(True))
+    if groups is not None:
+        lists = lists.unionByName(groups.withColumn("paired", F.lit(False)))
+    placed = lists.select("key", "id", "n", "left", "paired", F.explode(F.array(F.struct(block.alias("block"), F.lit(False).alias("guest")), F.struct((block + 1).alias("block"), F.lit(True).alias("guest")))).alias("at"))
+    placed = saved(placed.select("key", "id", "n", "left", "paired", "at.*"))
+    heads = placed.groupBy("key", "block").agg(F.count("*").alias("m"), F.bool_and("guest").alias("guests"), F.min(F.struct(c("n") - c("left"), "n", "id")).alias("head"))
+    heads = saved(heads.where("m > 1 and not guests").select("key", "block", c("head.id").alias("head")))
+    entries = saved(placed.join(heads, ["key", "block"]).where("id <> head"))
+
+    pairs = saved(entries.select("head", "id").distinct())
+    named = items.select(c("id").alias("head"), c("items").alias("head_items"))
+    compared = pairs.join(named, "head").join(items, "id").select("head", "id", F.size("head_items").alias("head_n"), F.array_except("head_items", "items").alias("removed"), F.array_except("items", "head_items").alias("extra"))
+    same = c("head_n") - F.size("removed")
+    compared = saved(compared.withColumn("linked", same * 100 >= (c("head_n") + F.size("extra")) * percent))
+    found = saved(components(compared.where("linked").select(c("head").alias("a"), c("id").alias("b"))))
+
+    of = entries.where("paired").join(found.select("id", c("component").alias("of")), "id", "left").join(found.select(c("id").alias("head"), c("component").alias("of_head")), "head", "left")
+    of = of.select("key", "block", "head", "id", "n", "left", "guest", F.coalesce("of", "id").alias("of"), F.coalesce("of_head", "head").alias("of_head"))
+    apart = of.where("of <> of_head")
+    part = lambda n: F.floor(F.log(n.cast("double")) * BLOCKS / -math.log(percent / 100)).cast("int")
+    least, most = least_shared(c("n"), percent), F.least(_most(c("n"), c("left"), percent), F.floor(c("n") * 100 / percent))
+    probes = apart.where(most >= least).select("key", "block", *(c(x).alias(f"{x}2") for x in ("id", "n", "left", "guest", "of")), F.explode(F.sequence(part(least), part(most))).alias("part"))
+    met = of.withColumn("part", part(c("n"))).join(probes, ["key", "block", "part"]).where((c("of") != c("of2")) & ~(c("guest") & c("guest2")) & (c("n2") <= _most(c("n"), c("left"), percent)) & (c("n") <= _most(c("n2"), c("left2"), percent)))
+    met = saved(met.groupBy(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).agg(F.min("head").alias("head")))
+    differs = compared.select("head", "id", "head_n", "removed", "extra")
+    sides = [differs.select("head", c("id").alias(x), *([c("head_n")] if x == "a" else []), c("removed").alias(f"removed_{x}"), c("extra").alias(f"extra_{x}")) for x in ("a", "b")]
+    both = reduce(lambda left, x: left.join(x[1], ["head", x[0]]), zip(("a", "b"), sides, strict=True), met)
+    gone = F.size("removed_a") + F.size("removed_b") - F.size(F.array_intersect("removed_a", "removed_b"))
+    same = c("head_n") - gone + F.size(F.array_intersect("extra_a", "extra_b"))
+    sizes = 2 * c("head_n") - F.size("removed_a") - F.size("removed_b") + F.size("extra_a") + F.size("extra_b")
+    more = saved(both.where(same * 100 >= (sizes - same) * percent).select("a", "b"))
+    dropped(placed, heads, entries, pairs, compared, met)
+    if more.isEmpty():
         return found
-    probes = apart.select("list", c("id").alias("id2"), c("n").alias("n2"), c("left").alias("left2"), c("distance").alias("distance2"), c("of").alias("of2"), F.explode(F.sequence(c("block") - 1, c("block") + 1)).alias("block"))
-    rest = joined.join(probes, ["list", "block"]).where(
-        (c("of") != c("of2")) & _possible(percent, c("n"), c("left"), c("n2"), c("left2")) & (F.coalesce(F.abs(c("distance") - c("distance2")), F.lit(0.0)) <= 1 - percent / 100 + 1e-9)
-    )
-    rest = rest.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _tested(saved(rest.join(seen, ["a", "b"], "left_anti")), items_of, percent).where("linked").select("a", "b")
     return components(more.unionByName(found.select(c("id").alias("a"), c("component").alias("b"))))
