@@ -1,7 +1,7 @@
 """Links between similar sets, and the components that they form.
 
-Sets meet in the lists of an inverted index. The first set of a list by position is
-its head, and all others are compared with it. What the head's answers already connect
+Sets meet in the lists of an inverted index. The set of a list that varies least from
+the others is its head, and all others are compared with it. What the head's answers already connect
 is not compared again; for the rest, lists are read only in the blocks of sizes that
 an entry's position allows, and a pair is answered from the two sets' differences to
 their common head.
@@ -61,17 +61,18 @@ def least_shared(n: Column, percent: int) -> Column:
 
 
 def index_lists(items: DataFrame, percent: int) -> DataFrame:
-    """The index (key, id, n, left) of sets (id, items): each under its rarest items.
+    """The index (key, id, n, left, level) of sets (id, items): each under its rarest items.
 
     Items are ordered from rare to frequent, by the binary logarithm of their exact counts
     and then by value. A set stands in the lists of its first items, as many as any
     similar set must share one of; `left` of its items come after. Items that no other
-    set has make no list.
+    set has make no list. `level` is the mean of a set's logarithms: high for a text that
+    many vary, as its variants have rare items of their own.
     """
     items = items.select("id", F.size("items").alias("n"), F.explode("items").alias("key"))
     counts = saved(items.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.floor(F.log2("m")).cast("int").alias("level")))
-    placed = items.join(counts, "key").withColumn("left", F.expr("row_number() over (partition by id order by level desc, key desc) - 1"))
-    return placed.where(F.col("left") + 1 >= least_shared(F.col("n"), percent)).select("key", "id", "n", "left")
+    placed = items.join(counts, "key").select("key", "id", "n", F.expr("row_number() over (partition by id order by level desc, key desc) - 1").alias("left"), F.expr("sum(level) over (partition by id) / n").alias("level"))
+    return placed.where(F.col("left") + 1 >= least_shared(F.col("n"), percent))
 
 
 def _most(n: Column, left: Column, percent: int) -> Column:
@@ -82,15 +83,14 @@ def _most(n: Column, left: Column, percent: int) -> Column:
 def link_lists(lists: DataFrame, items: DataFrame, percent: int, groups: DataFrame | None = None) -> DataFrame:
     """Components (id, component) of sets whose Jaccard similarity is `percent` or more; sets without a link don't come back.
 
-    `lists` (key, id, n, left) is the index: set `id` of n items stands in the list of
+    `lists` (key, id, n, left, level) is the index: set `id` of n items stands in the list of
     `key` and shares at most left + 1 items with any set that it meets there. Each pair to
     be found shares a list. `items` (id, items array<long>) has the sets, each once. `groups`
-    (key, id, n, left) are further lists, in which sets are only compared with the head.
+    (the same columns) are further lists, in which sets are only compared with the head.
 
     Lists are divided by size, so that sets that meet have similar sizes. First every set is
-    compared with the head of each of its lists: the one with the fewest items before its
-    place, which other sets of the list differ from least. That takes as many comparisons
-    as there are entries. Then, for what isn't connected with its list's head, pairs of
+    compared with the head of each of its lists: the one of the highest level, which the
+    others differ from least. That takes as many comparisons as there are entries. Then, for what isn't connected with its list's head, pairs of
     the list across components are answered, if sizes and positions allow them, from the
     differences to the head: |a & b| = |h| - |h-a| - |h-b| + |(h-a) & (h-b)| + |(a-h) & (b-h)|.
     No link between components is lost, and no pairs are made within a component.
@@ -101,9 +101,9 @@ def link_lists(lists: DataFrame, items: DataFrame, percent: int, groups: DataFra
     lists = lists.withColumn("paired", F.lit(True))
     if groups is not None:
         lists = lists.unionByName(groups.withColumn("paired", F.lit(False)))
-    placed = lists.select("key", "id", "n", "left", "paired", F.explode(F.array(F.struct(block.alias("block"), F.lit(False).alias("guest")), F.struct((block + 1).alias("block"), F.lit(True).alias("guest")))).alias("at"))
-    placed = saved(placed.select("key", "id", "n", "left", "paired", "at.*"))
-    heads = placed.groupBy("key", "block").agg(F.count("*").alias("m"), F.bool_and("guest").alias("guests"), F.min(F.struct(c("n") - c("left"), "n", "id")).alias("head"))
+    placed = lists.select("key", "id", "n", "left", "level", "paired", F.explode(F.array(F.struct(block.alias("block"), F.lit(False).alias("guest")), F.struct((block + 1).alias("block"), F.lit(True).alias("guest")))).alias("at"))
+    placed = saved(placed.select("key", "id", "n", "left", "level", "paired", "at.*"))
+    heads = placed.groupBy("key", "block").agg(F.count("*").alias("m"), F.bool_and("guest").alias("guests"), F.max(F.struct("level", "n", "id")).alias("head"))
     heads = saved(heads.where("m > 1 and not guests").select("key", "block", c("head.id").alias("head")))
     entries = saved(placed.join(heads, ["key", "block"]).where("id <> head"))
 
