@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 Z_SCORES = ((0.5, 0.0), (0.8, 0.842), (0.85, 1.036), (0.9, 1.282), (0.95, 1.645), (0.975, 1.96), (0.99, 2.326), (0.995, 2.576), (0.999, 3.09))
 
 
+def cents(price: Column) -> Column:
+    """A price in whole cents, whose sums don't depend on the order of their terms."""
+    return F.round(price * 100).cast("long")
+
+
+def unit_price(cents: Column, qty: Column) -> Column:
+    """Cents over a whole quantity as a price of 4 decimals, rounded once, half up."""
+    units = qty.cast("long")
+    return F.floor((cents * 200 + units) / (2 * units)).cast("long") / 10000
+
+
 def z_score(level: Column) -> Column:
     """Linear interpolation of the table, clamped at its ends."""
     out = F.lit(Z_SCORES[-1][1])

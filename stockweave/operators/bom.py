@@ -1,7 +1,6 @@
 """Bills of material: levels, closure, explosion, cost roll-up.
 
-Each walks level by level; a level is one join, cut from its lineage by a
-checkpoint. A level beyond `most` means a cycle and raises.
+Each walks level by level; a level is one job, which writes its rows and so cuts the lineage.
 """
 
 from __future__ import annotations
@@ -9,63 +8,81 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.written import counted, written
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').removesuffix('/')}/_checkpoints")
-    return df.checkpoint(eager=True)
 
+def peeled(bom: DataFrame) -> list[DataFrame]:
+    """The distinct edges (parent, component) by level: those of a level have parents that no edge of it or of a later one leads to.
 
-def low_level_codes(items: DataFrame, bom: DataFrame, most: int = 64) -> DataFrame:
+    However deep the bill is, each level takes one join. Where no edge is free while some are left, they hold a cycle; that raises.
+    """
+    left = bom.select("parent", "component").distinct()
+    levels = []
+    while True:
+        below = left.select(F.col("component").alias("parent"), F.lit(True).alias("held")).distinct()
+        state, n = counted(left.join(below, "parent", "left").select("parent", "component", F.coalesce("held", F.lit(False)).alias("held")), free=~F.coalesce("held", F.lit(False)))
+        if not n["rows"]:
+            return levels
+        if not n["free"]:
+            raise ValueError("the bill of materials has a cycle")
+        levels.append(state.where("not held").select("parent", "component"))
+        left = state.where("held").select("parent", "component")
+
+
+def low_level_codes(items: DataFrame, bom: DataFrame) -> DataFrame:
     """item_id, llc: the longest path from a root; 0 for roots and standalone items."""
-    edges = bom.select("parent", "component").distinct()
     found = items.select("item_id", F.lit(0).alias("llc"))
-    front = found
-    for level in range(1, most + 1):
-        front = _cut(front.join(edges, F.col("item_id") == F.col("parent")).select(F.col("component").alias("item_id")).distinct().withColumn("llc", F.lit(level)))
-        if front.isEmpty():
-            return found.groupBy("item_id").agg(F.max("llc").alias("llc"))
-        found = found.unionByName(front)
-    raise ValueError("the bill of materials has a cycle")
-
-
-def closure(bom: DataFrame, most: int = 64) -> DataFrame:
-    """ancestor, component, depth: every pair with the least number of levels between."""
-    edges = bom.select("parent", "component").distinct()
-    pairs = edges.select(F.col("parent").alias("ancestor"), "component", F.lit(1).alias("depth"))
-    front = pairs
-    for depth in range(2, most + 2):
-        front = front.join(edges.withColumnRenamed("component", "below"), F.col("component") == F.col("parent")).select("ancestor", F.col("below").alias("component")).distinct()
-        front = _cut(front.join(pairs, ["ancestor", "component"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            return pairs
+    for level, edges in enumerate(peeled(bom), 1):
+        found = found.unionByName(edges.select(F.col("component").alias("item_id"), F.lit(level).alias("llc")))
+    return found.groupBy("item_id").agg(F.max("llc").alias("llc"))
+
+
+def closure(bom: DataFrame) -> DataFrame:
+    """ancestor, component, depth: every pair with the least number of levels between. A cycle raises."""
+    deepest = len(peeled(bom))
+    edges = written(bom.select("parent", F.col("component").alias("below")).distinct())
+    front = edges.select(F.col("parent").alias("ancestor"), F.col("below").alias("component"), F.lit(1).alias("depth"))
+    pairs = front
+    for depth in range(2, deepest + 1):
+        front = written(front.join(edges, F.col("component") == F.col("parent")).select("ancestor", F.col("below").alias("component"), F.lit(depth).alias("depth")).distinct())
         pairs = pairs.unionByName(front)
-    raise ValueError("the bill of materials is too deep")
-
-
-def explode(demand: DataFrame, bom: DataFrame, most: int = 64) -> DataFrame:
-    """item_id, gross: independent demand and what it needs of all components, with scrap."""
-    total = demand.select("item_id", F.col("qty").alias("gross"))
-    front = total
-    for _ in range(most):
-        front = front.join(bom, F.col("item_id") == F.col("parent")).groupBy(F.col("component")).agg(F.sum(F.col("gross") * F.col("qty_per") * (1 + F.col("scrap"))).alias("gross"))
-        front = _cut(front.withColumnRenamed("component", "item_id"))
-        if front.isEmpty():
-            return total.groupBy("item_id").agg(F.sum("gross").alias("gross"))
+    return pairs.groupBy("ancestor", "component").agg(F.min("depth").alias("depth"))
+
+
+def explode(demand: DataFrame, bom: DataFrame) -> DataFrame:
+    """item_id, gross: independent demand and what it needs of all components, with scrap. A cycle raises."""
+    deepest = len(peeled(bom))
+    bom = written(bom)
+    front = written(demand.groupBy("item_id").agg(F.sum("qty").alias("gross")))
+    total = front
+    for _ in range(deepest):
+        need = front.join(bom, F.col("item_id") == F.col("parent")).groupBy(F.col("component").alias("item_id")).agg(F.sum(F.col("gross") * F.col("qty_per") * (1 + F.col("scrap"))).alias("gross"))
+        front, n = counted(need)
+        if not n["rows"]:
+            break
         total = total.unionByName(front)
-    raise ValueError("the bill of materials has a cycle")
+    return total.groupBy("item_id").agg(F.sum("gross").alias("gross"))
 
 
 def cost_rollup(items: DataFrame, bom: DataFrame, levels: DataFrame) -> DataFrame:
-    """item_id, cost: bought items at their standard cost, made ones at their components', deepest level first."""
-    made = bom.select(F.col("parent").alias("item_id")).distinct()
-    parts = items.join(levels, "item_id")
-    known = parts.join(made, "item_id", "left_anti").select("item_id", F.col("standard_cost").alias("cost"))
-    for level in range(int(levels.agg(F.max("llc")).first()[0] or 0), -1, -1):
-        here = parts.where(F.col("llc") == level).join(made, "item_id", "left_semi").select(F.col("item_id").alias("parent"))
-        sums = here.join(bom, "parent").join(known, F.col("component") == F.col("item_id"), "left").groupBy("parent")
-        rolled = sums.agg(F.when(F.count_if(F.col("cost").isNull()) == 0, F.round(F.sum(F.col("cost") * F.col("qty_per") * (1 + F.col("scrap"))), 6)).alias("cost"))
-        known = _cut(known.unionByName(rolled.select(F.col("parent").alias("item_id"), "cost")))
-    return known
+    """item_id, cost: bought items at their standard cost, made ones at their components', deepest level first.
+
+    An item that lacks the cost of a component has none.
+    """
+    bom = written(bom)
+    made = bom.select(F.col("parent").alias("item_id"), F.lit(True).alias("is_make")).distinct()
+    parts = written(items.select("item_id", "standard_cost").join(levels, "item_id").join(made, "item_id", "left"))
+    known = [parts.where("is_make is null").select("item_id", F.col("standard_cost").alias("cost"))]
+    deepest = parts.where("is_make").agg(F.max("llc")).first()[0]
+    for level in range(-1 if deepest is None else deepest, -1, -1):
+        here = parts.where((F.col("llc") == level) & F.col("is_make")).select(F.col("item_id").alias("parent"))
+        costs = known[0]
+        for one in known[1:]:
+            costs = costs.unionByName(one)
+        sums = here.join(bom, "parent").join(costs, F.col("component") == F.col("item_id"), "left").groupBy("parent")
+        rolled = sums.agg(F.when(F.count_if(F.col("cost").isNull()) == 0, F.sum(F.col("cost") * F.col("qty_per") * (1 + F.col("scrap")))).alias("cost"))
+        known.append(written(rolled.select(F.col("parent").alias("item_id"), "cost")))
+    out = known[0]
+    for one in known[1:]:
+        out = out.unionByName(one)
+    return out

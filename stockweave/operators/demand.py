@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
+from ..sources.written import written
+
 
 def business_demand(history: DataFrame, as_of: str, lookback: int) -> DataFrame:
-    """Orders booked in [as_of - lookback, as_of)."""
+    """Orders and forecast booked in [as_of - lookback, as_of); supply and what goes to other sites isn't business demand."""
     day = F.lit(as_of).cast("date")
-    return history.where((F.col("kind") != "supply") & F.col("booked").isNotNull() & (F.col("booked") >= F.date_sub(day, lookback)) & (F.col("booked") < day))
+    return history.where(F.col("kind").isin("order", "forecast") & F.col("booked").isNotNull() & (F.col("booked") >= F.date_sub(day, lookback)) & (F.col("booked") < day))
 
 
 def selling_price(history: DataFrame, as_of: str, months: int = 12) -> DataFrame:
     """Average selling price of the trailing months per item: value over units, items without units left out."""
     day = F.lit(as_of).cast("date")
     window = history.where((F.col("booked") >= F.add_months(day, -months)) & (F.col("booked") < day))
-    sums = window.groupBy("item_id").agg(F.sum("qty").alias("units"), F.round(F.sum("price"), 2).alias("value")).where("units > 0")
-    return sums.withColumn("asp", F.round(F.col("value") / F.col("units"), 4))
+    sums = window.groupBy("item_id").agg(F.sum("qty").alias("units"), F.sum(rules.cents(F.col("price"))).alias("cents")).where("units > 0")
+    return sums.select("item_id", "units", (F.col("cents") / 100).alias("value"), rules.unit_price(F.col("cents"), F.col("units")).alias("asp"))
 
 
 def price_summary(prices: DataFrame) -> DataFrame:
@@ -47,20 +50,23 @@ def period_ends(points: DataFrame) -> DataFrame:
     return spans.select("item_id", "due", F.coalesce("end", F.date_add("due", F.col("gap"))).alias("end"), "qty")
 
 
-def pareto(totals: DataFrame) -> DataFrame:
-    """Rank by quantity and cumulative share of the whole, without sorting all rows in one task.
+def pareto(totals: DataFrame, parts: int = 256) -> DataFrame:
+    """Rank by quantity (ties by item), cumulative share of the whole and ABC class, without a sort of all rows in one task.
 
-    Ranks follow from counts and sums over quantity values: values are summed first, and
-    only their distribution (one row a value) is ordered.
+    Rows are cut into ranges of the quantity, of which only counts and sums meet in one
+    task; ranks and running sums are taken within a range and moved by what lies above it.
     """
-    values = totals.groupBy("qty").agg(F.count("*").alias("n"), (F.count("*") * F.col("qty")).alias("of"))
-    above = Window.orderBy(F.desc("qty"))
-    ranked = values.select(
-        "qty",
-        (F.sum("n").over(above) - F.col("n") + 1).alias("rank"),
-        (F.sum("of").over(above) / F.sum("of").over(Window.partitionBy())).alias("share"),
-    )
-    return totals.join(ranked, "qty").select("item_id", "qty", "rank", F.round("share", 6).alias("share"))
+    order = [F.desc("qty"), "item_id"]
+    cut = totals.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    cut = written(cut)  # read twice, and ranges must not be drawn anew
+    all_parts = cut.groupBy("part").agg(F.count("*").alias("n"), F.sum("qty").alias("of"), F.max("qty").alias("top"))
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = all_parts.select("part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"), F.coalesce(F.sum("of").over(above), F.lit(0.0)).alias("sum"), F.sum("of").over(Window.partitionBy()).alias("whole"))
+    own = Window.partitionBy("part").orderBy(*order)
+    ranked = cut.join(F.broadcast(starts), "part")  # as many rows as there are ranges
+    share = F.round((F.col("sum") + F.sum("qty").over(own.rowsBetween(Window.unboundedPreceding, 0))) / F.col("whole"), 6)
+    out = ranked.select("item_id", "qty", (F.col("before") + F.row_number().over(own)).alias("rank"), share.alias("share"))
+    return out.withColumn("class", abc(F.col("share")))
 
 
 def abc(share: Column) -> Column:

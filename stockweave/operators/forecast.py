@@ -85,9 +85,16 @@ def seasonal_profile(points: DataFrame, season: int, periods: int) -> DataFrame:
 
 
 def middle_out(curves: DataFrame, weights: DataFrame) -> DataFrame:
-    """A node's curve split over its leaves by historical share; leaves without history take their siblings' mean."""
+    """A node's curve split over its leaves by historical share; leaves without history take their siblings' mean.
+
+    Quantities and weights are whole numbers of units. A leaf's share is w k / (S n): its
+    weight w, the sum S of the k positive weights and n leaves; without history it is 1 / n.
+    The product is rounded once, half up, to 6 decimals.
+    """
     own = Window.partitionBy("node")
-    mean = F.avg(F.when(F.col("weight") > 0, F.col("weight"))).over(own)
-    filled = weights.withColumn("w", F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.coalesce(mean, F.lit(1.0))))
-    share = filled.withColumn("share", F.col("w") / F.sum("w").over(own))
-    return curves.join(share, "node").select("node", "leaf", "period", F.round(F.col("qty") * F.col("share"), 6).alias("qty"))
+    whole = lambda c: c.cast("decimal(38,0)")
+    known = F.col("weight") > 0
+    total = F.greatest(F.coalesce(F.sum(F.when(known, F.col("weight"))).over(own), F.lit(0.0)), F.lit(1.0))
+    parts = weights.select("node", "leaf", whole(F.when(known, F.col("weight") * F.count_if(known).over(own)).otherwise(total)).alias("part"), whole(total * F.count("*").over(own)).alias("all"))
+    both = curves.join(parts, "node").select("node", "leaf", "period", (whole(F.col("qty")) * F.col("part") * 2000000).alias("x"), "all")
+    return both.select("node", "leaf", "period", (F.expr("(x + all) div (all * 2)") / 1000000).alias("qty"))

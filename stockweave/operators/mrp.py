@@ -5,85 +5,85 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bom import _cut
+from ..sources.written import written
 
 PLANNED = "item_id long, qty double, release_bucket int, need_bucket int, kind string, past_due boolean"
 
 
-def lot(rule: str, short: float, stock: float, safety: float, net: list[float], at: int, periods: int, eoq: float, top: float, moq: float, multiple: float, most: float) -> float:
-    """A lot by its rule; then the minimum, the multiple, and last the cap."""
+def lot(rule: str, short: float, stock: float, safety: float, net: np.ndarray, at: int, periods: int, eoq: float, top: float, moq: float, multiple: float, most: float) -> float:
+    """A lot by its rule; then the minimum, the multiple, and last the cap, which MIN_MAX is exempt from."""
     qty = short
     if rule == "POQ":
-        qty += sum(x for x in net[at + 1 : at + periods] if x > 0)
-    elif rule == "EOQ":
+        qty += sum(x for x in net[at + 1 : at + periods].tolist() if x > 0)
+    elif rule == "EOQ" and eoq > 0:
         qty = max(eoq, short)
-    elif rule == "MIN_MAX":
+    elif rule == "MIN_MAX" and top > 0:
         qty = safety + top - stock
     elif rule == "FIXED_QTY" and moq > 0:
         qty = math.ceil(short / moq) * moq
     qty = max(qty, moq)
     if multiple > 0:
         qty = math.ceil(qty / multiple - 1e-12) * multiple
-    return min(qty, most) if most > 0 else qty
+    return min(qty, most) if most > 0 and rule != "MIN_MAX" else qty
 
 
-def plan_item(gross: list[float], receipts: list[float], on_hand: float, p: dict) -> list[tuple[float, int, int, bool]]:
+def plan_item(net: np.ndarray, on_hand: float, lead_days: int | None, safety: float, lot_rule: str, periods: int, *sizes: float) -> list[tuple[float, int, int, bool]]:
     """(qty, release, need, past due) of one item: whenever stock falls below safety, a lot is ordered."""
     out, stock = [], on_hand
-    lead = math.ceil((p["lead_days"] or 30) / 7)
-    net = [g - r for g, r in zip(gross, receipts, strict=True)]
-    for t, need in enumerate(net):
+    lead = math.ceil((lead_days or 30) / 7)
+    for t, need in enumerate(net.tolist()):
         stock -= need
-        if stock < p["safety"] - 1e-9:
-            qty = lot(p["lot_rule"], p["safety"] - stock, stock, p["safety"], net, t, p["periods"], p["eoq"], p["top"], p["moq"], p["multiple"], p["most"])
+        if stock < safety:
+            qty = lot(lot_rule, safety - stock, stock, safety, net, t, periods, *sizes)
             stock += qty
             out.append((qty, max(0, t - lead), t, t < lead))
     return out
 
 
+def _by_bucket(flows: DataFrame, name: str) -> DataFrame:
+    """item_id, `name`: (bucket, qty) of each of its buckets, summed before they are gathered."""
+    return flows.groupBy("item_id", "bucket").agg(F.sum("qty").alias("qty")).groupBy("item_id").agg(F.collect_list(F.struct("bucket", "qty")).alias(name))
+
+
 def cascade(params: DataFrame, gross: DataFrame, receipts: DataFrame, bom: DataFrame, weeks: int) -> DataFrame:
-    """Planned orders of all items.
+    """Planned orders of all items that have independent or dependent demand.
 
     `params` has item_id, llc, is_make, on_hand, safety, lead_days, lot_rule, periods, eoq,
     top, moq, multiple, most. `gross` and `receipts` (item_id, bucket, qty) are independent
-    demand and firm supply. Items of a level don't depend on each other: each is one row
-    with at most 2 x `weeks` entries. Made orders become their components' demand at release.
+    demand and firm supply; buckets outside 0 to weeks - 1 don't count. Items of a level don't depend on each
+    other: each is one row with at most `weeks` entries of each kind. Made orders become
+    their components' demand at release. Items and the bill are written once, and each level writes its orders.
     """
+    sizes = ["on_hand", "lead_days", "safety", "lot_rule", "periods", "eoq", "top", "moq", "multiple", "most"]
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for items in batches:
             orders = []
-            for p in items.to_dict("records"):
-                need, supply = [0.0] * weeks, [0.0] * weeks
-                for e in p["entries"] if p["entries"] is not None else ():
-                    if 0 <= e["bucket"] < weeks:
-                        (need if e["entry"] == "gross" else supply)[e["bucket"]] += e["qty"]
-                kind = "WO" if p["is_make"] else "PO"
-                orders += [(int(p["item_id"]), q, r, n, kind, late) for q, r, n, late in plan_item(need, supply, p["on_hand"], p)]
+            columns = [items[c].tolist() for c in ("item_id", "is_make", "gross", "dependent", "receipts", *sizes)]
+            for item, make, *flows, on_hand, lead, safety, rule, periods, eoq, top, moq, multiple, most in zip(*columns, strict=True):
+                net = np.zeros(weeks)
+                for sign, entries in zip((1, 1, -1), flows, strict=True):
+                    for e in entries if entries is not None else ():
+                        if 0 <= e["bucket"] < weeks:
+                            net[e["bucket"]] += sign * e["qty"]
+                found = plan_item(net, on_hand, None if lead is None or lead != lead else int(lead), safety, rule, int(periods), eoq, top, moq, multiple, most)
+                orders += [(item, q, r, n, "WO" if make else "PO", late) for q, r, n, late in found]
             yield pd.DataFrame(orders, columns=[c.split()[0] for c in PLANNED.split(", ")])
 
-    spark = params.sparkSession
-    entries = gross.select("item_id", "bucket", "qty", F.lit("gross").alias("entry")).unionByName(receipts.select("item_id", "bucket", "qty", F.lit("receipt").alias("entry")))
-    entries = _cut(entries.join(params.select("item_id", "llc"), "item_id"))
-    planned = spark.createDataFrame([], PLANNED)
-    dependent = spark.createDataFrame([], "item_id long, bucket int, qty double, entry string")
-    for level in range(int(params.agg(F.max("llc")).first()[0] or 0) + 1):
-        here = params.where(F.col("llc") == level)
-        own = entries.where(F.col("llc") == level).select("item_id", "bucket", "qty", "entry").unionByName(dependent)
-        # Entries are summed before they are gathered, so an item has 2 x `weeks` at most; one without any still has its safety stock to meet.
-        sums = own.groupBy("item_id", "bucket", "entry").agg(F.sum("qty").alias("qty"))
-        lists = sums.groupBy("item_id").agg(F.collect_list(F.struct("bucket", "qty", "entry")).alias("entries"))
-        orders = _cut(here.join(lists, "item_id", "left").mapInPandas(plan, PLANNED))
-        planned = planned.unionByName(orders)
-        made = orders.where("kind = 'WO'").join(bom, F.col("item_id") == F.col("parent"))
-        needs = made.select(F.col("component").alias("item_id"), F.col("release_bucket").alias("bucket"), (F.col("qty") * F.col("qty_per") * (1 + F.col("scrap"))).alias("qty"), F.lit("gross").alias("entry"))
-        below = params.where(F.col("llc") > level).select("item_id", "llc")
-        later = needs.join(below, "item_id")
-        entries = _cut(entries.where(F.col("llc") > level).unionByName(later.select("item_id", "bucket", "qty", "entry", "llc")))
+    items = params.join(_by_bucket(gross, "gross"), "item_id", "left").join(_by_bucket(receipts, "receipts"), "item_id", "left")
+    items = written(items, "llc")
+    edges = written(bom.join(params.select(F.col("item_id").alias("component"), "llc"), "component").select("parent", "component", (F.col("qty_per") * (1 + F.col("scrap"))).alias("per"), "llc"), "llc")
+    planned = items.sparkSession.createDataFrame([], PLANNED)
+    for level in range(int(items.agg(F.max("llc")).first()[0] or 0) + 1):
+        made = planned.where("kind = 'WO'").join(edges.where(F.col("llc") == level), F.col("item_id") == F.col("parent"))
+        needs = made.select(F.col("component").alias("item_id"), F.col("release_bucket").alias("bucket"), (F.col("qty") * F.col("per")).alias("qty"))
+        here = items.where(F.col("llc") == level).join(_by_bucket(needs, "dependent"), "item_id", "left").where("gross is not null or dependent is not null")
+        planned = planned.unionByName(written(here.mapInPandas(plan, PLANNED)))
     return planned
 
 

@@ -77,18 +77,6 @@ def split_shares(observed: DataFrame) -> DataFrame:
     return pct.withColumn("pct", F.when(first, F.col("pct") + residual).otherwise(F.col("pct"))).select("item_id", "location_id", F.col("pct").cast("double").alias("pct"))
 
 
-def promise_buckets(stock: DataFrame, supply: DataFrame, demand: DataFrame, days: int) -> DataFrame:
-    """Cumulative available-to-promise per series and day; day 0's opening holds the stock."""
-    keys = ["item_id", "location_id"]
-    moves = supply.select(*keys, "day", F.col("qty").alias("supply"), F.lit(0.0).alias("demand")).unionByName(demand.select(*keys, "day", F.lit(0.0).alias("supply"), F.col("qty").alias("demand")))
-    sums = moves.groupBy(*keys, "day").agg(F.sum("supply").alias("supply"), F.sum("demand").alias("demand"))
-    series = sums.select(*keys).unionByName(stock.select(*keys)).distinct().join(stock, keys, "left")
-    grid = series.select(*keys, F.coalesce("on_hand", F.lit(0.0)).alias("on_hand"), F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("day"))
-    full = grid.join(sums, [*keys, "day"], "left").fillna(0.0, ["supply", "demand"])
-    run = F.sum(F.col("supply") - F.col("demand")).over(Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
-    return full.select(*keys, "day", "supply", "demand", (F.col("on_hand") + run).alias("closing"))
-
-
 def promise(buckets: DataFrame, requests: DataFrame) -> DataFrame:
     """Each request's first day with enough from its day on, what is promised then, and the backorder."""
     keys = ["item_id", "location_id"]
@@ -102,12 +90,17 @@ def promise(buckets: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def backward_load(orders: DataFrame, operations: DataFrame, capacity: float = 8.0) -> DataFrame:
-    """(resource_id, day, hours): operations placed from the last back to the first, each spread evenly over whole days."""
-    hours = F.col("setup") + F.col("run") * F.col("qty")
-    jobs = orders.join(operations, F.col("routing_id") == F.col("routing")).withColumn("hours", hours).withColumn("days", F.greatest(F.lit(1), F.ceil(hours / capacity)).cast("int"))
+    """(resource_id, day, hours): operations placed from the last back to the first, each spread evenly over whole days.
+
+    Hours are summed as whole numbers of 1e-9, so that the sum doesn't depend on the order of its terms, and rounded once to 4 decimals.
+    """
+    whole = lambda c: F.round(c * 10000).cast("long")
+    jobs = orders.join(operations, F.col("routing_id") == F.col("routing")).withColumn("h", whole(F.col("setup") + F.col("run") * F.col("qty")))
+    jobs = jobs.withColumn("days", F.greatest(F.lit(1), F.ceil(F.col("h") / (capacity * 10000))).cast("int"))
     after = F.sum("days").over(Window.partitionBy("order_id").orderBy(F.desc("sequence")).rowsBetween(Window.unboundedPreceding, 0))
     placed = jobs.withColumn("first", F.col("due_day") - after + 1)
-    return placed.select("resource_id", F.explode(F.sequence(F.col("first").cast("int"), (F.col("first") + F.col("days") - 1).cast("int"))).alias("day"), (F.col("hours") / F.col("days")).alias("hours")).where("day >= 0").groupBy("resource_id", "day").agg(F.round(F.sum("hours"), 4).alias("hours"))
+    parts = placed.select("resource_id", F.explode(F.sequence(F.col("first").cast("int"), (F.col("first") + F.col("days") - 1).cast("int"))).alias("day"), F.expr("h * 100000 div days").alias("part"))
+    return parts.where("day >= 0").groupBy("resource_id", "day").agg((F.expr("(sum(part) + 50000) div 100000") / 10000).alias("hours"))
 
 
 def overload(load: DataFrame, capacity: Column) -> DataFrame:

@@ -9,19 +9,28 @@ SERIES = ("item_id", "location_id")
 EPSILON = 1e-9
 
 
-def bucket_flows(flows: DataFrame, on_hand: DataFrame, buckets: int) -> DataFrame:
+def dense(sums: DataFrame, size: int, values: tuple[str, ...]) -> DataFrame:
+    """Buckets 0 to size - 1 of every series, with zeros where `sums` (series, bucket, values) has none, and its on_hand."""
+    entry = F.struct("bucket", F.struct(*values).alias("sums"))
+    packed = sums.groupBy(*SERIES).agg(F.coalesce(F.max("on_hand"), F.lit(0.0)).alias("on_hand"), F.map_from_entries(F.collect_list(entry)).alias("found"))
+    zero = lambda e, c: F.coalesce(e[c], F.lit(0.0)).alias(c)
+    full = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(i.alias("bucket"), F.try_element_at("found", i).alias("sums")))
+    out = packed.select(*SERIES, "on_hand", F.explode(full).alias("at"))
+    return out.select(*SERIES, "at.bucket", "on_hand", *(zero(F.col("at.sums"), v) for v in values))
+
+
+def bucket_flows(moves: DataFrame, buckets: int) -> DataFrame:
     """Every series' dense grid of buckets with inflows and outflows.
 
-    Outflow nets forecast and orders by their maximum. The series are those of either
-    table; flows are summed once per series and bucket before they meet the grid.
+    `moves` has bucket, kind and qty; supply of bucket -1 is what has been received, of
+    which a fifth is on hand. Outflow nets forecast and orders by their maximum, and adds
+    what goes to other sites. Moves are summed once per series and bucket before they meet the grid.
     """
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("qty")).otherwise(0.0))
-    sums = flows.groupBy(*SERIES, "bucket").agg(of("supply").alias("inflows"), of("order").alias("orders"), of("forecast").alias("forecast"))
-    series = sums.select(*SERIES).unionByName(on_hand.select(*SERIES)).distinct().join(on_hand, list(SERIES), "left")
-    grid = series.select(*SERIES, F.coalesce("on_hand", F.lit(0.0)).alias("on_hand"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    full = grid.join(sums, [*SERIES, "bucket"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return full.select(*SERIES, "bucket", "on_hand", zero("inflows").alias("inflows"), F.greatest(zero("forecast"), zero("orders")).alias("outflows"))
+    sums = moves.groupBy(*SERIES, "bucket").agg(of("supply").alias("inflows"), of("order").alias("orders"), of("forecast").alias("forecast"), of("transfer").alias("transfers"))
+    sums = sums.withColumn("on_hand", F.when(F.col("bucket") < 0, F.floor(F.col("inflows") / 5).cast("double")))
+    full = dense(sums, buckets, ("inflows", "orders", "forecast", "transfers"))
+    return full.select(*SERIES, "bucket", "on_hand", "inflows", (F.greatest("forecast", "orders") + F.col("transfers")).alias("outflows"))
 
 
 def project(flows: DataFrame, epsilon: float = EPSILON) -> DataFrame:
@@ -42,7 +51,9 @@ def shortages(projection: DataFrame, items: DataFrame, safety: Column, *, per_si
         out = out.when(closing < safety, "below_safety_stock")
     qty = F.when(F.col("class") == "stockout", -closing).otherwise(safety - closing)
     found = projection.withColumn("class", out).where("class is not null").join(items.select("item_id", F.col("standard_cost").alias("unit_cost")), "item_id", "left")
-    return found.select(*SERIES, "bucket", "class", qty.alias("qty"), F.round(qty * max(days, 1) * F.coalesce("unit_cost", F.lit(1.0)), 2).alias("severity"))
+    # Exact numbers, rounded once, whatever the order of the terms.
+    score = qty.cast("decimal(18,3)") * max(days, 1) * F.coalesce(F.col("unit_cost").cast("decimal(12,2)"), F.lit(1).cast("decimal(12,2)"))
+    return found.select(*SERIES, "bucket", "class", qty.alias("qty"), F.round(score, 2).cast("double").alias("severity"))
 
 
 def severity_band(score: Column) -> Column:
@@ -89,14 +100,34 @@ def split_flat(projection: DataFrame, parts: int) -> DataFrame:
     return fine.select(*SERIES, "bucket", "part", "inflows", "outflows", closing.alias("closing"))
 
 
-def shortage_delta(base: DataFrame, scenario: DataFrame) -> DataFrame:
-    """New and resolved shortages by (item, location, bucket), as a multiset difference, null-safe."""
-    keys = [*SERIES, "bucket"]
-    new = scenario.select(*keys).exceptAll(base.select(*keys)).withColumn("change", F.lit("new"))
-    return new.unionByName(base.select(*keys).exceptAll(scenario.select(*keys)).withColumn("change", F.lit("resolved")))
+def shortage_delta(flows: DataFrame, on_hand: Column, outflows: Column) -> DataFrame:
+    """New and resolved shortages by (item, location, bucket) when on-hand and outflows are replaced by the scenario's.
+
+    Both plans are one projection over twice the rows. A bucket that is short several
+    times (of repeated rows) counts as often.
+    """
+    plans = F.array(F.struct(F.lit("base").alias("plan"), "on_hand", "outflows"), F.struct(F.lit("scenario").alias("plan"), on_hand.alias("on_hand"), outflows.alias("outflows")))
+    both = flows.select(*SERIES, "bucket", "inflows", F.explode(plans).alias("p")).select(*SERIES, "bucket", "inflows", "p.*")
+    order = Window.partitionBy(*SERIES, "plan").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    closing = F.col("on_hand") + F.sum(F.col("inflows") - F.col("outflows")).over(order)
+    short = both.select(*SERIES, "bucket", "plan", (closing < -EPSILON).alias("short"))
+    of = lambda plan: F.count_if(F.col("short") & (F.col("plan") == plan))
+    counts = short.groupBy(*SERIES, "bucket").agg((of("scenario") - of("base")).cast("int").alias("more")).where("more <> 0")
+    times = F.sequence(F.lit(1), F.abs("more"))
+    return counts.select(*SERIES, "bucket", F.when(F.col("more") > 0, "new").otherwise("resolved").alias("change"), F.explode(times)).drop("col")
 
 
 def first_below(flows: DataFrame, safety: Column) -> DataFrame:
     """Each series' first bucket whose running stock is below safety, and by how much."""
     p = project(flows).withColumn("deficit", safety - F.col("closing")).where("deficit > 0")
     return p.groupBy(*SERIES).agg(F.min("bucket").alias("bucket"), F.min_by("deficit", "bucket").alias("deficit"))
+
+
+def promise_buckets(moves: DataFrame, days: int) -> DataFrame:
+    """Cumulative available-to-promise per series and day, from supply, customer orders and the stock on hand (bucket -1)."""
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("qty")).otherwise(0.0))
+    sums = moves.where("kind in ('supply', 'order')").groupBy(*SERIES, "bucket").agg(of("supply").alias("supply"), of("order").alias("demand"))
+    sums = sums.withColumn("on_hand", F.when(F.col("bucket") < 0, F.floor(F.col("supply") / 5).cast("double")))
+    full = dense(sums, days, ("supply", "demand"))
+    run = F.sum(F.col("supply") - F.col("demand")).over(Window.partitionBy(*SERIES).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    return full.select(*SERIES, F.col("bucket").alias("day"), "supply", "demand", (F.col("on_hand") + run).alias("closing"))

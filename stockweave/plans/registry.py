@@ -19,15 +19,17 @@ ORACLE_SQL: dict[str, str] = {}
 #: The inputs of sources.planning, in SQL.
 WITH = f"""WITH RECURSIVE lines AS (
   SELECT l_orderkey AS order_id, l_linenumber AS line_id, l_partkey AS item_id, l_suppkey % {p.LOCATIONS} AS location_id, l_suppkey AS supplier_id, l_quantity AS qty, l_extendedprice AS price,
-    CASE l_returnflag WHEN 'R' THEN 'supply' WHEN 'N' THEN 'order' ELSE 'forecast' END AS kind, CAST(l_shipdate AS DATE) AS due FROM lineitem
-), on_hand AS (SELECT item_id, location_id, CAST(floor(sum(qty) / 5) AS DOUBLE) AS on_hand FROM lines WHERE kind = 'supply' AND due < DATE '{p.AS_OF}' GROUP BY ALL
-), flows AS (SELECT *, CAST(floor(date_diff('day', DATE '{p.AS_OF}', due) / 7.0) AS INT) AS bucket FROM lines WHERE due >= DATE '{p.AS_OF}' AND due < DATE '{p.AS_OF}' + {7 * p.WEEKS}
+    CASE WHEN l_returnflag = 'R' THEN 'supply' WHEN l_returnflag = 'A' THEN 'forecast' WHEN l_linenumber = 7 THEN 'transfer' ELSE 'order' END AS kind, CAST(l_shipdate AS DATE) AS due FROM lineitem
+), on_hand AS (SELECT item_id, location_id, CAST(floor(sum(qty) / 5) AS DOUBLE) AS on_hand FROM lines WHERE kind = 'supply' AND due < DATE '{p.AS_OF}' - {p.LATE} GROUP BY ALL
+), flows AS (SELECT *, greatest(0, CAST(floor(date_diff('day', DATE '{p.AS_OF}', due) / 7.0) AS INT)) AS bucket FROM lines WHERE (due >= DATE '{p.AS_OF}' OR kind = 'supply' AND due >= DATE '{p.AS_OF}' - {p.LATE}) AND due < DATE '{p.AS_OF}' + {7 * p.WEEKS}
+), moves AS (SELECT item_id, location_id, kind, bucket, qty FROM flows WHERE kind <> 'forecast' UNION ALL SELECT item_id, location_id, kind, CAST(b AS INT), qty / {p.SPAN} * (least(due + {p.SPAN}, DATE '{p.AS_OF}' + CAST(7 * b + 7 AS INT)) - greatest(due, DATE '{p.AS_OF}' + CAST(7 * b AS INT)))
+  FROM lines, range({p.WEEKS}) r(b) WHERE kind = 'forecast' AND due < DATE '{p.AS_OF}' + CAST(7 * b + 7 AS INT) AND due + {p.SPAN} > DATE '{p.AS_OF}' + CAST(7 * b AS INT)
 ), history AS (SELECT l.*, CAST(o_orderdate AS DATE) AS booked, c_nationkey AS state, c_mktsegment AS channel, o_orderpriority AS order_type, o_orderstatus FROM lines l JOIN orders ON order_id = o_orderkey JOIN customer ON o_custkey = c_custkey
-), supplier_items AS (SELECT item_id, supplier_id, round(sum(price) / sum(qty), 4) AS unit_cost, CAST(7 + supplier_id % 28 AS INT) AS lead_days, supplier_id % 10 = 0 AS is_preferred FROM lines GROUP BY ALL
+), supplier_items AS (SELECT item_id, supplier_id, (CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) * 200 + CAST(sum(qty) AS BIGINT)) // (2 * CAST(sum(qty) AS BIGINT)) / 10000 AS unit_cost, CAST(7 + supplier_id % 28 AS INT) AS lead_days, supplier_id % 10 = 0 AS is_preferred FROM lines GROUP BY ALL
 ), bom AS (SELECT a.p_partkey AS parent, b.p_partkey AS component, CAST(1 + a.p_partkey % 3 AS DOUBLE) AS qty_per, CASE WHEN b.p_partkey % 2 = 0 THEN 0.05 ELSE 0.0 END AS scrap FROM part a JOIN part b ON b.p_partkey IN (2 * a.p_partkey + 1, 2 * a.p_partkey + 2)
-), sums AS (SELECT item_id, location_id, bucket, sum(qty) FILTER (kind = 'supply') AS s, sum(qty) FILTER (kind = 'order') AS o, sum(qty) FILTER (kind = 'forecast') AS f FROM flows GROUP BY ALL
+), sums AS (SELECT item_id, location_id, bucket, sum(qty) FILTER (kind = 'supply') AS s, sum(qty) FILTER (kind = 'order') AS o, sum(qty) FILTER (kind = 'forecast') AS f, sum(qty) FILTER (kind = 'transfer') AS t FROM moves GROUP BY ALL
 ), grid AS (SELECT * FROM (SELECT item_id, location_id FROM sums UNION SELECT item_id, location_id FROM on_hand), (SELECT CAST(range AS INT) AS bucket FROM range({p.WEEKS}))
-), io AS (SELECT item_id, location_id, bucket, coalesce(on_hand, 0.0) AS on_hand, coalesce(s, 0.0) AS inflows, greatest(coalesce(f, 0.0), coalesce(o, 0.0)) AS outflows FROM grid LEFT JOIN on_hand USING (item_id, location_id) LEFT JOIN sums USING (item_id, location_id, bucket)
+), io AS (SELECT item_id, location_id, bucket, coalesce(on_hand, 0.0) AS on_hand, coalesce(s, 0.0) AS inflows, greatest(coalesce(f, 0.0), coalesce(o, 0.0)) + coalesce(t, 0.0) AS outflows FROM grid LEFT JOIN on_hand USING (item_id, location_id) LEFT JOIN sums USING (item_id, location_id, bucket)
 ), projection AS (SELECT item_id, location_id, bucket, closing - inflows + outflows AS opening, inflows, outflows, closing, closing < -1e-9 AS has_shortage, CASE WHEN closing < -1e-9 THEN -closing ELSE 0.0 END AS shortage_qty
   FROM (SELECT *, on_hand + sum(inflows - outflows) OVER (PARTITION BY item_id, location_id ORDER BY bucket) AS closing FROM io)
 )"""
@@ -44,7 +46,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def flows(spark: SparkSession, d: str) -> DataFrame:
-    return stock.bucket_flows(p.flows(spark, d), p.on_hand(spark, d), p.WEEKS)
+    return stock.bucket_flows(p.moves(spark, d, p.WEEKS, 7), p.WEEKS)
 
 
 def projected(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +58,7 @@ def projection(spark, d):
     return projected(spark, d)
 
 
-@query("SELECT item_id, location_id, bucket, CASE WHEN closing < -1e-9 THEN 'stockout' ELSE 'below_safety_stock' END AS class, CASE WHEN closing < -1e-9 THEN -closing ELSE 20 - closing END AS qty, round(CASE WHEN closing < -1e-9 THEN -closing ELSE 20 - closing END * 7 * coalesce(p_retailprice, 1), 2) AS severity FROM projection LEFT JOIN part ON p_partkey = item_id WHERE closing < 20")
+@query("SELECT item_id, location_id, bucket, CASE WHEN closing < -1e-9 THEN 'stockout' ELSE 'below_safety_stock' END AS class, CASE WHEN closing < -1e-9 THEN -closing ELSE 20 - closing END AS qty, CAST(round(CAST(CASE WHEN closing < -1e-9 THEN -closing ELSE 20 - closing END AS DECIMAL(12,3)) * 7 * CAST(coalesce(p_retailprice, 1) AS DECIMAL(12,2)), 2) AS DOUBLE) AS severity FROM projection LEFT JOIN part ON p_partkey = item_id WHERE closing < 20")
 def shortages_per_site(spark, d):
     return stock.shortages(projected(spark, d), p.items(spark, d), F.lit(20.0), per_site=True)
 
@@ -90,24 +92,22 @@ def first_shortage(spark, d):
   SELECT item_id, location_id, bucket, closing < -1e-9 AS base, closing - (bucket + 1) + 30 < -1e-9 AS scenario FROM projection) WHERE base <> scenario""")
 def shortage_delta(spark, d):
     """A scenario with 30 more on hand and one more demanded every week."""
-    base = flows(spark, d)
-    scenario = base.withColumn("on_hand", F.col("on_hand") + 30).withColumn("outflows", F.col("outflows") + 1)
-    return stock.shortage_delta(stock.project(base).where("has_shortage"), stock.project(scenario).where("has_shortage"))
+    return stock.shortage_delta(flows(spark, d), F.col("on_hand") + 30, F.col("outflows") + 1)
 
 
-@query("SELECT item_id, location_id, bucket, CASE WHEN s < 100 THEN 'low' WHEN s <= 1000 THEN 'medium' ELSE 'high' END AS band FROM (SELECT *, round(shortage_qty * 7 * p_retailprice, 2) AS s FROM projection JOIN part ON p_partkey = item_id) WHERE has_shortage ORDER BY s DESC, item_id, location_id, bucket LIMIT 100")
+@query("SELECT item_id, location_id, bucket, CASE WHEN s < 100 THEN 'low' WHEN s <= 1000 THEN 'medium' ELSE 'high' END AS band FROM (SELECT *, round(CAST(shortage_qty AS DECIMAL(12,3)) * 7 * CAST(p_retailprice AS DECIMAL(12,2)), 2) AS s FROM projection JOIN part ON p_partkey = item_id) WHERE has_shortage ORDER BY s DESC, item_id, location_id, bucket LIMIT 100")
 def worst_shortages(spark, d):
     found = stock.shortages(projected(spark, d), p.items(spark, d), F.lit(0.0), per_site=False)
     top = found.orderBy(F.desc("severity"), "item_id", "location_id", "bucket").limit(100)
     return top.select("item_id", "location_id", "bucket", stock.severity_band(F.col("severity")).alias("band"))
 
 
-@query(f"SELECT order_id, line_id, item_id, qty, booked FROM history WHERE kind <> 'supply' AND booked >= DATE '{p.AS_OF}' - 365 AND booked < DATE '{p.AS_OF}'")
+@query(f"SELECT order_id, line_id, item_id, qty, booked FROM history WHERE kind IN ('order', 'forecast') AND booked >= DATE '{p.AS_OF}' - 365 AND booked < DATE '{p.AS_OF}'")
 def business_demand(spark, d):
     return demand.business_demand(p.demand_history(spark, d), p.AS_OF, 365).select("order_id", "line_id", "item_id", "qty", "booked")
 
 
-PRICES = f"SELECT item_id, sum(qty) AS units, round(sum(price), 2) AS value, round(round(sum(price), 2) / sum(qty), 4) AS asp FROM history WHERE booked >= DATE '{p.AS_OF}' - INTERVAL 12 MONTH AND booked < DATE '{p.AS_OF}' GROUP BY 1 HAVING sum(qty) > 0"
+PRICES = f"SELECT item_id, sum(qty) AS units, sum(CAST(round(price * 100) AS BIGINT)) / 100 AS value, (CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) * 200 + CAST(sum(qty) AS BIGINT)) // (2 * CAST(sum(qty) AS BIGINT)) / 10000 AS asp FROM history WHERE booked >= DATE '{p.AS_OF}' - INTERVAL 12 MONTH AND booked < DATE '{p.AS_OF}' GROUP BY 1 HAVING sum(qty) > 0"
 
 
 @query(PRICES)
@@ -131,7 +131,7 @@ def forecast_periods(spark, d):
     return demand.period_ends(p.lines(spark, d).where("kind = 'forecast'"))
 
 
-@query("SELECT item_id, qty, CAST(rank() OVER (ORDER BY qty DESC) AS BIGINT) AS rank, round(sum(qty) OVER (ORDER BY qty DESC) / sum(qty) OVER (), 6) AS share FROM (SELECT item_id, sum(qty) AS qty FROM lines GROUP BY 1)")
+@query("SELECT *, CASE WHEN share <= 0.8 THEN 'A' WHEN share <= 0.95 THEN 'B' ELSE 'C' END AS class FROM (SELECT item_id, qty, row_number() OVER w AS rank, round(sum(qty) OVER (w ROWS UNBOUNDED PRECEDING) / sum(qty) OVER (), 6) AS share FROM (SELECT item_id, sum(qty) AS qty FROM lines GROUP BY 1) WINDOW w AS (ORDER BY qty DESC, item_id))")
 def pareto(spark, d):
     return demand.pareto(p.lines(spark, d).groupBy("item_id").agg(F.sum("qty").alias("qty")))
 
@@ -139,7 +139,7 @@ def pareto(spark, d):
 @query(f"""SELECT item_id, active_days, span, zero_ratio, idle, qty, class, CASE class WHEN 'cold_start' THEN 'MOVING_AVERAGE' WHEN 'intermittent' THEN 'CROSTON' ELSE 'AUTO' END AS method FROM (
   SELECT *, CASE WHEN active_days < 3 THEN 'cold_start' WHEN idle > 365 / 3 THEN 'end_of_life' WHEN zero_ratio >= 0.9 THEN 'intermittent' ELSE 'regular' END AS class FROM (
     SELECT item_id, count(DISTINCT booked) AS active_days, date_diff('day', min(booked), max(booked)) + 1 AS span, round(1 - count(DISTINCT booked) / (date_diff('day', min(booked), max(booked)) + 1), 6) AS zero_ratio, date_diff('day', max(booked), DATE '{p.AS_OF}') AS idle, sum(qty) AS qty
-    FROM history WHERE kind <> 'supply' AND booked >= DATE '{p.AS_OF}' - 365 AND booked < DATE '{p.AS_OF}' GROUP BY 1))""")
+    FROM history WHERE kind IN ('order', 'forecast') AND booked >= DATE '{p.AS_OF}' - 365 AND booked < DATE '{p.AS_OF}' GROUP BY 1))""")
 def series_features(spark, d):
     return demand.series_features(p.demand_history(spark, d), p.AS_OF, 365)
 
@@ -151,10 +151,10 @@ def weighted_price(spark, d):
 
 def gross_inputs(spark: SparkSession, d: str) -> DataFrame:
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("qty")).otherwise(0.0)).alias("orders" if kind == "order" else "forecast")
-    return p.flows(spark, d).where("kind <> 'supply'").groupBy("item_id", "bucket").agg(of("order"), of("forecast"))
+    return p.moves(spark, d, p.WEEKS, 7).where("kind IN ('order', 'forecast')").groupBy("item_id", "bucket").agg(of("order"), of("forecast"))
 
 
-DEMAND = "(SELECT item_id, bucket, coalesce(sum(qty) FILTER (kind = 'order'), 0.0) AS orders, coalesce(sum(qty) FILTER (kind = 'forecast'), 0.0) AS forecast FROM flows WHERE kind <> 'supply' GROUP BY ALL)"
+DEMAND = "(SELECT item_id, bucket, coalesce(sum(qty) FILTER (kind = 'order'), 0.0) AS orders, coalesce(sum(qty) FILTER (kind = 'forecast'), 0.0) AS forecast FROM moves WHERE kind IN ('order', 'forecast') GROUP BY ALL)"
 
 
 @query(f"SELECT * FROM (SELECT item_id, bucket, CASE WHEN bucket < 4 THEN orders ELSE greatest(orders, forecast) END AS gross FROM {DEMAND}) WHERE gross <> 0")
@@ -199,10 +199,11 @@ def bom_explosion(spark, d):
     return bills.explode(need, p.bom(spark, d)).select("item_id", F.round("gross", 3).alias("gross"))
 
 
-@query()
+@query(""", paths AS (SELECT parent AS item_id, component, qty_per * (1 + scrap) AS per FROM bom UNION ALL SELECT paths.item_id, bom.component, per * qty_per * (1 + scrap) FROM paths JOIN bom ON bom.parent = paths.component)
+SELECT item_id, round(sum(per * p_retailprice), 2) AS cost FROM paths JOIN part ON p_partkey = component WHERE component NOT IN (SELECT parent FROM bom) GROUP BY 1 UNION ALL SELECT p_partkey, round(p_retailprice, 2) FROM part WHERE p_partkey NOT IN (SELECT parent FROM bom)""")
 def cost_rollup(spark, d):
     parts, edges = p.items(spark, d), p.bom(spark, d)
-    return bills.cost_rollup(parts, edges, bills.low_level_codes(parts, edges))
+    return bills.cost_rollup(parts, edges, bills.low_level_codes(parts, edges)).select("item_id", F.round("cost", 2).alias("cost"))
 
 
 def planning_parameters(spark: SparkSession, d: str) -> DataFrame:
@@ -262,20 +263,19 @@ def transfer_signals(spark, d):
     return supply.transfers(excess, low, paths)
 
 
-@query(""", s AS (SELECT item_id, location_id, sum(qty) AS qty FROM history WHERE kind <> 'supply' GROUP BY ALL), r AS (SELECT item_id, location_id, CAST(round_even(CAST(qty AS DECIMAL(20,4)) / sum(qty) OVER (PARTITION BY item_id), 8) AS DECIMAL(12,8)) AS pct FROM s)
+@query(""", s AS (SELECT item_id, location_id, sum(qty) AS qty FROM history WHERE kind IN ('order', 'forecast') GROUP BY ALL), r AS (SELECT item_id, location_id, CAST(round_even(CAST(qty AS DECIMAL(20,4)) / sum(qty) OVER (PARTITION BY item_id), 8) AS DECIMAL(12,8)) AS pct FROM s)
 SELECT item_id, location_id, CAST(CASE WHEN row_number() OVER (PARTITION BY item_id ORDER BY pct DESC, location_id) = 1 THEN pct + 1 - sum(pct) OVER (PARTITION BY item_id) ELSE pct END AS DOUBLE) AS pct FROM r""")
 def split_shares(spark, d):
-    return supply.split_shares(p.demand_history(spark, d).where("kind <> 'supply'").groupBy("item_id", "location_id").agg(F.sum("qty").alias("qty")))
+    return supply.split_shares(p.demand_history(spark, d).where("kind IN ('order', 'forecast')").groupBy("item_id", "location_id").agg(F.sum("qty").alias("qty")))
 
 
-PROMISE = f""", moves AS (SELECT item_id, location_id, date_diff('day', DATE '{p.AS_OF}', due) AS day, coalesce(sum(qty) FILTER (kind = 'supply'), 0.0) AS supply, coalesce(sum(qty) FILTER (kind = 'order'), 0.0) AS demand FROM flows WHERE kind <> 'forecast' AND due < DATE '{p.AS_OF}' + 28 GROUP BY ALL
-), g AS (SELECT * FROM (SELECT item_id, location_id FROM moves UNION SELECT item_id, location_id FROM on_hand), (SELECT range AS day FROM range(28))
-), atp AS (SELECT item_id, location_id, CAST(day AS INT) AS day, coalesce(supply, 0.0) AS supply, coalesce(demand, 0.0) AS demand, coalesce(on_hand, 0.0) + sum(coalesce(supply, 0.0) - coalesce(demand, 0.0)) OVER (PARTITION BY item_id, location_id ORDER BY day) AS closing FROM g LEFT JOIN moves USING (item_id, location_id, day) LEFT JOIN on_hand USING (item_id, location_id))"""
+PROMISE = f""", promised AS (SELECT item_id, location_id, greatest(0, date_diff('day', DATE '{p.AS_OF}', due)) AS day, coalesce(sum(qty) FILTER (kind = 'supply'), 0.0) AS supply, coalesce(sum(qty) FILTER (kind = 'order'), 0.0) AS demand FROM flows WHERE kind IN ('supply', 'order') AND due < DATE '{p.AS_OF}' + 28 GROUP BY ALL
+), g AS (SELECT * FROM (SELECT item_id, location_id FROM promised UNION SELECT item_id, location_id FROM on_hand), (SELECT range AS day FROM range(28))
+), atp AS (SELECT item_id, location_id, CAST(day AS INT) AS day, coalesce(supply, 0.0) AS supply, coalesce(demand, 0.0) AS demand, coalesce(on_hand, 0.0) + sum(coalesce(supply, 0.0) - coalesce(demand, 0.0)) OVER (PARTITION BY item_id, location_id ORDER BY day) AS closing FROM g LEFT JOIN promised USING (item_id, location_id, day) LEFT JOIN on_hand USING (item_id, location_id))"""
 
 
 def atp(spark: SparkSession, d: str) -> DataFrame:
-    moves = p.flows(spark, d).withColumn("day", F.datediff("due", F.lit(p.AS_OF).cast("date"))).where("day < 28")
-    return supply.promise_buckets(p.on_hand(spark, d), moves.where("kind = 'supply'"), moves.where("kind = 'order'"), 28)
+    return stock.promise_buckets(p.moves(spark, d, 28, 1), 28)
 
 
 @query(f"{PROMISE} SELECT * FROM atp")
@@ -291,10 +291,11 @@ def order_promise(spark, d):
     return supply.promise(atp(spark, d), asked)
 
 
-@query(f""", ops AS (SELECT * FROM (VALUES (0, 1, 0.5, 0.2), (0, 2, 1.0, 0.3), (1, 1, 0.25, 0.5)) t(routing, sequence, setup, run)
-), j AS (SELECT order_id * 10 + line_id AS id, item_id % 7 AS resource_id, sequence, setup + run * qty AS hours, CAST(greatest(1, ceil((setup + run * qty) / 8)) AS INT) AS days, date_diff('day', DATE '{p.AS_OF}', due) AS due_day FROM flows JOIN ops ON routing = item_id % 2 WHERE kind = 'order'
-), k AS (SELECT *, due_day - sum(days) OVER (PARTITION BY id ORDER BY sequence DESC) + 1 AS first FROM j
-) SELECT resource_id, CAST(day AS INT) AS day, round(sum(h), 4) AS hours FROM (SELECT resource_id, unnest(range(CAST(first AS BIGINT), CAST(first + days AS BIGINT))) AS day, hours / days AS h FROM k) WHERE day >= 0 GROUP BY ALL""")
+@query(f""", ops AS (SELECT * FROM (VALUES (0, 1, 5000, 2000), (0, 2, 10000, 3000), (1, 1, 2500, 5000)) t(routing, sequence, setup, run)
+), j AS (SELECT order_id * 10 + line_id AS id, item_id % 7 AS resource_id, sequence, CAST(setup + run * qty AS BIGINT) AS h, date_diff('day', DATE '{p.AS_OF}', due) AS due_day FROM flows JOIN ops ON routing = item_id % 2 WHERE kind = 'order'
+), k AS (SELECT *, greatest(1, (h + 79999) // 80000) AS days FROM j
+), f AS (SELECT *, CAST(due_day - sum(days) OVER (PARTITION BY id ORDER BY sequence DESC) + 1 AS BIGINT) AS first FROM k
+) SELECT resource_id, CAST(day AS INT) AS day, (CAST(sum(part) AS BIGINT) + 50000) // 100000 / 10000 AS hours FROM (SELECT resource_id, unnest(range(first, first + days)) AS day, h * 100000 // days AS part FROM f) WHERE day >= 0 GROUP BY ALL""")
 def capacity_load(spark, d):
     ops = spark.createDataFrame([(0, 1, 0.5, 0.2), (0, 2, 1.0, 0.3), (1, 1, 0.25, 0.5)], "routing long, sequence int, setup double, run double")
     jobs = p.flows(spark, d).where("kind = 'order'").select((F.col("order_id") * 10 + F.col("line_id")).alias("order_id"), (F.col("item_id") % 7).alias("resource_id"), (F.col("item_id") % 2).alias("routing_id"), "qty", F.datediff("due", F.lit(p.AS_OF).cast("date")).alias("due_day"))
@@ -341,8 +342,8 @@ def seasonal_index(spark, d):
 
 
 @query(f""", c AS (SELECT p_brand AS node, bucket AS period, sum(qty) AS qty FROM flows JOIN part ON p_partkey = item_id WHERE kind = 'forecast' GROUP BY ALL), w AS (SELECT p_brand AS node, p_partkey AS leaf, coalesce(q, 0.0) AS weight FROM part LEFT JOIN (SELECT item_id, sum(qty) AS q FROM history WHERE booked < DATE '{p.AS_OF}' AND kind = 'order' GROUP BY 1) ON item_id = p_partkey
-), f AS (SELECT node, leaf, CASE WHEN weight > 0 THEN weight ELSE coalesce(avg(weight) FILTER (weight > 0) OVER (PARTITION BY node), 1.0) END AS w FROM w), s AS (SELECT node, leaf, w / sum(w) OVER (PARTITION BY node) AS share FROM f)
-SELECT node, leaf, period, round(qty * share, 6) AS qty FROM c JOIN s USING (node)""")
+ ), f AS (SELECT node, leaf, CAST(weight AS HUGEINT) AS weight, coalesce(CAST(sum(weight) FILTER (weight > 0) OVER o AS HUGEINT), 0) AS total, count(*) FILTER (weight > 0) OVER o AS known, count(*) OVER o AS n FROM w WINDOW o AS (PARTITION BY node))
+SELECT node, leaf, period, CAST((CAST(qty AS HUGEINT) * CASE WHEN weight > 0 THEN weight * known ELSE greatest(total, 1) END * 2000000 + greatest(total, 1) * n) // (greatest(total, 1) * n * 2) AS BIGINT) / 1000000 AS qty FROM c JOIN f USING (node)""")
 def middle_out(spark, d):
     parts = p.items(spark, d)
     curves = p.flows(spark, d).where("kind = 'forecast'").join(parts, "item_id").groupBy(F.col("brand").alias("node"), F.col("bucket").alias("period")).agg(F.sum("qty").alias("qty"))

@@ -1,33 +1,46 @@
 """Planning inputs as deterministic views of the star-schema tables.
 
 An item is a part; a location is one of the LOCATIONS groups of suppliers. Lines
-returned 'R' are supply receipts, 'N' customer orders, 'A' forecast. All dates are
-relative to AS_OF, which is a parameter of the operators and never the clock.
+returned 'R' are supply receipts, 'N' customer orders (each order's seventh line a
+transfer to another site), 'A' forecast of SPAN days. All dates are relative to AS_OF,
+which is a parameter of the operators and never the clock.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rules, timegrid
+
 AS_OF = "1998-01-05"
 WEEKS = 26
 LOCATIONS = 5
+#: Days of a forecast; days after which a receipt that is due counts as stock.
+SPAN, LATE = 8, 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped(days: int) -> Column:
+    """The date `days` from AS_OF on, as the lines' ship dates are stored, so that comparisons reach the scan."""
+    return F.lit(f"{date.fromisoformat(AS_OF) + timedelta(days)} 00:00:00").cast("timestamp_ntz")
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, item_type, brand, standard_cost."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("item_type"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("standard_cost"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, location_id, supplier_id, qty, price, kind (supply, order, forecast), due date."""
-    kind = F.when(F.col("l_returnflag") == "R", "supply").when(F.col("l_returnflag") == "N", "order").otherwise("forecast")
-    return table(spark, sf_dir, "lineitem").select(
+def lines(spark: SparkSession, sf_dir: str, wanted: Column | None = None) -> DataFrame:
+    """item_id, location_id, supplier_id, qty, price, kind (supply, order, transfer, forecast), due date; of `wanted` lines only."""
+    kind = F.when(F.col("l_returnflag") == "R", "supply").when(F.col("l_returnflag") == "A", "forecast").when(F.col("l_linenumber") == 7, "transfer").otherwise("order")
+    rows = table(spark, sf_dir, "lineitem")
+    return (rows if wanted is None else rows.where(wanted)).select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_id"),
         F.col("l_partkey").alias("item_id"),
@@ -50,8 +63,8 @@ def demand_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sourcing terms: one row per item and supplier."""
-    own = lines(spark, sf_dir).groupBy("item_id", "supplier_id").agg(F.sum("price").alias("value"), F.sum("qty").alias("qty"))
-    return own.select("item_id", "supplier_id", F.round(F.col("value") / F.col("qty"), 4).alias("unit_cost"), (7 + F.col("supplier_id") % 28).cast("int").alias("lead_days"), (F.col("supplier_id") % 10 == 0).alias("is_preferred"))
+    own = lines(spark, sf_dir).groupBy("item_id", "supplier_id").agg(F.sum(rules.cents(F.col("price"))).alias("cents"), F.sum("qty").alias("qty"))
+    return own.select("item_id", "supplier_id", rules.unit_price(F.col("cents"), F.col("qty")).alias("unit_cost"), (7 + F.col("supplier_id") % 28).cast("int").alias("lead_days"), (F.col("supplier_id") % 10 == 0).alias("is_preferred"))
 
 
 def bom(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +75,35 @@ def bom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def on_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, location_id, on_hand: a fifth of the supply received before AS_OF."""
-    past = lines(spark, sf_dir).where((F.col("kind") == "supply") & (F.col("due") < F.lit(AS_OF).cast("date")))
+    """item_id, location_id, on_hand: a fifth of the supply that was due more than LATE days before AS_OF."""
+    past = lines(spark, sf_dir, (F.col("l_returnflag") == "R") & (F.col("l_shipdate") < shipped(-LATE)))
     return past.groupBy("item_id", "location_id").agg(F.floor(F.sum("qty") / 5).cast("double").alias("on_hand"))
 
 
+def _day() -> Column:
+    return F.datediff("due", F.lit(AS_OF).cast("date"))
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the horizon with their weekly bucket."""
-    week = F.floor(F.datediff("due", F.lit(AS_OF).cast("date")) / 7).cast("int")
-    return lines(spark, sf_dir).withColumn("bucket", week).where(F.col("bucket").between(0, WEEKS - 1))
+    """Lines of the horizon with their weekly bucket; receipts up to LATE days late are expected in the first."""
+    late = (F.col("l_returnflag") == "R") & (F.col("l_shipdate") >= shipped(-LATE))
+    wanted = (F.col("l_shipdate") < shipped(7 * WEEKS)) & (late | (F.col("l_shipdate") >= shipped(0)))
+    return lines(spark, sf_dir, wanted).withColumn("bucket", timegrid.week_index(F.col("due"), F.lit(AS_OF).cast("date")))
+
+
+def moves(spark: SparkSession, sf_dir: str, size: int, days: int) -> DataFrame:
+    """item_id, location_id, kind, bucket, qty: what moves in `size` buckets of `days` days, and in bucket -1 what has come before.
+
+    A forecast is shared among the buckets that its days fall in; shares outside the
+    horizon are dropped. One scan of the lines gives stock and flows.
+    """
+    supply = F.col("l_returnflag") == "R"
+    since = supply | (F.col("l_shipdate") >= shipped(0)) | ((F.col("l_returnflag") == "A") & (F.col("l_shipdate") > shipped(-SPAN)))
+    rows = lines(spark, sf_dir, (F.col("l_shipdate") < shipped(size * days)) & since)
+    first, forecast = F.floor(_day() / days).cast("int"), F.col("kind") == "forecast"
+    last = F.when(forecast, F.floor((_day() + SPAN - 1) / days).cast("int")).otherwise(first)
+    first = F.when(F.col("kind") != "supply", F.greatest(first, F.lit(0))).when(_day() < -LATE, -1).otherwise(F.greatest(first, F.lit(0)))
+    placed = rows.select("item_id", "location_id", "kind", "qty", "due", F.explode(F.sequence(first, F.least(F.greatest(last, first), F.lit(size - 1)))).alias("bucket"))
+    start = F.date_add(F.lit(AS_OF).cast("date"), F.col("bucket") * days)
+    share = timegrid.prorated(F.col("qty"), F.col("due"), F.date_add("due", SPAN), start, F.date_add(start, days))
+    return placed.select("item_id", "location_id", "kind", "bucket", F.when(forecast, share).otherwise(F.col("qty")).alias("qty"))
