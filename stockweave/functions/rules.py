@@ -46,21 +46,3 @@ def program_of(order_type: Column) -> Column:
     for word in reversed(("SPRING", "SUMMER", "EARLY", "FWD BUY")):
         out = F.when(upper.contains(word), word.replace(" ", "_")).otherwise(out)
     return F.when(F.coalesce(upper, F.lit("")) == "", "UNKNOWN").otherwise(out)
-
-
-def name_id(*parts: Column) -> Column:
-    """A deterministic UUID-shaped id of the joined parts (SHA-1, version 5 marks)."""
-    h = F.sha1(F.concat_ws("|", *(p.cast("string") for p in parts)))
-    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
-
-
-def lot_size(rule: Column, shortfall: Column, available: Column, safety: Column, ahead: Column, eoq: Column, most_stock: Column, moq: Column, multiple: Column, most: Column) -> Column:
-    """Order quantity: the rule's lot, then the minimum, the multiple and last the cap.
-
-    POQ adds the net requirements `ahead`; MIN_MAX fills up to safety + most_stock.
-    """
-    lot = F.when(rule == "POQ", shortfall + ahead).when(rule == "EOQ", F.greatest(eoq, shortfall)).when(rule == "MIN_MAX", safety + most_stock - available).when(rule == "FIXED_QTY", F.ceil(shortfall / moq) * moq).otherwise(shortfall)
-    lot = F.greatest(lot, F.coalesce(moq, F.lit(0.0)))
-    lot = F.when(multiple > 0, F.ceil(lot / multiple) * multiple).otherwise(lot)
-    return F.when(most > 0, F.least(lot, most)).otherwise(lot)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,26 +41,38 @@ def seasonal_naive(values: Column, season: int, horizon: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda h: F.greatest(F.lit(0.0), F.element_at(last, (h % season + 1).cast("int"))))
 
 
+def value_added(data: DataFrame, season: int, horizon: int, method: Callable[[Column], Column]) -> DataFrame:
+    """naive: WAPE of the seasonal-naive forecast of the last `horizon` values; value_added: the share of its error that `method` avoids."""
+    past, future = F.slice("values", F.lit(1), F.size("values") - horizon), F.slice("values", -horizon, horizon)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    both = data.select("item_id", future.alias("future"), seasonal_naive(past, season, horizon).alias("naive"), method(past).alias("flat"))
+    naive = total(F.zip_with("future", "naive", lambda a, f: F.abs(a - f)))
+    own = total(F.transform("future", lambda a: F.abs(a - F.col("flat"))))
+    return both.select("item_id", (naive / F.nullif(total(F.col("future")), F.lit(0.0))).alias("naive"), (1 - own / F.nullif(naive, F.lit(0.0))).alias("value_added"))
+
+
 def accuracy(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """MAPE, bias, MAD, MSE, tracking signal, WAPE and sMAPE of (actual, forecast) rows."""
     e = F.col("actual") - F.col("forecast")
     both = F.abs("actual") + F.abs("forecast")
-    r = lambda c: F.round(c, 6)
-    out = pairs.groupBy(*keys).agg(
-        r(F.avg(F.when(F.col("actual") != 0, F.abs(e) / F.abs("actual") * 100).otherwise(0.0))).alias("mape"),
-        r(F.sum(e)).alias("bias"),
-        r(F.avg(F.abs(e))).alias("mad"),
-        r(F.avg(e * e)).alias("mse"),
-        r(F.sum(F.abs(e)) / F.nullif(F.sum(F.abs("actual")), F.lit(0.0))).alias("wape"),
-        r(F.avg(F.when(both != 0, 2 * F.abs(e) / both))).alias("smape"),
+    r = lambda c, n: (F.round(c, n) + F.lit(0.0))  # noqa: E731  no negative zeros
+    mad = F.avg(F.abs(e))
+    return pairs.groupBy(*keys).agg(
+        r(F.avg(F.when(F.col("actual") != 0, F.abs(e) / F.abs("actual") * 100).otherwise(0.0)), 6).alias("mape"),
+        r(F.sum(e), 6).alias("bias"),
+        r(mad, 6).alias("mad"),
+        r(F.avg(e * e), 6).alias("mse"),
+        r(F.sum(F.abs(e)) / F.nullif(F.sum(F.abs("actual")), F.lit(0.0)), 6).alias("wape"),
+        r(F.avg(F.when(both != 0, 2 * F.abs(e) / both)), 6).alias("smape"),
+        r(F.sum(e) / F.nullif(mad, F.lit(0.0)), 4).alias("tracking"),
     )
-    return out.withColumn("tracking", F.round(F.col("bias") / F.nullif(F.col("mad"), F.lit(0.0)), 4))
 
 
-def backtest(data: DataFrame, forecast, first: int, periods: int) -> DataFrame:
-    """(item_id, origin, actual, forecast): one-step forecasts from every origin on; `forecast` maps the values before it."""
-    origins = data.select("item_id", "values", F.explode(F.sequence(F.lit(first), F.lit(periods - 1))).alias("origin"))
-    return origins.select("item_id", "origin", F.element_at("values", F.col("origin") + 1).alias("actual"), forecast(F.slice("values", F.lit(1), F.col("origin"))).alias("forecast"))
+def backtest(data: DataFrame, methods: Mapping[str, Callable[[Column], Column]], first: int, periods: int) -> DataFrame:
+    """(item_id, method, origin, actual, forecast): one-step forecasts of all methods from every origin on, each from the values before it."""
+    origins = data.select("item_id", F.explode(F.transform(F.sequence(F.lit(first), F.lit(periods - 1)), lambda i: F.struct(i.alias("origin"), F.element_at("values", i + 1).alias("actual"), F.slice("values", F.lit(1), i).alias("past")))).alias("o"))
+    made = F.array(*(F.struct(F.lit(n).alias("method"), f(F.col("past")).alias("forecast")) for n, f in methods.items()))
+    return origins.select("item_id", "o.*").select("item_id", "origin", "actual", F.explode(made).alias("m")).select("item_id", "m.method", "origin", "actual", "m.forecast")
 
 
 def best_method(scored: DataFrame) -> DataFrame:

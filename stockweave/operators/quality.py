@@ -34,6 +34,31 @@ def structural(fields: Mapping[str, str]) -> list[Column]:
     return out
 
 
+def amount(field: str, most: float) -> list[Column]:
+    """Level 3: a quantity above zero, and not above what is plausible; what isn't a number is level 1's."""
+    value = F.trim(F.col(field)).try_cast("double")
+    return [issue("L3_QUANTITY_NONPOSITIVE", field, value <= 0), issue("L3_QUANTITY_SUSPICIOUS", field, value > most, "warning")]
+
+
+def dates_within(field: str, first: str, last: str) -> list[Column]:
+    """Level 3: a date in a plausible range."""
+    day = F.try_to_date(F.trim(F.col(field)))
+    return [issue("L3_DATE_OUT_OF_RANGE", field, (day < F.lit(first).cast("date")) | (day > F.lit(last).cast("date")), "warning")]
+
+
+def not_before(start: str, end: str) -> list[Column]:
+    """Level 3: a span that doesn't end before it begins."""
+    return [issue("L3_DATE_RANGE_INVERTED", end, F.try_to_date(F.trim(F.col(end))) < F.try_to_date(F.trim(F.col(start))))]
+
+
+def batch_similarity(batch: DataFrame, before: DataFrame, fields: list[str], most: float = 0.95) -> DataFrame:
+    """The share of a batch's distinct rows that the batch before had too, and whether it is over `most`: the batch was sent twice."""
+    prints = lambda rows: rows.select(F.xxhash64(*(normal(F.col(f)) for f in fields)).alias("print")).distinct()
+    both = prints(batch).join(prints(before).withColumn("seen", F.lit(True)), "print", "left")
+    share = F.count("seen") / F.count("*")
+    return both.agg(F.count("*").alias("n"), share.alias("similarity"), (share > most).alias("duplicate"))
+
+
 def unknown_references(rows: DataFrame, key: str, reference: DataFrame, to: str) -> DataFrame:
     """Level 2: rows whose reference doesn't exist."""
     return rows.join(reference.select(F.col(to).alias(key)), key, "left_anti")

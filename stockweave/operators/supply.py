@@ -101,10 +101,3 @@ def backward_load(orders: DataFrame, operations: DataFrame, capacity: float = 8.
     placed = jobs.withColumn("first", F.col("due_day") - after + 1)
     parts = placed.select("resource_id", F.explode(F.sequence(F.col("first").cast("int"), (F.col("first") + F.col("days") - 1).cast("int"))).alias("day"), F.expr("h * 100000 div days").alias("part"))
     return parts.where("day >= 0").groupBy("resource_id", "day").agg((F.expr("(sum(part) + 50000) div 100000") / 10000).alias("hours"))
-
-
-def overload(load: DataFrame, capacity: Column) -> DataFrame:
-    """Days whose load exceeds capacity, with their utilisation and band."""
-    use = F.round(F.col("hours") / capacity * 100, 2)
-    band = F.when(use > 200, "critical").when(use > 150, "high").when(use > 120, "medium").otherwise("low")
-    return load.where(F.col("hours") > capacity).select("resource_id", "day", "hours", use.alias("utilisation"), band.alias("severity"))

@@ -172,8 +172,11 @@ def forecast_consumption_windowed(spark, d):
     return netting.consume_windowed(gross_inputs(spark, d), window=2, fence=2)
 
 
-@query(f"""SELECT item_id, on_hand, round(annual, 4) AS annual, CASE WHEN annual = 0 THEN 'OBSOLETE' ELSE 'EXCESS' END AS class, round(on_hand - annual / 2, 4) AS surplus FROM (
-  SELECT item_id, on_hand, coalesce(g, 0.0) * 52 / 26 AS annual FROM (SELECT item_id, sum(on_hand) AS on_hand FROM on_hand GROUP BY 1) LEFT JOIN (SELECT item_id, sum(greatest(orders, forecast)) AS g FROM {DEMAND} GROUP BY 1) USING (item_id)) WHERE on_hand > 0 AND (annual = 0 OR on_hand > annual / 2)""")
+EXCESS = f"""SELECT item_id, on_hand, round(annual, 4) AS annual, CASE WHEN annual = 0 THEN 'OBSOLETE' ELSE 'EXCESS' END AS class, round(on_hand - annual / 2, 4) AS surplus FROM (
+  SELECT item_id, on_hand, coalesce(g, 0.0) * 52 / 26 AS annual FROM (SELECT item_id, sum(on_hand) AS on_hand FROM on_hand GROUP BY 1) LEFT JOIN (SELECT item_id, sum(greatest(orders, forecast)) AS g FROM {DEMAND} GROUP BY 1) USING (item_id)) WHERE on_hand > 0 AND (annual = 0 OR on_hand > annual / 2)"""
+
+
+@query(EXCESS)
 def excess_and_obsolete(spark, d):
     held = p.on_hand(spark, d).groupBy("item_id").agg(F.sum("on_hand").alias("on_hand"))
     return netting.excess(held, netting.consume(gross_inputs(spark, d)), p.WEEKS)
@@ -291,11 +294,14 @@ def order_promise(spark, d):
     return supply.promise(atp(spark, d), asked)
 
 
-@query(f""", ops AS (SELECT * FROM (VALUES (0, 1, 5000, 2000), (0, 2, 10000, 3000), (1, 1, 2500, 5000)) t(routing, sequence, setup, run)
+LOAD = f""", ops AS (SELECT * FROM (VALUES (0, 1, 5000, 2000), (0, 2, 10000, 3000), (1, 1, 2500, 5000)) t(routing, sequence, setup, run)
 ), j AS (SELECT order_id * 10 + line_id AS id, item_id % 7 AS resource_id, sequence, CAST(setup + run * qty AS BIGINT) AS h, date_diff('day', DATE '{p.AS_OF}', due) AS due_day FROM flows JOIN ops ON routing = item_id % 2 WHERE kind = 'order'
 ), k AS (SELECT *, greatest(1, (h + 79999) // 80000) AS days FROM j
 ), f AS (SELECT *, CAST(due_day - sum(days) OVER (PARTITION BY id ORDER BY sequence DESC) + 1 AS BIGINT) AS first FROM k
-) SELECT resource_id, CAST(day AS INT) AS day, (CAST(sum(part) AS BIGINT) + 50000) // 100000 / 10000 AS hours FROM (SELECT resource_id, unnest(range(first, first + days)) AS day, h * 100000 // days AS part FROM f) WHERE day >= 0 GROUP BY ALL""")
+), load AS (SELECT resource_id, CAST(day AS INT) AS day, (CAST(sum(part) AS BIGINT) + 50000) // 100000 / 10000 AS hours FROM (SELECT resource_id, unnest(range(first, first + days)) AS day, h * 100000 // days AS part FROM f) WHERE day >= 0 GROUP BY ALL)"""
+
+
+@query(f"{LOAD} SELECT * FROM load")
 def capacity_load(spark, d):
     ops = spark.createDataFrame([(0, 1, 0.5, 0.2), (0, 2, 1.0, 0.3), (1, 1, 0.25, 0.5)], "routing long, sequence int, setup double, run double")
     jobs = p.flows(spark, d).where("kind = 'order'").select((F.col("order_id") * 10 + F.col("line_id")).alias("order_id"), (F.col("item_id") % 7).alias("resource_id"), (F.col("item_id") % 2).alias("routing_id"), "qty", F.datediff("due", F.lit(p.AS_OF).cast("date")).alias("due_day"))
@@ -310,7 +316,10 @@ def monthly(spark: SparkSession, d: str) -> DataFrame:
     return booked.select("item_id", ((F.year("booked") - 1995) * 12 + F.month("booked") - 1).alias("period"), "qty")
 
 
-@query(f""", m AS {POINTS}, v AS (SELECT item_id, list_transform(range(36), lambda i: coalesce(map_extract(q, CAST(i AS INT))[1], 0.0)) AS v FROM (SELECT item_id, map_from_entries(list((period, qty))) AS q FROM m GROUP BY 1))
+SERIES36 = f""", m AS {POINTS}, v AS (SELECT item_id, list_transform(range(36), lambda i: coalesce(map_extract(q, CAST(i AS INT))[1], 0.0)) AS v FROM (SELECT item_id, map_from_entries(list((period, qty))) AS q FROM m GROUP BY 1))"""
+
+
+@query(f"""{SERIES36}
 SELECT item_id, round(list_sum(v[34:36]) / 3, 6) AS average, round(list_reduce(v, lambda a, x: 0.3 * x + 0.7 * a), 6) AS smoothed, round(CASE WHEN len(z) = 0 THEN 0 WHEN len(z) = 1 THEN list_sum(v) ELSE list_sum(v) / len(z) / ((z[len(z)] - z[1]) / (len(z) - 1)) END, 6) AS croston FROM (SELECT *, list_filter(range(1, 37), lambda i: v[i] > 0) AS z FROM v)""")
 def forecast_methods(spark, d):
     data = forecast.series(monthly(spark, d), 36)
@@ -320,18 +329,25 @@ def forecast_methods(spark, d):
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    data = forecast.series(monthly(spark, d), 36)
     methods = {"MA3": lambda v: forecast.moving_average(v, 3), "ES_0.3": lambda v: forecast.exponential(v, 0.3), "CROSTON": forecast.croston}
-    parts = [forecast.accuracy(forecast.backtest(data, f, 24, 36), ["item_id"]).withColumn("method", F.lit(n)) for n, f in methods.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return forecast.accuracy(forecast.backtest(forecast.series(monthly(spark, d), 36), methods, 24, 36), ["item_id", "method"])
 
 
-@query()
+SCORED = f"""{SERIES36}, h AS (SELECT item_id, origin, v[origin + 1] AS actual, v[1:origin] AS h FROM (SELECT *, unnest(range(24, 36)) AS origin FROM v)
+), z AS (SELECT *, list_filter(range(1, origin + 1), lambda i: h[i] > 0) AS z FROM h
+), f AS (SELECT item_id, 'MA3' AS method, actual, (h[origin - 2] + h[origin - 1] + h[origin]) / 3 AS f FROM h UNION ALL SELECT item_id, 'ES_0.3', actual, list_reduce(h, lambda a, x: 0.3 * x + 0.7 * a) FROM h
+  UNION ALL SELECT item_id, 'CROSTON', actual, CASE WHEN len(z) = 0 THEN 0 WHEN len(z) = 1 THEN list_sum(h) ELSE list_sum(h) / len(z) / ((z[len(z)] - z[1]) / (len(z) - 1)) END FROM z
+), e AS (SELECT *, actual - f AS e, abs(actual) + abs(f) AS b FROM f
+), scored AS (SELECT item_id, method, round(avg(CASE WHEN actual <> 0 THEN abs(e) / abs(actual) * 100 ELSE 0 END), 6) + 0.0 AS mape, round(sum(e), 6) + 0.0 AS bias, round(avg(abs(e)), 6) + 0.0 AS mad, round(avg(e * e), 6) + 0.0 AS mse,
+  round(sum(abs(e)) / nullif(sum(abs(actual)), 0), 6) + 0.0 AS wape, round(avg(CASE WHEN b <> 0 THEN 2 * abs(e) / b END), 6) + 0.0 AS smape, round(sum(e) / nullif(avg(abs(e)), 0), 4) + 0.0 AS tracking FROM e GROUP BY ALL)"""
+
+
+@query(f"{SCORED} SELECT * FROM scored")
 def forecast_backtest(spark, d):
     return scored(spark, d)
 
 
-@query()
+@query(f"{SCORED} SELECT item_id, method, wape FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY wape, method) AS n FROM scored WHERE wape IS NOT NULL) WHERE n = 1")
 def forecast_selection(spark, d):
     return forecast.best_method(scored(spark, d))
 

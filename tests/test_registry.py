@@ -1,12 +1,12 @@
 """Every registered planning query against DuckDB on the same tables."""
 
-import math
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from stockweave.plans import registry
+from stockweave.plans import decisions as registry  # with the queries of all plans
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -20,11 +20,10 @@ def duck():
 
 
 def plain(value):
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.6g}" if abs(value) > 1e-9 else "0"
+    """Values as the driver compares them: numbers by their exact double, whatever their type."""
     if isinstance(value, bool) or value is None:
         return str(value)
-    return f"{float(value):.6g}" if isinstance(value, (int,)) or type(value).__name__ == "Decimal" else str(value)
+    return repr(float(value)) if isinstance(value, (int, float, Decimal)) else str(value)
 
 
 def rows(names, data):
