@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,55 +17,85 @@ def location_excess(stock: DataFrame, demand: DataFrame, safety: float) -> DataF
     return stock.join(used, ["item_id", "location_id"], "left").select("item_id", "location_id", left.alias("excess")).where("excess > 0")
 
 
-def fair_share(part: Column, available: Column, multiple: Column, least: Column, most: Column) -> Column:
-    """Whole multiples of a share, within what is available and the lane's most; below its least nothing."""
-    qty = F.least(part, available, F.coalesce(most, part))
-    qty = F.when(multiple > 0, F.floor(qty / multiple) * multiple).otherwise(qty)
-    return F.when(qty < F.coalesce(least, F.lit(0.0)), F.lit(0.0)).otherwise(qty).cast("double")
+def candidate_lanes(lanes: DataFrame, excess: DataFrame, deficits: DataFrame) -> DataFrame:
+    """(item_id, source, dest, priority, lead, multiple, least, most) from where an item is in excess to where it is short.
 
+    An item's own lanes replace the generic ones (null item_id) between the same places. What
+    an item has and lacks names its places, so lanes are joined by places and never made for all items.
+    """
+    have = excess.select("item_id", F.col("location_id").alias("source"))
+    lack = deficits.select("item_id", F.col("location_id").alias("dest"))
+    terms = ["priority", "lead", "multiple", "least", "most"]
+    ends = ["item_id", "source", "dest"]
+    own = lanes.where("item_id is not null").join(have, ["item_id", "source"], "left_semi").join(lack, ["item_id", "dest"], "left_semi").select(*ends, *terms)
+    generic = lanes.where("item_id is null").drop("item_id").join(have, "source").join(lack, ["item_id", "dest"], "left_semi").select(*ends, *terms)
+    return own.unionByName(generic.join(own.select(*ends).distinct(), ends, "left_anti"))
 
-def candidate_lanes(lanes: DataFrame, items: DataFrame) -> DataFrame:
-    """Lanes of each item: its own replace the generic ones between the same places."""
-    own = lanes.where("item_id is not null")
-    # A generic lane serves every item: each item's row takes the whole (small) list of them.
-    every = lanes.where("item_id is null").select(F.struct(*[c for c in lanes.columns if c != "item_id"]).alias("lane")).agg(F.collect_list("lane").alias("lanes"))
-    generic = items.select("item_id").join(F.broadcast(every)).select("item_id", F.explode("lanes").alias("lane")).select("item_id", "lane.*")
-    return own.unionByName(generic.join(own, ["item_id", "source", "dest"], "left_anti").select(*own.columns))
 
+def _whole(qty: float, multiple: float, least: float) -> float:
+    """As much of a quantity as a lane ships: whole multiples, nothing below its least."""
+    shipped = math.floor(qty / multiple) * multiple if multiple > 0 else qty
+    return shipped if shipped > 0 and shipped >= least else 0.0
 
-def transfers(excess: DataFrame, deficits: DataFrame, lanes: DataFrame) -> DataFrame:
-    """(item_id, source, dest, qty): excess shared out by lane priority, then source, in proportion to deficits.
 
-    Within a priority each source splits a snapshot of its excess, and what rounding
-    leaves goes to the largest residual. The state crosses sources, so an item is one
-    grouped function of its coordinates and lanes.
+def fair_shares(excess: dict[int, float], deficits: dict[int, tuple[int, float]], lanes: list[tuple]) -> list[tuple]:
+    """(source, dest, qty, ship_bucket, arrival_bucket) of one item; lanes are (priority, source, dest, lead, multiple, least, most).
+
+    By priority, and then by source (those with the lowest priority of any of their lanes
+    first): a source splits what it has among the destinations of that priority in proportion
+    to what they lack; what rounding leaves goes to the neediest that can take a whole
+    multiple, as long as there is one. A lane's most holds for both passes of its source and priority.
     """
-    out = "item_id long, source long, dest long, qty double"
-    rows = excess.select("item_id", F.lit("e").alias("kind"), F.col("location_id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("excess").alias("x"), F.lit(0).alias("priority"), F.lit(0.0).alias("multiple"))
-    rows = rows.unionByName(deficits.select("item_id", F.lit("d").alias("kind"), F.col("location_id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("deficit").alias("x"), F.lit(0).alias("priority"), F.lit(0.0).alias("multiple")))
-    rows = rows.unionByName(lanes.select("item_id", F.lit("l").alias("kind"), F.col("source").alias("a"), F.col("dest").alias("b"), F.lit(0.0).alias("x"), "priority", "multiple"))
-
-    def share(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        have = {int(r.a): r.x for r in g[g.kind == "e"].itertuples()}
-        need = {int(r.a): r.x for r in g[g.kind == "d"].itertuples()}
-        paths = sorted((int(r.priority), int(r.a), int(r.b), r.multiple) for r in g[g.kind == "l"].itertuples() if r.a in have and r.b in need)
-        found = []
-        for level in sorted({p[0] for p in paths}):
-            for source in sorted({p[1] for p in paths if p[0] == level}):
-                dests = [(d, m) for p, s, d, m in paths if p == level and s == source and need[d] > 0]
-                total, snapshot = sum(need[d] for d, _ in dests), have[source]
-                for sweep in (False, True):
-                    for d, m in sorted(dests, key=lambda x: (-need[x[0]], x[0])) if sweep else dests:
-                        part = min(need[d], have[source] if sweep else snapshot * need[d] / total if total else 0.0)
-                        qty = math.floor(min(part, have[source]) / m) * m if m > 0 else min(part, have[source])
-                        if qty > 0:
-                            have[source] -= qty
-                            need[d] -= qty
-                            found.append((int(key[0]), source, d, float(qty)))
-        done = pd.DataFrame(found, columns=["item_id", "source", "dest", "qty"])
-        return done.groupby(["item_id", "source", "dest"], as_index=False)["qty"].sum() if found else done
-
-    return rows.groupBy("item_id").applyInPandas(share, out)
+    lack, have, found = {d: qty for d, (_, qty) in deficits.items()}, dict(excess), []
+    first = {source: min(lane[0] for lane in lanes if lane[1] == source) for source in {lane[1] for lane in lanes}}
+    for level in sorted({lane[0] for lane in lanes}):
+        for source in sorted(first, key=lambda s: (first[s], s)):
+            here = sorted((lane for lane in lanes if lane[:2] == (level, source)), key=lambda x: (x[2], x[6], x[5], x[4], x[3]))
+            room = [lane[6] for lane in here]
+
+            def ship(dest: int, part: float) -> float:
+                sent = 0.0
+                for k, (_, _, to, lead, multiple, least, _) in enumerate(here):
+                    qty = _whole(min(part - sent, lack[dest], have[source], room[k]), multiple, least) if to == dest else 0.0
+                    if qty > 0:
+                        lack[dest] -= qty
+                        have[source] -= qty
+                        room[k] -= qty
+                        sent += qty
+                        leaves = max(0, deficits[dest][0] - lead)
+                        found.append((source, dest, qty, leaves, leaves + lead))
+                return sent
+
+            short = sorted({lane[2] for lane in here if lack[lane[2]] > 0})
+            total, start = sum(lack[d] for d in short), have[source]
+            if start <= 0 or total <= 0:
+                continue
+            for dest, part in [(d, min(lack[d], start * lack[d] / total)) for d in short]:
+                ship(dest, part)
+            while short and have[source] > 0:
+                dest = min(short, key=lambda d: (-lack[d], d))
+                if lack[dest] <= 0 or not ship(dest, lack[dest]):
+                    short.remove(dest)
+    return found
+
+
+def transfers(excess: DataFrame, deficits: DataFrame, lanes: DataFrame) -> DataFrame:
+    """(item_id, source, dest, qty, ship_bucket, arrival_bucket) by fair_shares(), which an item's places and lanes alone decide."""
+    out = "item_id long, source long, dest long, qty double, ship_bucket int, arrival_bucket int"
+    paths = candidate_lanes(lanes, excess, deficits)
+    grouped = paths.groupBy("item_id").agg(F.collect_list(F.struct("priority", "source", "dest", "lead", "multiple", "least", F.coalesce("most", F.lit(math.inf)).alias("most"))).alias("lanes"))
+    have = excess.groupBy("item_id").agg(F.collect_list(F.struct("location_id", "excess")).alias("have"))
+    lack = deficits.groupBy("item_id").agg(F.collect_list(F.struct("location_id", "bucket", "deficit")).alias("lack"))
+
+    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = []
+            for item, ways, own, short in zip(rows["item_id"].tolist(), rows["lanes"], rows["have"], rows["lack"], strict=True):
+                sent = fair_shares({e["location_id"]: e["excess"] for e in own}, {e["location_id"]: (e["bucket"], e["deficit"]) for e in short}, [tuple(w.values()) for w in ways])
+                found += [(item, *s) for s in sent]
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in out.split(", ")])
+
+    return grouped.join(have, "item_id").join(lack, "item_id").mapInPandas(share, out).groupBy("item_id", "source", "dest", "ship_bucket", "arrival_bucket").agg(F.sum("qty").alias("qty"))
 
 
 def split_shares(observed: DataFrame) -> DataFrame:

@@ -254,16 +254,18 @@ def location_excess(spark, d):
 
 
 def lanes(spark: SparkSession, d: str) -> DataFrame:
-    generic = [(None, a, b, 1 + (a + b) % 2, 1.0) for a in range(p.LOCATIONS) for b in range(p.LOCATIONS) if a != b]
-    return spark.createDataFrame(generic, "item_id long, source long, dest long, priority int, multiple double")
+    pairs = [(a, b) for a in range(p.LOCATIONS) for b in range(p.LOCATIONS) if a != b]
+    generic = [(None, a, b, 1 if (a * b) % 3 else 2, 1 + (a + b) % 2, float(1 + a % 3), float(b % 3), None if b % 2 else 40.0) for a, b in pairs]
+    own = [(i, 0, 1, 1, 1, 5.0, 0.0, None) for i in range(1, 20)]
+    return spark.createDataFrame(generic + own, "item_id long, source long, dest long, priority int, lead int, multiple double, least double, most double")
 
 
 @query()
 def transfer_signals(spark, d):
-    low = stock.first_below(flows(spark, d), F.lit(5.0)).select("item_id", "location_id", "deficit")
+    """Deficits of what is on hand against demand alone: receipts that are expected don't count."""
+    low = stock.first_below(flows(spark, d).withColumn("inflows", F.lit(0.0)), F.lit(5.0))
     excess = supply.location_excess(p.on_hand(spark, d), p.flows(spark, d).where("kind = 'order'"), 5.0)
-    paths = supply.candidate_lanes(lanes(spark, d), low.select("item_id").distinct())
-    return supply.transfers(excess, low, paths)
+    return supply.transfers(excess, low, lanes(spark, d))
 
 
 @query(""", s AS (SELECT item_id, location_id, sum(qty) AS qty FROM history WHERE kind IN ('order', 'forecast') GROUP BY ALL), r AS (SELECT item_id, location_id, CAST(round_even(CAST(qty AS DECIMAL(20,4)) / sum(qty) OVER (PARTITION BY item_id), 8) AS DECIMAL(12,8)) AS pct FROM s)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stockweave.operators import actions, bom, demand, mrp, netting
+from stockweave.operators import actions, bom, demand, mrp, netting, supply
 
 rng = random.Random(3)
 
@@ -118,3 +118,20 @@ def test_working_days_run_out_and_as_of_takes_the_day_itself(spark):
     facts = spark.createDataFrame([(1, 5, 2.0), (1, 5, 3.0), (1, 9, 4.0)], "k long, t int, v double")
     asked = spark.createDataFrame([(1, 4), (1, 5), (1, 8), (2, 9), (1, 8)], "k long, t int")
     assert sorted((r.k, r.t, r.v) for r in actions.as_of(asked, facts, ["k"], "t", "v").collect() if r.v) == [(1, 5, 3.0), (1, 8, 3.0), (1, 8, 3.0)]
+
+
+def test_fair_shares():
+    lane = lambda s, d, priority=1, lead=1, multiple=1.0, least=0.0, most=math.inf: (priority, s, d, lead, multiple, least, most)
+    # Proportional, rounded down; what is left goes to the neediest.
+    got = supply.fair_shares({0: 12.0}, {1: (3, 20.0), 2: (0, 20.0)}, [lane(0, 1, multiple=12.0), lane(0, 2, multiple=12.0)])
+    assert got == [(0, 1, 12.0, 2, 3)]
+    got = supply.fair_shares({0: 10.0}, {1: (3, 6.0), 2: (0, 9.0)}, [lane(0, 1), lane(0, 2, lead=2)])
+    assert got == [(0, 1, 4.0, 2, 3), (0, 2, 6.0, 0, 2)]
+    # A lower priority waits; a lane's most and least hold.
+    got = supply.fair_shares({0: 30.0, 1: 5.0}, {2: (1, 20.0)}, [lane(0, 2, priority=2), lane(1, 2, priority=1)])
+    assert got == [(1, 2, 5.0, 0, 1), (0, 2, 15.0, 0, 1)]
+    assert supply.fair_shares({0: 30.0}, {2: (1, 20.0)}, [lane(0, 2, most=8.0), lane(0, 2, least=15.0)]) == [(0, 2, 8.0, 0, 1)]
+    # Sources with the lowest priority of any lane come first, whatever their number.
+    got = supply.fair_shares({0: 9.0, 1: 9.0}, {2: (1, 10.0), 3: (1, 1.0)}, [lane(0, 2, priority=2), lane(1, 2, priority=2), lane(1, 3, priority=1)])
+    assert got[0] == (1, 3, 1.0, 0, 1) and got[1][:3] == (1, 2, 8.0)
+    assert supply.fair_shares({}, {}, []) == []
