@@ -166,6 +166,11 @@ def test_subsequence_kernel():
         assert toxicity.subsequence_kernel(s, t) == pytest.approx(slow(s, t))
 
 
+def value(marks, word, j):
+    """The kernel value of a word with a landmark: the root of its power, which is kept."""
+    return float(marks.values[marks.known[word], j]) ** (1 / toxicity.POWERS[0])
+
+
 def test_weak_kernel_values_reach_the_features():
     insults = ["trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "loser", "scum", "moron"]
     marks = toxicity.Landmarks(insults)
@@ -174,8 +179,19 @@ def test_weak_kernel_values_reach_the_features():
             text = "x".join(word[:gaps]) + "x" + word[gaps:]
             marks.learn({text})
             want = toxicity.subsequence_kernel(text, word) / (marks.norms[j] * toxicity.subsequence_kernel(text, text) ** 0.5)
-            assert want > 0 and dict(marks[text])[j] == pytest.approx(want)
+            assert want > 0 and value(marks, text, j) == pytest.approx(want, rel=1e-4)
             assert np.abs(marks.features([text]) - marks.features([""])).max() > 0.01
+    # No kernel value is left out, whatever letters the word lacks.
+    for text, word, least in (("stupid", "stupidly", 0.77), ("scoundr", "scoundrels", 0.75), ("moron", "moronic", 0.67), ("blockhd", "blockheads", 0.63)):
+        marks = toxicity.Landmarks([word])
+        marks.learn({text})
+        assert value(marks, text, 0) > least
+    for text in {prose(1) for _ in range(300)} | {"a", "ab", "aaa", "ababab", "été"}:
+        marks = toxicity.Landmarks(["abcab", "hgfed"])
+        marks.learn({text})
+        own = toxicity.subsequence_kernel(text, text)
+        for j, word in enumerate(marks.strings):
+            assert value(marks, text, j) == pytest.approx(toxicity.subsequence_kernel(text, word) / (marks.norms[j] * own**0.5) if own else 0.0, rel=1e-4, abs=1e-6)
 
 
 def test_pipeline_rejects_what_op8_predicts(spark, monkeypatch, tmp_path):
@@ -199,10 +215,10 @@ def test_long_words_and_runs_are_compared_in_pieces():
     for text in (run, " ".join(run), run[:26] + "idiot", "idiot" + run[31:], filler + "idiot" + filler):
         (word,) = [w for w in toxicity.words_of(text) if len(w) > 4]
         marks.learn({word})
-        assert dict(marks[word])[0] > 0.25
+        assert value(marks, word, 0) > 0.25
     marks.learn({"youarestupidandatrashmoron"})
-    assert dict(marks["youarestupidandatrashmoron"])[1] > 0.36  # the whole has 0.345
-    assert marks._pieces("a" * 20) == {"a" * 20}
+    assert value(marks, "youarestupidandatrashmoron", 1) > 0.36  # the whole has 0.345
+    assert marks._pieces("a" * 20) == ["a" * 20]
     for n in (21, 40, 41, 97):
         word = "".join(chr(0x4E00 + i) for i in range(n))
         assert all(any(word[i : i + 10] in p for p in marks._pieces(word)) for i in range(n - 9))
