@@ -24,6 +24,8 @@ HINTS = {"assign": r"(?i:pass|secret|token|api_?key)", "access": "AKIA", "hex":
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.8))
 WINDOW = 20
+#: The letters of candidates.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Candidates that are no secrets: words (letters only), paths of words, ids of zeros, separators, counters.
 ALLOWED = (r"^[A-Za-z]+$", r"^[A-Za-z]+([-_/][A-Za-z]+)+$", r"^[-_=+/]+$", r"^[0-9]+$", r"^(.)\1+$")
 
@@ -63,30 +65,37 @@ def _long_enough(pattern: str, group: int, least: int):
 
 
 def window_entropy(word: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits, of the word's windows (of the word, if shorter); ASCII words.
+    """Largest Shannon entropy, in bits, of the word's windows (of the word, if shorter); words of LETTERS, windows under 64.
 
-    One pass: a character entering or leaving a window changes its count c, and with
-    it the sum of c log2 c, from which the window's entropy follows. Counts are a map
-    from character to count that holds the window's characters only.
+    One pass: a letter entering or leaving a window moves its count c by one, and with it
+    the sum of c log2 c, from which the window's entropy follows. The counts are held as
+    6 bits each, ten to a number.
     """
     weight = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
+    place = lambda x: F.call_function("instr", F.lit(LETTERS), x) - 1
     letters = F.split(word, "")
     left = F.concat(F.array_repeat(F.lit(""), window), letters)  # what leaves the window as each letter enters
-    steps = F.filter(F.arrays_zip(letters.alias("new"), left.alias("old")), lambda e: e["new"] != "")
+    pairs = F.filter(F.arrays_zip(letters.alias("new"), left.alias("old")), lambda e: e["new"] != "")
+    steps = F.transform(pairs, lambda e, i: F.struct(place(e["new"]).alias("new"), F.when(e["old"] != "", place(e["old"])).otherwise(-1).alias("old"), (i >= window - 1).alias("full")))
+
+    def count(counts: Column, letter: Column) -> Column:
+        held = F.get(counts, F.floor(letter / 10).cast("int"))
+        return F.call_function("shiftrightunsigned", held, (letter % 10 * 6).cast("int")).bitwiseAND(F.lit(63).cast("long")).cast("double")
+
+    def moved(counts: Column, letter: Column, by: int) -> Column:
+        unit = F.call_function("shiftleft", F.lit(by).cast("long"), (letter % 10 * 6).cast("int"))
+        return F.transform(counts, lambda c, i: F.when(i == F.floor(letter / 10), c + unit).otherwise(c))
 
     def step(s: Column, e: Column) -> Column:
-        text = F.concat(F.when(e["old"] != "", F.substring(s["text"], F.lit(2), F.lit(window))).otherwise(s["text"]), e["new"])
-        count = lambda t, x: (F.length(t) - F.length(F.replace(t, x, F.lit("")))).cast("double")
-        # Of the text before: the old letter's count falls by one, then the new one's rises by one.
-        old, new = count(s["text"], e["old"]), count(s["text"], e["new"])
-        leaves = e["old"] != ""
-        fall = F.when(leaves, weight(old - 1) - weight(old)).otherwise(F.lit(0.0))
-        new = new - F.when(leaves & (e["old"] == e["new"]), 1.0).otherwise(0.0)
-        total = s["sum"] + fall + weight(new + 1) - weight(new)
-        least = F.when(F.length(text) == window, F.least(s["least"], total)).otherwise(s["least"])
-        return F.struct(text.alias("text"), total.alias("sum"), least.alias("least"))
-
-    start = F.struct(F.lit("").alias("text"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("least"))
+        leaves = e["old"] >= 0
+        old = count(s["counts"], e["old"])
+        fewer = F.when(leaves, moved(s["counts"], e["old"], -1)).otherwise(s["counts"])
+        new = count(s["counts"], e["new"]) - F.when(leaves & (e["old"] == e["new"]), 1.0).otherwise(0.0)
+        total = s["sum"] + F.when(leaves, weight(old - 1) - weight(old)).otherwise(F.lit(0.0)) + weight(new + 1) - weight(new)
+        return F.struct(moved(fewer, e["new"], 1).alias("counts"), total.alias("sum"), F.when(e["full"], F.least(s["least"], total)).otherwise(s["least"]).alias("least"))
+
+    none = F.lit([0] * (-(-len(LETTERS) // 10))).cast("array<bigint>")
+    start = F.struct(none.alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("least"))
     size = F.least(F.length(word), F.lit(window)).cast("double")
     # The least sum of a full window has the largest entropy; a shorter word is one window.
     return F.when(F.length(word) > 0, F.log2(size) - F.aggregate(steps, start, step, lambda s: F.coalesce(s["least"], s["sum"])) / size).otherwise(F.lit(0.0))
@@ -110,19 +119,20 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Starts and stops are code points, stop exclusive. The base kinds follow their
     patterns, leftmost matches first; kind `entropy` adds candidates of high windowed
-    entropy that no base span covers and no allow-list clears. Null texts are empty
-    and have no spans; repeated rows come back each; an empty table gives none;
-    columns other than the two named are not read.
+    entropy that no allow-list clears, looked for in what the base spans leave of the text.
+    Null texts are empty and have no spans; repeated rows come back each; an empty table
+    gives none; columns other than the two named and those to keep are not read, whatever their names.
     """
     others = [c for c in keep if c not in (id_col, text_col, "doc_id", "text")]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *others)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*others, F.lit(0).alias("_")).alias("others"))
     text = F.col("text")
     for kind, (pattern, group, least) in BASE.items():
-        rows = rows.withColumn(f"_{kind}", _spans(text, kind, pattern, HINTS[kind], _long_enough(pattern, group, least)))
-    rows = rows.withColumn("_base", F.concat(*(F.col(f"_{k}") for k in BASE)))
-    covered = lambda s: F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    rows = rows.withColumn("_more", _spans(text, "entropy", CANDIDATE, CANDIDATE, lambda s: ~covered(s) & _random(s["text"])))
-    return rows.select("doc_id", "text", *others, F.array_sort(F.concat("_base", "_more")).alias("spans"))
+        rows = rows.withColumn(kind, _spans(text, kind, pattern, HINTS[kind], _long_enough(pattern, group, least)))
+    rows = rows.withColumn("base", F.array_sort(F.concat(*BASE)))
+    # Blanks stand for base spans, so that what is beside them is looked at by itself.
+    rows = rows.withColumn("rest", redacted(text, F.col("base"), None))
+    rows = rows.withColumn("more", _spans(F.col("rest"), "entropy", CANDIDATE, CANDIDATE, lambda s: _random(s["text"])))
+    return rows.select("doc_id", "text", *(F.col("others")[c].alias(c) for c in others), F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
@@ -130,13 +140,15 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
-    """The text with every span replaced by the mask; overlapping spans become one."""
+def redacted(text: Column, spans: Column, mask: str | None = "[REDACTED]") -> Column:
+    """The text with every span replaced by the mask, overlapping ones as one; by as many blanks, without a mask."""
+    blanks = lambda n: F.repeat(F.lit(" "), n) if mask is None else F.lit(mask)
+    more = lambda n: F.repeat(F.lit(" "), n) if mask is None else F.lit("")
     state = F.aggregate(
         spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["stop"]).alias("at"), s["out"].alias("out"))).otherwise(
-            F.struct(x["stop"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mask)).alias("out"))
+        lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.concat(s["out"], more(F.greatest(x["stop"] - s["at"], F.lit(0)))).alias("out"))).otherwise(
+            F.struct(x["stop"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), blanks(x["stop"] - x["start"])).alias("out"))
         ),
     )
     return F.when(F.size(spans) > 0, F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))).otherwise(text)
