@@ -23,36 +23,46 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below toxicity.TOXIC (the decision of op8), by a model fitted on the labelled rows that aren't held out."""
+    """Documents whose toxicity score is below toxicity.TOXIC (the decision of op8), by a model fitted on the labelled rows that aren't held out.
+
+    Null and empty texts score as one without words. Repeated rows and rows with a null id are scored each; an empty table gives no rows.
+    """
     model = toxicity.fit(training_rows(docs, read(spark, sf_dir, "labels")))
     return toxicity.score_documents(docs, model, keep=True).where(F.col("toxicity") < toxicity.TOXIC).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by similar shingle sets: that of the least doc_id."""
+    """One document of each group linked by similar shingle sets: that of the least doc_id.
+
+    Of repeated rows of an id the least by text, then by the other columns, stays (null first). Rows with a
+    null id all stay, as do null and empty texts, which are linked with nothing.
+    """
     groups = jaccard.jaccard_groups(docs, k=5, percent=80).select("doc_id", "component_id").distinct()
     kept = groups.where("doc_id = component_id").select("doc_id")
-    # A null id is in no group; of repeated rows of an id the first by text stays.
-    first = docs.where("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    rows = docs.where("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    first = rows.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("first")).select("doc_id", "first.*")
+    return first.unionByName(docs.where("doc_id is null").select(*COLUMNS)).select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the paragraphs that a document of a lower id keeps."""
+    """All documents, without the paragraphs and runs of words that a document of a lower id keeps.
+
+    Rows with a null id or text stay as they are; a text that is cut whole becomes empty.
+    """
     repeats = substrings.repeated_paragraphs(docs)
     cut = substrings.without_repeats(docs, repeats)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mask."""
+    """All documents, with every secret replaced by a mask; a null text becomes empty."""
     found = secrets.scan_secrets(docs, keep=COLUMNS)
     masked = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens."""
+    """The pieces of all documents in sequences of 1024 tokens; an empty text is its end token alone."""
     packed = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

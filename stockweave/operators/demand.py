@@ -44,9 +44,12 @@ def period_ends(points: DataFrame) -> DataFrame:
     """Forecast points as spans: to the item's next date; the last by the upper median gap, else 7 days."""
     dates = points.groupBy("item_id", "due").agg(F.sum("qty").alias("qty"))
     nexts = dates.withColumn("end", F.lead("due").over(Window.partitionBy("item_id").orderBy("due")))
-    gaps = nexts.groupBy("item_id").agg(F.sort_array(F.collect_list(F.datediff("end", "due"))).alias("gaps"))
-    middle = F.coalesce(F.try_element_at("gaps", (F.floor(F.size("gaps") / 2) + 1).cast("int")), F.lit(7))
-    spans = nexts.join(gaps.select("item_id", middle.alias("gap")), "item_id")
+    days = nexts.where("end is not null").select("item_id", F.datediff("end", "due").alias("days"))
+    own = Window.partitionBy("item_id")
+    placed = days.select("item_id", "days", F.row_number().over(own.orderBy("days")).alias("at"), F.count("*").over(own).alias("n"))
+    middle = placed.where("at = floor(n / 2) + 1").select("item_id", F.col("days").alias("gap"))
+    gaps = dates.select("item_id").distinct().join(middle, "item_id", "left").select("item_id", F.coalesce("gap", F.lit(7)).alias("gap"))
+    spans = nexts.join(gaps, "item_id")
     return spans.select("item_id", "due", F.coalesce("end", F.date_add("due", F.col("gap"))).alias("end"), "qty")
 
 

@@ -38,31 +38,32 @@ def offsets(window: int) -> list[int]:
 def consume_windowed(demand: DataFrame, window: int, fence: int = 0) -> DataFrame:
     """Each order, in bucket order, eats forecast at the nearest buckets within the window; fenced buckets stay.
 
-    Gross is the orders and what is left of the forecast. Sequential by item, so one
-    grouped function; a group is an item's buckets.
+    Gross is the orders and what is left of the forecast. Sequential by item, so an item is
+    one row with an entry for each of its buckets; many items are walked in one batch.
     """
     order = offsets(window)
-
-    def one(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        rows = parts.sort_values("bucket")
-        forecast = dict(zip(rows["bucket"], rows["forecast"], strict=True))
-        orders = dict(zip(rows["bucket"], rows["orders"], strict=True))
-        for bucket, qty in orders.items():
-            if bucket < fence:
-                continue
-            for step in order:
-                at = bucket + step
-                if qty <= 0:
-                    break
-                if at >= fence and forecast.get(at, 0) > 0:
-                    eaten = min(qty, forecast[at])
-                    forecast[at] -= eaten
-                    qty -= eaten
-        gross = [orders[b] + (forecast[b] if b >= fence else 0.0) for b in forecast]
-        out = pd.DataFrame({"item_id": rows["item_id"].iloc[0], "bucket": list(forecast), "gross": gross})
-        return out[out["gross"] != 0]
-
-    return demand.select("item_id", "bucket", "orders", "forecast").groupBy("item_id").applyInPandas(one, "item_id long, bucket int, gross double")
+    out = "item_id long, bucket int, gross double"
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for items in batches:
+            found = []
+            for item, entries in zip(items["item_id"].tolist(), items["entries"], strict=True):
+                orders, forecast = {}, {}
+                for e in entries:
+                    orders[e["bucket"]], forecast[e["bucket"]] = e["orders"], e["forecast"]
+                for bucket, qty in orders.items():
+                    for at in (bucket + step for step in order) if bucket >= fence else ():
+                        if qty > 0 and at >= fence and forecast.get(at, 0) > 0:
+                            eaten = min(qty, forecast[at])
+                            forecast[at] -= eaten
+                            qty -= eaten
+                gross = ((b, q + (forecast[b] if b >= fence else 0.0)) for b, q in orders.items())
+                found += [(item, b, q) for b, q in gross if q]
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in out.split(", ")])
+
+    # A bucket occurs once for each item, so an item has as many entries as the horizon has buckets.
+    lists = demand.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "orders", "forecast"))).alias("entries"))
+    return lists.mapInPandas(walk, out)
 
 
 def excess(stock: DataFrame, gross: DataFrame, weeks: int, months: float = 6.0) -> DataFrame:

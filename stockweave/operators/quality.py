@@ -70,11 +70,14 @@ def duplicates_in_batch(rows: DataFrame, key: str) -> DataFrame:
 
 
 def index_quartiles(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Quartiles by index (n div 4, 3n div 4) of groups of four values or more, and the fences of 1.5 ranges."""
-    lists = rows.groupBy(group).agg(F.sort_array(F.collect_list(value)).alias("v")).where(F.size("v") >= 4)
-    n = F.size("v")
-    q1, q3 = F.element_at("v", (F.floor(n / 4) + 1).cast("int")), F.element_at("v", (F.floor(3 * n / 4) + 1).cast("int"))
-    return lists.select(group, q1.alias("q1"), q3.alias("q3")).withColumn("low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    """Quartiles by index (n div 4, 3n div 4) of groups of four values or more, and the fences of 1.5 ranges.
+
+    Values are numbered in their order, so that a large group is sorted (and spilled), never gathered.
+    """
+    placed = rows.where(F.col(value).isNotNull()).select(group, value, F.row_number().over(Window.partitionBy(group).orderBy(value)).alias("at"), F.count("*").over(Window.partitionBy(group)).alias("n")).where("n >= 4")
+    at = lambda place: F.max(F.when(F.col("at") == place + 1, F.col(value)))
+    out = placed.groupBy(group).agg(at(F.floor(F.col("n") / 4)).alias("q1"), at(F.floor(3 * F.col("n") / 4)).alias("q3"))
+    return out.withColumn("low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
 
 
 def price_outliers(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -147,9 +150,14 @@ def overlay(base: DataFrame, overrides: DataFrame, fields: Mapping[str, str]) ->
 
 
 def reconcile(recommended: DataFrame, received: DataFrame, tolerance: float = 0.05, days: int = 7) -> DataFrame:
-    """Each recommendation matched with a plausible receipt: matched only one to one, ambiguous with more, else unmatched."""
+    """Each recommendation matched with a plausible receipt: matched only one to one, ambiguous with more, else unmatched.
+
+    Dates meet in spans of `days` days and their neighbours, so an item of many receipts doesn't meet all its recommendations.
+    """
+    span = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / (days + 1))
     near = (F.abs(F.col("qty") - F.col("got")) <= tolerance * F.col("qty")) & (F.abs(F.datediff("need", "arrived")) <= days)
-    pairs = recommended.join(received, "item_id").where(near).select("recommendation_id", "receipt_id")
+    asked = recommended.select("*", F.explode(F.sequence(span("need") - 1, span("need") + 1)).alias("span"))
+    pairs = asked.join(received.withColumn("span", span("arrived")), ["item_id", "span"]).where(near).select("recommendation_id", "receipt_id")
     of = lambda c: F.count("*").over(Window.partitionBy(c))
     counted = pairs.withColumn("n", of("recommendation_id")).withColumn("m", of("receipt_id"))
     told = counted.groupBy("recommendation_id").agg(F.max(F.greatest("n", "m")).alias("most"), F.min("receipt_id").alias("receipt_id"))
