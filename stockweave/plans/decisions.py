@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, timegrid
 from ..operators import actions, forecast, mrp, netting, quality
 from ..sources import planning as p
+from ..streaming import events as streams
 from . import projection as stock
 from .registry import DEMAND, EXCESS, LOAD, ORACLE_SQL, QUERIES, SERIES36, STAGED, capacity_load, flows, gross_inputs, monthly, projected, query, staged
 
@@ -175,3 +176,18 @@ def forecast_interval(spark, d):
 @query(f"""{SERIES36} SELECT item_id, round(list_sum(list_transform(range(1, 13), lambda i: abs(v[24 + i] - greatest(0, v[12 + i])))) / nullif(list_sum(v[25:36]), 0), 6) + 0.0 AS naive, round(1 - list_sum(list_transform(range(1, 13), lambda i: abs(v[24 + i] - list_sum(v[22:24]) / 3))) / nullif(list_sum(list_transform(range(1, 13), lambda i: abs(v[24 + i] - greatest(0, v[12 + i])))), 0), 6) + 0.0 AS value_added FROM v""")
 def forecast_value_added(spark, d):
     return forecast.value_added(forecast.series(monthly(spark, d), 36), 12, 12, lambda v: forecast.moving_average(v, 3)).select("item_id", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("naive", "value_added")))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 10000) AS BIGINT)) AS BIGINT) AS units FROM events GROUP BY ALL")
+def event_stream(spark, d):
+    """The event log read as a stream to its end."""
+    log = p.table(spark, d, "events")
+    return streams.drained(spark, streams.window_totals(spark.readStream.schema(log.schema).parquet(f"{d}/events.parque[t]")))  # a pattern: a file alone is no source of a stream
+
+
+@query("SELECT * FROM projection")
+def incremental_projection(spark, d):
+    """A plan made before the lines of every tenth order came in, and then refreshed for the series that they touch."""
+    new = F.col("l_orderkey") % 10 == 0
+    before = stock.project(stock.bucket_flows(p.moves(spark, d, p.WEEKS, 7, ~new), p.WEEKS))
+    return streams.refreshed(before, p.moves(spark, d, p.WEEKS, 7), p.moves(spark, d, p.WEEKS, 7, new), p.WEEKS)

@@ -91,15 +91,15 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir, wanted).withColumn("bucket", timegrid.week_index(F.col("due"), F.lit(AS_OF).cast("date")))
 
 
-def moves(spark: SparkSession, sf_dir: str, size: int, days: int) -> DataFrame:
+def moves(spark: SparkSession, sf_dir: str, size: int, days: int, only: Column | None = None) -> DataFrame:
     """item_id, location_id, kind, bucket, qty: what moves in `size` buckets of `days` days, and in bucket -1 what has come before.
 
     A forecast is shared among the buckets that its days fall in; shares outside the
-    horizon are dropped. One scan of the lines gives stock and flows.
+    horizon are dropped. One scan of the lines (of those that meet `only`) gives stock and flows.
     """
     supply = F.col("l_returnflag") == "R"
     since = supply | (F.col("l_shipdate") >= shipped(0)) | ((F.col("l_returnflag") == "A") & (F.col("l_shipdate") > shipped(-SPAN)))
-    rows = lines(spark, sf_dir, (F.col("l_shipdate") < shipped(size * days)) & since)
+    rows = lines(spark, sf_dir, (F.col("l_shipdate") < shipped(size * days)) & since & (F.lit(True) if only is None else only))
     first, forecast = F.floor(_day() / days).cast("int"), F.col("kind") == "forecast"
     last = F.when(forecast, F.floor((_day() + SPAN - 1) / days).cast("int")).otherwise(first)
     first = F.when(F.col("kind") != "supply", F.greatest(first, F.lit(0))).when(_day() < -LATE, -1).otherwise(F.greatest(first, F.lit(0)))

@@ -1 +1 @@
-"""stockweave: supply-chain planning and training-data preparation on Spark."""
+"""Streams of events: totals by window, and plans kept up to date."""
