@@ -128,3 +128,22 @@ def overloads(load: DataFrame, capacity: Column) -> DataFrame:
     over = F.col("u") - 10000
     band = F.when(over > 10000, "critical").when(over > 5000, "high").when(over > 2000, "medium").otherwise("low")
     return weekly.where("u > 10000").select("resource_id", "week", (F.col("h") / 10000).alias("hours"), (F.col("u") / 100).alias("utilisation"), band.alias("severity"))
+
+
+def purchases(short: DataFrame, terms: DataFrame, as_of: str, multiple: float) -> DataFrame:
+    """An order for each series' first deficit, in whole multiples, from the item's best supplier: preferred, then cheapest, then first.
+
+    It is placed a lead time before the need, today at the earliest; `late` says that this is too late. Items without a priced supplier are left out.
+    """
+    day = F.lit(as_of).cast("date")
+    best = terms.where("unit_cost > 0").groupBy("item_id").agg(F.min_by(F.struct("supplier_id", "unit_cost", "lead_days"), F.struct(~F.col("is_preferred"), "unit_cost", "supplier_id")).alias("s"))
+    both = short.join(best, "item_id").select("item_id", "location_id", "bucket", "s.*", (F.ceil(F.col("deficit") / multiple) * multiple).cast("double").alias("qty"))
+    value = F.round(F.col("qty").cast("decimal(12,3)") * F.col("unit_cost").cast("decimal(12,4)"), 2).cast("double")
+    ordered = F.greatest(day, F.date_sub(F.date_add(day, F.col("bucket") * 7), F.col("lead_days")))
+    return both.select("item_id", "location_id", "supplier_id", "qty", value.alias("value"), ordered.alias("order_date"), (F.col("bucket") * 7 < F.col("lead_days")).alias("late"))
+
+
+def affected(closure: DataFrame, short: DataFrame, items: DataFrame) -> DataFrame:
+    """Of `items`, those that short components go into: how many of them, and over how few levels."""
+    used = closure.join(short.select(F.col("item_id").alias("component")), "component", "left_semi").join(items.select(F.col("item_id").alias("ancestor")), "ancestor", "left_semi")
+    return used.groupBy(F.col("ancestor").alias("item_id")).agg(F.countDistinct("component").alias("short_components"), F.min("depth").alias("nearest"))

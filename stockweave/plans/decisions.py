@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, timegrid
 from ..operators import actions, forecast, mrp, netting, quality
+from ..operators import bom as bills
 from ..sources import planning as p
 from ..streaming import events as streams
 from . import projection as stock
@@ -191,3 +192,48 @@ def incremental_projection(spark, d):
     new = F.col("l_orderkey") % 10 == 0
     before = stock.project(stock.bucket_flows(p.moves(spark, d, p.WEEKS, 7, ~new), p.WEEKS))
     return streams.refreshed(before, p.moves(spark, d, p.WEEKS, 7), p.moves(spark, d, p.WEEKS, 7, new), p.WEEKS)
+
+
+@query("""SELECT item_id, location_id, CAST(date_trunc('month', CAST(DATE '%s' AS DATE) + bucket * 7) AS DATE) AS period, arg_min(opening, bucket) AS opening, sum(inflows) AS inflows, sum(outflows) AS outflows, arg_max(closing, bucket) AS closing, bool_or(has_shortage) AS has_shortage, sum(shortage_qty) AS shortage_qty FROM projection GROUP BY ALL""" % p.AS_OF)
+def projection_by_calendar_month(spark, d):
+    start = F.date_add(F.lit(p.AS_OF).cast("date"), F.col("bucket") * 7)
+    return stock.roll_up(projected(spark, d), timegrid.month_start(start))
+
+
+@query(f""", low AS (SELECT item_id, location_id, min(bucket) AS bucket, arg_min(10 - closing, bucket) AS deficit FROM projection WHERE closing < 10 GROUP BY ALL
+), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY is_preferred DESC, unit_cost, supplier_id) AS n FROM supplier_items WHERE unit_cost > 0) WHERE n = 1)
+SELECT item_id, location_id, supplier_id, ceil(deficit / 12) * 12 AS qty, CAST(round(CAST(ceil(deficit / 12) * 12 AS DECIMAL(12,3)) * CAST(unit_cost AS DECIMAL(12,4)), 2) AS DOUBLE) AS value, greatest({DAY}, {DAY} + bucket * 7 - lead_days) AS order_date, bucket * 7 < lead_days AS late FROM low JOIN s USING (item_id)""")
+def purchase_recommendations(spark, d):
+    short = stock.first_below(flows(spark, d), F.lit(10.0))
+    return actions.purchases(short, p.supplier_items(spark, d), p.AS_OF, multiple=12)
+
+
+@query("SELECT item_id, location_id, bucket, shortage_qty FROM projection LEFT JOIN (SELECT item_id, max(price) AS price FROM lines WHERE kind = 'transfer' GROUP BY 1) USING (item_id) WHERE has_shortage ORDER BY price DESC NULLS LAST, shortage_qty DESC, item_id, location_id, bucket LIMIT 50 OFFSET 100")
+def shortage_page(spark, d):
+    """A page of shortages, the dearest items first and those without a price last."""
+    price = p.lines(spark, d).where("kind = 'transfer'").groupBy("item_id").agg(F.max("price").alias("price"))
+    found = projected(spark, d).where("has_shortage").join(price, "item_id", "left")
+    return found.orderBy(F.desc_nulls_last("price"), F.desc("shortage_qty"), "item_id", "location_id", "bucket").offset(100).limit(50).select("item_id", "location_id", "bucket", "shortage_qty")
+
+
+ALPHAS = (0.1, 0.3, 0.5, 0.7, 0.9)
+
+
+@query(f"""{SERIES36}, f AS (SELECT item_id, a AS alpha, v[origin + 1] AS actual, list_reduce(v[1:origin], lambda s, x: a * x + (1 - a) * s) AS f FROM (SELECT *, unnest(range(24, 36)) AS origin FROM v), (SELECT unnest([{', '.join(f'CAST({a} AS DOUBLE)' for a in ALPHAS)}]) AS a)
+), w AS (SELECT item_id, alpha, round(sum(abs(actual - f)) / nullif(sum(abs(actual)), 0), 6) + 0.0 AS wape FROM f GROUP BY ALL)
+SELECT item_id, alpha, wape FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY wape, alpha) AS n FROM w WHERE wape IS NOT NULL) WHERE n = 1""")
+def smoothing_calibration(spark, d):
+    """The smoothing factor of each item that a rolling backtest finds best."""
+    methods = {str(a): (lambda v, a=a: forecast.exponential(v, a)) for a in ALPHAS}
+    scored = forecast.accuracy(forecast.backtest(forecast.series(monthly(spark, d), 36), methods, 24, 36), ["item_id", "method"])
+    return forecast.best_method(scored).select("item_id", F.col("method").cast("double").alias("alpha"), "wape")
+
+
+@query(""", c AS (SELECT parent AS ancestor, component, 1 AS depth FROM bom UNION SELECT ancestor, bom.component, depth + 1 FROM c JOIN bom ON bom.parent = c.component
+), short AS (SELECT item_id AS component, sum(shortage_qty) AS shortage FROM projection WHERE has_shortage GROUP BY 1), o AS (SELECT DISTINCT item_id AS ancestor FROM flows WHERE kind = 'order')
+SELECT ancestor AS item_id, count(DISTINCT component) AS short_components, CAST(min(depth) AS INT) AS nearest FROM c JOIN short USING (component) JOIN o USING (ancestor) GROUP BY 1""")
+def orders_at_risk(spark, d):
+    """Ordered items that are made, at some level, of components that run short."""
+    short = projected(spark, d).where("has_shortage").select("item_id").distinct()
+    ordered = p.flows(spark, d).where("kind = 'order'").select("item_id").distinct()
+    return actions.affected(bills.closure(p.bom(spark, d)), short, ordered)
