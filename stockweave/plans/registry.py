@@ -78,9 +78,12 @@ def projection_by_day(spark, d):
     return stock.split_flat(projected(spark, d), 7)
 
 
-@query("SELECT 'balance' AS invariant, item_id, location_id, bucket FROM projection WHERE abs(opening + inflows - outflows - closing) > 1e-6")
+@query(""", b AS (SELECT item_id, location_id, bucket, opening, inflows, outflows, closing + CASE WHEN item_id % 50 = 0 AND bucket = 3 THEN 1 ELSE 0 END AS closing, has_shortage <> (item_id % 70 = 0 AND bucket = 5) AS has_shortage FROM projection), c AS (SELECT *, lag(closing) OVER (PARTITION BY item_id, location_id ORDER BY bucket) AS last FROM b)
+SELECT 'balance' AS invariant, item_id, location_id, bucket FROM c WHERE abs(opening + inflows - outflows - closing) > 1e-6 UNION ALL SELECT 'chain', item_id, location_id, bucket FROM c WHERE abs(last - opening) > 1e-6 UNION ALL SELECT 'flag', item_id, location_id, bucket FROM c WHERE has_shortage <> (closing < -1e-9)""")
 def broken_invariants(spark, d):
-    return stock.broken_invariants(projected(spark, d))
+    """A projection with wrong closings in one bucket and wrong flags in another, of some items."""
+    broken = projected(spark, d).withColumn("closing", F.col("closing") + F.when((F.col("item_id") % 50 == 0) & (F.col("bucket") == 3), 1.0).otherwise(0.0))
+    return stock.broken_invariants(broken.withColumn("has_shortage", F.col("has_shortage") != ((F.col("item_id") % 70 == 0) & (F.col("bucket") == 5))))
 
 
 @query("SELECT item_id, location_id, min(bucket) AS bucket, arg_min(10 - closing, bucket) AS deficit FROM projection WHERE closing < 10 GROUP BY ALL")
@@ -442,10 +445,11 @@ def receipt_reconciliation(spark, d):
     return quality.reconcile(wanted, f.where("kind = 'supply'").select(F.col("id").alias("receipt_id"), "item_id", F.col("qty").alias("got"), F.col("due").alias("arrived")))
 
 
-@query("SELECT o_orderkey, date_trunc('week', CAST(o_orderdate AS DATE))::DATE AS week, date_trunc('month', CAST(o_orderdate AS DATE))::DATE AS month, (date_trunc('month', CAST(o_orderdate AS DATE)) + INTERVAL 1 MONTH)::DATE AS month_end, year(o_orderdate) || '-W' || lpad(CAST(weekofyear(o_orderdate) AS VARCHAR), 2, '0') AS label, CASE WHEN o_orderpriority IS NULL OR trim(o_orderpriority) = '' THEN 'UNKNOWN' ELSE 'BASE' END AS program FROM orders")
+@query("SELECT o_orderkey, date_trunc('week', CAST(o_orderdate AS DATE))::DATE AS week, date_trunc('month', CAST(o_orderdate AS DATE))::DATE AS month, (date_trunc('month', CAST(o_orderdate AS DATE)) + INTERVAL 1 MONTH)::DATE AS month_end, year(o_orderdate) || '-W' || lpad(CAST(weekofyear(o_orderdate) AS VARCHAR), 2, '0') AS label, CASE o_orderkey % 6 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'SPRING' WHEN 2 THEN 'FWD_BUY' WHEN 3 THEN 'SUMMER' WHEN 4 THEN 'EARLY' ELSE 'BASE' END AS program FROM orders")
 def calendar_functions(spark, d):
     day = F.col("o_orderdate").cast("date")
-    return p.table(spark, d, "orders").select("o_orderkey", timegrid.week_start(day).alias("week"), timegrid.month_start(day).alias("month"), timegrid.bucket_end(day, "month").alias("month_end"), timegrid.iso_label(day).alias("label"), rules.program_of(F.col("o_orderpriority")).alias("program"))
+    kind = F.element_at(F.array(*map(F.lit, ("  ", "spring buy", "Fwd buy", "SUMMER and fwd buy", "an early one", "5-LOW"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return p.table(spark, d, "orders").select("o_orderkey", timegrid.week_start(day).alias("week"), timegrid.month_start(day).alias("month"), timegrid.bucket_end(day, "month").alias("month_end"), timegrid.iso_label(day).alias("label"), rules.program_of(kind).alias("program"))
 
 
 @query("SELECT date_trunc('week', ts)::DATE AS week, event_type, count(*) AS n, round(sum(value), 4) AS value, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
