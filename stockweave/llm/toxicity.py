@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .batches import saved, slices
 
@@ -104,7 +105,7 @@ class Landmarks:
     subsequences. Those of the landmarks are a table, so a word costs its own subsequences only.
     """
 
-    def __init__(self, strings: list[str], most: int = 300_000):
+    def __init__(self, strings: list[str], most: int = 120_000):
         self.strings, self.most = strings, most
         self.longest = max(map(len, strings), default=0)
         self.alphabet = np.unique(np.array([ord(c) for s in strings for c in s], np.int64))
@@ -128,7 +129,7 @@ class Landmarks:
             values, vectors = np.linalg.eigh((gram**power + gram.T**power) / 2)
             self.maps.append(vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T)  # gram^(-1/2)
         self.known: dict[str, int] = {}
-        self.values = np.zeros((1024, len(strings)), np.float32)  # of known words, to the first power
+        self.values = np.zeros((most, len(strings)), np.float32)  # of known words, to the first power
 
     def _codes(self, letters: np.ndarray, at: np.ndarray) -> np.ndarray:
         """A number for each word's subsequence at each row of `at`, by places in the landmarks' alphabet (the last: not in it)."""
@@ -146,7 +147,7 @@ class Landmarks:
         if size < LENGTH or not self.strings:
             return out
         at, span = _places(size)
-        step = max(1, 500_000 // len(at))
+        step = max(1, 200_000 // len(at))
         for i in range(0, len(words), step):
             letters = _letters(words[i : i + step])
             place = self.place[self._codes(letters, at)]
@@ -169,8 +170,8 @@ class Landmarks:
         ordered = np.sort(letters, axis=1)
         again = np.flatnonzero((ordered[:, 1:] == ordered[:, :-1]).any(axis=1))
         size = letters.shape[1]
-        for i in range(0, len(again), 4096):
-            some = np.ascontiguousarray(letters[again[i : i + 4096]].T)
+        for i in range(0, len(again), 1024):
+            some = np.ascontiguousarray(letters[again[i : i + 1024]].T)
             match = (some[:, None] == some[None, :]) * DECAY**2  # size x size x words
             now = match.copy()
             for _ in range(LENGTH - 1):
@@ -181,7 +182,7 @@ class Landmarks:
                 sums = now[:-1, :-1]
                 now = np.zeros_like(match)
                 now[1:, 1:] = match[1:, 1:] * sums
-            norms[again[i : i + 4096]] = np.sqrt(now.sum((0, 1)))
+            norms[again[i : i + 1024]] = np.sqrt(now.sum((0, 1)))
         return norms
 
     def _pieces(self, word: str) -> list[str]:
@@ -194,16 +195,16 @@ class Landmarks:
 
     def learn(self, words: set[str]) -> None:
         """Add the kernel values of the words that are new: of a long word the largest of its pieces."""
-        if len(self.known) > self.most:
-            self.known = {}
         new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.most:  # room for the words of these texts, or more if they have more
+            self.known, new = {}, list(words)
         pieces: dict[int, list[tuple[int, str]]] = {}
         for n, word in enumerate(new):
             for piece in self._pieces(word if word.isalnum() else _MARKS.sub("", word)):
                 pieces.setdefault(len(piece), []).append((n, piece))
         start, stop = len(self.known), len(self.known) + len(new)
         if stop > len(self.values):
-            self.values = np.concatenate([self.values, np.zeros((stop, len(self.strings)), np.float32)])
+            self.values = np.zeros((stop, len(self.strings)), np.float32)
         values = self.values[start:stop]
         values[:] = 0
         for some in pieces.values():
@@ -343,7 +344,7 @@ def fit(texts: DataFrame, *, max_rows: int = 10_000, landmarks: int = 64, candid
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = _landmarks(strings)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1_000_000):
             ids, texts, labels = (part.column(i).to_pylist() for i in range(3))
             # All that is toxic is learnt gapped too, and one clean text in four.
             twice = [i for i, t in enumerate(texts) if labels[i] > 0 or zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % 4 == 0]
@@ -363,24 +364,24 @@ def fit(texts: DataFrame, *, max_rows: int = 10_000, landmarks: int = 64, candid
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(doc_id, score) for every document, or all its columns and `toxicity` if `keep`.
+    """(doc_id, score) for every document, or all its columns and `toxicity` (replacing one of that name) if `keep`.
 
     Null texts are empty and get the score of a text without any landmark; repeated rows
-    come back each; an empty table gives no rows. Only the text enters the score.
+    come back each; an empty table gives no rows. Only the text enters the score. Texts
+    are scored about a megabyte at a time, whatever the size of Arrow's batches.
     """
-
     if keep:
-
-        @F.pandas_udf("double")
-        def toxicity(texts: pd.Series) -> pd.Series:
-            column = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-            parts = [model.scores([t or "" for t in part.column(0).to_pylist()]) for part in slices([column], "text")]
-            return pd.Series(np.concatenate([np.zeros(0), *parts]))
-
-        return docs.withColumn("toxicity", toxicity(F.col(text_col).cast("string")))
+        rows = docs.drop("toxicity").withColumn(text_col, F.col(text_col).cast("string"))
+        names, schema, column = rows.columns, StructType([*rows.schema.fields, StructField("toxicity", DoubleType())]), text_col
+    else:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        names, schema, column = ["doc_id"], "doc_id long, score double", "text"
+    at, text = [rows.columns.index(c) for c in names], rows.columns.index(column)
+    name = "toxicity" if keep else "score"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores([t or "" for t in part.column(1).to_pylist()]), pa.float64())], ["doc_id", "score"])
+        for part in slices(batches, column, 1_000_000):
+            scores = model.scores([t or "" for t in part.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in at), pa.array(scores, pa.float64())], [*names, name])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, "doc_id long, score double")
+    return rows.mapInArrow(score, schema)
