@@ -11,7 +11,7 @@ def allocate(demands: DataFrame, supply: DataFrame, keys: list[str]) -> DataFram
 
     Demands of a series are served one after another, so each gets what those before it leave. Series without supply get nothing.
     """
-    before = Window.partitionBy(*keys).orderBy("priority", "due", "demand_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("priority", "due", "demand_id", "qty").rowsBetween(Window.unboundedPreceding, -1)
     both = demands.join(supply, keys, "left")
     left = F.coalesce("supply", F.lit(0.0)) - F.coalesce(F.sum("qty").over(before), F.lit(0.0))
     got = F.greatest(F.lit(0.0), F.least(F.col("qty"), left))
@@ -29,7 +29,7 @@ def needed_in(receipts: DataFrame, gross: DataFrame, items: DataFrame, weeks: in
     sums = gross.where(F.col("bucket").between(0, weeks - 1)).groupBy("item_id", "bucket").agg(F.sum("gross").alias("gross"))
     upto = sums.withColumn("upto", F.sum("gross").over(Window.partitionBy("item_id").orderBy("bucket")))
     steps = upto.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "upto"))).alias("steps"))  # one a week at most
-    before = Window.partitionBy("item_id").orderBy("due", "receipt_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("item_id").orderBy("due", "receipt_id", "qty").rowsBetween(Window.unboundedPreceding, -1)
     placed = receipts.withColumn("half", F.coalesce(F.sum("qty").over(before), F.lit(0.0)) + F.col("qty") / 2)
     placed = placed.join(items.select("item_id", (F.coalesce("on_hand", F.lit(0.0)) - F.coalesce("safety", F.lit(0.0))).alias("free")), "item_id", "left").join(steps, "item_id", "left")
     met = F.filter("steps", lambda s: s["upto"] - F.coalesce("free", F.lit(0.0)) >= F.col("half") - 1e-9)

@@ -128,7 +128,7 @@ def backward_load(orders: DataFrame, operations: DataFrame, capacity: float = 8.
     whole = lambda c: F.round(c * 10000).cast("long")
     jobs = orders.join(operations, F.col("routing_id") == F.col("routing")).withColumn("h", whole(F.col("setup") + F.col("run") * F.col("qty")))
     jobs = jobs.withColumn("days", F.greatest(F.lit(1), F.ceil(F.col("h") / (capacity * 10000))).cast("int"))
-    after = F.sum("days").over(Window.partitionBy("order_id").orderBy(F.desc("sequence")).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.sum("days").over(Window.partitionBy("order_id").orderBy(F.desc("sequence")))  # operations of one sequence number take place together
     placed = jobs.withColumn("first", F.col("due_day") - after + 1)
     parts = placed.select("resource_id", F.explode(F.sequence(F.col("first").cast("int"), (F.col("first") + F.col("days") - 1).cast("int"))).alias("day"), F.expr("h * 100000 div days").alias("part"))
     return parts.where("day >= 0").groupBy("resource_id", "day").agg((F.expr("(sum(part) + 50000) div 100000") / 10000).alias("hours"))

@@ -17,7 +17,7 @@ DAY = f"DATE '{p.AS_OF}'"
 
 
 @query(f"""SELECT item_id, location_id, demand_id, qty, allocated, CASE WHEN allocated >= qty THEN 'full' WHEN allocated > 0 THEN 'partial' ELSE 'none' END AS status FROM (
-  SELECT item_id, location_id, order_id * 10 + line_id AS demand_id, f.qty, greatest(0.0, least(f.qty, coalesce(on_hand, 0.0) - coalesce(sum(f.qty) OVER (PARTITION BY item_id, location_id ORDER BY order_id % 3, due, order_id * 10 + line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))) AS allocated
+  SELECT item_id, location_id, order_id * 10 + line_id AS demand_id, f.qty, greatest(0.0, least(f.qty, coalesce(on_hand, 0.0) - coalesce(sum(f.qty) OVER (PARTITION BY item_id, location_id ORDER BY order_id % 3, due, order_id * 10 + line_id, f.qty ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))) AS allocated
   FROM flows f LEFT JOIN on_hand USING (item_id, location_id) WHERE kind = 'order')""")
 def allocation(spark, d):
     asked = p.flows(spark, d).where("kind = 'order'").select("item_id", "location_id", (F.col("order_id") * 10 + F.col("line_id")).alias("demand_id"), (F.col("order_id") % 3).alias("priority"), "due", "qty")
@@ -26,7 +26,7 @@ def allocation(spark, d):
 
 @query(f""", g AS (SELECT item_id, bucket, sum(greatest(orders, forecast)) OVER (PARTITION BY item_id ORDER BY bucket) AS upto FROM {DEMAND} WHERE greatest(orders, forecast) <> 0
 ), i AS (SELECT p_partkey AS item_id, coalesce(h, 0.0) - p_partkey % 4 * 5 AS free FROM part LEFT JOIN (SELECT item_id, sum(on_hand) AS h FROM on_hand GROUP BY 1) ON item_id = p_partkey
-), r AS (SELECT item_id, order_id * 10 + line_id AS receipt_id, due, qty, coalesce(sum(qty) OVER (PARTITION BY item_id ORDER BY due, order_id * 10 + line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) + qty / 2 AS half, bucket FROM flows WHERE kind = 'supply'
+), r AS (SELECT item_id, order_id * 10 + line_id AS receipt_id, due, qty, coalesce(sum(qty) OVER (PARTITION BY item_id ORDER BY due, order_id * 10 + line_id, qty ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) + qty / 2 AS half, bucket FROM flows WHERE kind = 'supply'
 ), n AS (SELECT r.*, (SELECT min(g.bucket) FROM g WHERE g.item_id = r.item_id AND g.upto - free >= half - 1e-9) AS need FROM r JOIN i USING (item_id)
 ), a AS (SELECT *, {DAY} + need * 7 AS proposed, ({DAY} + need * 7) - due AS late FROM n)
 SELECT * FROM (SELECT item_id, receipt_id, qty, CASE WHEN need IS NULL THEN CASE WHEN qty > 0 AND bucket < {p.WEEKS - 1} THEN 'CANCEL' END WHEN need <> bucket AND abs(late) >= 7 THEN CASE WHEN late < 0 THEN 'RESCHEDULE_IN' ELSE 'RESCHEDULE_OUT' END END AS action, proposed FROM a) WHERE action IS NOT NULL""")
