@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard, licenses, neighbours, packing, secrets, substrings, toxicity
+from . import bpe, chat, fingerprints, jaccard, licenses, merkle, neighbours, packing, secrets, substrings, toxicity
 from .batches import read, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,36 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaf = lambda text: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", leaf(F.col("text")).alias("leaf"), F.when(tampered, leaf(lower)).alias("altered"))
+    made = merkle.manifest(rows, tree="source", order=["doc_id"], leaf="leaf")
+    made = made.withColumn("folded_root", merkle.folded(F.coalesce("altered", "leaf"), F.col("proof")))
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", "{text}")) + ")"
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))))"""
+ORACLE_SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rid, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, {_LEAF.format(text="text")} AS leaf, {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lower, {_CRC32} % 5 = 0 AS tampered FROM documents
+), l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d
+), t AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM l UNION ALL SELECT tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY tree, level, pos // 16, n
+), u AS (
+  SELECT 0 AS level, tree - 1 AS pos, (SELECT max(tree) FROM d) AS n, digest FROM t WHERE n = 1 UNION ALL SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 16, n
+), v AS (SELECT tree, level, pos, n, digest FROM t UNION ALL SELECT 0, level, pos, n, digest FROM u
+), path AS (
+  SELECT rid, 0 AS step, tree, 0 AS level, pos, n, tree - 1 AS next FROM l UNION ALL SELECT rid, CASE WHEN n > 1 THEN step + 1 ELSE step END, CASE WHEN n > 1 THEN tree ELSE 0 END, CASE WHEN n > 1 THEN level + 1 ELSE 0 END, CASE WHEN n > 1 THEN pos // 16 ELSE next END, CASE WHEN n > 1 THEN (n + 15) // 16 ELSE (SELECT max(tree) FROM d) END, CASE WHEN n > 1 THEN next END FROM path WHERE n > 1 OR next IS NOT NULL
+), s AS (SELECT rid, step, coalesce(string_agg(digest, '' ORDER BY v.pos) FILTER (v.pos < path.pos), '') AS a, coalesce(string_agg(digest, '' ORDER BY v.pos) FILTER (v.pos > path.pos), '') AS b FROM path JOIN v ON v.tree = path.tree AND v.level = path.level AND v.pos // 16 = path.pos // 16 WHERE path.n > 1 GROUP BY rid, step
+), f AS (SELECT rid, 0 AS step, CASE WHEN tampered THEN lower ELSE leaf END AS digest FROM l UNION ALL SELECT rid, step + 1, sha256(a || digest || b) FROM f JOIN s USING (rid, step)
+), r AS (SELECT digest AS root FROM u WHERE n = 1
+) SELECT doc_id, leaf, t.digest AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN t ON t.tree = l.tree AND t.n = 1 CROSS JOIN r JOIN (SELECT rid, arg_max(digest, step) AS folded_root FROM f GROUP BY 1) USING (rid) LEFT JOIN (SELECT rid, string_agg(a || b, '' ORDER BY step) AS proof FROM s GROUP BY 1) USING (rid)
+"""
