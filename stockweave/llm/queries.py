@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard, licenses, merkle, neighbours, packing, secrets, substrings, toxicity
+from . import bpe, chat, codes, fingerprints, jaccard, licenses, merkle, neighbours, packing, secrets, substrings, toxicity
 from .batches import read, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +164,28 @@ WITH RECURSIVE d AS (
 ) SELECT doc_id, leaf, t.digest AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM l JOIN t ON t.tree = l.tree AND t.n = 1 CROSS JOIN r JOIN (SELECT rid, arg_max(digest, step) AS folded_root FROM f GROUP BY 1) USING (rid) LEFT JOIN (SELECT rid, string_agg(a || b, '' ORDER BY step) AS proof FROM s GROUP BY 1) USING (rid)
 """
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, books = codes.compress(read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    told = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return codes.with_group_sums(made, "label", "error", "label_error").select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(told).alias("codebooks_sha256"))
+
+
+def _rounds(n: int) -> str:
+    """Each round's assignment a{r} of parts to the books b{r}, and the books after it; a{n} is the last assignment."""
+    nearest = "SELECT rid, part, CAST(min((list_dot_product(vals, vals) - 2 * list_dot_product(vals, book) + list_dot_product(book, book)) * 16 + entry) AS BIGINT) AS m FROM p JOIN b{r} USING (part) GROUP BY ALL"
+    mean = "SELECT part, entry, coalesce(means, book) AS book FROM b{r} LEFT JOIN (SELECT part, entry, list(floor(total / n) ORDER BY i) AS means FROM (SELECT part, m % 16 AS entry, i, sum(vals[i]) AS total, count(*) AS n FROM a{r} JOIN p USING (rid, part), range(1, 9) t(i) GROUP BY ALL) GROUP BY ALL) USING (part, entry)"
+    return ", ".join(f"a{r} AS MATERIALIZED ({nearest.format(r=r)})" + (f", b{r + 1} AS MATERIALIZED ({mean.format(r=r)})" if r < n else "") for r in range(n + 1))
+
+
+ORACLE_SQL["op12_vector_codes"] = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 4096)) AS q FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (SELECT rid, vec_id, part, q[8 * part + 1 : 8 * part + 8] AS vals FROM v, range(8) t(part)
+), b0 AS (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, vals AS book FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16)
+), {_rounds(6)}, c AS (SELECT rid, string_agg(printf('%02x', m % 16), '' ORDER BY part) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a6 GROUP BY 1
+) SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(CAST(book[i] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) FROM b6, range(1, 9) t(i)) AS codebooks_sha256 FROM c JOIN v USING (rid)
+"""
