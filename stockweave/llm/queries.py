@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, codes, fingerprints, jaccard, licenses, merkle, neighbours, packing, secrets, substrings, toxicity
+from . import bpe, chat, codes, fingerprints, jaccard, languages, licenses, merkle, neighbours, packing, secrets, substrings, toxicity
 from .batches import read, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,12 @@ WITH v AS (
 ), {_rounds(6)}, c AS (SELECT rid, string_agg(printf('%02x', m % 16), '' ORDER BY part) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a6 GROUP BY 1
 ) SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(CAST(book[i] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) FROM b6, range(1, 9) t(i)) AS codebooks_sha256 FROM c JOIN v USING (rid)
 """
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    other = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = languages.fit(documents.where(other != 0).select("lang", "text"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return languages.predict(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
