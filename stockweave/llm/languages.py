@@ -89,7 +89,7 @@ class Model:
         self.grams: list[Table] = []
         self.contexts: list[Table] = []
         shorter_keys, shorter = np.arange(256, dtype=np.uint64), np.full((len(languages), 256), 8 * BIT, np.int64)
-        for k in range(order + 1):
+        for k in range(order + 1 if languages else 0):
             own = [counts.get((lang, k), (np.zeros(0, np.uint64), np.zeros(0, np.int64))) for lang in languages]
             keys = np.unique(np.concatenate([g for g, _ in own]))
             contexts = np.unique(keys >> np.uint64(8))
