@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from stockweave.plans import decisions as registry  # with the queries of all plans
+from stockweave.plans import catalog as registry
 
 DATA = Path("/root/testdata/sf0.001")
 
