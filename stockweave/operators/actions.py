@@ -23,10 +23,13 @@ def needed_in(receipts: DataFrame, gross: DataFrame, items: DataFrame, weeks: in
     """The bucket in which half of each receipt is used; null if it never is.
 
     Requirements are the demand beyond on-hand less safety, so up to bucket t they sum to
-    demand up to t - (on_hand - safety), if that is positive. Receipts (item_id, receipt_id, due,
+    demand up to t - (on_hand - safety), if that is positive; stock that is below safety is a
+    requirement in bucket 0, whether or not there is demand. Receipts (item_id, receipt_id, due,
     qty) cover them in the order of due date and id, so each covers a span of that sum.
     """
     sums = gross.where(F.col("bucket").between(0, weeks - 1)).groupBy("item_id", "bucket").agg(F.sum("gross").alias("gross"))
+    sums = sums.unionByName(receipts.select("item_id", F.lit(0).cast(sums.schema["bucket"].dataType).alias("bucket"), F.lit(0.0).alias("gross")).distinct())
+    sums = sums.groupBy("item_id", "bucket").agg(F.sum("gross").alias("gross"))
     upto = sums.withColumn("upto", F.sum("gross").over(Window.partitionBy("item_id").orderBy("bucket")))
     steps = upto.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "upto"))).alias("steps"))  # one a week at most
     before = Window.partitionBy("item_id").orderBy("due", "receipt_id", "qty").rowsBetween(Window.unboundedPreceding, -1)

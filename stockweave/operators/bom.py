@@ -1,88 +1,106 @@
 """Bills of material: levels, closure, explosion, cost roll-up.
 
-Each walks level by level; a level is one job, which writes its rows and so cuts the lineage.
+Each walks level by level, once; a level is one job, which writes its rows and so cuts the lineage.
+A walk that goes on past as many levels as there are parents is in a cycle; that raises.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.written import counted, written
 
+#: Levels that are walked before parents are counted.
+USUAL = 64
 
-def peeled(bom: DataFrame) -> list[DataFrame]:
-    """The distinct edges (parent, component) by level: those of a level have parents that no edge of it or of a later one leads to.
 
-    However deep the bill is, each level takes one join. Where no edge is free while some are left, they hold a cycle; that raises.
-    """
-    left = bom.select("parent", "component").distinct()
-    levels = []
+def fronts(first: DataFrame, step: Callable[[DataFrame, int], DataFrame], bom: DataFrame) -> Iterator[DataFrame]:
+    """What each level's `step` makes of the one before, written, until one is empty."""
+    front, level, most = first, 0, USUAL
     while True:
-        below = left.select(F.col("component").alias("parent"), F.lit(True).alias("held")).distinct()
-        state, n = counted(left.join(below, "parent", "left").select("parent", "component", F.coalesce("held", F.lit(False)).alias("held")), free=~F.coalesce("held", F.lit(False)))
+        level += 1
+        front, n = counted(step(front, level))
         if not n["rows"]:
-            return levels
-        if not n["free"]:
-            raise ValueError("the bill of materials has a cycle")
-        levels.append(state.where("not held").select("parent", "component"))
-        left = state.where("held").select("parent", "component")
+            return
+        yield front
+        if level == most:
+            most = bom.select("parent").distinct().count()
+            if level > most:
+                raise ValueError("the bill of materials has a cycle")
+
+
+def united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for one in tables[1:]:
+        out = out.unionByName(one)
+    return out
 
 
 def low_level_codes(items: DataFrame, bom: DataFrame) -> DataFrame:
-    """item_id, llc: the longest path from a root; 0 for roots and standalone items."""
-    found = items.select("item_id", F.lit(0).alias("llc"))
-    for level, edges in enumerate(peeled(bom), 1):
-        found = found.unionByName(edges.select(F.col("component").alias("item_id"), F.lit(level).alias("llc")))
+    """item_id, llc: the longest path from a root; 0 for roots and standalone items.
+
+    Level k has the items that some path of k edges leads to; the last such k is an item's code.
+    """
+    edges = written(bom.select("parent", "component").distinct())
+
+    def step(front: DataFrame, level: int) -> DataFrame:
+        below = edges if level == 1 else edges.join(front.select(F.col("item_id").alias("parent")), "parent", "left_semi")
+        return below.select(F.col("component").alias("item_id")).distinct().withColumn("llc", F.lit(level))
+
+    found = united([items.select("item_id", F.lit(0).alias("llc")), *fronts(edges, step, edges)])
     return found.groupBy("item_id").agg(F.max("llc").alias("llc"))
 
 
 def closure(bom: DataFrame) -> DataFrame:
     """ancestor, component, depth: every pair with the least number of levels between. A cycle raises."""
-    deepest = len(peeled(bom))
     edges = written(bom.select("parent", F.col("component").alias("below")).distinct())
     front = edges.select(F.col("parent").alias("ancestor"), F.col("below").alias("component"), F.lit(1).alias("depth"))
-    pairs = front
-    for depth in range(2, deepest + 1):
-        front = written(front.join(edges, F.col("component") == F.col("parent")).select("ancestor", F.col("below").alias("component"), F.lit(depth).alias("depth")).distinct())
-        pairs = pairs.unionByName(front)
-    return pairs.groupBy("ancestor", "component").agg(F.min("depth").alias("depth"))
+
+    def step(front: DataFrame, level: int) -> DataFrame:
+        return front.join(edges, F.col("component") == F.col("parent")).select("ancestor", F.col("below").alias("component"), F.lit(level + 1).alias("depth")).distinct()
+
+    return united([front, *fronts(front, step, edges)]).groupBy("ancestor", "component").agg(F.min("depth").alias("depth"))
 
 
 def explode(demand: DataFrame, bom: DataFrame) -> DataFrame:
-    """item_id, gross: independent demand and what it needs of all components, with scrap. A cycle raises."""
-    deepest = len(peeled(bom))
+    """item_id, gross: independent demand and what it needs of all components, with scrap. A cycle below it raises."""
     bom = written(bom)
-    front = written(demand.groupBy("item_id").agg(F.sum("qty").alias("gross")))
-    total = front
-    for _ in range(deepest):
-        need = front.join(bom, F.col("item_id") == F.col("parent")).groupBy(F.col("component").alias("item_id")).agg(F.sum(F.col("gross") * F.col("qty_per") * (1 + F.col("scrap"))).alias("gross"))
-        front, n = counted(need)
-        if not n["rows"]:
-            break
-        total = total.unionByName(front)
-    return total.groupBy("item_id").agg(F.sum("gross").alias("gross"))
+    first = written(demand.groupBy("item_id").agg(F.sum("qty").alias("gross")))
+
+    def step(front: DataFrame, level: int) -> DataFrame:
+        need = F.sum(F.col("gross") * F.col("qty_per") * (1 + F.col("scrap")))
+        return front.join(bom, F.col("item_id") == F.col("parent")).groupBy(F.col("component").alias("item_id")).agg(need.alias("gross"))
+
+    return united([first, *fronts(first, step, bom)]).groupBy("item_id").agg(F.sum("gross").alias("gross"))
 
 
 def cost_rollup(items: DataFrame, bom: DataFrame, levels: DataFrame) -> DataFrame:
     """item_id, cost: bought items at their standard cost, made ones at their components', deepest level first.
 
-    An item that lacks the cost of a component has none.
+    An item that lacks the cost of a component has none. What a level adds to its parents is written by
+    their level, so that each cost is read once.
     """
-    bom = written(bom)
-    made = bom.select(F.col("parent").alias("item_id"), F.lit(True).alias("is_make")).distinct()
-    parts = written(items.select("item_id", "standard_cost").join(levels, "item_id").join(made, "item_id", "left"))
-    known = [parts.where("is_make is null").select("item_id", F.col("standard_cost").alias("cost"))]
-    deepest = parts.where("is_make").agg(F.max("llc")).first()[0]
+    bom = bom.join(levels.select(F.col("item_id").alias("parent"), F.col("llc").alias("up")), "parent")
+    lists = bom.groupBy(F.col("component").alias("item_id")).agg(F.collect_list(F.struct("parent", "up", (F.col("qty_per") * (1 + F.col("scrap"))).alias("per"))).alias("uses"))
+    made = bom.groupBy(F.col("parent").alias("item_id")).agg(F.count("*").alias("parts"))
+    rows = items.select("item_id", F.col("standard_cost").alias("cost")).join(levels, "item_id").join(made, "item_id", "left").join(lists, "item_id", "left")
+    rows = written(rows.withColumn("level", F.col("llc")), "level")
+    deepest = rows.agg(F.max("llc")).first()[0]
+    tables: list[DataFrame] = []
     for level in range(-1 if deepest is None else deepest, -1, -1):
-        here = parts.where((F.col("llc") == level) & F.col("is_make")).select(F.col("item_id").alias("parent"))
-        costs = known[0]
-        for one in known[1:]:
-            costs = costs.unionByName(one)
-        sums = here.join(bom, "parent").join(costs, F.col("component") == F.col("item_id"), "left").groupBy("parent")
-        rolled = sums.agg(F.when(F.count_if(F.col("cost").isNull()) == 0, F.sum(F.col("cost") * F.col("qty_per") * (1 + F.col("scrap")))).alias("cost"))
-        known.append(written(rolled.select(F.col("parent").alias("item_id"), "cost")))
-    out = known[0]
-    for one in known[1:]:
-        out = out.unionByName(one)
-    return out
+        here = rows.where(F.col("level") == level)
+        cost = F.col("cost")
+        if tables:
+            adds = united([t.where(F.col("level") == level) for t in tables]).groupBy("item_id").agg(F.sum("cost").alias("rolled"), F.count("cost").alias("known"))
+            here = here.join(adds, "item_id", "left")
+            cost = F.when(F.col("parts").isNull(), F.col("cost")).when(F.col("known") == F.col("parts"), F.col("rolled"))
+        out = here.select("item_id", cost.alias("cost"), "uses")
+        up = F.transform(F.coalesce("uses", F.array().cast("array<struct<parent: bigint, up: int, per: double>>")), lambda u: F.struct(u["parent"].alias("item_id"), (F.col("cost") * u["per"]).alias("cost"), u["up"].alias("level")))
+        own = F.array(F.struct("item_id", "cost", F.lit(-1).alias("level")))
+        tables.append(written(out.select(F.explode(F.concat(own, up)).alias("e")).select("e.*"), "level"))
+    if not tables:
+        return items.select("item_id", F.col("standard_cost").alias("cost")).limit(0)
+    return united([t.where("level = -1") for t in tables]).select("item_id", "cost")

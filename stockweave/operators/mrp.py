@@ -2,41 +2,51 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import zip_longest
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.written import written
+from .bom import united
 
 PLANNED = "item_id long, qty double, release_bucket int, need_bucket int, kind string, past_due boolean"
+UNIT = 1_000_000  # quantities are planned in whole millionths, so that what is exactly enough is seen to be
 
 
-def lot(rule: str, short: float, stock: float, safety: float, net: np.ndarray, at: int, periods: int, eoq: float, top: float, moq: float, multiple: float, most: float) -> float:
+def millionths(qty: Column) -> Column:
+    return F.round(qty * UNIT).cast("long")
+
+
+def up_to(qty: int, size: int) -> int:
+    """The least multiple of `size` that holds qty."""
+    return -(-qty // size) * size
+
+
+def lot(rule: str, short: int, stock: int, safety: int, net: list[int], at: int, periods: int, eoq: int, top: int, moq: int, multiple: int, most: int) -> int:
     """A lot by its rule; then the minimum, the multiple, and last the cap, which MIN_MAX is exempt from."""
     qty = short
     if rule == "POQ":
-        qty += sum(x for x in net[at + 1 : at + periods].tolist() if x > 0)
+        qty += sum(x for x in net[at + 1 : at + periods] if x > 0)
     elif rule == "EOQ" and eoq > 0:
         qty = max(eoq, short)
     elif rule == "MIN_MAX" and top > 0:
         qty = safety + top - stock
     elif rule == "FIXED_QTY" and moq > 0:
-        qty = math.ceil(short / moq) * moq
+        qty = up_to(short, moq)
     qty = max(qty, moq)
     if multiple > 0:
-        qty = math.ceil(qty / multiple - 1e-12) * multiple
+        qty = up_to(qty, multiple)
     return min(qty, most) if most > 0 and rule != "MIN_MAX" else qty
 
 
-def plan_item(net: np.ndarray, on_hand: float, lead_days: int | None, safety: float, lot_rule: str, periods: int, *sizes: float) -> list[tuple[float, int, int, bool]]:
-    """(qty, release, need, past due) of one item: whenever stock falls below safety, a lot is ordered."""
+def plan_item(net: list[int], on_hand: int, lead_days: int | None, safety: int, lot_rule: str, periods: int, *sizes: int) -> list[tuple[int, int, int, bool]]:
+    """(qty, release, need, past due) of one item: whenever stock falls below safety, a lot is ordered. Quantities are in millionths."""
     out, stock = [], on_hand
-    lead = math.ceil((lead_days or 30) / 7)
-    for t, need in enumerate(net.tolist()):
+    lead = -(-(lead_days or 30) // 7)
+    for t, need in enumerate(net):
         stock -= need
         if stock < safety:
             qty = lot(lot_rule, safety - stock, stock, safety, net, t, periods, *sizes)
@@ -56,35 +66,46 @@ def cascade(params: DataFrame, gross: DataFrame, receipts: DataFrame, bom: DataF
     `params` has item_id, llc, is_make, on_hand, safety, lead_days, lot_rule, periods, eoq,
     top, moq, multiple, most. `gross` and `receipts` (item_id, bucket, qty) are independent
     demand and firm supply; buckets outside 0 to weeks - 1 don't count. Items of a level don't depend on each
-    other: each is one row with at most `weeks` entries of each kind. Made orders become
-    their components' demand at release. Items and the bill are written once, and each level writes its orders.
+    other: each is one row with at most `weeks` entries of each kind, and its components. Made orders become
+    their components' demand at release, rounded to millionths, half up.
+
+    A level is one job: it reads the items and the dependent demand of that level, and writes orders, and dependent demand by the component's level. So
+    every row is read once.
     """
-    sizes = ["on_hand", "lead_days", "safety", "lot_rule", "periods", "eoq", "top", "moq", "multiple", "most"]
+    sizes = ["on_hand", "safety", "eoq", "top", "moq", "multiple", "most"]
+    out = "item_id long, qty long, bucket int, need_bucket int, kind string, past_due boolean, level int"
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for items in batches:
-            orders = []
-            columns = [items[c].tolist() for c in ("item_id", "is_make", "gross", "dependent", "receipts", *sizes)]
-            for item, make, *flows, on_hand, lead, safety, rule, periods, eoq, top, moq, multiple, most in zip(*columns, strict=True):
-                net = np.zeros(weeks)
+            made = []
+            columns = [items[c].tolist() for c in ("item_id", "is_make", "uses", "gross", "dependent", "receipts", "lead_days", "lot_rule", "periods", *sizes)]
+            for item, make, uses, *flows, lead, rule, periods, on_hand, safety, eoq, top, moq, multiple, most in zip(*columns, strict=True):
+                net = [0] * weeks
                 for sign, entries in zip((1, 1, -1), flows, strict=True):
                     for e in entries if entries is not None else ():
                         if 0 <= e["bucket"] < weeks:
                             net[e["bucket"]] += sign * e["qty"]
                 found = plan_item(net, on_hand, None if lead is None or lead != lead else int(lead), safety, rule, int(periods), eoq, top, moq, multiple, most)
-                orders += [(item, q, r, n, "WO" if make else "PO", late) for q, r, n, late in found]
-            yield pd.DataFrame(orders, columns=[c.split()[0] for c in PLANNED.split(", ")])
-
-    items = params.join(_by_bucket(gross, "gross"), "item_id", "left").join(_by_bucket(receipts, "receipts"), "item_id", "left")
-    items = written(items, "llc")
-    edges = written(bom.join(params.select(F.col("item_id").alias("component"), "llc"), "component").select("parent", "component", (F.col("qty_per") * (1 + F.col("scrap"))).alias("per"), "llc"), "llc")
-    planned = items.sparkSession.createDataFrame([], PLANNED)
-    for level in range(int(items.agg(F.max("llc")).first()[0] or 0) + 1):
-        made = planned.where("kind = 'WO'").join(edges.where(F.col("llc") == level), F.col("item_id") == F.col("parent"))
-        needs = made.select(F.col("component").alias("item_id"), F.col("release_bucket").alias("bucket"), (F.col("qty") * F.col("per")).alias("qty"))
-        here = items.where(F.col("llc") == level).join(_by_bucket(needs, "dependent"), "item_id", "left").where("gross is not null or dependent is not null")
-        planned = planned.unionByName(written(here.mapInPandas(plan, PLANNED)))
-    return planned
+                made += [(item, q, r, n, "WO" if make else "PO", late, -1) for q, r, n, late in found]
+                if make and uses is not None:
+                    made += [(u["component"], (q * u["per"] * 2 + UNIT) // (2 * UNIT), r, None, None, None, u["llc"]) for q, r, *_ in found for u in uses]
+            yield pd.DataFrame({c.split()[0]: pd.Series(v, dtype=object) for c, v in zip_longest(out.split(", "), zip(*made), fillvalue=())})
+
+    exact = lambda flows: flows.select("item_id", "bucket", millionths(F.col("qty")).alias("qty"))
+    edges = bom.join(params.select(F.col("item_id").alias("component"), "llc"), "component")
+    edges = edges.groupBy(F.col("parent").alias("item_id")).agg(F.collect_list(F.struct("component", millionths(F.col("qty_per") * (1 + F.col("scrap"))).alias("per"), "llc")).alias("uses"))
+    items = params.select(*(millionths(F.col(c)).alias(c) if c in sizes else F.col(c) for c in params.columns), F.col("llc").alias("level"))
+    items = items.join(_by_bucket(exact(gross), "gross"), "item_id", "left").join(_by_bucket(exact(receipts), "receipts"), "item_id", "left").join(edges, "item_id", "left")
+    items = written(items, "level")
+    deepest = items.agg(F.max("llc")).first()[0]
+    nothing = items.select("item_id", "gross").withColumnRenamed("gross", "dependent").where(F.lit(False))
+    tables: list[DataFrame] = []
+    for level in range(0 if deepest is None else deepest + 1):
+        needs = _by_bucket(united([t.where(F.col("level") == level) for t in tables]), "dependent") if tables else nothing
+        here = items.where(F.col("level") == level).join(needs, "item_id", "left").where("gross is not null or dependent is not null")
+        tables.append(written(here.mapInPandas(plan, out), "level"))
+    orders = united([t.where("level = -1") for t in tables]) if tables else items.sparkSession.createDataFrame([], out)
+    return orders.select("item_id", (F.col("qty") / UNIT).alias("qty"), F.col("bucket").alias("release_bucket"), "need_bucket", "kind", "past_due")
 
 
 def simple_orders(projection: DataFrame, safety, moq, lead_days: int, today: str) -> DataFrame:

@@ -24,11 +24,11 @@ def allocation(spark, d):
     return actions.allocate(asked, p.on_hand(spark, d).withColumnRenamed("on_hand", "supply"), ["item_id", "location_id"])
 
 
-@query(f""", g AS (SELECT item_id, bucket, sum(greatest(orders, forecast)) OVER (PARTITION BY item_id ORDER BY bucket) AS upto FROM {DEMAND} WHERE greatest(orders, forecast) <> 0
+@query(f""", g AS (SELECT p_partkey AS item_id, b AS bucket, sum(coalesce(greatest(orders, forecast), 0.0)) OVER (PARTITION BY p_partkey ORDER BY b) AS upto FROM part CROSS JOIN range({p.WEEKS}) r(b) LEFT JOIN {DEMAND} x ON x.item_id = p_partkey AND x.bucket = b
 ), i AS (SELECT p_partkey AS item_id, coalesce(h, 0.0) - p_partkey % 4 * 5 AS free FROM part LEFT JOIN (SELECT item_id, sum(on_hand) AS h FROM on_hand GROUP BY 1) ON item_id = p_partkey
 ), r AS (SELECT item_id, order_id * 10 + line_id AS receipt_id, due, qty, coalesce(sum(qty) OVER (PARTITION BY item_id ORDER BY due, order_id * 10 + line_id, qty ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) + qty / 2 AS half, bucket FROM flows WHERE kind = 'supply'
 ), n AS (SELECT r.*, (SELECT min(g.bucket) FROM g WHERE g.item_id = r.item_id AND g.upto - free >= half - 1e-9) AS need FROM r JOIN i USING (item_id)
-), a AS (SELECT *, {DAY} + need * 7 AS proposed, ({DAY} + need * 7) - due AS late FROM n)
+), a AS (SELECT *, {DAY} + CAST(need * 7 AS INT) AS proposed, ({DAY} + CAST(need * 7 AS INT)) - due AS late FROM n)
 SELECT * FROM (SELECT item_id, receipt_id, qty, CASE WHEN need IS NULL THEN CASE WHEN qty > 0 AND bucket < {p.WEEKS - 1} THEN 'CANCEL' END WHEN need <> bucket AND abs(late) >= 7 THEN CASE WHEN late < 0 THEN 'RESCHEDULE_IN' ELSE 'RESCHEDULE_OUT' END END AS action, proposed FROM a) WHERE action IS NOT NULL""")
 def reschedule_signals(spark, d):
     held = p.on_hand(spark, d).groupBy("item_id").agg(F.sum("on_hand").alias("on_hand"))
