@@ -17,18 +17,18 @@ from ..sources.written import counted, written
 USUAL = 64
 
 
-def fronts(first: DataFrame, step: Callable[[DataFrame, int], DataFrame], bom: DataFrame) -> Iterator[DataFrame]:
-    """What each level's `step` makes of the one before, written, until one is empty."""
-    front, level, most = first, 0, USUAL
+def fronts(first: DataFrame, step: Callable[[DataFrame], DataFrame], bom: DataFrame) -> Iterator[DataFrame]:
+    """What each level's `step` makes of the one before, written, until one is empty. The step is the same plan each time, so its code is compiled once."""
+    front, level, parents = first, 0, None
     while True:
-        level += 1
-        front, n = counted(step(front, level))
+        front, n = counted(step(front))
         if not n["rows"]:
             return
+        level += 1
         yield front
-        if level == most:
-            most = bom.select("parent").distinct().count()
-            if level > most:
+        if level >= USUAL:
+            parents = bom.select("parent").distinct().count() if parents is None else parents
+            if level > parents:
                 raise ValueError("the bill of materials has a cycle")
 
 
@@ -44,25 +44,20 @@ def low_level_codes(items: DataFrame, bom: DataFrame) -> DataFrame:
 
     Level k has the items that some path of k edges leads to; the last such k is an item's code.
     """
-    edges = written(bom.select("parent", "component").distinct())
-
-    def step(front: DataFrame, level: int) -> DataFrame:
-        below = edges if level == 1 else edges.join(front.select(F.col("item_id").alias("parent")), "parent", "left_semi")
-        return below.select(F.col("component").alias("item_id")).distinct().withColumn("llc", F.lit(level))
-
-    found = united([items.select("item_id", F.lit(0).alias("llc")), *fronts(edges, step, edges)])
+    edges = written(bom.select("parent", F.col("component").alias("item_id")).distinct())
+    below = lambda front: edges.join(front.select(F.col("item_id").alias("parent")), "parent", "left_semi").select("item_id").distinct()
+    found = [edges.select("item_id").distinct(), *fronts(edges, below, edges)]
+    found = united([items.select("item_id", F.lit(0).alias("llc")), *(f.withColumn("llc", F.lit(k)) for k, f in enumerate(found, 1))])
     return found.groupBy("item_id").agg(F.max("llc").alias("llc"))
 
 
 def closure(bom: DataFrame) -> DataFrame:
     """ancestor, component, depth: every pair with the least number of levels between. A cycle raises."""
     edges = written(bom.select("parent", F.col("component").alias("below")).distinct())
-    front = edges.select(F.col("parent").alias("ancestor"), F.col("below").alias("component"), F.lit(1).alias("depth"))
-
-    def step(front: DataFrame, level: int) -> DataFrame:
-        return front.join(edges, F.col("component") == F.col("parent")).select("ancestor", F.col("below").alias("component"), F.lit(level + 1).alias("depth")).distinct()
-
-    return united([front, *fronts(front, step, edges)]).groupBy("ancestor", "component").agg(F.min("depth").alias("depth"))
+    front = edges.select(F.col("parent").alias("ancestor"), F.col("below").alias("component"))
+    step = lambda front: front.join(edges, F.col("component") == F.col("parent")).select("ancestor", F.col("below").alias("component")).distinct()
+    pairs = united([f.withColumn("depth", F.lit(k)) for k, f in enumerate((front, *fronts(front, step, edges)), 1)])
+    return pairs.groupBy("ancestor", "component").agg(F.min("depth").alias("depth"))
 
 
 def explode(demand: DataFrame, bom: DataFrame) -> DataFrame:
@@ -70,7 +65,7 @@ def explode(demand: DataFrame, bom: DataFrame) -> DataFrame:
     bom = written(bom)
     first = written(demand.groupBy("item_id").agg(F.sum("qty").alias("gross")))
 
-    def step(front: DataFrame, level: int) -> DataFrame:
+    def step(front: DataFrame) -> DataFrame:
         need = F.sum(F.col("gross") * F.col("qty_per") * (1 + F.col("scrap")))
         return front.join(bom, F.col("item_id") == F.col("parent")).groupBy(F.col("component").alias("item_id")).agg(need.alias("gross"))
 

@@ -68,11 +68,47 @@ def accuracy(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def backtest(data: DataFrame, methods: Mapping[str, Callable[[Column], Column]], first: int, periods: int) -> DataFrame:
+#: For every value of a series the forecast made from the values before it.
+Running = Callable[[Column], Column]
+
+
+def folded(values: Column, start: Column, update: Callable[[Column, Column], Column], forecast: Callable[[Column], Column]) -> Column:
+    """Forecasts from a state that each value updates, in one pass over the series."""
+    zero = F.struct(start.alias("state"), F.array().cast("array<double>").alias("made"))
+    step = lambda acc, x: F.struct(update(acc["state"], x).alias("state"), F.concat(acc["made"], F.array(forecast(acc["state"]).cast("double"))).alias("made"))
+    return F.aggregate(values, zero, step)["made"]
+
+
+def running_average(k: int) -> Running:
+    """moving_average() from every origin."""
+    sums = lambda v: F.transform(v, lambda _, i: F.when(i >= k, F.aggregate(F.slice(v, F.greatest(i - (k - 1), F.lit(1)), F.lit(k)), F.lit(0.0), lambda s, x: s + x) / k))
+    return sums
+
+
+def running_exponential(alpha: float) -> Running:
+    """exponential() from every origin."""
+    return lambda v: folded(v, F.lit(None).cast("double"), lambda f, x: F.coalesce(alpha * x + (1 - alpha) * f, x), lambda f: f)
+
+
+def running_croston(values: Column) -> Column:
+    """croston() from every origin."""
+    state = lambda i, n, total, first, last: F.struct(i.alias("i"), n.alias("n"), total.alias("total"), first.alias("first"), last.alias("last"))
+    zero = F.lit(0)
+
+    def update(s: Column, x: Column) -> Column:
+        some = x > 0
+        return state(s["i"] + 1, F.when(some, s["n"] + 1).otherwise(s["n"]), F.when(some, s["total"] + x).otherwise(s["total"]), F.when(some & (s["n"] == 0), s["i"]).otherwise(s["first"]), F.when(some, s["i"]).otherwise(s["last"]))
+
+    made = lambda s: F.when(s["n"] == 0, 0.0).when(s["n"] == 1, s["total"]).otherwise((s["total"] / s["n"]) / ((s["last"] - s["first"]) / (s["n"] - 1)))
+    return folded(values, state(zero, zero, F.lit(0.0), zero, zero), update, made)
+
+
+def backtest(data: DataFrame, methods: Mapping[str, Running], first: int, periods: int) -> DataFrame:
     """(item_id, method, origin, actual, forecast): one-step forecasts of all methods from every origin on, each from the values before it."""
-    origins = data.select("item_id", F.explode(F.transform(F.sequence(F.lit(first), F.lit(periods - 1)), lambda i: F.struct(i.alias("origin"), F.element_at("values", i + 1).alias("actual"), F.slice("values", F.lit(1), i).alias("past")))).alias("o"))
-    made = F.array(*(F.struct(F.lit(n).alias("method"), f(F.col("past")).alias("forecast")) for n, f in methods.items()))
-    return origins.select("item_id", "o.*").select("item_id", "origin", "actual", F.explode(made).alias("m")).select("item_id", "m.method", "origin", "actual", "m.forecast")
+    own = lambda n, f: F.struct(F.lit(n).alias("method"), f(F.col("values")).alias("made"))
+    by_method = data.select("item_id", "values", F.explode(F.array(*(own(n, f) for n, f in methods.items()))).alias("m"))
+    at = F.transform(F.sequence(F.lit(first), F.lit(periods - 1)), lambda i: F.struct(i.alias("origin"), F.element_at("values", i + 1).alias("actual"), F.element_at("m.made", i + 1).alias("forecast")))
+    return by_method.select("item_id", "m.method", F.explode(at).alias("o")).select("item_id", "method", "o.*")
 
 
 def best_method(scored: DataFrame) -> DataFrame:

@@ -60,7 +60,18 @@ def _by_bucket(flows: DataFrame, name: str) -> DataFrame:
     return flows.groupBy("item_id", "bucket").agg(F.sum("qty").alias("qty")).groupBy("item_id").agg(F.collect_list(F.struct("bucket", "qty")).alias(name))
 
 
-def cascade(params: DataFrame, gross: DataFrame, receipts: DataFrame, bom: DataFrame, weeks: int) -> DataFrame:
+def _batches(sizes: dict[int, int], together: int) -> list[list[int]]:
+    """All levels in order; neighbours go together while they have that many items at most."""
+    out: list[list[int]] = []
+    for level in sorted(sizes):
+        if out and sum(sizes[x] for x in out[-1]) + sizes[level] <= together:
+            out[-1].append(level)
+        else:
+            out.append([level])
+    return out
+
+
+def cascade(params: DataFrame, gross: DataFrame, receipts: DataFrame, bom: DataFrame, weeks: int, *, together: int = 4096) -> DataFrame:
     """Planned orders of all items that have independent or dependent demand.
 
     `params` has item_id, llc, is_make, on_hand, safety, lead_days, lot_rule, periods, eoq,
@@ -69,27 +80,53 @@ def cascade(params: DataFrame, gross: DataFrame, receipts: DataFrame, bom: DataF
     other: each is one row with at most `weeks` entries of each kind, and its components. Made orders become
     their components' demand at release, rounded to millionths, half up.
 
-    A level is one job: it reads the items and the dependent demand of that level, and writes orders, and dependent demand by the component's level. So
-    every row is read once.
+    A level is one job: it reads the items and the dependent demand of that level, and writes orders, and
+    dependent demand by the component's level, so that every row is read once. Levels that hold `together` items at
+    most between them are planned by one task, one after another: a job for each costs more than they do.
     """
     sizes = ["on_hand", "safety", "eoq", "top", "moq", "multiple", "most"]
     out = "item_id long, qty long, bucket int, need_bucket int, kind string, past_due boolean, level int"
 
+    def plan_rows(items: pd.DataFrame, inside: dict[int, list[tuple[int, int]]]) -> list[tuple]:
+        """Orders and dependent demand of some items of a level; `inside` has the dependent demand of those planned in this task."""
+        made = []
+        columns = [items[c].tolist() for c in ("item_id", "is_make", "uses", "gross", "dependent", "receipts", "lead_days", "lot_rule", "periods", *sizes)]
+        for item, make, uses, *flows, lead, rule, periods, on_hand, safety, eoq, top, moq, multiple, most in zip(*columns, strict=True):
+            here = inside.get(item, ())
+            if flows[0] is None and flows[1] is None and not here:
+                continue
+            net = [0] * weeks
+            for sign, entries in zip((1, 1, -1), flows, strict=True):
+                for e in entries if entries is not None else ():
+                    if 0 <= e["bucket"] < weeks:
+                        net[e["bucket"]] += sign * e["qty"]
+            for bucket, qty in here:
+                net[bucket] += qty
+            found = plan_item(net, on_hand, None if lead is None or lead != lead else int(lead), safety, rule, int(periods), eoq, top, moq, multiple, most)
+            made += [(item, q, r, n, "WO" if make else "PO", late, -1) for q, r, n, late in found]
+            if make and uses is not None:
+                made += [(u["component"], (q * u["per"] * 2 + UNIT) // (2 * UNIT), r, None, None, None, u["llc"]) for q, r, *_ in found for u in uses]
+        return made
+
+    def frame(made: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({c.split()[0]: pd.Series(v, dtype=object) for c, v in zip_longest(out.split(", "), zip(*made), fillvalue=())})
+
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for items in batches:
-            made = []
-            columns = [items[c].tolist() for c in ("item_id", "is_make", "uses", "gross", "dependent", "receipts", "lead_days", "lot_rule", "periods", *sizes)]
-            for item, make, uses, *flows, lead, rule, periods, on_hand, safety, eoq, top, moq, multiple, most in zip(*columns, strict=True):
-                net = [0] * weeks
-                for sign, entries in zip((1, 1, -1), flows, strict=True):
-                    for e in entries if entries is not None else ():
-                        if 0 <= e["bucket"] < weeks:
-                            net[e["bucket"]] += sign * e["qty"]
-                found = plan_item(net, on_hand, None if lead is None or lead != lead else int(lead), safety, rule, int(periods), eoq, top, moq, multiple, most)
-                made += [(item, q, r, n, "WO" if make else "PO", late, -1) for q, r, n, late in found]
-                if make and uses is not None:
-                    made += [(u["component"], (q * u["per"] * 2 + UNIT) // (2 * UNIT), r, None, None, None, u["llc"]) for q, r, *_ in found for u in uses]
-            yield pd.DataFrame({c.split()[0]: pd.Series(v, dtype=object) for c, v in zip_longest(out.split(", "), zip(*made), fillvalue=())})
+            yield frame(plan_rows(items, {}))
+
+    def plan_levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """All rows of a few small levels, in their order."""
+        inside: dict[int, list[tuple[int, int]]] = {}
+        rows = [b for b in batches if len(b)]
+        items = pd.concat(rows) if rows else None
+        for level in sorted(items["level"].unique()) if rows else ():
+            made = plan_rows(items[items["level"] == level], inside)
+            last = items["level"].max()
+            for component, qty, bucket, *_, of in made:
+                if 0 <= of <= last:
+                    inside.setdefault(component, []).append((bucket, qty))
+            yield frame([m for m in made if not 0 <= m[-1] <= last])
 
     exact = lambda flows: flows.select("item_id", "bucket", millionths(F.col("qty")).alias("qty"))
     edges = bom.join(params.select(F.col("item_id").alias("component"), "llc"), "component")
@@ -97,13 +134,17 @@ def cascade(params: DataFrame, gross: DataFrame, receipts: DataFrame, bom: DataF
     items = params.select(*(millionths(F.col(c)).alias(c) if c in sizes else F.col(c) for c in params.columns), F.col("llc").alias("level"))
     items = items.join(_by_bucket(exact(gross), "gross"), "item_id", "left").join(_by_bucket(exact(receipts), "receipts"), "item_id", "left").join(edges, "item_id", "left")
     items = written(items, "level")
-    deepest = items.agg(F.max("llc")).first()[0]
     nothing = items.select("item_id", "gross").withColumnRenamed("gross", "dependent").where(F.lit(False))
     tables: list[DataFrame] = []
-    for level in range(0 if deepest is None else deepest + 1):
-        needs = _by_bucket(united([t.where(F.col("level") == level) for t in tables]), "dependent") if tables else nothing
-        here = items.where(F.col("level") == level).join(needs, "item_id", "left").where("gross is not null or dependent is not null")
-        tables.append(written(here.mapInPandas(plan, out), "level"))
+    for levels in _batches({r.level: r["count"] for r in items.groupBy("level").count().collect()}, together):
+        of = F.col("level").isin(levels)
+        needs = _by_bucket(united([t.where(of) for t in tables]), "dependent") if tables else nothing
+        here = items.where(of).join(needs, "item_id", "left")
+        if len(levels) > 1:
+            made = here.repartition(1).mapInPandas(plan_levels, out)
+        else:
+            made = here.where("gross is not null or dependent is not null").mapInPandas(plan, out)
+        tables.append(written(made, "level"))
     orders = united([t.where("level = -1") for t in tables]) if tables else items.sparkSession.createDataFrame([], out)
     return orders.select("item_id", (F.col("qty") / UNIT).alias("qty"), F.col("bucket").alias("release_bucket"), "need_bucket", "kind", "past_due")
 

@@ -169,7 +169,7 @@ def planning_rules(spark, d):
 @query(f"""{SERIES36}, r AS (SELECT item_id, v[i + 1] - (v[i] + v[i - 1] + v[i - 2]) / 3 AS r FROM (SELECT *, unnest(range(24, 36)) AS i FROM v)), s AS (SELECT item_id, list_sort(list(r)) AS r FROM r GROUP BY 1)
 SELECT item_id, CAST(len(r) AS INT) AS n, round(r[1], 6) + 0.0 AS low, round(r[12], 6) + 0.0 AS high FROM s""")
 def forecast_interval(spark, d):
-    made = forecast.backtest(forecast.series(monthly(spark, d), 36), {"MA3": lambda v: forecast.moving_average(v, 3)}, 24, 36)
+    made = forecast.backtest(forecast.series(monthly(spark, d), 36), {"MA3": forecast.running_average(3)}, 24, 36)
     bounds = forecast.interval(made.select("item_id", (F.col("actual") - F.col("forecast")).alias("residual")), 0.2)
     return bounds.select("item_id", "n", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("low", "high")))
 
@@ -224,7 +224,7 @@ ALPHAS = (0.1, 0.3, 0.5, 0.7, 0.9)
 SELECT item_id, alpha, wape FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY wape, alpha) AS n FROM w WHERE wape IS NOT NULL) WHERE n = 1""")
 def smoothing_calibration(spark, d):
     """The smoothing factor of each item that a rolling backtest finds best."""
-    methods = {str(a): (lambda v, a=a: forecast.exponential(v, a)) for a in ALPHAS}
+    methods = {str(a): forecast.running_exponential(a) for a in ALPHAS}
     scored = forecast.accuracy(forecast.backtest(forecast.series(monthly(spark, d), 36), methods, 24, 36), ["item_id", "method"])
     return forecast.best_method(scored).select("item_id", F.col("method").cast("double").alias("alpha"), "wape")
 

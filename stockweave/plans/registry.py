@@ -149,7 +149,7 @@ def series_features(spark, d):
 
 @query("SELECT channel, round(sum(price) FILTER (qty > 0) / sum(qty), 4) AS price FROM history GROUP BY 1")
 def weighted_price(spark, d):
-    return p.demand_history(spark, d).groupBy("channel").agg(F.round(demand.weighted_mean(F.col("price") / F.col("qty"), F.col("qty")), 4).alias("price"))
+    return p.with_customers(p.demand_history(spark, d), spark, d).groupBy("channel").agg(F.round(demand.weighted_mean(F.col("price") / F.col("qty"), F.col("qty")), 4).alias("price"))
 
 
 def gross_inputs(spark: SparkSession, d: str) -> DataFrame:
@@ -334,7 +334,7 @@ def forecast_methods(spark, d):
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    methods = {"MA3": lambda v: forecast.moving_average(v, 3), "ES_0.3": lambda v: forecast.exponential(v, 0.3), "CROSTON": forecast.croston}
+    methods = {"MA3": forecast.running_average(3), "ES_0.3": forecast.running_exponential(0.3), "CROSTON": forecast.running_croston}
     return forecast.accuracy(forecast.backtest(forecast.series(monthly(spark, d), 36), methods, 24, 36), ["item_id", "method"])
 
 

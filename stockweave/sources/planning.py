@@ -54,11 +54,16 @@ def lines(spark: SparkSession, sf_dir: str, wanted: Column | None = None) -> Dat
 
 
 def demand_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Booked demand facts: lines with their order's date, customer and channel."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("booked"), F.col("o_orderpriority").alias("order_type"), "o_orderstatus")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("state"), F.col("c_mktsegment").alias("channel"))
-    facts = lines(spark, sf_dir).join(orders, F.col("order_id") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return facts.select("order_id", "line_id", "item_id", "location_id", "qty", "price", "kind", "booked", "due", "state", "channel", "order_type", "o_orderstatus")
+    """Booked demand facts: lines with their order's date, type, status and customer."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").cast("date").alias("booked"), F.col("o_orderpriority").alias("order_type"), "o_orderstatus")
+    facts = lines(spark, sf_dir).join(orders, F.col("order_id") == F.col("o_orderkey"))
+    return facts.select("order_id", "line_id", "item_id", "location_id", "qty", "price", "kind", "booked", "due", "customer_id", "order_type", "o_orderstatus")
+
+
+def with_customers(facts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demand facts with their customer's state and channel."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("state"), F.col("c_mktsegment").alias("channel"))
+    return facts.join(customers, "customer_id")
 
 
 def supplier_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,8 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
-def counted(df: DataFrame, **conditions) -> tuple[DataFrame, dict[str, int]]:
+def counted(df: DataFrame, *partition_by: str, **conditions) -> tuple[DataFrame, dict[str, int]]:
     """df as written() has it, and how many of its rows meet each condition, counted by the same job."""
     seen = Observation()
-    out = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(n) for n, c in conditions.items())))
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(n) for n, c in conditions.items())), *partition_by)
     return out, {"rows": 0, **dict.fromkeys(conditions, 0), **seen.get}
