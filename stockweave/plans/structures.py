@@ -1,12 +1,12 @@
-"""Registered queries on structures: hierarchies of items and their reconciliation; each with DuckDB SQL."""
+"""Registered queries on structures: hierarchies of items and their reconciliation, pegging, causes, origins; each with DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import forecast, hierarchy
+from ..operators import forecast, hierarchy, netting, pegging
 from ..sources import planning as p
-from .registry import query
+from .registry import DEMAND, gross_inputs, planning_parameters, projected, query
 
 #: Hierarchies of the parts: levels, and each part's codes from the root on.
 LEVELS = {"range": ("house", "brand", "kind"), "pack": ("band", "size")}
@@ -81,3 +81,116 @@ def reconciliation_bench(spark, d):
 @query(f"{BENCH} SELECT block, method, wape FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY wape, method) AS n FROM scored WHERE level = 'leaf' AND wape IS NOT NULL) WHERE n = 1")
 def reconciliation_verdicts(spark, d):
     return hierarchy.verdicts(benched(spark, d))
+
+
+KINDS = (("order", "O", "CustomerOrderDemand"), ("forecast", "F", "ForecastDemand"), ("transfer", "T", "TransferDemand"), ("supply", "S", "PurchaseOrderSupply"))
+WORK, HELD, LEAD = "WorkOrderSupply", "OnHandSupply", 30
+NODES = f""", net AS (SELECT kind, order_id, line_id, item_id, location_id, CAST(sum(qty) AS DOUBLE) AS quantity, min(due) AS due FROM flows GROUP BY ALL
+), nodes AS (SELECT CASE kind {" ".join(f"WHEN '{k}' THEN '{c}'" for k, c, _ in KINDS)} END || '-' || order_id || '-' || line_id || '-' || item_id || '-' || location_id AS node_id, CASE {" ".join(f"WHEN kind = '{k}'" + (" AND item_id NOT IN (SELECT parent FROM bom)" if k == "supply" else "") + f" THEN '{t}'" for k, _, t in KINDS)} ELSE '{WORK}' END AS node_type,
+    kind, item_id, location_id, quantity, due, greatest(0, CAST(floor(date_diff('day', DATE '{p.AS_OF}', due) / 7.0) AS INT)) AS bucket, CAST(floor(date_diff('day', DATE '{p.AS_OF}', CAST(o_orderdate AS DATE) + {LEAD}) / 7.0) AS INT) AS promised FROM net JOIN orders ON o_orderkey = order_id
+  UNION ALL SELECT 'H-' || item_id || '-' || location_id, '{HELD}', 'held', item_id, location_id, on_hand, NULL, 0, NULL FROM on_hand
+), wired AS (SELECT *, CASE WHEN kind = 'supply' AND promised BETWEEN 0 AND {p.WEEKS - 1} THEN promised ELSE bucket END AS slot, least({p.WEEKS - 1}, CAST(floor(date_diff('day', DATE '{p.AS_OF}', due + {p.SPAN - 1}) / 7.0) AS INT)) AS last FROM nodes
+), edges AS (SELECT CASE WHEN kind IN ('supply', 'held') THEN 'replenishes' ELSE 'consumes' END AS edge_type, node_id AS from_id, 'P-' || item_id || '-' || location_id || '-' || slot AS to_id, 0 AS priority FROM wired
+  UNION ALL SELECT 'consumes', node_id, 'P-' || item_id || '-' || location_id || '-' || last, 1 FROM wired WHERE kind = 'forecast' AND last > slot
+  UNION ALL SELECT 'consumes', node_id, 'P-' || component || '-' || location_id || '-' || bucket, 2 FROM wired JOIN bom ON parent = item_id WHERE kind = 'supply')"""
+
+
+def network(spark, d):
+    """Nodes and edges: demand consumes the buckets that it falls in; supply replenishes the one it was promised for (a
+    month after its order, if that is in the horizon), stock the first; supply that is made consumes its components."""
+    own = p.flows(spark, d).groupBy("kind", "order_id", "line_id", "item_id", "location_id").agg(F.sum("qty").alias("quantity"), F.min("due").alias("due"))
+    ordered = p.table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.date_add(F.col("o_orderdate").cast("date"), LEAD).alias("promise"))
+    edges = p.bom(spark, d)
+    own = own.join(ordered, "order_id").join(edges.select(F.col("parent").alias("item_id"), F.lit(True).alias("made")).distinct(), "item_id", "left")
+    pick = lambda of: F.coalesce(*(F.when(F.col("kind") == k, F.lit(x)) for k, *of_k in KINDS for x in [of_k[of]]))
+    day, start = lambda c: F.floor(F.datediff(c, F.lit(p.AS_OF).cast("date")) / 7).cast("int"), F.greatest(F.lit(0), F.floor(F.datediff("due", F.lit(p.AS_OF).cast("date")) / 7).cast("int"))
+    nodes = own.select(
+        F.concat_ws("-", pick(0), "order_id", "line_id", "item_id", "location_id").alias("node_id"),
+        F.when((F.col("kind") == "supply") & F.col("made"), WORK).otherwise(pick(1)).alias("node_type"),
+        "kind", "item_id", "location_id", "quantity", "due", start.alias("bucket"),
+        F.when((F.col("kind") == "supply") & day("promise").between(0, p.WEEKS - 1), day("promise")).otherwise(start).alias("slot"),
+        F.least(F.lit(p.WEEKS - 1), day(F.date_add("due", p.SPAN - 1))).alias("last"),
+    )
+    held = p.on_hand(spark, d).select(F.concat_ws("-", F.lit("H"), "item_id", "location_id").alias("node_id"), F.lit(HELD).alias("node_type"), F.lit("held").alias("kind"), "item_id", "location_id", F.col("on_hand").alias("quantity"), F.lit(None).cast("date").alias("due"), F.lit(0).alias("bucket"), F.lit(0).alias("slot"), F.lit(0).alias("last"))
+    nodes = nodes.unionByName(held)
+    bucket = lambda item, slot: F.concat_ws("-", F.lit("P"), item, "location_id", slot).alias("to_id")
+    edge = lambda rows, kind, to, n: rows.select(kind.alias("edge_type"), F.col("node_id").alias("from_id"), to, F.lit(n).alias("priority"))
+    uses = F.lit("consumes")
+    wired = edge(nodes, F.when(F.col("kind").isin("supply", "held"), "replenishes").otherwise(uses), bucket("item_id", "slot"), 0)
+    wired = wired.unionByName(edge(nodes.where("kind = 'forecast' and last > slot"), uses, bucket("item_id", "last"), 1))
+    built = nodes.where("kind = 'supply'").join(edges.select(F.col("parent").alias("item_id"), "component"), "item_id")
+    return nodes, wired.unionByName(edge(built, uses, bucket("component", "bucket"), 2))
+
+
+PEGGED = f"""{NODES}, stock AS (SELECT item_id, location_id, list(closing ORDER BY bucket) AS st FROM projection GROUP BY ALL
+), asked AS (SELECT item_id, location_id, node_id, quantity, slot, coalesce(CASE WHEN kind = 'forecast' AND last > slot THEN last END, -1) AS next, row_number() OVER (PARTITION BY item_id, location_id ORDER BY CAST(quantity AS INT), due, node_id) AS k FROM wired WHERE kind IN ('order', 'forecast') AND quantity > 0
+), run AS (SELECT item_id, location_id, CAST(0 AS BIGINT) AS k, st, CAST(NULL AS VARCHAR) AS node_id, 0 AS slot, -1 AS next, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b FROM stock
+  UNION ALL SELECT item_id, location_id, k, list_transform(st, lambda y, i: y - CASE WHEN i = slot + 1 THEN a WHEN i = next + 1 THEN b ELSE 0 END), node_id, slot, next, a, b
+  FROM (SELECT *, CASE WHEN next < 0 THEN 0 ELSE greatest(0, least(quantity - a, st[next + 1])) END AS b FROM (SELECT item_id, location_id, x.k, st, x.node_id, x.slot, x.next, quantity, greatest(0, least(quantity, st[x.slot + 1])) AS a FROM run JOIN asked x USING (item_id, location_id) WHERE x.k = run.k + 1))
+), pegged AS (SELECT item_id, location_id, node_id, slot AS bucket, 0 AS priority, a AS allocated FROM run WHERE a > 0 UNION ALL SELECT item_id, location_id, node_id, next, 1, b FROM run WHERE b > 0
+)"""
+
+
+def pegged(spark, d, nodes):
+    asked = nodes.where("kind in ('order', 'forecast')").select("item_id", "location_id", "node_id", F.col("quantity").cast("int").alias("rank"), "due", F.col("quantity").alias("qty"), F.when((F.col("kind") == "forecast") & (F.col("last") > F.col("slot")), F.array("slot", "last")).otherwise(F.array("slot")).alias("buckets"))
+    return pegging.peg(asked, projected(spark, d).select("item_id", "location_id", "bucket", "closing"), ["item_id", "location_id"])
+
+
+@query(f"{PEGGED} SELECT * FROM pegged")
+def demand_pegging(spark, d):
+    """What orders and forecasts take of their buckets' closing stock, the smallest demands first."""
+    return pegged(spark, d, network(spark, d)[0])
+
+
+REACHED = f"""{PEGGED}, traced AS (SELECT edge_type, from_id, to_id FROM edges UNION SELECT 'pegged_to', node_id, 'P-' || item_id || '-' || location_id || '-' || bucket FROM pegged UNION SELECT 'pegged_to', to_id, from_id FROM edges WHERE edge_type = 'replenishes'
+), reached AS (SELECT node_id AS root_id, node_id, 0 AS depth, 'root' AS edge_type, [node_id] AS path FROM nodes WHERE kind = 'order'
+  UNION SELECT root_id, t.to_id, depth + 1, t.edge_type, list_append(path, t.to_id) FROM reached r JOIN traced t ON t.from_id = r.node_id WHERE depth < 4
+)"""
+
+
+@query(f"{REACHED} SELECT root_id, node_id, depth, edge_type, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY root_id, node_id ORDER BY depth, edge_type, path) AS n FROM reached) WHERE n = 1")
+def pegging_trace(spark, d):
+    """From every order to the buckets that serve it, what replenishes those, and what that is made of."""
+    nodes, edges = network(spark, d)
+    stock = pegged(spark, d, nodes).select(F.lit("pegged_to").alias("edge_type"), F.col("node_id").alias("from_id"), F.concat_ws("-", F.lit("P"), "item_id", "location_id", "bucket").alias("to_id"))
+    back = edges.where("edge_type = 'replenishes'").select(F.lit("pegged_to").alias("edge_type"), F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    found = pegging.walk(edges.drop("priority").unionByName(stock).unionByName(back), nodes.where("kind = 'order'"), 4)
+    return found.withColumn("path", F.concat_ws(">", "path"))
+
+
+UNITS = "CAST(CAST(coalesce({}, 0) AS DECIMAL(18,3)) AS VARCHAR)"
+SAID = "{0}.node_type || ' ' || {0}.node_id || ' {1} ' || " + UNITS.format("{0}.quantity") + " || ' units' || coalesce(' due ' || CAST({0}.due AS VARCHAR), '')"
+
+
+@query(f"""{NODES}, ends AS (SELECT e.edge_type, to_id, priority, from_id, {{'node_id': node_id, 'node_type': node_type, 'quantity': quantity, 'due': due}} AS node FROM edges e JOIN nodes ON node_id = from_id
+), best AS (SELECT to_id, first(node ORDER BY priority, from_id) FILTER (edge_type = 'consumes') AS d, first(node ORDER BY priority, from_id) FILTER (edge_type = 'replenishes' AND node.node_type <> '{HELD}') AS s FROM ends GROUP BY 1
+), x AS (SELECT 'P-' || item_id || '-' || location_id || '-' || bucket AS node_id, shortage_qty, DATE '{p.AS_OF}' + CAST(7 * bucket + 7 AS INT) AS bucket_end, d, s FROM projection LEFT JOIN best ON to_id = 'P-' || item_id || '-' || location_id || '-' || bucket WHERE has_shortage
+), y AS (SELECT *, s.due > bucket_end AS late, coalesce(s.quantity, 0) < shortage_qty AS little, CASE WHEN d IS NULL THEN 'nothing demands of this bucket' ELSE {SAID.format('d', 'requires')} END AS one, CASE WHEN s IS NULL THEN 'nothing replenishes this bucket' ELSE {SAID.format('s', 'provides')} END AS two FROM x
+), z AS (SELECT *, CASE WHEN s IS NULL THEN 'no supply for a shortage of ' || {UNITS.format('shortage_qty')} || ' units' WHEN late THEN s.node_type || ' ' || s.node_id || ' is ' || date_diff('day', bucket_end, s.due) || ' days late' WHEN little THEN s.node_type || ' ' || s.node_id || ' is ' || {UNITS.format('shortage_qty - coalesce(s.quantity, 0)')} || ' units short of it' ELSE 'demand is more than all supply by ' || {UNITS.format('shortage_qty')} || ' units' END AS three FROM y
+) SELECT node_id, one, two, three, CASE WHEN s IS NULL OR NOT (coalesce(late, false) OR little) THEN 'governed_by' ELSE 'depends_on' END AS link, CASE WHEN s IS NOT NULL AND (late OR little) THEN s.node_id END AS root_cause, one || '. ' || three || '.' AS summary FROM z""")
+def shortage_causes(spark, d):
+    nodes, edges = network(spark, d)
+    ends = F.date_add(F.lit(p.AS_OF).cast("date"), F.col("bucket") * 7 + 7)
+    short = projected(spark, d).where("has_shortage").select(F.concat_ws("-", F.lit("P"), "item_id", "location_id", "bucket").alias("node_id"), "shortage_qty", ends.alias("bucket_end"))
+    told = pegging.explain(short, edges, nodes)
+    fact = lambda i, n: F.element_at("causes", i)["fact"].alias(n)
+    return told.select("node_id", fact(1, "one"), fact(2, "two"), fact(3, "three"), F.element_at("causes", 3)["edge_type"].alias("link"), "root_cause", "summary")
+
+
+ORIGINS = f""", llc AS (SELECT p_partkey AS item_id, CAST(floor(log2(p_partkey + 1)) AS INT) AS llc FROM part
+), own AS (SELECT i.item_id, llc, coalesce(g, 0) AS own, coalesce(f, 0) AS firm, coalesce(h, 0) AS held, item_id % 4 * 5 AS safety FROM llc i LEFT JOIN (SELECT item_id, sum(greatest(orders, forecast)) AS g FROM {DEMAND} GROUP BY 1) USING (item_id) LEFT JOIN (SELECT item_id, sum(qty) AS f FROM flows WHERE kind = 'supply' GROUP BY 1) USING (item_id) LEFT JOIN (SELECT item_id, sum(on_hand) AS h FROM on_hand GROUP BY 1) USING (item_id)
+), passed AS (SELECT CAST(NULL AS BIGINT) AS item_id, CAST(NULL AS BIGINT) AS origin, CAST(0 AS DOUBLE) AS qty, -1 AS level
+  UNION ALL SELECT * FROM (SELECT component, origin, net * qty / total * qty_per * (1 + scrap), llc FROM (
+    SELECT item_id, origin, qty, llc, sum(qty) OVER (PARTITION BY item_id) AS total, sum(qty) OVER (PARTITION BY item_id) + safety - held - firm AS net FROM (
+      SELECT item_id, origin, llc, safety, held, firm, sum(qty) AS qty FROM (SELECT q.item_id, q.origin, q.qty FROM passed q WHERE q.item_id IS NOT NULL UNION ALL SELECT item_id, item_id, own FROM own WHERE llc = (SELECT max(level) + 1 FROM passed) AND own > 0) JOIN own USING (item_id) GROUP BY ALL)) JOIN bom ON parent = item_id WHERE net > 0
+    UNION ALL SELECT NULL, NULL, 0, level + 1 FROM passed WHERE item_id IS NULL AND level < 40)
+)"""
+
+
+@query(f"{ORIGINS} SELECT item_id, rank, origin, qty FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY qty DESC, origin) AS INT) AS rank FROM (SELECT item_id, origin, round(sum(qty), 6) AS qty FROM passed WHERE item_id IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 5")
+def demand_origins(spark, d):
+    """The five items whose own demand most of each component's dependent demand comes from."""
+    gross = netting.consume(gross_inputs(spark, d)).select("item_id", F.col("gross").alias("qty"))
+    firm = p.flows(spark, d).where("kind = 'supply'").select("item_id", "qty")
+    found = pegging.origins(planning_parameters(spark, d), gross, firm, p.bom(spark, d))
+    return pegging.top_origins(found.withColumn("qty", F.round("qty", 6)), 5)
