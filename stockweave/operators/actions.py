@@ -1,4 +1,4 @@
-"""What to do about a plan: allocation, receipts against needs, working days, values as of a date, scenario figures."""
+"""What to do about a plan: allocation, receipts against needs, values as of a date, scenario figures."""
 
 from __future__ import annotations
 
@@ -53,17 +53,6 @@ def reschedule(placed: DataFrame, as_of: str, weeks: int, least_days: int) -> Da
     return placed.select("item_id", "receipt_id", "qty", action.alias("action"), F.when(F.col("need").isNotNull(), proposed).alias("proposed")).where("action is not null")
 
 
-def add_working_days(rows: DataFrame, closed: DataFrame, day: str, n: str, most: int = 60) -> DataFrame:
-    """Adds `moved`: the n-th day after `day` on which the row's location works; `day` itself for n of 0 or less.
-
-    `closed` (location_id, day) lists days without work; other days are working days. Null if there are fewer than n within `most` days.
-    """
-    lists = closed.groupBy("location_id").agg(F.collect_set("day").alias("closed"))  # a calendar's days
-    ahead = F.sequence(F.date_add(day, 1), F.date_add(day, most))
-    works = F.array_except(ahead, F.coalesce("closed", F.array().cast("array<date>")))
-    return rows.join(lists, "location_id", "left").withColumn("moved", F.when(F.col(n) <= 0, F.col(day)).otherwise(F.try_element_at(works, F.col(n).cast("int")))).drop("closed")
-
-
 def as_of(rows: DataFrame, facts: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """Adds the latest `value` of the facts of the same keys whose `at` is on or before the row's; null without any.
 

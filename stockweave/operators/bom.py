@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.written import counted, written
 
 #: Levels that are walked before parents are counted.
-USUAL = 64
+USUAL = 16
 
 
 def fronts(first: DataFrame, step: Callable[[DataFrame], DataFrame], bom: DataFrame) -> Iterator[DataFrame]:

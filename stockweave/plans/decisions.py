@@ -37,14 +37,6 @@ def reschedule_signals(spark, d):
     return actions.reschedule(actions.needed_in(receipts, netting.consume(gross_inputs(spark, d)), items, p.WEEKS), p.AS_OF, p.WEEKS, 7)
 
 
-@query(f"""SELECT order_id * 10 + line_id AS id, list_filter(list_transform(range(1, 61), lambda i: due + CAST(i AS INT)), lambda x: isodow(x) < 6 AND NOT (location_id = 0 AND day(x) = 1))[line_id] AS moved FROM flows WHERE kind = 'order'""")
-def working_days(spark, d):
-    span = F.explode(F.sequence(F.lit(p.AS_OF).cast("date"), F.date_add(F.lit(p.AS_OF).cast("date"), 7 * p.WEEKS + 61))).alias("day")
-    closed = spark.range(p.LOCATIONS).select(F.col("id").alias("location_id"), span).where("weekday(day) >= 5 or (location_id = 0 and dayofmonth(day) = 1)")
-    rows = p.flows(spark, d).where("kind = 'order'").select((F.col("order_id") * 10 + F.col("line_id")).alias("id"), "location_id", "due", "line_id")
-    return actions.add_working_days(rows, closed, "due", "line_id").select("id", "moved")
-
-
 @query("""SELECT o.order_id * 10 + o.line_id AS id, s.price FROM (SELECT * FROM lines WHERE kind = 'order') o ASOF LEFT JOIN (SELECT item_id, due, max(price) AS price FROM lines WHERE kind = 'supply' GROUP BY ALL) s ON o.item_id = s.item_id AND o.due >= s.due""")
 def last_receipt_price(spark, d):
     rows = p.lines(spark, d)
