@@ -22,7 +22,7 @@ def default_hierarchy(registry: DataFrame, domain: str) -> str:
     return found[0]
 
 
-def _refuse(bad: DataFrame, what: str) -> None:
+def refuse(bad: DataFrame, what: str) -> None:
     """Raise with the first few rows of `bad`, if it has any."""
     rows = [", ".join(map(str, r)) for r in bad.limit(5).collect()]
     if rows:
@@ -40,13 +40,13 @@ def summing(levels: Sequence[str], nodes: DataFrame, members: DataFrame, block_l
     if block_level not in levels:
         raise ValueError(f"{block_level!r} is not among the levels {list(levels)}")
     nodes = written(nodes.select("code", "parent_code", "level"))
-    _refuse(nodes.where(~F.col("level").isin(list(levels)) | F.col("level").isNull() | F.col("code").isNull()).select("code", "level"), "nodes of no declared level")
-    _refuse(nodes.groupBy("code").count().where("count > 1"), "repeated node codes")
+    refuse(nodes.where(~F.col("level").isin(list(levels)) | F.col("level").isNull() | F.col("code").isNull()).select("code", "level"), "nodes of no declared level")
+    refuse(nodes.groupBy("code").count().where("count > 1"), "repeated node codes")
     up = nodes.where("parent_code is not null").select(F.col("code").alias("below"), F.col("parent_code").alias("above"))
     known = nodes.select("code")
-    _refuse(up.join(known, F.col("above") == F.col("code"), "left_anti"), "unknown parents")
-    _refuse(members.join(known, "code", "left_anti").select("item_id", "code"), "items of unknown nodes")
-    _refuse(members.groupBy("item_id").count().where("count > 1"), "items attached twice")
+    refuse(up.join(known, F.col("above") == F.col("code"), "left_anti"), "unknown parents")
+    refuse(members.join(known, "code", "left_anti").select("item_id", "code"), "items of unknown nodes")
+    refuse(members.groupBy("item_id").count().where("count > 1"), "items attached twice")
 
     front = nodes.select("code", F.col("code").alias("ancestor"))
     pairs = front
@@ -54,7 +54,7 @@ def summing(levels: Sequence[str], nodes: DataFrame, members: DataFrame, block_l
         above = front.join(up, F.col("ancestor") == F.col("below")).select("code", F.col("above").alias("ancestor"))
         front, n = counted(above, own=F.col("code") == F.col("ancestor"))
         if n["own"]:
-            _refuse(front.where("code = ancestor").select("code"), "parents in a cycle")
+            refuse(front.where("code = ancestor").select("code"), "parents in a cycle")
         if not n["rows"]:
             break
         pairs = pairs.unionByName(front)
@@ -143,7 +143,7 @@ def bench(sums: DataFrame, members: DataFrame, history: DataFrame, recon_level:
     leaf_of = sums.where("item_id is not null").groupBy("block", "item_id").agg(F.max(F.when(F.col("level") == recon_level, F.col("code"))).alias("node"), F.count_if(F.col("level") == recon_level).alias("n"), F.max(F.when(F.col("code") == F.col("block"), F.col("level"))).alias("top"))
     leaf_of = written(leaf_of.join(members.withColumnRenamed("code", "held"), "item_id"))
     levelled = leaf_of.groupBy("block").agg(F.max("n").alias("most"), F.min("n").alias("least"))
-    _refuse(levelled.where("most > 0 and (most > 1 or least = 0)").select("block"), f"items that no single {recon_level} node holds, in blocks")
+    refuse(levelled.where("most > 0 and (most > 1 or least = 0)").select("block"), f"items that no single {recon_level} node holds, in blocks")
     leaf_of = leaf_of.where("n = 1")
     own = written(history.where(F.col("period").between(-lookback, horizon - 1)).groupBy("item_id", "period").agg(F.sum("qty").cast("double").alias("qty")))
 
