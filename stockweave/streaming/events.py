@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import projection as stock
-from ..sources.written import folder
+from ..sources.written import folder, written
 
 
 def window_totals(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -24,18 +24,58 @@ def window_totals(events: DataFrame, width: str = "1 day", late: str = "2 days")
     return sums.select(F.expr("convert_timezone(current_timezone(), 'UTC', cast(w.start as timestamp_ntz))").alias("start"), "event_type", "n", "units")
 
 
-def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+def drained(spark: SparkSession, stream: DataFrame, place: str | None = None) -> DataFrame:
     """The result of a streaming aggregation over all that its source holds by now.
 
-    Each micro-batch replaces the table of the batch before; state and results are in the shared folder, so a restarted driver goes on from there.
+    Each micro-batch writes the whole result in a folder of its own, and only then names it the latest; the folder before last goes. State and
+    results are in `place`: called again with it, the stream goes on from there, also after a driver is lost. Without it the folder is new.
     """
-    place = f"{folder(spark)}/streams/{uuid.uuid4().hex}"
+    place = place or f"{folder(spark)}/streams/{uuid.uuid4().hex}"
+    path = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join((place, *parts)))
+    files = path("result").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def batches() -> list[int]:
+        found = files.listStatus(path("result")) if files.exists(path("result")) else []
+        return sorted(int(f.getPath().getName()) for f in found if files.exists(path("result", f.getPath().getName(), "_SUCCESS")))
 
     def put(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{place}/result")
+        rows.write.mode("overwrite").parquet(f"{place}/result/{batch}")
+        for old in batches()[:-2]:
+            files.delete(path("result", str(old)), True)
 
     stream.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/result")
+    done = batches()
+    return spark.read.schema(stream.schema).parquet(f"{place}/result/{done[-1]}") if done else spark.createDataFrame([], stream.schema)
+
+
+def replanned(spark: SparkSession, changes: DataFrame, moves: DataFrame, plan: str, state: str, buckets: int, parts: int = 16) -> DataFrame:
+    """A plan kept up to date by a stream of changed lines (series and qty at least): only partitions that changes touch are rewritten.
+
+    `plan` is a folder of a projection, written by `part`, a hash of the series; the first batch on an empty folder
+    writes it whole. A batch finds its series, and projects those from their moves as they are by then; the others in the same partitions are
+    copied. Partitions without a change aren't read. `state` has the stream's progress: a restarted stream goes on from
+    there, and a batch that is done twice writes the same.
+    """
+    part = F.pmod(F.xxhash64(*stock.SERIES), F.lit(parts)).cast("int")
+    known = spark._jvm.org.apache.hadoop.fs.Path(f"{plan}/_SUCCESS")
+    files = known.getFileSystem(spark._jsc.hadoopConfiguration())
+    project = lambda rows: stock.project(stock.bucket_flows(rows, buckets))
+
+    def put(rows: DataFrame, batch: int) -> None:
+        if not files.exists(known):
+            project(moves).withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(plan)
+            return
+        series = written(rows.select(*stock.SERIES, part.alias("part")).distinct())
+        touched = [r.part for r in series.select("part").distinct().collect()]  # as many as `parts` at most
+        if not touched:
+            return
+        anew = project(moves.join(series.drop("part"), list(stock.SERIES), "left_semi")).withColumn("part", part)
+        current = spark.read.parquet(plan).where(F.col("part").isin(touched))
+        fresh = written(current.join(series.drop("part"), list(stock.SERIES), "left_anti").select(*anew.columns).unionByName(anew))  # before what it reads is replaced
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(plan)
+
+    changes.writeStream.option("checkpointLocation", state).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(plan).drop("part")
 
 
 def refreshed(current: DataFrame, moves: DataFrame, dirty: DataFrame, buckets: int) -> DataFrame:
