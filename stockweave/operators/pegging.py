@@ -155,3 +155,30 @@ def top_origins(found: DataFrame, n: int) -> DataFrame:
     """(item_id, rank, origin, qty): the n largest origins of each item, ties by id."""
     order = Window.partitionBy("item_id").orderBy(F.desc("qty"), "origin")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("item_id", "rank", "origin", "qty")
+
+
+def dirty(events: DataFrame, edges: DataFrame, nodes: DataFrame, ahead: int = 365) -> DataFrame:
+    """(event_id, node_id): all that a change (event_id, trigger_id, old_date, new_date) makes to be planned anew.
+
+    From the trigger along edges, however far; of nodes (node_id, start, keys item_id and location_id), those whose start is outside the window stop the walk
+    and aren't part of it, those without a start are always in. The window goes from the earlier date to `ahead` days after the later one; without
+    dates it has no ends. With one, all buckets of the trigger's own series in the window are dirty too. Each
+    step is a job that joins what the last one has reached.
+    """
+    dated = F.coalesce("old_date", "new_date").isNotNull()
+    opens, shuts = F.least("old_date", "new_date"), F.date_add(F.greatest("old_date", "new_date"), ahead)
+    events = written(events.select("event_id", "trigger_id", opens.alias("opens"), shuts.alias("shuts"), dated.alias("dated")))
+    inside = F.col("start").isNull() | ~F.col("dated") | ((F.col("start") >= F.col("opens")) & (F.col("start") < F.col("shuts")))
+    places = nodes.select("node_id", "start")
+    ends = written(edges.select(F.col("from_id").alias("node_id"), F.col("to_id")).distinct().join(places.withColumnRenamed("node_id", "to_id"), "to_id"))
+    front = written(events.join(places, F.col("trigger_id") == F.col("node_id")).where(inside).select("event_id", "node_id", "opens", "shuts", "dated"))
+    found = [front.select("event_id", "node_id")]
+    while True:
+        next_ = front.join(ends, "node_id").where(inside).select("event_id", F.col("to_id").alias("node_id"), "opens", "shuts", "dated").distinct()
+        front, n = counted(next_.join(united(found), ["event_id", "node_id"], "left_anti"))
+        if not n["rows"]:
+            break
+        found.append(front.select("event_id", "node_id"))
+    series = nodes.where("start is not null").select(F.col("node_id").alias("bucket_id"), "start", "item_id", "location_id")
+    own = events.where("dated").join(nodes.select(F.col("node_id").alias("trigger_id"), "item_id", "location_id"), "trigger_id").join(series, ["item_id", "location_id"]).where(inside)
+    return united([*found, own.select("event_id", F.col("bucket_id").alias("node_id"))]).distinct()

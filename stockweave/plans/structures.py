@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import forecast, hierarchy, netting, pegging
+from ..operators import forecast, ghosts, hierarchy, netting, pegging
 from ..sources import planning as p
 from .registry import DEMAND, gross_inputs, planning_parameters, projected, query
 
@@ -194,3 +195,64 @@ def demand_origins(spark, d):
     firm = p.flows(spark, d).where("kind = 'supply'").select("item_id", "qty")
     found = pegging.origins(planning_parameters(spark, d), gross, firm, p.bom(spark, d))
     return pegging.top_origins(found.withColumn("qty", F.round("qty", 6)), 5)
+
+
+GRAPH = f"""{NODES}, buckets AS (SELECT 'P-' || item_id || '-' || location_id || '-' || bucket AS node_id, item_id, location_id, DATE '{p.AS_OF}' + CAST(7 * bucket AS INT) AS start, bucket FROM projection
+), places AS (SELECT node_id, item_id, location_id, CAST(NULL AS DATE) AS start FROM nodes UNION ALL SELECT node_id, item_id, location_id, start FROM buckets
+), ways AS (SELECT DISTINCT e.from_id, e.to_id, start FROM edges e JOIN places ON node_id = to_id UNION ALL SELECT a.node_id, b.node_id, b.start FROM buckets a JOIN buckets b ON a.item_id = b.item_id AND a.location_id = b.location_id AND b.bucket = a.bucket + 1
+), changed AS (SELECT node_id AS event_id, n.item_id, n.location_id, least(due, CAST(o_orderdate AS DATE) + {LEAD}) AS opens, greatest(due, CAST(o_orderdate AS DATE) + {LEAD}) + 42 AS shuts FROM nodes n JOIN orders ON 'O-' || o_orderkey = regexp_extract(node_id, '^O-[0-9]+') WHERE kind = 'order'
+), spread AS (SELECT event_id, event_id AS node_id, opens, shuts FROM changed UNION SELECT event_id, to_id, opens, shuts FROM spread JOIN ways ON from_id = node_id WHERE start IS NULL OR start >= opens AND start < shuts
+)"""
+
+
+def _dirty(spark, d):
+    """Orders whose date has become another than a month after they were booked."""
+    nodes, edges = network(spark, d)
+    at = lambda b: F.concat_ws("-", F.lit("P"), "item_id", "location_id", b)
+    plan = projected(spark, d).select("item_id", "location_id", "bucket")
+    buckets = plan.select(at("bucket").alias("node_id"), F.date_add(F.lit(p.AS_OF).cast("date"), F.col("bucket") * 7).alias("start"), "item_id", "location_id")
+    forward = plan.where(F.col("bucket") < p.WEEKS - 1).select(at("bucket").alias("from_id"), at(F.col("bucket") + 1).alias("to_id"))
+    places = nodes.select("node_id", F.lit(None).cast("date").alias("start"), "item_id", "location_id").unionByName(buckets)
+    booked = p.table(spark, d, "orders").select(F.concat(F.lit("O-"), "o_orderkey").alias("key"), F.date_add(F.col("o_orderdate").cast("date"), LEAD).alias("old_date"))
+    events = nodes.where("kind = 'order'").withColumn("key", F.regexp_extract("node_id", "^O-[0-9]+", 0)).join(booked, "key").select(F.col("node_id").alias("event_id"), F.col("node_id").alias("trigger_id"), "old_date", F.col("due").alias("new_date"))
+    return pegging.dirty(events, edges.select("from_id", "to_id").unionByName(forward), places, ahead=42)
+
+
+@query(f"{GRAPH} SELECT event_id, node_id FROM spread UNION SELECT event_id, node_id FROM changed JOIN buckets USING (item_id, location_id) WHERE start >= opens AND start < shuts")
+def dirty_nodes(spark, d):
+    return _dirty(spark, d)
+
+
+HANDED = f""", pairs AS (SELECT p_partkey AS outgoing, lead(p_partkey) OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey) AS incoming, DATE '{p.AS_OF}' + p_size AS "start", CASE p_type WHEN 'ECONOMY' THEN 'linear' WHEN 'STANDARD' THEN 'step' ELSE 'sigmoid' END AS curve FROM part
+), totals AS (SELECT item_id, DATE '{p.AS_OF}' + CAST(7 * bucket AS INT) AS day, sum(closing) AS closing FROM projection GROUP BY ALL
+), days AS (SELECT outgoing AS ghost_id, outgoing, incoming, DATE '{p.AS_OF}' - 3 + CAST(t.i AS INT) AS day, CASE WHEN t.i - 3 <= p_size THEN 1.0 WHEN t.i - 3 >= p_size + 30 THEN 0.0 WHEN curve = 'step' THEN 1.0 WHEN curve = 'linear' THEN 1.0 + (0.0 - 1.0) * ((t.i - 3 - p_size) / 30.0) ELSE 1.0 + (0.0 - 1.0) * (3 * ((t.i - 3 - p_size) / 30.0) * ((t.i - 3 - p_size) / 30.0) - 2 * ((t.i - 3 - p_size) / 30.0) * ((t.i - 3 - p_size) / 30.0) * ((t.i - 3 - p_size) / 30.0)) END AS w FROM pairs JOIN part ON p_partkey = outgoing, range(0, 60, 1) t(i) WHERE incoming IS NOT NULL
+), x AS (SELECT d.*, a.closing AS a FROM days d ASOF LEFT JOIN totals a ON a.item_id = outgoing AND d.day >= a.day), y AS (SELECT d.*, b.closing AS b FROM x d ASOF LEFT JOIN totals b ON b.item_id = incoming AND d.day >= b.day
+), z AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN w > 0 THEN a / w WHEN b > 0 THEN b ELSE 0.0 END END AS base FROM y)"""
+
+
+@query(f"{HANDED} SELECT ghost_id, day, round(w, 4) AS weight, round(base, 4) AS baseline, round(a + b - base, 4) AS delta FROM z WHERE base > 0 AND abs(a + b - base) / base > 0.1")
+def hand_over_alerts(spark, d):
+    """Each item handed over to the next larger one of its brand and type."""
+    parts = p.table(spark, d, "part")
+    after = F.lead("p_partkey").over(Window.partitionBy("p_brand", "p_type").orderBy("p_size", "p_partkey"))
+    today = F.lit(p.AS_OF).cast("date")
+    start = F.date_add(today, F.col("p_size"))
+    curve = F.when(F.col("p_type") == "ECONOMY", "linear").when(F.col("p_type") == "STANDARD", "step").otherwise("sigmoid")
+    pairs = parts.select(F.col("p_partkey").alias("ghost_id"), F.col("p_partkey").alias("outgoing"), after.alias("incoming"), start.alias("start"), F.date_add(start, 30).alias("end"), curve.alias("curve"), F.lit(1.0).alias("weight_at_start"), F.lit(0.0).alias("weight_at_end"))
+    stock = projected(spark, d).groupBy("item_id", "bucket").agg(F.sum("closing").alias("closing")).select("item_id", F.date_add(today, F.col("bucket") * 7).alias("day"), "closing")
+    days = ghosts.hand_over(pairs.where("incoming is not null"), stock, F.date_sub(today, 3), F.date_add(today, 56))
+    return ghosts.inconsistent(days).select("ghost_id", "day", F.round("weight_outgoing", 4).alias("weight"), F.round("baseline", 4).alias("baseline"), F.round("delta", 4).alias("delta"))
+
+
+@query(f""", made AS (SELECT DISTINCT parent AS item_id FROM bom), w AS (SELECT item_id, due AS day, sum(qty) AS qty FROM lines JOIN made USING (item_id) WHERE kind = 'supply' GROUP BY ALL
+), f AS (SELECT p_brand AS ghost_id, day, sum(qty) AS load, string_agg(item_id || ':' || CAST(qty AS INT), ',' ORDER BY item_id) AS members FROM w JOIN part ON p_partkey = item_id GROUP BY ALL
+) SELECT g.ghost_id, g.day, coalesce(load, 0.0) AS load, 30.0 AS capacity, 30.0 - coalesce(load, 0.0) AS slack, coalesce(load, 0.0) > 30 AS overloaded, coalesce(members, '') AS members FROM (SELECT DISTINCT p_brand AS ghost_id, DATE '{p.AS_OF}' + CAST(t.i AS INT) AS day FROM part JOIN made ON item_id = p_partkey, range(60) t(i)) g LEFT JOIN f ON f.ghost_id = g.ghost_id AND f.day = g.day""")
+def shared_capacity(spark, d):
+    """The made items of a brand, which share what can be made in a day."""
+    made = p.bom(spark, d).select(F.col("parent").alias("item_id")).distinct()
+    members = p.items(spark, d).select(F.col("brand").alias("ghost_id"), "item_id").join(made, "item_id", "left_semi")
+    load = p.lines(spark, d, F.col("l_returnflag") == "R").select("item_id", F.col("due").alias("day"), "qty")
+    today = F.lit(p.AS_OF).cast("date")
+    days = ghosts.shared_capacity(members, load, members.select("ghost_id", F.lit(30.0).alias("per_day")).distinct(), today, F.date_add(today, 59))
+    told = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["item_id"], m["load"].cast("int"))), ",")
+    return days.withColumn("members", told)
