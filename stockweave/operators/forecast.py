@@ -111,6 +111,62 @@ def backtest(data: DataFrame, methods: Mapping[str, Running], first: int, period
     return by_method.select("item_id", "m.method", F.explode(at).alias("o")).select("item_id", "method", "o.*")
 
 
+def candidates(values: Column, windows: tuple[int, ...] = (3, 6, 12), alphas: tuple[float, ...] = (0.2, 0.5, 0.8), intermittent: float = 0.2) -> Column:
+    """The methods that suit a series, as (label, first, made): from which origin on each can forecast, and its forecasts from every origin, 0 at least, the one after the last value included.
+
+    Moving averages need their window; Croston's method is for series of which this share of values or more is zero.
+    """
+    more = F.concat(values, F.array(F.lit(0.0)))
+    one = lambda label, first, f: F.struct(F.lit(label).alias("label"), F.lit(first).alias("first"), F.transform(f(more), lambda x: F.greatest(x, F.lit(0.0))).alias("made"))
+    all_ = [one(f"MA(window={w})", w, running_average(w)) for w in windows] + [one(f"EXP_SMOOTHING(alpha={a:.2f})", 1, running_exponential(a)) for a in alphas] + [one("CROSTON", 1, running_croston)]
+    zeros = F.size(F.filter(values, lambda x: x == 0)) / F.size(values)
+    return F.filter(F.array(*all_), lambda c: (c["first"] <= F.size(values)) & ((c["label"] != "CROSTON") | (zeros >= intermittent)))
+
+
+def evaluated(data: DataFrame, horizon: int, last: int = 52) -> DataFrame:
+    """(item_id, label, wape, value): each candidate's WAPE over rolling origins (the `last` ones) and `horizon` steps from each, and its next forecast.
+
+    Every forecast is flat over its steps; steps past the end of the series are left out. A series of fewer than 3 values, or without demand, has no WAPE.
+    """
+    rows = data.select("item_id", "values", F.explode(candidates(F.col("values"))).alias("c"))
+    n, first = F.size("values"), F.greatest(F.col("c.first"), F.size("values") - last)
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    empty = F.array().cast("array<double>")
+    error, actual = F.lit(0.0), F.lit(0.0)
+    for k in range(horizon):
+        count = n - k - first
+        seen = F.when(count > 0, F.slice("values", first + k + 1, count)).otherwise(empty)
+        made = F.when(count > 0, F.slice("c.made", first + 1, count)).otherwise(empty)
+        error, actual = error + add(F.zip_with(seen, made, lambda a, f: F.abs(a - f))), actual + add(seen)
+    wape = F.when(n >= 3, F.round(error / F.nullif(actual, F.lit(0.0)), 9))
+    return rows.select("item_id", "c.label", wape.alias("wape"), F.element_at("c.made", n + 1).alias("value"))
+
+
+def selected(scored: DataFrame) -> DataFrame:
+    """(item_id, label, wape, value, ensemble): the candidate of the least WAPE, ties by label (without any WAPE the first), and all of them blended.
+
+    A blend weighs each by 1 / WAPE (of 0.0001 at least), or by 1 if it has none.
+    """
+    weight = F.when(F.col("wape").isNull(), 1.0).otherwise(1 / F.greatest("wape", F.lit(1e-4)))
+    best = F.min(F.struct(F.col("wape").isNull().alias("none"), "wape", "label", "value"))
+    both = scored.groupBy("item_id").agg(best.alias("b"), (F.sum(F.col("value") * weight) / F.sum(weight)).alias("ensemble"))
+    return both.select("item_id", "b.label", "b.wape", "b.value", F.greatest("ensemble", F.lit(0.0)).alias("ensemble"))
+
+
+def confidence(wape: Column, depth_days: Column, age_days: Column, sla: int = 7, enough: int = 365, unknown: float = 0.25) -> Column:
+    """(score, accuracy, depth, freshness, stale): half by the error, a quarter each by how long the history is and how old its last entry.
+
+    Each part is from 0 to 1, of 4 decimals; what isn't known counts as `unknown`. Data older than `sla` days are stale.
+    """
+    part = lambda c: F.bround(c.cast("decimal(20,10)"), 4)
+    known = lambda c, v: part(F.when(c.isNull(), F.lit(unknown)).otherwise(v))
+    age = F.greatest(age_days, F.lit(0))
+    accuracy, depth = known(wape, 1 / (1 + wape)), known(depth_days, F.least(F.lit(1.0), depth_days / enough))
+    fresh = known(age_days, F.when(age <= sla, 1.0).otherwise(sla / F.greatest(age, F.lit(1))))
+    score = F.bround(accuracy * F.lit(0.5).cast("decimal(4,2)") + depth * F.lit(0.25).cast("decimal(4,2)") + fresh * F.lit(0.25).cast("decimal(4,2)"), 4)
+    return F.struct(*(c.cast("double").alias(x) for c, x in ((score, "score"), (accuracy, "accuracy"), (depth, "depth"), (fresh, "freshness"))), F.coalesce(age > sla, F.lit(False)).alias("stale"))
+
+
 def best_method(scored: DataFrame) -> DataFrame:
     """Each item's method of the least WAPE, ties by name; items without a score are left out."""
     return scored.where("wape is not null").groupBy("item_id").agg(F.min(F.struct("wape", "method")).alias("b")).select("item_id", "b.method", "b.wape")

@@ -229,3 +229,45 @@ def orders_at_risk(spark, d):
     short = projected(spark, d).where("has_shortage").select("item_id").distinct()
     ordered = p.flows(spark, d).where("kind = 'order'").select("item_id").distinct()
     return actions.affected(bills.closure(p.bom(spark, d)), short, ordered)
+
+
+def _running_sql(horizon: int = 3) -> str:
+    """Every candidate's forecast from every origin, its pooled error, and the best and the blend, in SQL."""
+    ma = " ".join(f"UNION ALL SELECT item_id, o, v, 'MA(window={w})', CASE WHEN o >= {w} THEN list_sum(h[o - {w - 1}:o]) / {w} END FROM h" for w in (3, 6, 12))
+    es = " ".join(f"UNION ALL SELECT item_id, o, v, 'EXP_SMOOTHING(alpha={a:.2f})', list_reduce(h, lambda s, x: CAST({a} AS DOUBLE) * x + (1 - CAST({a} AS DOUBLE)) * s) FROM h" for a in (0.2, 0.5, 0.8))
+    return f"""{SERIES36}, h AS (SELECT item_id, v, o, v[1:o] AS h, list_filter(range(1, o + 1), lambda i: v[i] > 0) AS z FROM (SELECT *, unnest(range(1, 37)) AS o FROM v)
+), f AS (SELECT item_id, o, v, 'CROSTON' AS label, CASE WHEN len(z) = 0 THEN 0 WHEN len(z) = 1 THEN list_sum(h) ELSE list_sum(h) / len(z) / ((z[len(z)] - z[1]) / (len(z) - 1)) END AS f FROM h WHERE len(list_filter(v, lambda x: x = 0)) / 36 >= 0.2 {ma} {es}
+), e AS (SELECT item_id, o, label, f, list_sum(list_transform(range(0, least({horizon}, 36 - o)), lambda k: abs(v[o + k + 1] - f))) AS error, list_sum(v[o + 1 : least(o + {horizon}, 36)]) AS actual FROM f WHERE f IS NOT NULL
+), c AS (SELECT item_id, label, round(sum(error) FILTER (o < 36) / nullif(sum(actual) FILTER (o < 36), 0), 9) AS wape, max(f) FILTER (o = 36) AS value FROM e GROUP BY ALL
+), w AS (SELECT *, CASE WHEN wape IS NULL THEN 1.0 ELSE 1 / greatest(wape, 1e-4) END AS weight, row_number() OVER (PARTITION BY item_id ORDER BY wape NULLS LAST, label) AS n FROM c
+), s AS (SELECT item_id, max(label) FILTER (n = 1) AS label, max(wape) FILTER (n = 1) AS wape, max(value) FILTER (n = 1) AS value, sum(value * weight) / sum(weight) AS ensemble FROM w GROUP BY 1)"""
+
+
+def _selected(spark, d):
+    return forecast.selected(forecast.evaluated(forecast.series(monthly(spark, d).where("period < 36"), 36), 3))
+
+
+@query(f"{_running_sql()} SELECT item_id, label, round(wape, 6) AS wape, round(value, 6) AS value, round(ensemble, 6) AS ensemble FROM s WHERE len(label) > 0")
+def forecast_auto_select(spark, d):
+    """The best of seven candidates by a rolling backtest of three steps, and all of them blended."""
+    r = lambda c: F.round(c, 6).alias(c)
+    return _selected(spark, d).select("item_id", "label", r("wape"), r("value"), r("ensemble"))
+
+
+@query(f"""{_running_sql()}, ages AS (SELECT item_id, date_diff('day', min(booked), {DAY}) AS depth, date_diff('day', max(booked), {DAY}) AS age FROM history WHERE booked < {DAY} GROUP BY 1
+), parts AS (SELECT item_id, round_even(CAST(coalesce(1 / (1 + wape), 0.25) AS DECIMAL(20,10)), 4) AS accuracy, round_even(CAST(coalesce(least(1.0, depth / 365), 0.25) AS DECIMAL(20,10)), 4) AS depth, round_even(CAST(CASE WHEN age <= 7 THEN 1 ELSE 7 / age END AS DECIMAL(20,10)), 4) AS freshness, age > 7 AS stale FROM s JOIN ages USING (item_id))
+SELECT item_id, CAST(round_even(CAST(accuracy * 0.5 + depth * 0.25 + freshness * 0.25 AS DECIMAL(20,10)), 4) AS DOUBLE) AS score, CAST(accuracy AS DOUBLE) AS accuracy, CAST(depth AS DOUBLE) AS depth, CAST(freshness AS DOUBLE) AS freshness, stale FROM parts""")
+def forecast_confidence(spark, d):
+    day = F.lit(p.AS_OF).cast("date")
+    past = p.demand_history(spark, d).where(F.col("booked") < day)
+    ages = past.groupBy("item_id").agg(F.datediff(day, F.min("booked")).alias("depth_days"), F.datediff(day, F.max("booked")).alias("age_days"))
+    return _selected(spark, d).join(ages, "item_id").select("item_id", forecast.confidence(F.col("wape"), F.col("depth_days"), F.col("age_days")).alias("c")).select("item_id", "c.*")
+
+
+@query(EXCESS.replace(f"(SELECT item_id, sum(greatest(orders, forecast)) AS g FROM {DEMAND} GROUP BY 1)", "(SELECT item_id, sum(gross) AS g FROM need GROUP BY 1)").replace("SELECT item_id, on_hand, round(annual, 4)", f", need AS (SELECT item_id, sum(greatest(orders, forecast)) AS gross FROM {DEMAND} GROUP BY 1 UNION ALL SELECT component, gross * qty_per * (1 + scrap) FROM need JOIN bom ON parent = item_id) SELECT item_id, on_hand, round(annual, 4)", 1))
+def excess_with_dependents(spark, d):
+    """Excess against all use: own demand and that of what an item goes into."""
+    held = p.on_hand(spark, d).groupBy("item_id").agg(F.sum("on_hand").alias("on_hand"))
+    own = netting.consume(gross_inputs(spark, d)).select("item_id", F.col("gross").alias("qty"))
+    use = bills.explode(own, p.bom(spark, d)).withColumn("bucket", F.lit(0))
+    return netting.excess(held, use, p.WEEKS)
