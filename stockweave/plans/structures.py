@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import forecast, ghosts, hierarchy, netting, pegging
+from ..operators import actions, forecast, ghosts, hierarchy, netting, pegging, scenarios
 from ..sources import planning as p
-from .registry import DEMAND, gross_inputs, planning_parameters, projected, query
+from . import projection as stock
+from .registry import DEMAND, flows, gross_inputs, planning_parameters, projected, query
 
 #: Hierarchies of the parts: levels, and each part's codes from the root on.
 LEVELS = {"range": ("house", "brand", "kind"), "pack": ("band", "size")}
@@ -256,3 +257,64 @@ def shared_capacity(spark, d):
     days = ghosts.shared_capacity(members, load, members.select("ghost_id", F.lit(30.0).alias("per_day")).distinct(), today, F.date_add(today, 59))
     told = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["item_id"], m["load"].cast("int"))), ",")
     return days.withColumn("members", told)
+
+
+BUCKETS = "SELECT 'ProjectedInventory' AS node_type, item_id, CASE WHEN location_id = 0 THEN NULL ELSE location_id END AS location_id, bucket, closing, opening, inflows, outflows, has_shortage, shortage_qty FROM projection"
+TEXTS = ", ".join(f"CAST({f} AS VARCHAR) AS {f}" for f in scenarios.DIFFED)
+
+
+def _as_nodes(plan, name):
+    """Buckets as nodes; a place of the plan stands for none, to meet keys with nulls."""
+    start = F.date_add(F.lit(p.AS_OF).cast("date"), F.col("bucket") * 7)
+    node = F.concat_ws("-", F.lit(name), "item_id", "location_id", "bucket").alias("node_id")
+    return plan.select(node, F.lit("ProjectedInventory").alias("node_type"), "item_id", F.nullif("location_id", F.lit(0)).alias("location_id"), start.alias("span_start"), F.col("bucket").alias("sequence"), *scenarios.DIFFED)
+
+
+@query(f""", x AS ({BUCKETS}), y AS (SELECT node_type, item_id, location_id, bucket, c AS closing, opening + 25 AS opening, inflows, outflows, c < -1e-9 AS has_shortage, CASE WHEN c < -1e-9 THEN -c ELSE 0.0 END AS shortage_qty FROM (SELECT *, closing + 25 AS c FROM x WHERE location_id IS NULL AND item_id % 10 <> 0) UNION ALL SELECT * FROM x WHERE (location_id IS NOT NULL OR item_id % 10 = 0) AND NOT (bucket > 20 AND item_id % 10 = 0)
+), u AS (SELECT item_id, location_id, bucket, unnest({list(scenarios.DIFFED)}) AS field_name, unnest([{", ".join(f"CAST({f} AS VARCHAR)" for f in scenarios.DIFFED)}]) AS base_value FROM x), v AS (SELECT item_id, location_id, bucket, unnest({list(scenarios.DIFFED)}) AS field_name, unnest([{", ".join(f"CAST({f} AS VARCHAR)" for f in scenarios.DIFFED)}]) AS scenario_value FROM y)
+SELECT u.item_id, u.location_id, u.bucket AS sequence, u.field_name, base_value, scenario_value FROM u LEFT JOIN v ON u.item_id = v.item_id AND u.location_id IS NOT DISTINCT FROM v.location_id AND u.bucket = v.bucket AND u.field_name = v.field_name WHERE base_value IS DISTINCT FROM scenario_value""")
+def scenario_differences(spark, d):
+    """A plan with more stock at one place, and a shorter horizon for some items, against the base, over all six fields."""
+    base = flows(spark, d)
+    more = F.when((F.col("location_id") == 0) & (F.col("item_id") % 10 != 0), 25.0).otherwise(0.0)
+    own = stock.project(base.withColumn("on_hand", F.col("on_hand") + more)).where("not (bucket > 20 and item_id % 10 = 0)")
+    found = scenarios.difference(_as_nodes(stock.project(base), "base"), _as_nodes(own, "more"))
+    return found.select("item_id", "location_id", "sequence", "field_name", "base_value", "scenario_value")
+
+
+def _overrides(spark, d):
+    """Orders of a network, a fork of them, and overrides of larger ones in it: two changes of some, by key and by id."""
+    nodes = network(spark, d)[0].where("kind = 'order'").select("node_id", "node_type", "item_id", "location_id", F.col("due").alias("span_start"), F.regexp_extract("node_id", "^O-([0-9]+)", 1).cast("int").alias("sequence"), "quantity", F.lit("EA").alias("uom"), F.lit(True).alias("active"))
+    own, _ = scenarios.fork(nodes, nodes.select(F.col("node_id").alias("from_id"), F.col("node_id").alias("to_id")), "what-if")
+    change = lambda rows, field, value, at: rows.select("node_id", *scenarios.KEY, F.lit(field).alias("field_name"), value.cast("string").alias("value"), F.lit(at).alias("at"))
+    large = F.col("quantity") > 40
+    changes = change(own.where(large), "quantity", F.col("quantity") / 2, 1).unionByName(change(nodes.where(large & (F.col("quantity") < 45)), "quantity", F.lit(40.0), 2)).unionByName(change(nodes.where("quantity = 50"), "uom", F.lit("BOX"), 1))
+    return nodes, own, scenarios.recorded(own, changes, ("quantity", "uom"))
+
+
+ORDERS = f"{NODES}, orders_ AS (SELECT node_id, item_id, location_id, due, CAST(regexp_extract(node_id, '^O-([0-9]+)', 1) AS INT) AS sequence, quantity FROM nodes WHERE kind = 'order'), keys AS (SELECT item_id, location_id, due, sequence, max(quantity) AS q, count(*) AS n FROM orders_ GROUP BY ALL)"
+
+
+@query(f"{ORDERS} SELECT node_id, item_id, CASE WHEN quantity > 40 AND quantity < 45 THEN 40.0 WHEN quantity > 40 THEN quantity / 2 ELSE quantity END AS quantity, CASE WHEN quantity = 50 THEN 'BOX' ELSE 'EA' END AS uom, quantity > 40 AS is_dirty FROM orders_ JOIN keys USING (item_id, location_id, due, sequence) WHERE n = 1")
+def scenario_promoted(spark, d):
+    """The orders after the promotion of overrides; orders that share a key are left out of the report."""
+    nodes, own, ledger = _overrides(spark, d)
+    alone = nodes.groupBy(*scenarios.KEY).agg(F.count("*").alias("n")).where("n = 1")
+    alone = scenarios.other(alone)
+    nodes = nodes.join(alone, F.expr(scenarios.SAME), "left_semi")
+    own = own.join(alone, F.expr(scenarios.SAME), "left_semi")
+    return scenarios.promoted(nodes, own, ledger.join(own.select("node_id"), "node_id", "left_semi"), ("quantity", "uom")).select("node_id", "item_id", "quantity", "uom", "is_dirty")
+
+
+PLANS = {"base": (0, 0), "more": (30, 0), "less": (-10, 0), "busy": (0, 2)}
+
+
+@query(f"""SELECT plan, shortages, shortage_value, stock_value, fill_rate, shortages - first_value(shortages) OVER w AS delta_shortages, round(shortage_value - first_value(shortage_value) OVER w, 6) AS delta_shortage_value, round(stock_value - first_value(stock_value) OVER w, 6) AS delta_stock_value, round(fill_rate - first_value(fill_rate) OVER w, 6) AS delta_fill_rate FROM (
+SELECT plan, count(*) FILTER (closing < 0) AS shortages, CAST(round(sum(CAST(greatest(-closing, 0) AS DECIMAL(12,3)) * u), 2) AS DOUBLE) AS shortage_value, (CAST(sum(CAST(CAST(greatest(closing, 0) AS DECIMAL(12,3)) * u * 100000 AS HUGEINT)) AS HUGEINT) + 13000) // 26000 / 100 AS stock_value, round(1 - sum(least(greatest(-closing, 0), outflows)) / sum(outflows), 6) AS fill_rate
+FROM ({" UNION ALL ".join(f"SELECT item_id, '{n}' AS plan, closing + {a} - {b} * (bucket + 1) AS closing, outflows + {b} AS outflows FROM projection" for n, (a, b) in PLANS.items())}) JOIN (SELECT p_partkey AS item_id, CAST(p_retailprice AS DECIMAL(12,2)) AS u FROM part) USING (item_id) GROUP BY 1) WINDOW w AS (ORDER BY plan <> 'base')""")
+def scenario_comparison(spark, d):
+    """Four plans: more or less on hand, and more demand, against the base."""
+    ways = F.array(*(F.struct(F.lit(n).alias("plan"), (F.col("on_hand") + a).alias("on_hand"), (F.col("outflows") + b).alias("outflows")) for n, (a, b) in PLANS.items()))
+    each = flows(spark, d).select("item_id", "location_id", "bucket", "inflows", F.explode(ways).alias("p")).select("*", "p.*")
+    each = each.select("item_id", "plan", "bucket", "outflows", F.expr("on_hand + sum(inflows - outflows) over (partition by item_id, location_id, plan order by bucket)").alias("closing"))
+    return scenarios.compared(actions.scenario_figures(each, p.items(spark, d)).drop("more_shortages"), list(PLANS), ("shortages", "shortage_value", "stock_value", "fill_rate"))

@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from stockweave.operators import capacity, hierarchy, pegging
+from stockweave.operators import capacity, hierarchy, pegging, scenarios
 
 LEVELS = ["root", "family", "kind"]
 NODES = [("R", None, "root"), ("A", "R", "family"), ("B", "R", "family"), ("a1", "A", "kind"), ("b1", "B", "kind"), ("Q", None, "root"), ("empty", "Q", "family")]
@@ -175,3 +175,52 @@ def test_relief_frees_the_excess(spark):
                 want.append((r, t, k, hours / took, due, t + 1 if excess <= 8 and t + 1 <= far else far))
                 freed += hours / took
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 40
+
+
+def plan_nodes(spark, rows):
+    return days(spark, [(*r, True) for r in rows], "node_id string, node_type string, item_id long, location_id long, span_start string, sequence int, qty double, uom string, active boolean", "span_start")
+
+
+def test_forks_overrides_and_promotion(spark):
+    base = plan_nodes(spark, [("a", "PI", 1, None, "2024-01-01", 0, 5.0, None), ("b", "PI", 1, 2, "2024-01-01", 0, 6.0, "EA"), ("c", "PI", 2, 2, None, None, 7.0, "EA")]).withColumn("active", F.col("node_id") != "x")
+    edges = spark.createDataFrame([("a", "b", 1)], "from_id string, to_id string, priority int")
+    own, links = scenarios.fork(base, edges, "s")
+    again, _ = scenarios.fork(base, edges, "s")
+    ids = {r.item_id * 10 + (r.location_id or 0): r.node_id for r in own.collect()}
+    assert {r.node_id for r in again.collect()} == set(ids.values()) and not set(ids.values()) & {"a", "b", "c"}
+    assert [(r.from_id, r.to_id) for r in links.collect()] == [(ids[10], ids[12])]
+    with pytest.raises(ValueError, match="without an active node"):
+        scenarios.fork(base.withColumn("active", F.col("node_id") != "b"), edges, "s")
+
+    fields = ("qty", "uom")
+    schema = "node_id string, node_type string, item_id long, location_id long, span_start string, sequence int, field_name string, value string, at int"
+    rows = [(ids[10], None, None, None, None, None, "qty", "50", 2), (ids[10], None, None, None, None, None, "qty", "60", 1), ("a", "PI", 1, None, "2024-01-01", 0, "uom", "KG", 1), ("c", "PI", 2, 2, None, None, "uom", None, 1), ("gone", "PI", 9, 9, None, None, "qty", "1", 1)]
+    ledger = scenarios.recorded(own, days(spark, rows, schema, "span_start"), fields)
+    assert {(r.node_id, r.field_name): (r.old_value, r.new_value) for r in ledger.collect()} == {(ids[10], "qty"): ("5.0", "50"), (ids[10], "uom"): (None, "KG"), (ids[22], "uom"): ("EA", None)}
+    with pytest.raises(ValueError, match="can't be overridden"):
+        scenarios.recorded(own, days(spark, [(ids[10], None, None, None, None, None, "item_id", "3", 1)], schema, "span_start"), fields)
+
+    mine = scenarios.overridden(own, ledger, fields)
+    assert sorted((r.item_id, r.location_id or 0, r.qty, r.uom, r.is_dirty) for r in mine.collect()) == [(1, 0, 50.0, "KG", True), (1, 2, 6.0, "EA", False), (2, 2, 7.0, None, True)]
+    found = {(r.item_id, r.field_name): (r.base_value, r.scenario_value) for r in scenarios.difference(base, mine, fields).collect()}
+    assert found == {(1, "qty"): ("5.0", "50.0"), (1, "uom"): (None, "KG"), (2, "uom"): ("EA", None)}
+
+    after = {r.node_id: (r.qty, r.uom, r.is_dirty) for r in scenarios.promoted(base, own, ledger, fields).collect()}
+    assert after == {"a": (50.0, "KG", True), "b": (6.0, "EA", False), "c": (7.0, None, True)}
+    moved = base.withColumn("qty", F.col("qty") + 1)
+    assert [tuple(r) for r in scenarios.conflicts(moved, own, ledger, fields).collect()] == [("a", "qty", "5.0", "6.0")]
+    with pytest.raises(ValueError, match="the base has changed: a, qty, 5.0, 6.0"):
+        scenarios.promoted(moved, own, ledger, fields)
+    assert scenarios.promoted(base.where("node_id <> 'a'"), own, ledger, fields).count() == 2
+
+
+def test_two_to_five_plans_are_compared(spark):
+    figures = spark.createDataFrame([("x", 3, 1.5), ("y", 5, 1.0), ("base", 4, 2.0)], "plan string, shortages long, value double")
+    got = {r["plan"]: (r.delta_shortages, r.delta_value) for r in scenarios.compared(figures, ["y", "x"], ["shortages", "value"]).collect()}
+    assert got == {"y": (0, 0.0), "x": (-2, 0.5)}
+    assert {r["plan"]: r.delta_value for r in scenarios.compared(figures, ["y", "base"], ["value"]).collect()} == {"y": -1.0, "base": 0.0}
+    for order in (["x"], ["x", "x"], ["x", "y", "base", "a", "b", "c"]):
+        with pytest.raises(ValueError, match="two to five"):
+            scenarios.compared(figures, order, ["value"])
+    with pytest.raises(ValueError, match="no such plans"):
+        scenarios.compared(figures, ["x", "z"], ["value"])
