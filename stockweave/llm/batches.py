@@ -50,6 +50,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def published(spark: SparkSession, data: bytes, kind: str) -> str:
+    """The name by which SparkFiles has these bytes on every executor. They lie in the shared folder; Spark copies them from there."""
+    name = f"{kind}-{uuid.uuid4().hex}.bin"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/files/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(data)
+    out.close()
+    spark.sparkContext.addFile(path.toString())
+    return name
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete what saved() has written for tables that nothing reads any more."""
     for df in tables:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import tempfile
 import unicodedata
 from array import array
 from bisect import bisect_left
@@ -25,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import saved, slices
+from .batches import published, saved, slices
 
 #: White space of str.split() that the vocabulary's pattern takes for ordinary characters.
 _ODD = regex.compile("[\x1c-\x1f]")
@@ -247,10 +246,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, *, id_col: str = "do
     spark = docs.sparkSession
     vocabulary = Vocabulary(vocabulary_path)
     lexicon = compile_lexicon({w: vocabulary.merge(w) for w in frequent_words(docs, vocabulary_path, lexicon_words, text_col)})
-    with tempfile.NamedTemporaryFile(prefix="lexicon-", suffix=".bin", delete=False) as f:
-        f.write(lexicon)
-    spark.sparkContext.addFile(f.name)
-    name = Path(f.name).name
+    name = published(spark, lexicon, "lexicon")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _worker_chunks(vocabulary_path, name)
