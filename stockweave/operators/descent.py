@@ -109,3 +109,10 @@ def undone(demand: DataFrame, ledger: DataFrame) -> DataFrame:
     split = ledger.select("node_id").distinct().withColumn("_split", F.lit(True))
     rest = demand.join(ledger.select(F.col("derived_id").alias("node_id")), "node_id", "left_anti").join(split, "node_id", "left")
     return rest.withColumn("active", F.col("active") | F.col("_split").isNotNull()).drop("_split")
+
+
+def broken(shared: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(invariant, key): 'split', items whose shares aren't one in all, and 'mass', sources whose lines don't add up to what they had."""
+    splits = shared.groupBy("item_id").agg(F.sum("share").alias("n")).where(F.col("n") != SHARE).select(F.lit("split").alias("invariant"), F.col("item_id").cast("string").alias("key"))
+    lines = ledger.groupBy("node_id").agg(F.sum("qty").alias("n"), F.max("qty_source").alias("all")).where("n <> `all`")
+    return splits.unionByName(lines.select(F.lit("mass").alias("invariant"), F.col("node_id").alias("key")))

@@ -85,3 +85,11 @@ def demand_descended(spark, d):
     """The demand after the descent; done a second time, it changes nothing."""
     national, ledger = _ledger(spark, d)
     return descent.applied(descent.applied(national, ledger), ledger)
+
+
+@query(f"{LEDGER} SELECT 'split' AS invariant, CAST(item_id AS VARCHAR) AS key FROM shares GROUP BY item_id HAVING sum(share + CASE WHEN item_id % 50 = 0 AND place = 1 THEN 1 ELSE 0 END) <> {descent.SHARE} UNION ALL SELECT 'mass', node_id FROM ledger GROUP BY node_id HAVING sum(qty - CASE WHEN place = 2 AND item_id % 20 = 0 THEN 1 ELSE 0 END) <> max(qty_source)")
+def broken_descents(spark, d):
+    """Shares with one too much for some items, and a ledger with one too little for others."""
+    much = F.when((F.col("item_id") % 50 == 0) & (F.col("place") == 1), 1).otherwise(0)
+    little = F.when((F.col("place") == 2) & (F.col("item_id") % 20 == 0), 1).otherwise(0)
+    return descent.broken(shared(spark, d).withColumn("share", F.col("share") + much), _ledger(spark, d)[1].withColumn("qty", F.col("qty") - little))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import actions, forecast, ghosts, hierarchy, netting, pegging, scenarios
+from ..operators import bom as bills
 from ..sources import planning as p
 from . import projection as stock
 from .registry import DEMAND, flows, gross_inputs, planning_parameters, projected, query
@@ -318,3 +319,23 @@ def scenario_comparison(spark, d):
     each = flows(spark, d).select("item_id", "location_id", "bucket", "inflows", F.explode(ways).alias("p")).select("*", "p.*")
     each = each.select("item_id", "plan", "bucket", "outflows", F.expr("on_hand + sum(inflows - outflows) over (partition by item_id, location_id, plan order by bucket)").alias("closing"))
     return scenarios.compared(actions.scenario_figures(each, p.items(spark, d)).drop("more_shortages"), list(PLANS), ("shortages", "shortage_value", "stock_value", "fill_rate"))
+
+
+@query(""", held AS (SELECT item_id, sum(on_hand) AS on_hand FROM on_hand GROUP BY 1), walk AS (SELECT item_id AS root, item_id, 0 AS level, CAST(item_id AS VARCHAR) AS path, CAST(0 AS DOUBLE) AS gross, CAST(0 AS DOUBLE) AS net, sum(qty) AS passed FROM flows WHERE kind = 'order' AND bucket < 4 GROUP BY item_id
+  UNION ALL SELECT root, component, level + 1, path || '>' || component, gross, net, CASE WHEN net > 0 THEN net ELSE gross END FROM (SELECT *, round(greatest(0.0, gross - coalesce(on_hand, 0.0)), 6) AS net FROM (SELECT root, component, w.level, path, CAST(round(passed * qty_per * (1 + CAST(scrap AS DOUBLE)), 6) AS DOUBLE) AS gross FROM walk w JOIN bom ON parent = w.item_id) LEFT JOIN held ON held.item_id = component))
+SELECT root, item_id, level, path, gross, net FROM walk WHERE level > 0""")
+def net_explosion(spark, d):
+    """What the next four weeks' orders lack, component by component."""
+    asked = p.flows(spark, d).where("kind = 'order' and bucket < 4").select("item_id", "qty")
+    held = p.on_hand(spark, d).groupBy("item_id").agg(F.sum("on_hand").alias("on_hand"))
+    return bills.explode_net(asked, p.bom(spark, d), held).withColumn("path", F.concat_ws(">", F.col("path").cast("array<string>")))
+
+
+@query(""", priced AS (SELECT p_partkey AS item_id, p_retailprice AS cost, CASE WHEN p_type = 'ECONOMY' THEN 'EUR' ELSE 'USD' END AS currency FROM part
+), paths AS (SELECT parent AS item_id, component, qty_per * (1 + scrap) AS per FROM bom UNION ALL SELECT paths.item_id, bom.component, per * qty_per * (1 + scrap) FROM paths JOIN bom ON bom.parent = paths.component)
+SELECT paths.item_id, round(sum(per * cost), 2) AS cost, CASE WHEN min(currency) = max(currency) THEN min(currency) ELSE 'USD' END AS currency FROM paths JOIN priced ON priced.item_id = component WHERE component NOT IN (SELECT parent FROM bom) GROUP BY 1 UNION ALL SELECT item_id, round(cost, 2), currency FROM priced WHERE item_id NOT IN (SELECT parent FROM bom)""")
+def cost_currencies(spark, d):
+    """Rolled costs with their currency, by the parts' type."""
+    parts, edges = p.items(spark, d), p.bom(spark, d)
+    parts = parts.withColumn("currency", F.when(F.col("item_type") == "ECONOMY", "EUR").otherwise("USD"))
+    return bills.cost_rollup(parts, edges, bills.low_level_codes(parts, edges)).select("item_id", F.round("cost", 2).alias("cost"), "currency")
