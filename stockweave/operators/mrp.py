@@ -149,6 +149,32 @@ def cascade(params: DataFrame, gross: DataFrame, receipts: DataFrame, bom: DataF
     return orders.select("item_id", (F.col("qty") / UNIT).alias("qty"), F.col("bucket").alias("release_bucket"), "need_bucket", "kind", "past_due")
 
 
+def lot_size(rule: Column, net: Column, stock: Column, *, moq: Column, most: Column, eoq: Column, multiple: Column, periods: Column, reorder: Column, ahead: Column) -> Column:
+    """The other model's lot for one period: nothing without a requirement, else by the rule, then the cap, for all rules.
+
+    LOTFORLOT, EOQ and MULTIPLE (whole multiples of either), and POQ (the requirements `ahead`, an array, of the periods that follow, too) order moq
+    at least; FIXED_QTY orders whole multiples of moq. MIN_MAX orders up to the cap, and beyond the reorder point (or moq) no less than
+    the requirement. Sizes that are null or not positive don't count; an unknown rule is LOTFORLOT.
+    """
+    zero = F.lit(0.0)
+    size = lambda c: F.when(c > 0, c)
+    floor = lambda c: F.greatest(c, F.coalesce(size(moq), zero))
+    by = lambda q, step: F.ceil(q / step) * step
+    more = F.aggregate(F.slice(ahead, 1, F.greatest(F.coalesce(periods, F.lit(1)) - 1, F.lit(0))), zero, lambda s, x: s + F.greatest(x, zero))
+    up_to_most = F.when(most > 0, F.greatest(most - stock, zero))
+    below = stock < F.coalesce(size(reorder), size(moq), zero)
+    of_multiple = F.coalesce(by(F.greatest(net, F.coalesce(size(moq), zero)), size(multiple)), floor(net))
+    lot = (
+        F.when(rule == "FIXED_QTY", F.coalesce(by(net, size(moq)), net))
+        .when(rule == "EOQ", floor(F.coalesce(by(net, size(eoq)), net)))
+        .when(rule == "POQ", floor(net + more))
+        .when(rule == "MIN_MAX", F.coalesce(F.when(below, up_to_most).otherwise(F.greatest(net, up_to_most)), net))
+        .when(rule == "MULTIPLE", of_multiple)
+        .otherwise(floor(net))
+    )
+    return F.when(net > 0, F.least(lot, F.coalesce(size(most), lot))).otherwise(zero).cast("double")
+
+
 def simple_orders(projection: DataFrame, safety, moq, lead_days: int, today: str) -> DataFrame:
     """An order for the gap of every bucket below safety, in multiples of moq, nothing carried on."""
     gap = safety - F.col("closing")

@@ -271,3 +271,27 @@ def excess_with_dependents(spark, d):
     own = netting.consume(gross_inputs(spark, d)).select("item_id", F.col("gross").alias("qty"))
     use = bills.explode(own, p.bom(spark, d)).withColumn("bucket", F.lit(0))
     return netting.excess(held, use, p.WEEKS)
+
+
+RULES = ("LOTFORLOT", "FIXED_QTY", "EOQ", "POQ", "MIN_MAX", "MULTIPLE")
+
+
+@query(f""", g AS (SELECT p_partkey AS item_id, b AS bucket, coalesce(greatest(orders, forecast), 0.0) AS net FROM part CROSS JOIN range({p.WEEKS}) r(b) LEFT JOIN {DEMAND} x ON x.item_id = p_partkey AND x.bucket = b
+), a AS (SELECT g.*, list(net) OVER (PARTITION BY item_id ORDER BY bucket ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ahead, coalesce(h, 0.0) AS stock, [{", ".join(f"'{r}'" for r in RULES)}][item_id % 6 + 1] AS rule, CAST(p_size % 8 AS DOUBLE) AS moq, CASE WHEN p_size % 3 = 0 THEN 0.0 ELSE 30.0 + p_size END AS most, CAST(p_size % 20 AS DOUBLE) AS eoq, CAST(p_size % 7 AS DOUBLE) AS multiple, CAST(1 + p_size % 4 AS INT) AS periods, CAST(p_size % 11 AS DOUBLE) AS reorder FROM g JOIN part ON p_partkey = g.item_id LEFT JOIN (SELECT item_id, sum(on_hand) AS h FROM on_hand GROUP BY 1) USING (item_id)
+), l AS (SELECT *, CASE rule WHEN 'FIXED_QTY' THEN CASE WHEN moq > 0 THEN ceil(net / moq) * moq ELSE net END WHEN 'EOQ' THEN greatest(moq, CASE WHEN eoq > 0 THEN CASE WHEN net <= eoq THEN eoq ELSE ceil(net / eoq) * eoq END ELSE net END) WHEN 'POQ' THEN greatest(moq, net + coalesce(list_sum(ahead[1:periods - 1]), 0))
+  WHEN 'MIN_MAX' THEN CASE WHEN most <= 0 THEN net WHEN stock < CASE WHEN reorder > 0 THEN reorder ELSE moq END THEN greatest(most - stock, 0) WHEN most - stock < net THEN net ELSE greatest(most - stock, 0) END WHEN 'MULTIPLE' THEN CASE WHEN multiple <= 0 THEN greatest(net, moq) WHEN ceil(net / multiple) * multiple < moq THEN ceil(moq / multiple) * multiple ELSE ceil(net / multiple) * multiple END ELSE greatest(net, moq) END AS lot FROM a WHERE net > 0)
+SELECT item_id, CAST(bucket AS INT) AS bucket, rule, CASE WHEN most > 0 THEN least(lot, most) ELSE lot END AS lot FROM l""")
+def lot_sizes(spark, d):
+    """The second model's lots of all weeks with demand, by six rules."""
+    nets = netting.consume(gross_inputs(spark, d)).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "gross"))).alias("found"))
+    held = p.on_hand(spark, d).groupBy("item_id").agg(F.sum("on_hand").alias("stock"))
+    parts = p.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_size").alias("size"))
+    rows = parts.join(nets, "item_id").join(held, "item_id", "left").na.fill(0.0, ["stock"])
+    full = F.transform(F.sequence(F.lit(0), F.lit(p.WEEKS - 1)), lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0.0)))
+    rows = rows.withColumn("nets", full).select("*", F.posexplode("nets").alias("bucket", "net")).where("net > 0")
+    size = lambda n: (F.col("size") % n).cast("double")
+    rule = F.element_at(F.array(*map(F.lit, RULES)), (F.col("item_id") % 6 + 1).cast("int"))
+    most = F.when(F.col("size") % 3 == 0, 0.0).otherwise(30.0 + F.col("size"))
+    ahead = F.slice("nets", F.col("bucket") + 2, F.lit(p.WEEKS))
+    lot = mrp.lot_size(rule, F.col("net"), F.col("stock"), moq=size(8), most=most, eoq=size(20), multiple=size(7), periods=1 + F.col("size") % 4, reorder=size(11), ahead=ahead)
+    return rows.select("item_id", "bucket", rule.alias("rule"), lot.alias("lot"))

@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from stockweave.operators import descent, feeds, forecast, ghosts, pegging
+from stockweave.operators import descent, feeds, forecast, ghosts, mrp, pegging
 
 
 def dated(df, *names, kind="date"):
@@ -153,3 +153,29 @@ def test_confidence_of_what_is_not_known(spark):
     df = spark.createDataFrame([(None, None, None), (0.25, 730, 3), (1.0, 73, 14)], "wape double, depth int, age int")
     got = [tuple(r.c) for r in df.select(forecast.confidence(F.col("wape"), F.col("depth"), F.col("age")).alias("c")).collect()]
     assert got == [(0.25, 0.25, 0.25, 0.25, False), (0.9, 0.8, 1.0, 1.0, False), (0.425, 0.5, 0.2, 0.5, True)]
+
+
+def test_lots_of_the_second_model(spark):
+    none = None
+    rows = [  # rule, net, stock, moq, most, eoq, multiple, periods, reorder, ahead, lot
+        ("LOTFORLOT", 0.0, 0.0, 5.0, none, none, none, none, none, [], 0.0),
+        ("LOTFORLOT", 3.0, 0.0, 5.0, none, none, none, none, none, [], 5.0),
+        ("FIXED_QTY", 250.0, 0.0, 100.0, none, none, none, none, none, [], 300.0),
+        ("FIXED_QTY", 7.0, 0.0, none, none, none, none, none, none, [], 7.0),
+        ("EOQ", 150.0, 0.0, 30.0, none, 100.0, none, none, none, [], 200.0),
+        ("EOQ", 20.0, 0.0, 130.0, none, 100.0, none, none, none, [], 130.0),
+        ("POQ", 50.0, 0.0, none, none, none, none, 3, none, [0.0, 20.0, 9.0], 70.0),
+        ("POQ", 50.0, 0.0, none, 60.0, none, none, 3, none, [-5.0, 20.0], 60.0),
+        ("POQ", 50.0, 0.0, none, none, none, none, none, none, [8.0], 50.0),
+        ("MIN_MAX", 50.0, 100.0, none, 500.0, none, none, none, 120.0, [], 400.0),
+        ("MIN_MAX", 50.0, 600.0, none, 500.0, none, none, none, 120.0, [], 50.0),
+        ("MIN_MAX", 50.0, 10.0, none, 0.0, none, none, none, 120.0, [], 50.0),
+        ("MULTIPLE", 30.0, 0.0, 100.0, none, none, 25.0, none, none, [], 100.0),
+        ("MULTIPLE", 75.0, 0.0, none, none, none, 25.0, none, none, [], 75.0),
+        ("MULTIPLE", 3.0, 0.0, 4.0, none, none, 0.0, none, none, [], 4.0),
+        ("OTHER", 3.0, 0.0, 4.0, none, none, none, none, none, [], 4.0),
+    ]
+    names = ("moq", "most", "eoq", "multiple", "periods", "reorder", "ahead")
+    df = spark.createDataFrame(rows, "rule string, net double, stock double, moq double, most double, eoq double, multiple double, periods int, reorder double, ahead array<double>, want double")
+    lot = mrp.lot_size(F.col("rule"), F.col("net"), F.col("stock"), **{n: F.col(n) for n in names})
+    assert [(r.rule, r.lot) for r in df.withColumn("lot", lot).collect()] == [(r[0], r[-1]) for r in rows]
