@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import rules, timegrid
 from ..operators import actions, forecast, mrp, netting, quality
 from ..operators import bom as bills
 from ..sources import planning as p
+from ..sources.written import folder
 from ..streaming import events as streams
 from . import projection as stock
 from .registry import DEMAND, EXCESS, LOAD, ORACLE_SQL, QUERIES, SERIES36, STAGED, capacity_load, flows, gross_inputs, monthly, projected, query, staged
@@ -295,3 +298,15 @@ def lot_sizes(spark, d):
     ahead = F.slice("nets", F.col("bucket") + 2, F.lit(p.WEEKS))
     lot = mrp.lot_size(rule, F.col("net"), F.col("stock"), moq=size(8), most=most, eoq=size(20), multiple=size(7), periods=1 + F.col("size") % 4, reorder=size(11), ahead=ahead)
     return rows.select("item_id", "bucket", rule.alias("rule"), lot.alias("lot"))
+
+
+@query("SELECT * FROM projection")
+def streamed_projection(spark, d):
+    """A written plan without the lines of every tenth order, which then come in as a stream: only partitions with series that they touch are written again."""
+    new = F.col("l_orderkey") % 10 == 0
+    place = f"{folder(spark)}/streams/{uuid.uuid4().hex}"
+    before = stock.project(stock.bucket_flows(p.moves(spark, d, p.WEEKS, 7, ~new), p.WEEKS))
+    before.withColumn("part", streams.part_of(64)).write.partitionBy("part").parquet(f"{place}/plan")
+    lines = spark.readStream.schema(p.table(spark, d, "lineitem").schema).parquet(f"{d}/lineitem.parque[t]")
+    changes = lines.where(new).select(F.col("l_partkey").alias("item_id"), (F.col("l_suppkey") % p.LOCATIONS).alias("location_id"))
+    return streams.replanned(spark, changes, p.moves(spark, d, p.WEEKS, 7), f"{place}/plan", f"{place}/state", p.WEEKS, parts=64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import projection as stock
@@ -48,15 +48,20 @@ def drained(spark: SparkSession, stream: DataFrame, place: str | None = None) ->
     return spark.read.schema(stream.schema).parquet(f"{place}/result/{done[-1]}") if done else spark.createDataFrame([], stream.schema)
 
 
+def part_of(parts: int) -> Column:
+    """Which of a written plan's partitions a series is in."""
+    return F.pmod(F.xxhash64(*stock.SERIES), F.lit(parts)).cast("int")
+
+
 def replanned(spark: SparkSession, changes: DataFrame, moves: DataFrame, plan: str, state: str, buckets: int, parts: int = 16) -> DataFrame:
     """A plan kept up to date by a stream of changed lines (series and qty at least): only partitions that changes touch are rewritten.
 
-    `plan` is a folder of a projection, written by `part`, a hash of the series; the first batch on an empty folder
+    `plan` is a folder of a projection, written by `part_of`, a hash of the series; the first batch on an empty folder
     writes it whole. A batch finds its series, and projects those from their moves as they are by then; the others in the same partitions are
     copied. Partitions without a change aren't read. `state` has the stream's progress: a restarted stream goes on from
     there, and a batch that is done twice writes the same.
     """
-    part = F.pmod(F.xxhash64(*stock.SERIES), F.lit(parts)).cast("int")
+    part = part_of(parts)
     known = spark._jvm.org.apache.hadoop.fs.Path(f"{plan}/_SUCCESS")
     files = known.getFileSystem(spark._jsc.hadoopConfiguration())
     project = lambda rows: stock.project(stock.bucket_flows(rows, buckets))
