@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by score-aware (anisotropic) product quantisation.
 
 Vectors are unit length, so the inner product is the cosine. Coarse lists hold
-four-bit codes; a query's tables are scanned over the lists it probes, and the best
-are reranked by their exact cosine in double precision.
+four-bit codes; a query's tables are scanned over the lists it probes. The angle between
+a vector and what its code stands for bounds how near it can be to a query: what may be
+among the best by that bound is reranked by its exact cosine in double precision.
 """
 
 from __future__ import annotations
@@ -68,6 +69,11 @@ class Quantiser:
                 along = rest + np.take_along_axis(part, codes[:, m, None], axis=1)[:, 0]
         return codes.astype(np.uint8)
 
+    def decode(self, codes: np.ndarray, lists: np.ndarray, dim: int) -> np.ndarray:
+        """What the codes stand for."""
+        parts = self.books[np.arange(self.parts), codes]
+        return self.centroids[lists] + parts.reshape(len(codes), -1)[:, :dim]
+
     def scan(self, queries: np.ndarray, codes: np.ndarray, at: int) -> np.ndarray:
         """Approximate inner products of queries with the coded vectors of one list: sums of table entries."""
         tables = np.einsum("qmw,mcw->qmc", self.split(queries), self.books).astype(np.float32)
@@ -130,6 +136,23 @@ def _unpack(packed: list[bytes], parts: int) -> np.ndarray:
     return np.stack([both & 15, both >> 4], axis=2).reshape(len(packed), -1)[:, :parts]
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosines of rows in double precision; the same for a pair, whichever rows are beside it."""
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+
+
+def _may_reach(about: np.ndarray, length: np.ndarray, slack: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which vectors (columns) may have a cosine of `least` or more with each query (rows).
+
+    `about` has a query's inner products with what the codes stand for, vectors of `length` at an angle of `slack` to
+    the coded ones. The angle to a coded vector is at least that to its code less `slack`. The scan is in single precision, hence the margin.
+    """
+    angle = np.arccos(np.clip(least, -1.0, 1.0))[:, None] + 1e-7
+    bound = np.cos(angle) * np.cos(slack) - np.sin(angle) * np.sin(slack)
+    return (about + 1e-5 * (1 + length) >= length * bound) | (angle + slack >= np.pi)
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), -1) if len(column) else np.zeros((0, 1), "<f4")
 
@@ -143,8 +166,10 @@ def nearest_neighbours(
     that keeps its k + 1 least ids, so any number of copies costs one entry. The index is
     fitted on about `train_rows` classes, and every class is indexed; a query probes the
     share `probe` of the lists (8 at least; all, by default: vectors without clusters have
-    their neighbours in any list), and its `rerank` best are scored exactly.
-    Lists are scanned in blocks of `chunk` codes and queries. Vectors that are null, zero,
+    their neighbours in any list). In each block its `rerank` best are scored exactly, and
+    then all that may be as near as the (k + 1)-th of those, however many: among the probed lists
+    nothing is missed, whatever the codes are worth on the rows.
+    Lists are scanned in blocks of `chunk` vectors and eight times as many queries. Vectors that are null, zero,
     hold null or non-finite components, or have another length than most, take no part.
     Repeated ids are candidates each; an empty table gives no rows; columns other than the
     two named are not read.
@@ -188,13 +213,18 @@ def nearest_neighbours(
     wanted = classes.join(asked.select("cid").distinct(), "cid", "left_semi")
 
     code_chunks = max(1, math.ceil(count / lists / chunk))
-    query_chunks = max(1, math.ceil(asked.count() * probes / lists / chunk))
+    query_chunks = max(1, math.ceil(asked.count() * probes / lists / (8 * chunk)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _unit(_vectors(b.column("v")))
             own = q.nearest(x, 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), b.column("cid"), pa.array(_pack(q.encode(x, own)), pa.binary())], ["list", "cid", "code"])
+            code = q.encode(x, own)
+            stands = q.decode(code, own, dim)
+            length = np.linalg.norm(stands, axis=1)
+            slack = np.arccos(np.clip((x * stands).sum(1) / np.maximum(length, 1e-12), -1.0, 1.0)) + 1e-7
+            columns = [pa.array(own, pa.int32()), b.column("cid"), pa.array(_pack(code), pa.binary()), pa.array(length), pa.array(np.where(length > 1e-6, slack, np.pi)), b.column("v")]
+            yield pa.RecordBatch.from_arrays(columns, ["list", "cid", "code", "length", "slack", "v"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,27 +237,34 @@ def nearest_neighbours(
         out = []
         if len(codes) and len(asks):
             codes = codes.sort_values("cid")
-            packed, cids = _unpack(codes["code"].tolist(), q.parts), codes["cid"].to_numpy()
-            x, qids = _unit(np.frombuffer(b"".join(asks["v"]), "<f4").reshape(len(asks), -1)), asks["qid"].to_numpy()
+            packed, cids, at = _unpack(codes["code"].tolist(), q.parts), codes["cid"].to_numpy(), int(codes["list"].iloc[0])
+            length, slack = codes["length"].to_numpy(), codes["slack"].to_numpy()
+            y = np.frombuffer(b"".join(codes["v"]), "<f4").reshape(len(codes), -1)
+            x, qids = np.frombuffer(b"".join(asks["v"]), "<f4").reshape(len(asks), -1), asks["qid"].to_numpy()
+            n, m = min(max(rerank, k + 1), len(y)), min(k + 1, len(y))
             for i in range(0, len(x), 256):
-                scores = q.scan(x[i : i + 256], packed, int(codes["list"].iloc[0]))
-                n = min(rerank, scores.shape[1])
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :n]  # ties: the smaller id
-                out.append(pd.DataFrame({"qid": np.repeat(qids[i : i + 256], n), "cid": cids[top].ravel(), "about": np.take_along_axis(scores, top, axis=1).ravel().astype(float)}))
+                xs = x[i : i + 256]
+                about = q.scan(_unit(xs), packed, at)
+                first = np.argpartition(-about, n - 1, axis=1)[:, :n]
+                least = np.array([np.partition(_cosines(y[f], v[None]), n - m)[n - m] for f, v in zip(first, xs, strict=True)])
+                for qid, v, may in zip(qids[i : i + 256], xs, _may_reach(about, length, slack, least), strict=True):
+                    found = np.flatnonzero(may)
+                    scores = _cosines(y[found], v[None])
+                    top = np.lexsort((found, -scores))[:m]  # ties: the smaller id
+                    out.append(pd.DataFrame({"qid": qid, "cid": cids[found[top]], "about": scores[top]}))
         return pd.concat(out) if out else pd.DataFrame({"qid": [], "cid": [], "about": []})
 
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    codes = classes.select("cid", "v").mapInArrow(encode, "list int, cid long, code binary").withColumn("a", part("cid", code_chunks)).withColumn("b", every(query_chunks))
+    codes = classes.select("cid", "v").mapInArrow(encode, "list int, cid long, code binary, length double, slack double, v binary").withColumn("a", part("cid", code_chunks)).withColumn("b", every(query_chunks))
     asks = wanted.select("cid", "v").mapInArrow(route, "list int, qid long, v binary").withColumn("b", part("qid", query_chunks)).withColumn("a", every(code_chunks))
     about = codes.groupBy("list", "a", "b").cogroup(asks.groupBy("list", "a", "b")).applyInPandas(scan, "qid long, cid long, about double")
-    best = about.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("about"), "cid"))).where(F.col("n") <= rerank).select("qid", "cid")
+    best = about.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("about"), "cid"))).where(F.col("n") <= k + 1).select("qid", "cid")
     best = best.unionByName(wanted.select(F.col("cid").alias("qid"), "cid")).distinct()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = _vectors(b.column("v")).astype(np.float64), _vectors(b.column("w")).astype(np.float64)
-            scores = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) if b.num_rows else np.zeros(0)
+            scores = _cosines(_vectors(b.column("v")), _vectors(b.column("w"))) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("ids"), pa.array(scores)], ["qid", "ids", "score"])
 
     pairs = best.join(classes.select("cid", "v", "ids"), "cid").join(classes.select(F.col("cid").alias("qid"), F.col("v").alias("w")), "qid")

@@ -153,6 +153,30 @@ def test_nearest_neighbours(spark):
     assert neighbours.nearest_neighbours(table.limit(0), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["groups", "cone", "outliers"])
+def test_nearest_neighbours_of_rows_that_codes_tell_badly_apart(spark, kind):
+    gen = np.random.default_rng(4)
+    x = gen.normal(size=(3000, 24))
+    if kind == "groups":  # hundreds of rows that nearly agree
+        x = x[gen.integers(0, 6, 3000)] + 1e-3 * gen.normal(size=(3000, 24))
+    elif kind == "cone":
+        x = 0.01 * x + 5.0
+    else:  # a few rows decide what codes are fitted to
+        x[::7, 0] *= 1e6
+    x = x.astype("<f4")
+    table = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest_neighbours(table, table.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 3000, 50):
+        scores = unit @ unit[q]
+        scores[q] = -2
+        hits += len(set(np.argsort(-scores)[:5].tolist()) & got[q])
+    assert hits >= 0.99 * 5 * 60
+
+
 def test_subsequence_kernel():
     def slow(s, t):
         total = 0.0
