@@ -67,7 +67,9 @@ SELECT w.id, w.b, CASE WHEN n > 0 THEN n ELSE (SELECT count(*) FROM range(200) t
 def days_to_due(spark, d):
     """Working days from before the horizon to just before each line is due, one location without a calendar."""
     rows = p.flows(spark, d).where("kind in ('order', 'supply')").select((F.col("order_id") * 10 + F.col("line_id")).alias("id"), "location_id", F.date_sub(today(), 5).alias("a"), F.date_sub("due", F.col("line_id")).alias("b"))
-    return capacity.count_working_days(rows, calendar(spark, d).where("location_id <> 4"), "a", "b").select("id", "b", "working_days")
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias("lines"))  # an order's line may come several times: its days are all of those lines'
+    counted = capacity.count_working_days(rows, calendar(spark, d).where("location_id <> 4"), "a", "b", "lines")
+    return counted.select("id", "b", "working_days", F.explode(F.sequence(F.lit(1), F.col("lines")))).drop("col")
 
 
 def _rough(grain: str) -> str:
