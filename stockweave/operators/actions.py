@@ -65,15 +65,15 @@ def as_of(rows: DataFrame, facts: DataFrame, keys: list[str], at: str, value: st
     return both.withColumn("_last", F.last("_fact", ignorenulls=True).over(order)).where("_row is not null").select("_row.*", F.col("_last").alias(value))
 
 
-def scenario_figures(plans: DataFrame, costs: DataFrame) -> DataFrame:
+def scenario_figures(plans: DataFrame) -> DataFrame:
     """Per plan: shortages, their cost, mean stock value over the buckets, fill rate; and each less the base's.
 
-    `plans` has plan, item_id, bucket, outflows, closing. Sums are of exact numbers and rounded once.
+    `plans` has plan, item_id, standard_cost, bucket, outflows, closing. Sums are of exact numbers and rounded once.
     """
     unit = F.coalesce(F.col("standard_cost").cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
     short = F.greatest(-F.col("closing"), F.lit(0.0))
     worth = F.sum(F.greatest(F.col("closing"), F.lit(0.0)).cast("decimal(18,3)") * unit)
-    per = plans.join(costs.select("item_id", "standard_cost"), "item_id", "left").groupBy("plan").agg(
+    per = plans.groupBy("plan").agg(
         F.count_if(F.col("closing") < 0).alias("shortages"),
         F.round(F.sum(short.cast("decimal(18,3)") * unit), 2).cast("double").alias("shortage_value"),
         F.round(worth / F.countDistinct("bucket"), 2).cast("double").alias("stock_value"),

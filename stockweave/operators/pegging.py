@@ -27,7 +27,12 @@ def peg(demands: DataFrame, stock: DataFrame, keys: list[str]) -> DataFrame:
     A series' rows pass through one task in that order, and only what its buckets still hold is kept; so a series may have any
     number of demands.
     """
-    closing = stock.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("closing").cast("double")))).alias("held"))  # as many as the horizon has buckets
+    held = stock.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("closing").cast("double")))).alias("held"))  # as many as the horizon has buckets
+    return peg_held(demands, held, keys)
+
+
+def peg_held(demands: DataFrame, closing: DataFrame, keys: list[str]) -> DataFrame:
+    """peg() with a row for each series: `held`, the closing stock by bucket."""
     none = lambda kind: F.lit(None).cast(kind)
     first = closing.select(*keys, F.lit(0).alias("turn"), none("bigint").alias("rank"), none("date").alias("due"), none("string").alias("node_id"), none("double").alias("qty"), none("array<int>").alias("buckets"), "held")
     asked = demands.where("qty > 0").select(*keys, F.lit(1).alias("turn"), F.col("rank").cast("long").alias("rank"), "due", "node_id", F.col("qty").cast("double").alias("qty"), F.col("buckets").cast("array<int>").alias("buckets"), none("map<int,double>").alias("held"))

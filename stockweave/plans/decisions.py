@@ -13,7 +13,7 @@ from ..sources import planning as p
 from ..sources.written import folder
 from ..streaming import events as streams
 from . import projection as stock
-from .registry import DEMAND, EXCESS, LOAD, ORACLE_SQL, QUERIES, SERIES36, STAGED, capacity_load, flows, gross_inputs, monthly, projected, query, staged
+from .registry import DEMAND, EXCESS, LOAD, ORACLE_SQL, QUERIES, SERIES36, STAGED, capacity_load, costed, flows, gross_inputs, monthly, planned, projected, query, staged
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 DAY = f"DATE '{p.AS_OF}'"
@@ -47,17 +47,18 @@ def last_receipt_price(spark, d):
     return actions.as_of(asked, rows.where("kind = 'supply'").select("item_id", "due", "price"), ["item_id"], "due", "price").select("id", "price")
 
 
-def _two_plans(spark, d):
-    """The base plan, and one with 30 more on hand and one more demanded every week."""
-    plans = F.array(F.struct(F.lit("base").alias("plan"), "on_hand", "outflows"), F.struct(F.lit("scenario").alias("plan"), (F.col("on_hand") + 30).alias("on_hand"), (F.col("outflows") + 1).alias("outflows")))
-    both = flows(spark, d).select("item_id", "location_id", "bucket", "inflows", F.explode(plans).alias("p")).select("*", "p.*")
-    return both.select("item_id", "plan", "bucket", "outflows", F.expr("on_hand + sum(inflows - outflows) over (partition by item_id, location_id, plan order by bucket)").alias("closing"))
+def _plans(spark, d, ways):
+    """Plans with more on hand and more demanded every week: (plan, item_id, standard_cost, bucket, outflows, closing)."""
+    of = lambda name, on_hand, outflows: F.struct(F.lit(name).alias("plan"), F.lit(float(on_hand)).alias("more"), F.lit(float(outflows)).alias("asked"))
+    each = costed(spark, d).select("*", F.explode(F.array(*(of(n, *w) for n, w in ways.items()))).alias("p")).select("*", "p.*")
+    return stock.project_series(stock.more(each, F.col("on_hand") + F.col("more"), F.col("asked")), "plan", "standard_cost")
 
 
 @query("""SELECT plan, count(*) FILTER (closing < 0) AS shortages, CAST(round(sum(CAST(greatest(-closing, 0) AS DECIMAL(12,3)) * u), 2) AS DOUBLE) AS shortage_value, (CAST(sum(CAST(CAST(greatest(closing, 0) AS DECIMAL(12,3)) * u * 100000 AS HUGEINT)) AS HUGEINT) + 13000) // 26000 / 100 AS stock_value, round(1 - sum(least(greatest(-closing, 0), outflows)) / sum(outflows), 6) AS fill_rate, count(*) FILTER (closing < 0) - (SELECT count(*) FROM projection WHERE closing < 0) AS more_shortages
 FROM (SELECT item_id, 'base' AS plan, closing, outflows FROM projection UNION ALL SELECT item_id, 'scenario', closing + 30 - (bucket + 1), outflows + 1 FROM projection) JOIN (SELECT p_partkey AS item_id, CAST(p_retailprice AS DECIMAL(12,2)) AS u FROM part) USING (item_id) GROUP BY 1""")
 def scenario_compare(spark, d):
-    return actions.scenario_figures(_two_plans(spark, d), p.items(spark, d))
+    """The base plan, and one with 30 more on hand and one more demanded every week."""
+    return actions.scenario_figures(_plans(spark, d, {"base": (0, 0), "scenario": (30, 1)}))
 
 
 def _versions(spark, d):
@@ -122,7 +123,8 @@ def dq_price_drift(spark, d):
 
 @query(f"""SELECT item_id, shortages, round(2.0 * (1 + ln(1 + shortages)), 4) AS impact FROM (SELECT item_id, count(*) FILTER (has_shortage) AS shortages FROM projection GROUP BY 1)""")
 def dq_impact(spark, d):
-    return projected(spark, d).groupBy("item_id").agg(F.count_if("has_shortage").alias("shortages")).select("item_id", "shortages", quality.impact(F.col("shortages"), 2.0).alias("impact"))
+    short = F.size(F.filter("cells", lambda c: c["has_shortage"])).cast("long")
+    return planned(spark, d).groupBy("item_id").agg(F.sum(short).alias("shortages")).select("item_id", "shortages", quality.impact(F.col("shortages"), 2.0).alias("impact"))
 
 
 @query("""SELECT item_id, location_id, bucket, CASE WHEN closing < 0 THEN 'EXPEDITE_HIGH' WHEN closing = 0 AND outflows > 0 THEN 'RELEASE_MEDIUM' WHEN bucket * 7 <= 28 THEN 'RESCHEDULE' ELSE 'RELEASE_LOW' END AS action, CASE WHEN bucket * 7 <= 7 THEN 'FROZEN' WHEN bucket * 7 <= 28 THEN 'SLASHED' ELSE 'LIQUID' END AS zone FROM projection""")
@@ -185,14 +187,13 @@ def event_stream(spark, d):
 def incremental_projection(spark, d):
     """A plan made before the lines of every tenth order came in, and then refreshed for the series that they touch."""
     new = F.col("l_orderkey") % 10 == 0
-    before = stock.project(stock.bucket_flows(p.moves(spark, d, p.WEEKS, 7, ~new), p.WEEKS))
+    before = stock.project_series(stock.series_flows(p.moves(spark, d, p.WEEKS, 7, ~new), p.WEEKS))
     return streams.refreshed(before, p.moves(spark, d, p.WEEKS, 7), p.moves(spark, d, p.WEEKS, 7, new), p.WEEKS)
 
 
 @query("""SELECT item_id, location_id, CAST(date_trunc('month', CAST(DATE '%s' AS DATE) + bucket * 7) AS DATE) AS period, arg_min(opening, bucket) AS opening, sum(inflows) AS inflows, sum(outflows) AS outflows, arg_max(closing, bucket) AS closing, bool_or(has_shortage) AS has_shortage, sum(shortage_qty) AS shortage_qty FROM projection GROUP BY ALL""" % p.AS_OF)
 def projection_by_calendar_month(spark, d):
-    start = F.date_add(F.lit(p.AS_OF).cast("date"), F.col("bucket") * 7)
-    return stock.roll_up(projected(spark, d), timegrid.month_start(start))
+    return stock.roll_up(planned(spark, d), lambda bucket: timegrid.month_start(F.date_add(F.lit(p.AS_OF).cast("date"), bucket * 7)))
 
 
 @query(f""", low AS (SELECT item_id, location_id, min(bucket) AS bucket, arg_min(10 - closing, bucket) AS deficit FROM projection WHERE closing < 10 GROUP BY ALL
@@ -229,7 +230,7 @@ def smoothing_calibration(spark, d):
 SELECT ancestor AS item_id, count(DISTINCT component) AS short_components, CAST(min(depth) AS INT) AS nearest FROM c JOIN short USING (component) JOIN o USING (ancestor) GROUP BY 1""")
 def orders_at_risk(spark, d):
     """Ordered items that are made, at some level, of components that run short."""
-    short = projected(spark, d).where("has_shortage").select("item_id").distinct()
+    short = planned(spark, d).where(F.exists("cells", lambda c: c["has_shortage"])).select("item_id").distinct()
     ordered = p.flows(spark, d).where("kind = 'order'").select("item_id").distinct()
     return actions.affected(bills.closure(p.bom(spark, d)), short, ordered)
 
@@ -305,8 +306,7 @@ def streamed_projection(spark, d):
     """A written plan without the lines of every tenth order, which then come in as a stream: only partitions with series that they touch are written again."""
     new = F.col("l_orderkey") % 10 == 0
     place = f"{folder(spark)}/streams/{uuid.uuid4().hex}"
-    before = stock.project(stock.bucket_flows(p.moves(spark, d, p.WEEKS, 7, ~new), p.WEEKS))
-    before.withColumn("part", streams.part_of(64)).write.partitionBy("part").parquet(f"{place}/plan")
+    streams.put_plan(stock.series_flows(p.moves(spark, d, p.WEEKS, 7, ~new), p.WEEKS), f"{place}/plan", 64)
     lines = spark.readStream.schema(p.table(spark, d, "lineitem").schema).parquet(f"{d}/lineitem.parque[t]")
     changes = lines.where(new).select(F.col("l_partkey").alias("item_id"), (F.col("l_suppkey") % p.LOCATIONS).alias("location_id"))
     return streams.replanned(spark, changes, p.moves(spark, d, p.WEEKS, 7), f"{place}/plan", f"{place}/state", p.WEEKS, parts=64)

@@ -45,12 +45,21 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-def flows(spark: SparkSession, d: str) -> DataFrame:
-    return stock.bucket_flows(p.moves(spark, d, p.WEEKS, 7), p.WEEKS)
+def flows(spark: SparkSession, d: str, beside: DataFrame | None = None) -> DataFrame:
+    return stock.series_flows(p.moves(spark, d, p.WEEKS, 7), p.WEEKS, beside)
 
 
 def projected(spark: SparkSession, d: str) -> DataFrame:
-    return stock.project(flows(spark, d))
+    return stock.project_series(flows(spark, d))
+
+
+def planned(spark: SparkSession, d: str) -> DataFrame:
+    return stock.planned_series(flows(spark, d))
+
+
+def costed(spark: SparkSession, d: str) -> DataFrame:
+    """The flows with their item's standard_cost, which meets whole series."""
+    return flows(spark, d, p.items(spark, d).select("item_id", "standard_cost"))
 
 
 @query("SELECT * FROM projection")
@@ -60,17 +69,17 @@ def projection(spark, d):
 
 @query("SELECT item_id, location_id, bucket, CASE WHEN closing < -1e-9 THEN 'stockout' ELSE 'below_safety_stock' END AS class, CASE WHEN closing < -1e-9 THEN -closing ELSE 20 - closing END AS qty, CAST(round(CAST(CASE WHEN closing < -1e-9 THEN -closing ELSE 20 - closing END AS DECIMAL(12,3)) * 7 * CAST(coalesce(p_retailprice, 1) AS DECIMAL(12,2)), 2) AS DOUBLE) AS severity FROM projection LEFT JOIN part ON p_partkey = item_id WHERE closing < 20")
 def shortages_per_site(spark, d):
-    return stock.shortages(projected(spark, d), p.items(spark, d), F.lit(20.0), per_site=True)
+    return stock.shortages(stock.project_series(costed(spark, d), "standard_cost"), F.lit(20.0), per_site=True)
 
 
 @query("SELECT item_id, location_id, count(*) FILTER (has_shortage) AS shortage_buckets, sum(shortage_qty) AS total_shortage, min(closing) AS lowest FROM projection GROUP BY ALL")
 def portfolio(spark, d):
-    return stock.portfolio(projected(spark, d))
+    return stock.portfolio(planned(spark, d))
 
 
 @query("SELECT item_id, location_id, bucket // 4 AS period, arg_min(opening, bucket) AS opening, sum(inflows) AS inflows, sum(outflows) AS outflows, arg_max(closing, bucket) AS closing, bool_or(has_shortage) AS has_shortage, sum(shortage_qty) AS shortage_qty FROM projection GROUP BY ALL")
 def projection_by_month(spark, d):
-    return stock.roll_up(projected(spark, d), F.floor(F.col("bucket") / 4).cast("int"))
+    return stock.roll_up(planned(spark, d), lambda bucket: F.floor(bucket / 4).cast("int"))
 
 
 @query("SELECT item_id, location_id, bucket, part, CASE WHEN part = 6 THEN inflows - 6 * floor(inflows / 7) ELSE floor(inflows / 7) END AS inflows, CASE WHEN part = 6 THEN outflows - 6 * floor(outflows / 7) ELSE floor(outflows / 7) END AS outflows, opening + CASE WHEN part = 6 THEN inflows - outflows ELSE (part + 1) * (floor(inflows / 7) - floor(outflows / 7)) END AS closing FROM projection, (SELECT CAST(range AS INT) AS part FROM range(7))")
@@ -95,12 +104,12 @@ def first_shortage(spark, d):
   SELECT item_id, location_id, bucket, closing < -1e-9 AS base, closing - (bucket + 1) + 30 < -1e-9 AS scenario FROM projection) WHERE base <> scenario""")
 def shortage_delta(spark, d):
     """A scenario with 30 more on hand and one more demanded every week."""
-    return stock.shortage_delta(flows(spark, d), F.col("on_hand") + 30, F.col("outflows") + 1)
+    return stock.shortage_delta(flows(spark, d), F.col("on_hand") + 30, 1.0)
 
 
 @query("SELECT item_id, location_id, bucket, CASE WHEN s < 100 THEN 'low' WHEN s <= 1000 THEN 'medium' ELSE 'high' END AS band FROM (SELECT *, round(CAST(shortage_qty AS DECIMAL(12,3)) * 7 * CAST(p_retailprice AS DECIMAL(12,2)), 2) AS s FROM projection JOIN part ON p_partkey = item_id) WHERE has_shortage ORDER BY s DESC, item_id, location_id, bucket LIMIT 100")
 def worst_shortages(spark, d):
-    found = stock.shortages(projected(spark, d), p.items(spark, d), F.lit(0.0), per_site=False)
+    found = stock.shortages(stock.project_series(costed(spark, d), "standard_cost"), F.lit(0.0), per_site=False)
     top = found.orderBy(F.desc("severity"), "item_id", "location_id", "bucket").limit(100)
     return top.select("item_id", "location_id", "bucket", stock.severity_band(F.col("severity")).alias("band"))
 
@@ -241,7 +250,8 @@ SELECT item_id, runway, CASE WHEN runway - lead_days >= 0 THEN 'RECOVERABLE' WHE
 FROM (SELECT item_id, min(bucket) * 7 AS runway FROM projection WHERE has_shortage GROUP BY 1) LEFT JOIN (SELECT item_id, lead_days FROM s WHERE n = 1) USING (item_id)""")
 def shortage_scan(spark, d):
     best = p.supplier_items(spark, d).groupBy("item_id").agg(F.min_by("lead_days", F.struct(~F.col("is_preferred"), "unit_cost", "supplier_id")).alias("lead"))
-    first = projected(spark, d).where("has_shortage").groupBy("item_id").agg((F.min("bucket") * 7).alias("runway"))
+    short = F.try_element_at(F.filter("cells", lambda c: c["has_shortage"]), F.lit(1))["bucket"]
+    first = planned(spark, d).select("item_id", short.alias("bucket")).where("bucket is not null").groupBy("item_id").agg((F.min("bucket") * 7).alias("runway"))
     return first.join(best, "item_id", "left").select("item_id", "runway", mrp.reorder_class(F.col("lead"), F.col("runway")).alias("class"))
 
 
@@ -266,7 +276,7 @@ def lanes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def transfer_signals(spark, d):
     """Deficits of what is on hand against demand alone: receipts that are expected don't count."""
-    low = stock.first_below(flows(spark, d).withColumn("inflows", F.lit(0.0)), F.lit(5.0))
+    low = stock.first_below(_without_inflows(flows(spark, d)), F.lit(5.0))
     excess = supply.location_excess(p.on_hand(spark, d), p.flows(spark, d).where("kind = 'order'"), 5.0)
     return supply.transfers(excess, low, lanes(spark, d))
 
@@ -282,6 +292,10 @@ PROMISE = f""", promised AS (SELECT item_id, location_id, greatest(0, date_diff(
 ), atp AS (SELECT item_id, location_id, CAST(day AS INT) AS day, coalesce(supply, 0.0) AS supply, coalesce(demand, 0.0) AS demand, coalesce(on_hand, 0.0) + sum(coalesce(supply, 0.0) - coalesce(demand, 0.0)) OVER (PARTITION BY item_id, location_id ORDER BY day) AS closing FROM g LEFT JOIN promised USING (item_id, location_id, day) LEFT JOIN on_hand USING (item_id, location_id))"""
 
 
+def _without_inflows(series: DataFrame) -> DataFrame:
+    return series.withColumn("cells", F.transform("cells", lambda c: c.withField("inflows", F.lit(0.0))))
+
+
 def atp(spark: SparkSession, d: str) -> DataFrame:
     return stock.promise_buckets(p.moves(spark, d, 28, 1), 28)
 

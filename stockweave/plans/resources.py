@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import capacity, supply
 from ..sources import planning as p
+from . import projection as stock
 from .registry import LOAD, PROMISE, atp, capacity_load, query
 
 DAY = f"DATE '{p.AS_OF}'"
@@ -128,7 +129,7 @@ def capable_to_promise(spark, d):
 SELECT request_id, min(atp.day) FILTER (closing >= qty AND free >= qty) AS feasible_day FROM q LEFT JOIN atp ON atp.item_id = q.item_id AND atp.location_id = q.location_id AND atp.day BETWEEN request_day AND request_day + 20 LEFT JOIN least ON least.item_id = q.item_id AND least.day = atp.day GROUP BY 1""")
 def first_feasible_day(spark, d):
     asked, needs, days, load = _ctp_inputs(spark, d)
-    return capacity.first_feasible(asked, atp(spark, d), needs, days, load, 21)
+    return capacity.first_feasible(asked, stock.promise_series(p.moves(spark, d, 28, 1), 28), needs, days, load, 21)
 
 
 @query(f"""{LOAD}, over AS (SELECT resource_id, day, hours - {HOURS} AS excess FROM load WHERE hours > {HOURS}), s AS (SELECT resource_id, id AS order_id, CAST(due_day AS INT) AS due_day, h / 10000 / greatest(1, CAST(ceil(h / 10000 / 8.0) AS INT)) AS share, greatest(1, CAST(ceil(h / 10000 / 8.0) AS INT)) AS took FROM j

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import projection as stock
-from ..sources.written import folder, written
+from ..sources.written import counted, folder, written
 
 
 def window_totals(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -53,6 +53,19 @@ def part_of(parts: int) -> Column:
     return F.pmod(F.xxhash64(*stock.SERIES), F.lit(parts)).cast("int")
 
 
+def _put_rows(rows: DataFrame, count: int, plan: str, **options: str) -> None:
+    """Rows with `part`, written by it. Ranges of about a million rows, so that what a task sorts by part stays small, and a part has few files."""
+    ranged = rows.repartitionByRange(max(1, -(-count // 1_000_000)), "part", *stock.SERIES)
+    ranged.write.mode("overwrite").options(**options).partitionBy("part").parquet(plan)
+
+
+def put_plan(series: DataFrame, plan: str, parts: int) -> None:
+    """The projection of series flows, written by `part_of`: series are dealt to tasks before they become rows."""
+    held, n = counted(series.withColumn("part", part_of(parts)))
+    ranged = held.repartitionByRange(max(1, -(-n["rows"] // 40_000)), "part", *stock.SERIES)
+    stock.project_series(ranged, "part").write.mode("overwrite").partitionBy("part").parquet(plan)
+
+
 def replanned(spark: SparkSession, changes: DataFrame, moves: DataFrame, plan: str, state: str, buckets: int, parts: int = 16) -> DataFrame:
     """A plan kept up to date by a stream of changed lines (series and qty at least): only partitions that changes touch are rewritten.
 
@@ -64,20 +77,21 @@ def replanned(spark: SparkSession, changes: DataFrame, moves: DataFrame, plan: s
     part = part_of(parts)
     known = spark._jvm.org.apache.hadoop.fs.Path(f"{plan}/_SUCCESS")
     files = known.getFileSystem(spark._jsc.hadoopConfiguration())
-    project = lambda rows: stock.project(stock.bucket_flows(rows, buckets))
+    flows = lambda rows: stock.series_flows(rows, buckets)
 
     def put(rows: DataFrame, batch: int) -> None:
         if not files.exists(known):
-            project(moves).withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(plan)
+            put_plan(flows(moves), plan, parts)
             return
         series = written(rows.select(*stock.SERIES, part.alias("part")).distinct())
         touched = [r.part for r in series.select("part").distinct().collect()]  # as many as `parts` at most
         if not touched:
             return
-        anew = project(moves.join(series.drop("part"), list(stock.SERIES), "left_semi")).withColumn("part", part)
+        keys = series.drop("part").hint("shuffle_hash")  # the keys are hashed; the plan's rows need no sort
+        anew = stock.project_series(flows(moves.join(keys, list(stock.SERIES), "left_semi"))).withColumn("part", part)
         current = spark.read.parquet(plan).where(F.col("part").isin(touched))
-        fresh = written(current.join(series.drop("part"), list(stock.SERIES), "left_anti").select(*anew.columns).unionByName(anew))  # before what it reads is replaced
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(plan)
+        fresh, n = counted(current.join(keys, list(stock.SERIES), "left_anti").select(*anew.columns).unionByName(anew))  # before what it reads is replaced
+        _put_rows(fresh, n["rows"], plan, partitionOverwriteMode="dynamic")
 
     changes.writeStream.option("checkpointLocation", state).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(plan).drop("part")
@@ -85,6 +99,6 @@ def replanned(spark: SparkSession, changes: DataFrame, moves: DataFrame, plan: s
 
 def refreshed(current: DataFrame, moves: DataFrame, dirty: DataFrame, buckets: int) -> DataFrame:
     """A projection after changes: series in `dirty` are projected anew from their moves, all others stay as they are in `current`."""
-    series = dirty.select(*stock.SERIES).distinct()
-    anew = stock.project(stock.bucket_flows(moves.join(series, list(stock.SERIES), "left_semi"), buckets))
+    series = dirty.select(*stock.SERIES).distinct().hint("shuffle_hash")  # the keys are hashed; the plan's rows need no sort
+    anew = stock.project_series(stock.series_flows(moves.join(series, list(stock.SERIES), "left_semi"), buckets))
     return current.join(series, list(stock.SERIES), "left_anti").unionByName(anew)

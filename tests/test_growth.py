@@ -1,11 +1,18 @@
 """What larger or odder tables bring out: repeated lines, and what a task must hold."""
 
 import duckdb
+import pytest
 
 from stockweave.plans import catalog as registry
 
 DATA = "/root/testdata/sf0.001"
 
+#: Queries on the running stock of a series' buckets; none of them needs to sort, or to look up, a row for each bucket.
+RUNNING = (
+    "projection projection_by_day projection_by_month projection_by_calendar_month shortages_per_site worst_shortages shortage_delta shortage_scan dq_impact portfolio first_shortage "
+    "scenario_compare available_to_promise"
+).split()
+
 
 def test_days_to_due_of_a_line_that_comes_twice(spark, tmp_path):
     con = duckdb.connect()
@@ -17,3 +24,9 @@ def test_days_to_due_of_a_line_that_comes_twice(spark, tmp_path):
     con.execute(registry.ORACLE_SQL["days_to_due"])
     want = sorted((i, str(b), n) for i, b, n in con.fetchall())
     assert got == want and len(set(want)) < len(want)
+
+
+@pytest.mark.parametrize("name", RUNNING)
+def test_running_stock_is_not_sorted_by_bucket(spark, name):
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
