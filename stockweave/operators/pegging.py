@@ -185,5 +185,6 @@ def dirty(events: DataFrame, edges: DataFrame, nodes: DataFrame, ahead: int = 36
             break
         found.append(front.select("event_id", "node_id"))
     series = nodes.where("start is not null").select(F.col("node_id").alias("bucket_id"), "start", "item_id", "location_id")
-    own = events.where("dated").join(nodes.select(F.col("node_id").alias("trigger_id"), "item_id", "location_id"), "trigger_id").join(series, ["item_id", "location_id"]).where(inside)
+    placed = events.where("dated").join(nodes.select(F.col("node_id").alias("trigger_id"), "item_id", "location_id"), "trigger_id")
+    own = placed.hint("shuffle_hash").join(series, ["item_id", "location_id"]).where(inside)  # the events are hashed; buckets aren't sorted in the task that makes them
     return united([*found, own.select("event_id", F.col("bucket_id").alias("node_id"))]).distinct()

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from stockweave.operators import pegging
 from stockweave.plans import catalog as registry
 
 DATA = "/root/testdata/sf0.001"
@@ -10,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 #: Queries on the running stock of a series' buckets; none of them needs to sort, or to look up, a row for each bucket.
 RUNNING = (
     "projection projection_by_day projection_by_month projection_by_calendar_month shortages_per_site worst_shortages shortage_delta shortage_scan dq_impact portfolio first_shortage "
-    "scenario_compare available_to_promise"
+    "scenario_compare available_to_promise scenario_differences"
 ).split()
 
 
@@ -30,3 +31,11 @@ def test_days_to_due_of_a_line_that_comes_twice(spark, tmp_path):
 def test_running_stock_is_not_sorted_by_bucket(spark, name):
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_a_plan_s_buckets_are_not_sorted_to_meet_changes(spark):
+    nodes = spark.sql("select 'o' as node_id, cast(null as date) as start, 1 as item_id, 1 as location_id union all select 'b', date'2024-01-01', 1, 1")
+    events = spark.sql("select 'e' as event_id, 'o' as trigger_id, date'2024-01-01' as old_date, date'2024-01-02' as new_date")
+    found = pegging.dirty(events, spark.sql("select 'o' as from_id, 'x' as to_id"), nodes)
+    assert "strategy=shuffle_hash" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.node_id for r in found.collect()) == ["b", "o"]
