@@ -67,7 +67,7 @@ def explode(demand: DataFrame, bom: DataFrame) -> DataFrame:
 
     def step(front: DataFrame) -> DataFrame:
         need = F.sum(F.col("gross") * F.col("qty_per") * (1 + F.col("scrap")))
-        return front.join(bom, F.col("item_id") == F.col("parent")).groupBy(F.col("component").alias("item_id")).agg(need.alias("gross"))
+        return front.join(bom.hint("merge"), F.col("item_id") == F.col("parent")).groupBy(F.col("component").alias("item_id")).agg(need.alias("gross"))  # neither side passes through the driver, at any level
 
     return united([first, *fronts(first, step, bom)]).groupBy("item_id").agg(F.sum("gross").alias("gross"))
 
