@@ -251,7 +251,7 @@ FROM (SELECT item_id, min(bucket) * 7 AS runway FROM projection WHERE has_shorta
 def shortage_scan(spark, d):
     best = p.supplier_items(spark, d).groupBy("item_id").agg(F.min_by("lead_days", F.struct(~F.col("is_preferred"), "unit_cost", "supplier_id")).alias("lead"))
     short = F.try_element_at(F.filter("cells", lambda c: c["has_shortage"]), F.lit(1))["bucket"]
-    first = planned(spark, d).select("item_id", short.alias("bucket")).where("bucket is not null").groupBy("item_id").agg((F.min("bucket") * 7).alias("runway"))
+    first = planned(spark, d).select("item_id", short.alias("bucket")).groupBy("item_id").agg((F.min("bucket") * 7).alias("runway")).where("runway is not null")  # a filter before would plan each series twice
     return first.join(best, "item_id", "left").select("item_id", "runway", mrp.reorder_class(F.col("lead"), F.col("runway")).alias("class"))
 
 

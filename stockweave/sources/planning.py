@@ -18,6 +18,8 @@ from ..functions import rules, timegrid
 AS_OF = "1998-01-05"
 WEEKS = 26
 LOCATIONS = 5
+#: Lines to a task of a step that holds or sorts as many rows as it gets.
+SHARE = 250_000
 #: Days of a forecast; days after which a receipt that is due counts as stock.
 SPAN, LATE = 8, 7
 
@@ -26,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """As many tasks as the lines are dealt to by SHARE; only the counts in the files' footers are read."""
+    return max(1, -(-table(spark, sf_dir, "lineitem").count() // SHARE))
+
+
 def shipped(days: int) -> Column:
     """The date `days` from AS_OF on, as the lines' ship dates are stored, so that comparisons reach the scan."""
     return F.lit(f"{date.fromisoformat(AS_OF) + timedelta(days)} 00:00:00").cast("timestamp_ntz")
@@ -67,9 +74,13 @@ def with_customers(facts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def supplier_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sourcing terms: one row per item and supplier."""
-    own = lines(spark, sf_dir).groupBy("item_id", "supplier_id").agg(F.sum(rules.cents(F.col("price"))).alias("cents"), F.sum("qty").alias("qty"))
-    return own.select("item_id", "supplier_id", rules.unit_price(F.col("cents"), F.col("qty")).alias("unit_cost"), (7 + F.col("supplier_id") % 28).cast("int").alias("lead_days"), (F.col("supplier_id") % 10 == 0).alias("is_preferred"))
+    """Sourcing terms: one row per item and supplier, dealt by item.
+
+    Lines meet by item and supplier, and an item's suppliers after that, in tasks of about SHARE lines.
+    """
+    n = tasks(spark, sf_dir)
+    own = lines(spark, sf_dir).select("item_id", "supplier_id", "qty", "price").repartition(n, "item_id", "supplier_id").groupBy("item_id", "supplier_id").agg(F.sum(rules.cents(F.col("price"))).alias("cents"), F.sum("qty").alias("qty"))
+    return own.repartition(n, "item_id").select("item_id", "supplier_id", rules.unit_price(F.col("cents"), F.col("qty")).alias("unit_cost"), (7 + F.col("supplier_id") % 28).cast("int").alias("lead_days"), (F.col("supplier_id") % 10 == 0).alias("is_preferred"))
 
 
 def bom(spark: SparkSession, sf_dir: str) -> DataFrame:

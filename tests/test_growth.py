@@ -5,6 +5,7 @@ import pytest
 
 from stockweave.operators import pegging
 from stockweave.plans import catalog as registry
+from stockweave.sources import planning
 
 DATA = "/root/testdata/sf0.001"
 
@@ -39,3 +40,13 @@ def test_a_plan_s_buckets_are_not_sorted_to_meet_changes(spark):
     found = pegging.dirty(events, spark.sql("select 'o' as from_id, 'x' as to_id"), nodes)
     assert "strategy=shuffle_hash" in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.node_id for r in found.collect()) == ["b", "o"]
+
+
+def partitionings(df):
+    return [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
+
+
+def test_suppliers_of_an_item_are_dealt_by_the_number_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(planning, "SHARE", 1000)
+    n = planning.tasks(spark, DATA)
+    assert [x.endswith(f", {n}") for x in partitionings(registry.QUERIES["shortage_scan"](spark, DATA))] == [True, True]
