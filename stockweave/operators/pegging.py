@@ -31,12 +31,13 @@ def peg(demands: DataFrame, stock: DataFrame, keys: list[str]) -> DataFrame:
     return peg_held(demands, held, keys)
 
 
-def peg_held(demands: DataFrame, closing: DataFrame, keys: list[str]) -> DataFrame:
-    """peg() with a row for each series: `held`, the closing stock by bucket."""
+def peg_held(demands: DataFrame, closing: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """peg() with a row for each series: `held`, the closing stock by bucket. Series are dealt to `tasks` tasks, each of which sorts its own."""
     none = lambda kind: F.lit(None).cast(kind)
     first = closing.select(*keys, F.lit(0).alias("turn"), none("bigint").alias("rank"), none("date").alias("due"), none("string").alias("node_id"), none("double").alias("qty"), none("array<int>").alias("buckets"), "held")
     asked = demands.where("qty > 0").select(*keys, F.lit(1).alias("turn"), F.col("rank").cast("long").alias("rank"), "due", "node_id", F.col("qty").cast("double").alias("qty"), F.col("buckets").cast("array<int>").alias("buckets"), none("map<int,double>").alias("held"))
-    rows = first.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "turn", "rank", "due", "node_id")
+    rows = first.unionByName(asked)
+    rows = (rows.repartition(tasks, *keys) if tasks else rows.repartition(*keys)).sortWithinPartitions(*keys, "turn", "rank", "due", "node_id")
     kinds = dict(demands.dtypes)
     out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", node_id string, bucket int, priority int, allocated double"
 

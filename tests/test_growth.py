@@ -46,6 +46,16 @@ def partitionings(df):
     return [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
 
 
+def test_pegged_series_are_dealt_by_the_number_of_lines(spark, monkeypatch):
+    """A task sorts as many demands whatever the number of lines."""
+    whole = registry.QUERIES["demand_pegging"](spark, DATA)
+    monkeypatch.setattr(planning, "SHARE", 1000)
+    n = planning.tasks(spark, DATA)
+    found = registry.QUERIES["demand_pegging"](spark, DATA)
+    assert n > 4 and any(x.endswith(f", {n}") for x in partitionings(found))
+    assert sorted(found.collect()) == sorted(whole.collect())
+
+
 def test_suppliers_of_an_item_are_dealt_by_the_number_of_lines(spark, monkeypatch):
     monkeypatch.setattr(planning, "SHARE", 1000)
     n = planning.tasks(spark, DATA)
