@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..sources.written import counted, written
 from .bom import united
 
+#: Edges and reached nodes to a task of a walk's step.
+STEP_ROWS = 50_000
 STEP = "struct<step: int, node_id: string, node_type: string, edge_type: string, fact: string>"
 
 
@@ -62,19 +64,22 @@ def peg_held(demands: DataFrame, closing: DataFrame, keys: list[str], tasks: int
     return rows.mapInPandas(serve, out)
 
 
-def walk(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+def walk(edges: DataFrame, roots: DataFrame, depth: int, tasks: int | None = None) -> DataFrame:
     """(root_id, node_id, depth, edge_type, path): all that is reached from each root (node_id) along edges, in `depth` steps at most.
 
     A node is reached once for each root, by the fewest steps; of ways of as many, by the one whose edge type and path come first. A root is its own
-    first node, with edge type 'root'. Each step is a job that joins what the last one has reached.
+    first node, with edge type 'root'. Each step is a job that joins what the last one has reached, dealt to as many tasks as
+    STEP_ROWS asks for, so that what one sorts doesn't grow with the tables. Edges are dealt to `tasks` tasks at first, which drop those that come twice.
     """
-    edges = written(edges.select("edge_type", F.col("from_id").alias("node_id"), "to_id").distinct())
-    front = roots.select(F.col("node_id").alias("root_id"), "node_id", F.lit("root").alias("edge_type"), F.array("node_id").alias("path")).distinct()
+    edges = edges.select("edge_type", F.col("from_id").alias("node_id"), "to_id")
+    edges, size = counted((edges.repartition(tasks, "node_id") if tasks else edges).distinct())
+    front, n = counted(roots.select(F.col("node_id").alias("root_id"), "node_id", F.lit("root").alias("edge_type"), F.array("node_id").alias("path")).distinct())
     found = [front.withColumn("depth", F.lit(0))]
     seen = front.select("root_id", "node_id")
     for k in range(1, depth + 1):
-        ahead = front.drop("edge_type").join(edges, "node_id").select("root_id", F.col("to_id").alias("node_id"), "edge_type", F.concat("path", F.array("to_id")).alias("path"))
-        best = ahead.groupBy("root_id", "node_id").agg(F.min(F.struct("edge_type", "path")).alias("b")).select("root_id", "node_id", "b.*")
+        parts = 1 + (size["rows"] + n["rows"]) // STEP_ROWS
+        ahead = front.drop("edge_type").repartition(parts, "node_id").join(edges.repartition(parts, "node_id"), "node_id").select("root_id", F.col("to_id").alias("node_id"), "edge_type", F.concat("path", F.array("to_id")).alias("path"))
+        best = ahead.repartition(parts, "root_id", "node_id").groupBy("root_id", "node_id").agg(F.min(F.struct("edge_type", "path")).alias("b")).select("root_id", "node_id", "b.*")
         front, n = counted(best.join(seen, ["root_id", "node_id"], "left_anti"))
         if not n["rows"]:
             break

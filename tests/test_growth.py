@@ -56,6 +56,16 @@ def test_pegged_series_are_dealt_by_the_number_of_lines(spark, monkeypatch):
     assert sorted(found.collect()) == sorted(whole.collect())
 
 
+def test_a_walk_s_steps_are_dealt_by_what_they_meet(spark, monkeypatch):
+    seen, kept = [], pegging.counted
+    monkeypatch.setattr(pegging, "counted", lambda df, *by: seen.append(partitionings(df)) or kept(df, *by))
+    monkeypatch.setattr(pegging, "STEP_ROWS", 2)
+    edges = spark.sql("select 'e' as edge_type, cast(id as string) as from_id, cast(id + 1 as string) as to_id from range(8)")
+    found = pegging.walk(edges, spark.sql("select '0' as node_id"), 2, 3)
+    assert sorted((r.depth, r.node_id) for r in found.collect()) == [(0, "0"), (1, "1"), (2, "2")]
+    assert [x.endswith(", 3") for x in seen[0]] == [True] and len(seen[2]) == 3 and all(x.endswith(", 5") for x in seen[2])
+
+
 def test_suppliers_of_an_item_are_dealt_by_the_number_of_lines(spark, monkeypatch):
     monkeypatch.setattr(planning, "SHARE", 1000)
     n = planning.tasks(spark, DATA)
