@@ -136,6 +136,10 @@ def purchases(short: DataFrame, terms: DataFrame, as_of: str, multiple: float) -
 
 
 def affected(closure: DataFrame, short: DataFrame, items: DataFrame) -> DataFrame:
-    """Of `items`, those that short components go into: how many of them, and over how few levels."""
-    used = closure.join(short.select(F.col("item_id").alias("component")), "component", "left_semi").join(items.select(F.col("item_id").alias("ancestor")), "ancestor", "left_semi")
-    return used.groupBy(F.col("ancestor").alias("item_id")).agg(F.countDistinct("component").alias("short_components"), F.min("depth").alias("nearest"))
+    """Of `items`, those that short components go into: how many of them, and over how few levels.
+
+    `closure` has each pair once. Items and components are hashed, so that pairs are neither sorted to meet them nor held to be counted.
+    """
+    hashed = lambda ids, name: ids.select(F.col("item_id").alias(name)).hint("shuffle_hash")
+    used = closure.join(hashed(short, "component"), "component", "left_semi").join(hashed(items, "ancestor"), "ancestor", "left_semi")
+    return used.groupBy(F.col("ancestor").alias("item_id")).agg(F.count("component").alias("short_components"), F.min("depth").alias("nearest"))

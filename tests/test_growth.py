@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from stockweave.operators import pegging
+from stockweave.operators import actions, pegging
 from stockweave.plans import catalog as registry
 from stockweave.sources import planning
 
@@ -70,3 +70,11 @@ def test_suppliers_of_an_item_are_dealt_by_the_number_of_lines(spark, monkeypatc
     monkeypatch.setattr(planning, "SHARE", 1000)
     n = planning.tasks(spark, DATA)
     assert [x.endswith(f", {n}") for x in partitionings(registry.QUERIES["shortage_scan"](spark, DATA))] == [True, True]
+
+
+def test_pairs_of_a_closure_are_not_sorted_to_meet_short_items(spark):
+    closure = spark.sql("select 1 as ancestor, 2 as component, 1 as depth union all select 1, 3, 2 union all select 2, 3, 1")
+    found = actions.affected(closure, spark.sql("select 3 as item_id"), spark.sql("select 1 as item_id union all select 2"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=shuffle_hash") >= 2 and "distinct" not in plan
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 2), (2, 1, 1)]
