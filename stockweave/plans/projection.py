@@ -19,7 +19,7 @@ def packed(sums: DataFrame, size: int, values: tuple[str, ...], beside: DataFram
     entry = F.struct("bucket", F.struct(*values).alias("sums"))
     out = sums.groupBy(*SERIES).agg(F.coalesce(F.max("on_hand"), F.lit(0.0)).alias("on_hand"), F.map_from_entries(F.collect_list(entry)).alias("found"))
     if beside is not None:
-        out = out.join(beside, "item_id", "left")
+        out = out.join(beside.hint("shuffle_hash"), "item_id", "left")  # the items are hashed; series aren't sorted to meet them
     found = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(i.alias("bucket"), F.try_element_at("found", i).alias("sums")))
     cells = F.transform(found, lambda e: F.struct(e["bucket"].alias("bucket"), *(F.coalesce(e["sums"][v], F.lit(0.0)).alias(v) for v in values)))
     return out.withColumn("cells", cells).drop("found")

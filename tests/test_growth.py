@@ -78,3 +78,8 @@ def test_pairs_of_a_closure_are_not_sorted_to_meet_short_items(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=shuffle_hash") >= 2 and "distinct" not in plan
     assert sorted(map(tuple, found.collect())) == [(1, 1, 2), (2, 1, 1)]
+
+
+def test_series_are_not_sorted_to_meet_their_items(spark):
+    plan = registry.QUERIES["shortages_per_site"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=shuffle_hash" in plan
