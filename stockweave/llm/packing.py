@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,39 +22,27 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("cost", pa.float64())]
 )
-#: A space beside other white space, or at an end: there the text can't be cut at its spaces.
-_UNEVEN = re.compile(r" \s|\s |^ | $")
 
 
-class Encoder(dict):
-    """Byte-level BPE ids (little-endian uint32) of whole texts, kept by space-separated piece.
+class Encoder:
+    """Byte-level BPE ids (little-endian uint32) of whole texts.
 
-    The vocabulary's pattern starts a new token at every single space between two
-    other characters, so pieces cut there are encoded independently and joined.
-    Texts with other spacing, or with the end-of-text marker, are encoded whole.
+    Nothing is kept by word: where most words are new, to look them up costs more than to encode them with their text.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int], most: int = 400_000):
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        self.special, self.most = tuple(special), most
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = ids = self.bpe.encode_to_numpy(piece).tobytes()
-        return ids
+        self.special = tuple(special)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text; markers of the vocabulary become their own id."""
         if any(s in text for s in self.special):
             return np.asarray(self.bpe.encode(text, allowed_special="all"), dtype="<u4").tobytes()
-        if not text or _UNEVEN.search(text):
-            return self.bpe.encode_to_numpy(text).tobytes() if text else b""
-        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0"))) if "\0" not in text else self.bpe.encode_to_numpy(text).tobytes()
+        return self.bpe.encode_to_numpy(text, disallowed_special=()).tobytes() if text else b""
 
 
 @dataclass(order=True)

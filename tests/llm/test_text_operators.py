@@ -85,6 +85,22 @@ def test_packing_is_a_partition_of_all_ids_without_padding(spark, docs):
     assert packing.pack_documents(empty(spark), *args).count() == 0
 
 
+def test_packing_encodes_a_text_at_once():
+    """New words aren't encoded one by one, which costs twice as much."""
+    encoder = packing.Encoder(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    library, seen, bpe_ = tokenizers.Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), [], encoder.bpe
+
+    class Counting:
+        def encode_to_numpy(self, text, **options):
+            seen.append(text)
+            return bpe_.encode_to_numpy(text, **options)
+
+    encoder.bpe = Counting()
+    texts = ["one two three", " a  b \n c\n", "x\u3000 y\0 z", "a\n b"]
+    assert [list(memoryview(encoder.encode(x)).cast("I")) for x in texts] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert seen == texts and encoder.encode("") == b""
+
+
 def test_packing_balances_cost():
     lengths = [(i * 37) % 900 + 1 for i in range(400)]
     pieces, costs = packing.assign(lengths, 1024, 1.0, 1 / 1024)
