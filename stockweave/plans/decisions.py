@@ -188,7 +188,7 @@ def incremental_projection(spark, d):
     """A plan made before the lines of every tenth order came in, and then refreshed for the series that they touch."""
     new = F.col("l_orderkey") % 10 == 0
     before = stock.project_series(stock.series_flows(p.moves(spark, d, p.WEEKS, 7, ~new), p.WEEKS))
-    return streams.refreshed(before, p.moves(spark, d, p.WEEKS, 7), p.moves(spark, d, p.WEEKS, 7, new), p.WEEKS)
+    return streams.refreshed(before, p.moves(spark, d, p.WEEKS, 7), p.moves(spark, d, p.WEEKS, 7, new), p.WEEKS, p.tasks(spark, d))
 
 
 @query("""SELECT item_id, location_id, CAST(date_trunc('month', CAST(DATE '%s' AS DATE) + bucket * 7) AS DATE) AS period, arg_min(opening, bucket) AS opening, sum(inflows) AS inflows, sum(outflows) AS outflows, arg_max(closing, bucket) AS closing, bool_or(has_shortage) AS has_shortage, sum(shortage_qty) AS shortage_qty FROM projection GROUP BY ALL""" % p.AS_OF)
@@ -309,4 +309,4 @@ def streamed_projection(spark, d):
     streams.put_plan(stock.series_flows(p.moves(spark, d, p.WEEKS, 7, ~new), p.WEEKS), f"{place}/plan", 64)
     lines = spark.readStream.schema(p.table(spark, d, "lineitem").schema).parquet(f"{d}/lineitem.parque[t]")
     changes = lines.where(new).select(F.col("l_partkey").alias("item_id"), (F.col("l_suppkey") % p.LOCATIONS).alias("location_id"))
-    return streams.replanned(spark, changes, p.moves(spark, d, p.WEEKS, 7), f"{place}/plan", f"{place}/state", p.WEEKS, parts=64)
+    return streams.replanned(spark, changes, p.moves(spark, d, p.WEEKS, 7), f"{place}/plan", f"{place}/state", p.WEEKS, parts=64, tasks=p.tasks(spark, d))

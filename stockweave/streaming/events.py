@@ -66,29 +66,34 @@ def put_plan(series: DataFrame, plan: str, parts: int) -> None:
     stock.project_series(ranged, "part").write.mode("overwrite").partitionBy("part").parquet(plan)
 
 
-def replanned(spark: SparkSession, changes: DataFrame, moves: DataFrame, plan: str, state: str, buckets: int, parts: int = 16) -> DataFrame:
+def _anew(moves: DataFrame, series: DataFrame, buckets: int, tasks: int | None) -> DataFrame:
+    """The projection of the series in `series`, from their moves; these are dealt to `tasks` tasks if given, so that what a task sums stays small."""
+    dealt = moves.repartition(tasks, *stock.SERIES) if tasks else moves
+    return stock.project_series(stock.series_flows(dealt.join(series, list(stock.SERIES), "left_semi"), buckets))
+
+
+def replanned(spark: SparkSession, changes: DataFrame, moves: DataFrame, plan: str, state: str, buckets: int, parts: int = 16, tasks: int | None = None) -> DataFrame:
     """A plan kept up to date by a stream of changed lines (series and qty at least): only partitions that changes touch are rewritten.
 
     `plan` is a folder of a projection, written by `part_of`, a hash of the series; the first batch on an empty folder
     writes it whole. A batch finds its series, and projects those from their moves as they are by then; the others in the same partitions are
     copied. Partitions without a change aren't read. `state` has the stream's progress: a restarted stream goes on from
-    there, and a batch that is done twice writes the same.
+    there, and a batch that is done twice writes the same. Moves of changed series are dealt to `tasks` tasks.
     """
     part = part_of(parts)
     known = spark._jvm.org.apache.hadoop.fs.Path(f"{plan}/_SUCCESS")
     files = known.getFileSystem(spark._jsc.hadoopConfiguration())
-    flows = lambda rows: stock.series_flows(rows, buckets)
 
     def put(rows: DataFrame, batch: int) -> None:
         if not files.exists(known):
-            put_plan(flows(moves), plan, parts)
+            put_plan(stock.series_flows(moves, buckets), plan, parts)
             return
         series = written(rows.select(*stock.SERIES, part.alias("part")).distinct())
         touched = [r.part for r in series.select("part").distinct().collect()]  # as many as `parts` at most
         if not touched:
             return
         keys = series.drop("part").hint("shuffle_hash")  # the keys are hashed; the plan's rows need no sort
-        anew = stock.project_series(flows(moves.join(keys, list(stock.SERIES), "left_semi"))).withColumn("part", part)
+        anew = _anew(moves, keys, buckets, tasks).withColumn("part", part)
         current = spark.read.parquet(plan).where(F.col("part").isin(touched))
         fresh, n = counted(current.join(keys, list(stock.SERIES), "left_anti").select(*anew.columns).unionByName(anew))  # before what it reads is replaced
         _put_rows(fresh, n["rows"], plan, partitionOverwriteMode="dynamic")
@@ -97,8 +102,7 @@ def replanned(spark: SparkSession, changes: DataFrame, moves: DataFrame, plan: s
     return spark.read.parquet(plan).drop("part")
 
 
-def refreshed(current: DataFrame, moves: DataFrame, dirty: DataFrame, buckets: int) -> DataFrame:
-    """A projection after changes: series in `dirty` are projected anew from their moves, all others stay as they are in `current`."""
+def refreshed(current: DataFrame, moves: DataFrame, dirty: DataFrame, buckets: int, tasks: int | None = None) -> DataFrame:
+    """A projection after changes: series in `dirty` are projected anew from their moves, in `tasks` tasks; all others stay as they are in `current`."""
     series = dirty.select(*stock.SERIES).distinct().hint("shuffle_hash")  # the keys are hashed; the plan's rows need no sort
-    anew = stock.project_series(stock.series_flows(moves.join(series, list(stock.SERIES), "left_semi"), buckets))
-    return current.join(series, list(stock.SERIES), "left_anti").unionByName(anew)
+    return current.join(series, list(stock.SERIES), "left_anti").unionByName(_anew(moves, series, buckets, tasks))

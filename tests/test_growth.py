@@ -6,6 +6,7 @@ import pytest
 from stockweave.operators import actions, pegging
 from stockweave.plans import catalog as registry
 from stockweave.sources import planning
+from stockweave.streaming import events as streams
 
 DATA = "/root/testdata/sf0.001"
 
@@ -83,3 +84,15 @@ def test_pairs_of_a_closure_are_not_sorted_to_meet_short_items(spark):
 def test_series_are_not_sorted_to_meet_their_items(spark):
     plan = registry.QUERIES["shortages_per_site"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=shuffle_hash" in plan
+
+
+@pytest.mark.parametrize("name", ["streamed_projection", "incremental_projection"])
+def test_moves_of_changed_series_are_dealt_by_the_number_of_lines(spark, monkeypatch, name):
+    """A task sums as many series' moves whatever the number of lines, and however Spark groups what it has shuffled."""
+    seen, kept = [], streams.counted
+    monkeypatch.setattr(streams, "counted", lambda df, *by: seen.extend(partitionings(df)) or kept(df, *by))
+    monkeypatch.setattr(planning, "SHARE", 1000)
+    n = planning.tasks(spark, DATA)
+    found = registry.QUERIES[name](spark, DATA)
+    assert n > 4 and [x.endswith(f", {n}") for x in seen + partitionings(found)] == [True]
+    assert sorted(found.collect()) == sorted(registry.QUERIES["projection"](spark, DATA).collect())
