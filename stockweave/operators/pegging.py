@@ -5,7 +5,8 @@ Edges have edge_type, from_id, to_id and priority; nodes node_id, node_type, qua
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,9 +17,24 @@ from .bom import united
 
 #: Edges and reached nodes to a task of a walk's step.
 STEP_ROWS = 50_000
+SERIES = ["item_id", "location_id"]
 STEP = "struct<step: int, node_id: string, node_type: string, edge_type: string, fact: string>"
 
 
+@dataclass(frozen=True)
+class Chains:
+    """Series whose buckets lead to the next one each, and to nothing else; they are walked along within a series' row.
+
+    `series` names them by item_id and location_id, once or more; `buckets` is an expression on those: an array of the buckets' node_id and start, in order. `feeds`
+    (from_id, to_id, item_id, location_id) are edges from other nodes to a bucket, with its series. Series are dealt to `tasks` tasks.
+    """
+
+    series: DataFrame
+    buckets: Column
+    feeds: DataFrame
+    tasks: int
+
+
 def peg(demands: DataFrame, stock: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node_id, bucket, priority, allocated): what each demand takes of the stock of its series' buckets.
 
@@ -168,29 +184,56 @@ def top_origins(found: DataFrame, n: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("item_id", "rank", "origin", "qty")
 
 
-def dirty(events: DataFrame, edges: DataFrame, nodes: DataFrame, ahead: int = 365) -> DataFrame:
+def dirty(events: DataFrame, edges: DataFrame | None, nodes: DataFrame, ahead: int = 365, chains: Chains | None = None) -> DataFrame:
     """(event_id, node_id): all that a change (event_id, trigger_id, old_date, new_date) makes to be planned anew.
 
     From the trigger along edges, however far; of nodes (node_id, start, keys item_id and location_id), those whose start is outside the window stop the walk
     and aren't part of it, those without a start are always in. The window goes from the earlier date to `ahead` days after the later one; without
     dates it has no ends. With one, all buckets of the trigger's own series in the window are dirty too. Each
-    step is a job that joins what the last one has reached.
+    step along `edges`, if there are any, is a job that joins what the last one has reached. Buckets in `chains` take no steps.
     """
     dated = F.coalesce("old_date", "new_date").isNotNull()
     opens, shuts = F.least("old_date", "new_date"), F.date_add(F.greatest("old_date", "new_date"), ahead)
-    events = written(events.select("event_id", "trigger_id", opens.alias("opens"), shuts.alias("shuts"), dated.alias("dated")))
-    inside = F.col("start").isNull() | ~F.col("dated") | ((F.col("start") >= F.col("opens")) & (F.col("start") < F.col("shuts")))
-    places = nodes.select("node_id", "start")
-    ends = written(edges.select(F.col("from_id").alias("node_id"), F.col("to_id")).distinct().join(places.withColumnRenamed("node_id", "to_id"), "to_id"))
-    front = written(events.join(places, F.col("trigger_id") == F.col("node_id")).where(inside).select("event_id", "node_id", "opens", "shuts", "dated"))
-    found = [front.select("event_id", "node_id")]
-    while True:
-        next_ = front.join(ends, "node_id").where(inside).select("event_id", F.col("to_id").alias("node_id"), "opens", "shuts", "dated").distinct()
-        front, n = counted(next_.join(united(found), ["event_id", "node_id"], "left_anti"))
-        if not n["rows"]:
-            break
-        found.append(front.select("event_id", "node_id"))
-    series = nodes.where("start is not null").select(F.col("node_id").alias("bucket_id"), "start", "item_id", "location_id")
-    placed = events.where("dated").join(nodes.select(F.col("node_id").alias("trigger_id"), "item_id", "location_id"), "trigger_id")
-    own = placed.hint("shuffle_hash").join(series, ["item_id", "location_id"]).where(inside)  # the events are hashed; buckets aren't sorted in the task that makes them
-    return united([*found, own.select("event_id", F.col("bucket_id").alias("node_id"))]).distinct()
+    events = events.select("event_id", "trigger_id", opens.alias("opens"), shuts.alias("shuts"), dated.alias("dated"))
+    placed = written(events.join(nodes.select(F.col("node_id").alias("trigger_id"), "start", *SERIES), "trigger_id"))
+    front = placed.where(_inside(F.col)).select("event_id", F.col("trigger_id").alias("node_id"), "opens", "shuts", "dated")
+    found = [front]
+    if edges is not None:
+        ends = written(edges.select(F.col("from_id").alias("node_id"), F.col("to_id")).distinct().join(nodes.select(F.col("node_id").alias("to_id"), "start"), "to_id"))
+        while True:
+            next_ = front.join(ends, "node_id").where(_inside(F.col)).select("event_id", F.col("to_id").alias("node_id"), "opens", "shuts", "dated").distinct()
+            front, n = counted(next_.join(united(found), ["event_id", "node_id"], "left_anti"))
+            if not n["rows"]:
+                break
+            found.append(front)
+    series = nodes.where("start is not null").select(F.col("node_id").alias("bucket_id"), "start", *SERIES)
+    changed = placed.where("dated").drop("start")
+    own = changed.hint("shuffle_hash").join(series, SERIES).where(_inside(F.col))  # the events are hashed; buckets aren't sorted in the task that makes them
+    pairs = united([*(f.select("event_id", "node_id") for f in found), own.select("event_id", F.col("bucket_id").alias("node_id"))]).distinct()
+    return pairs if chains is None else pairs.unionByName(_along(united(found), changed, chains))
+
+
+def _inside(of: Callable[[str], Column], start: Column | None = None) -> Column:
+    """Whether a start is in the window (opens, shuts, dated)."""
+    start = F.col("start") if start is None else start
+    return start.isNull() | ~of("dated") | ((start >= of("opens")) & (start < of("shuts")))
+
+
+def _along(reached: DataFrame, changed: DataFrame, chains: Chains) -> DataFrame:
+    """(event_id, node_id): the buckets of chains from those that reached nodes lead to up to the window's end, and all in the window of the changed triggers' own series.
+
+    A row for each event and series has all ways into it (without a bucket: the series as a whole), so that no bucket comes twice. Events are hashed and
+    series stream past them.
+    """
+    way = lambda to: F.struct("opens", "shuts", "dated", to.cast("string").alias("to_id")).alias("way")
+    led = reached.join(chains.feeds.where("to_id is not null").withColumnRenamed("from_id", "node_id"), "node_id").select("event_id", *SERIES, way(F.col("to_id")))
+    ways = led.unionByName(changed.select("event_id", *SERIES, way(F.lit(None)))).repartition(chains.tasks, *SERIES).groupBy("event_id", *SERIES).agg(F.collect_set("way").alias("ways"))
+    rows = ways.hint("shuffle_hash").join(chains.series.repartition(chains.tasks, *SERIES).distinct(), SERIES).select("event_id", "ways", chains.buckets.alias("buckets"))
+
+    def taken(w: Column) -> Column:
+        whole = w["to_id"].isNull()
+        now = lambda a, b: (a["on"] | b["node_id"].eqNullSafe(w["to_id"])) & _inside(w.getField, b["start"])
+        step = lambda a, b: F.struct((whole | now(a, b)).alias("on"), F.when(now(a, b), F.concat(a["ids"], F.array(b["node_id"]))).otherwise(a["ids"]).alias("ids"))
+        return F.aggregate("buckets", F.struct(whole.alias("on"), F.array().cast("array<string>").alias("ids")), step, lambda a: a["ids"])
+
+    return rows.select("event_id", F.explode(F.array_distinct(F.flatten(F.transform("ways", taken)))).alias("node_id"))

@@ -96,3 +96,28 @@ def test_moves_of_changed_series_are_dealt_by_the_number_of_lines(spark, monkeyp
     found = registry.QUERIES[name](spark, DATA)
     assert n > 4 and [x.endswith(f", {n}") for x in seen + partitionings(found)] == [True]
     assert sorted(found.collect()) == sorted(registry.QUERIES["projection"](spark, DATA).collect())
+
+
+def test_dirty_nodes_takes_no_step_for_a_bucket(spark, monkeypatch):
+    """Series are walked along within their rows, dealt by the number of lines; before, each of 26 buckets was a job."""
+    steps, kept = [], pegging.counted
+    monkeypatch.setattr(pegging, "counted", lambda df, *by: steps.append(1) or kept(df, *by))
+    monkeypatch.setattr(planning, "SHARE", 1000)
+    n = planning.tasks(spark, DATA)
+    found = registry.QUERIES["dirty_nodes"](spark, DATA)
+    assert not steps and n > 4 and [x.endswith(f", {n}") for x in partitionings(found)] == [True, True]
+
+
+def test_dirty_nodes_of_orders_that_come_twice_or_miss_dates(spark, tmp_path):
+    con = duckdb.connect()
+    odd = {
+        "part": f"SELECT * FROM '{DATA}/part.parquet'",
+        "orders": f"SELECT * REPLACE (CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate) FROM '{DATA}/orders.parquet' UNION ALL SELECT * REPLACE (o_orderdate + INTERVAL 50 DAY AS o_orderdate) FROM '{DATA}/orders.parquet' WHERE o_orderkey % 3 = 0",
+        "lineitem": f"SELECT * REPLACE (CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_partkey END AS l_partkey) FROM '{DATA}/lineitem.parquet' UNION ALL SELECT * FROM '{DATA}/lineitem.parquet' WHERE l_orderkey % 2 = 0",
+    }
+    for name, rows in odd.items():
+        con.execute(f"COPY ({rows}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    got = sorted(map(tuple, registry.QUERIES["dirty_nodes"](spark, str(tmp_path)).select("event_id", "node_id").collect()))
+    con.execute(registry.ORACLE_SQL["dirty_nodes"])
+    assert got == sorted(con.fetchall()) and len(got) > 1000

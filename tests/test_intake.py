@@ -1,7 +1,7 @@
 """Daily feeds, descents, dirty nodes, ghosts, forecasts: what raises, and hand cases beside the queries' SQL."""
 
 import random
-from datetime import date
+from datetime import date, timedelta
 from fractions import Fraction
 
 import pytest
@@ -121,6 +121,28 @@ def test_dirty_nodes_stop_at_the_window(spark):
     assert got == {"all": {"d", "p1", "p2", "p3", "p4", "w", "q1"}, "some": {"d", "p2", "p3", "w", "q1"}, "out": {"p2", "p3"}}
 
 
+def test_dirty_nodes_along_series_are_those_of_a_walk(spark):
+    """Chains of buckets give what their edges do: from the middle, with and without dates, into other series, and where starts don't ascend."""
+    table, day = spark.createDataFrame, date(2024, 1, 1)
+    starts = [0, 7, 14, 3, 28]  # the fourth bucket is earlier than the third
+    series = [(item, place) for item in (1, 2) for place in (1, 2)]
+    name = lambda item, place, i: f"{item}-{place}-{i}"
+    nodes = [("a", 1, 1), ("b", 2, 1), ("c", 1, 2), ("far", 9, 9)]
+    feeds = [("a", 1, 1, 1), ("a", 1, 2, 0), ("b", 2, 1, 4), ("b", 2, 2, 2), ("c", 1, 1, 0), ("c", 1, 1, 3), ("far", 2, 2, 1), ("b", 3, 3, 0)]
+    days = [(None, None), (0, 3), (5, None), (None, 8), (14, 2), (30, 29), (100, 200)]
+    at = lambda n: None if n is None else day + timedelta(n)
+    events = table([(f"{t}{k}", t, at(a), at(b)) for t in ("a", "b", "c", "far", "gone") for k, (a, b) in enumerate(days)], "event_id string, trigger_id string, old_date date, new_date date")
+    plain = table(nodes, "node_id string, item_id long, location_id long").select("node_id", F.lit(None).cast("date").alias("start"), "item_id", "location_id")
+    buckets = table([(name(*s, i), at(n), *s) for s in series for i, n in enumerate(starts)], "node_id string, start date, item_id long, location_id long")
+    led = [(f, name(i, p, b), i, p) for f, i, p, b in feeds]
+    between = table([("a", "b"), ("c", "far")], "from_id string, to_id string")
+    edges = table([(f, t) for f, t, *_ in led] + [(name(*s, i), name(*s, i + 1)) for s in series for i in range(4)], "from_id string, to_id string").unionByName(between)
+    ids = F.transform(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(at(n)).alias("start")) for i, n in enumerate(starts))), lambda b: F.struct(F.concat_ws("-", "item_id", "location_id", b["i"]).alias("node_id"), b["start"].alias("start")))
+    chains = pegging.Chains(table(series + series[:2], "item_id long, location_id long"), ids, table(led, "from_id string, to_id string, item_id long, location_id long"), 3)
+    want = sorted(map(tuple, pegging.dirty(events, edges, plain.unionByName(buckets), ahead=4).collect()))
+    assert sorted(map(tuple, pegging.dirty(events, between, plain, ahead=4, chains=chains).collect())) == want and len(want) > 60
+
+
 def test_hand_overs_and_shared_capacity(spark):
     pair = dated(spark.createDataFrame([(7, 1, 2, "2024-01-02", "2024-01-04", "linear", 1.0, 0.0)], "ghost_id long, outgoing long, incoming long, start string, end string, curve string, weight_at_start double, weight_at_end double"), "start", "end")
     stock = dated(spark.createDataFrame([(1, "2024-01-01", 10.0), (1, "2024-01-03", 4.0), (2, "2024-01-02", 5.0)], "item_id long, day string, closing double"), "day")
